@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -26,6 +27,37 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Bits of a filter that stands for a set of keys; its size is the same for any number of keys.
+FILTER_BITS = 24
+
+
+def key_filter(keys: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS for a column of longs, two probes a key, made in the cluster.
+
+    What it lets through that is no key costs time only, so users must not rely on it to exclude."""
+    h = F.xxhash64(F.col(column))
+    mask = 2**FILTER_BITS - 1
+    at = keys.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - FILTER_BITS))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits"))
+    got = words.toPandas()  # at most 2**FILTER_BITS / 64 rows
+    out = np.zeros(2**FILTER_BITS // 64, np.uint64)
+    out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether keys of these xxhash64 values may be in a filter."""
+    found = np.ones(len(hashes), bool)
+    for at in (hashes & np.uint64(2**FILTER_BITS - 1), hashes >> np.uint64(64 - FILTER_BITS)):
+        found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found
+
+
+def with_columns(schema: StructType, **more: str) -> StructType:
+    """A schema with columns added; one of the same name is replaced."""
+    return StructType([f for f in schema.fields if f.name not in more] + [StructField(k, _parse_datatype_string(v)) for k, v in more.items()])
+
+
 def _forest(frames):
     """A spanning forest of the links that one task sees: fewer links, same components."""
     for frame in frames:

@@ -13,7 +13,7 @@ which changes speed only).
 
 Cases: null counts as empty, an empty text has no ids and decodes to the empty text; special-token strings
 inside texts give the special id, as the tokenizers library does by default; ties and repeated rows are
-encoded alike; extra columns are carried by ``encode``; ids that do not form UTF-8 decode with U+FFFD.
+encoded alike; extra columns are carried by ``encode`` (one called ids is replaced); ids that do not form UTF-8 decode with U+FFFD.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from profilion.llm import textkit as tk
+from profilion.llm.cluster import with_columns
 
 #: Fixed value: the byte-level pre-tokenization pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -232,7 +232,8 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
             ids = pa.array([vocabulary.encode(t) for t in _texts(b.column(text))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
 
-    return docs.mapInArrow(run, f"{docs.schema.simpleString()[7:-1]},ids:binary")
+    docs = docs.drop("ids")
+    return docs.mapInArrow(run, with_columns(docs.schema, ids="binary"))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -245,7 +246,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
             texts = pa.array([vocabulary.decode(x.as_py() or b"") for x in b.column(ids)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, "decoded"])
 
-    return encoded.mapInArrow(run, f"{encoded.schema.simpleString()[7:-1]},decoded:string")
+    encoded = encoded.drop("decoded")
+    return encoded.mapInArrow(run, with_columns(encoded.schema, decoded="string"))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

@@ -10,7 +10,7 @@ id. Everything else covers all rows: every text is scored whole.
 
 Cases: null or empty texts have no features and score as the bias alone; labels that are null or whose
 document is missing are left out; repeated label rows of a document count once (the larger label);
-without labels every score is 0.5; extra columns are carried by ``score`` and never read.
+without labels every score is 0.5; extra columns are carried by ``score`` (one of its own name is replaced) and never read.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from profilion.llm import textkit as tk
+from profilion.llm.cluster import with_columns
 
 TRAINING_ROWS = 20_000
 BITS = 20
@@ -114,7 +115,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     """docs with a column score; one pass, no shuffle."""
     at = np.flatnonzero(weights).astype(np.int32)
     model = docs.sparkSession.sparkContext.broadcast(tk.pack(at, weights[at]))
-    schema = f"{docs.schema.simpleString()[7:-1]},score:double" if docs.columns else "score double"
+    docs = docs.drop("score")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = tk.unpack(model.value)
@@ -128,7 +129,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
             column = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())
             yield pa.RecordBatch.from_arrays([*c.rows.columns, column], [*c.rows.schema.names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, with_columns(docs.schema, score="double"))
 
 
 def held_out(column: str = "doc_id", fold: int = 2, of: int = 4):

@@ -115,32 +115,24 @@ def word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return span_hash(prefix_sums(chunk.data, FOLDED), start, end), first
 
 
-def shingle_sets(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingle fingerprints of each document, one after the other, and each one's first.
+def rolled(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all shingles of ``width`` words, repeats included, and each one's document.
 
-    A document of fewer than ``width`` words has its whole sequence as one shingle, one without words none.
+    A document of fewer words has its whole sequence as one shingle, one without words none.
     """
-    n = np.diff(first)
-    rolled = np.zeros(len(words), U)
+    n, factor = np.diff(first), U(0xC2B2AE3D27D4EB4F)
+    values = np.zeros(len(words), U)
     for k in range(width):
-        rolled[: len(words) - k] = (rolled[: len(words) - k] * U(0xC2B2AE3D27D4EB4F)) + words[k:]
-    rolled = mix(rolled)
+        values[: len(words) - k] = values[: len(words) - k] * factor + words[k:]
     doc = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(words)) - np.repeat(first[:-1], n)
-    keep = place + width <= np.repeat(n, n)
+    keep = np.arange(len(words)) - first[:-1][doc] + width <= n[doc]
     short = np.flatnonzero((n > 0) & (n < width))
     extra = np.zeros(len(short), U)
-    for i, d in enumerate(short):
-        for w in words[first[d] : first[d + 1]]:
-            extra[i] = extra[i] * U(0xC2B2AE3D27D4EB4F) + w
-        extra[i] = extra[i] * U(31) + U(n[d])
-    docs, values = np.append(doc[keep], short), np.append(rolled[keep], mix(extra))
-    order = np.lexsort((values, docs))
-    docs, values = docs[order], values[order]
-    fresh = np.ones(len(docs), bool)
-    fresh[1:] = (docs[1:] != docs[:-1]) | (values[1:] != values[:-1])
-    docs, values = docs[fresh], values[fresh]
-    return values, np.searchsorted(docs, np.arange(len(n) + 1))
+    for k in range(width - 1):
+        more = n[short] > k
+        extra[more] = extra[more] * factor + words[first[:-1][short[more]] + k]
+    extra = mix(extra * U(31) + n[short].astype(U))
+    return np.append(mix(values[keep]), extra), np.append(doc[keep], short)
 
 
 def pack(*arrays: np.ndarray) -> bytes:
