@@ -31,11 +31,11 @@ def parts(spark: SparkSession) -> int:
 FILTER_BITS = 24
 
 
-def key_filter(keys: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS for a column of longs, two probes a key, made in the cluster.
+def key_filter(hashes: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of FILTER_BITS for a column of 64-bit hashes, two probes each, made in the cluster.
 
     What it lets through that is no key costs time only, so users must not rely on it to exclude."""
-    h = F.xxhash64(F.col(column))
+    keys, h = hashes, F.col(column)
     mask = 2**FILTER_BITS - 1
     at = keys.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - FILTER_BITS))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits"))

@@ -3,16 +3,18 @@
 Texts are sets of word shingles (48-bit fingerprints). Equal sets are one set from the start. Two sets whose
 Jaccard similarity reaches the threshold share a shingle among the first of each in any common order (as
 many as may be missing, and one), and their sizes lie within the threshold of each other. Tiles are therefore
-made of the sets that share such a prefix shingle, and within a tile, size bounds cut who meets whom. The order puts shingles
-that very many documents hold last, so common passages make no tiles; the order changes only the work, never
-the result.
+made of the sets that share such a prefix shingle, and within a tile, size bounds cut who meets whom. All
+shingles are counted, and the order puts those that many sets hold last, so that common passages make no
+tiles. The counts reach the tasks as a filter of fixed size; what it mistakes changes the order alike for all
+texts, and the order changes only the work, never the result.
 
 A pair of a tile meets the bitmap test first: each set has a parity signature of about one bit per shingle,
 and as signatures differ in no more bits than sets in shingles, the count of differing bits bounds the
 overlap from above. Pairs that pass get an exact intersection of sorted arrays.
 
 Groups of near copies are linked to one centre each first: for a few permutations, sets of equal least
-shingle are compared with the smallest of them. What that links is one component, and tiles then make only
+shingle are compared with one of them, the set with the fewest shingles of its own (what all copies were made
+from has none) or another. What that links is one component, and tiles then make only
 pairs between different components, so that a group costs in proportion to its size. Pairs to compare meet by
 their centre, salted SALT ways; a task holds one centre's set at a time.
 
@@ -37,8 +39,9 @@ WIDTH, PERCENT = 5, 75
 BITS, ROWS = 48, 14
 #: Permutations for centres; parts of a centre's pairs; ranges of prefix shingles for each task.
 SEEDS, SALT, RANGES_PER_TASK = 6, 16, 4
-#: A block of texts reports shingles that this many of its texts hold; COMMON of them at most go last.
-BLOCK, REPORTED, COMMON = 1 << 22, 4, 1 << 19
+#: Shingles are counted by COUNTED bits and by blocks of BLOCK. Those that FEW sets hold, or as many more as
+#: leaves COMMON of them, go last.
+COUNTED, BLOCK, FEW, COMMON = 40, 1 << 22, 6, 2_000_000
 
 
 def sets(c: tk.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,18 +88,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """Rows of texts (doc_id, n, name, least, signature), and of shingles (name, n) that many texts hold."""
+def sketches(docs: DataFrame, width: int, last: np.ndarray) -> DataFrame:
+    """(doc_id, n, rare, name, least, signature) of every text; rare: how many of its shingles few texts hold."""
+    late = docs.sparkSession.sparkContext.broadcast(last)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def report() -> pa.RecordBatch:
-            values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, tk.U), np.zeros(0, np.int64))
-            often = n >= REPORTED
-            k = int(often.sum())
-            return pa.RecordBatch.from_arrays([pa.array([False] * k, pa.bool_()), pa.nulls(k, pa.int64()), pa.array(n[often]), pa.array(values[often].view(np.int64)), pa.nulls(k, pa.list_(pa.int64())), pa.nulls(k, pa.binary())], ["is_text", "doc_id", "n", "name", "least", "signature"])
-
         for c in tk.chunks(batches):
             values, cut = sets(c, width)
             names, n = set_names(values, cut), np.diff(cut)
@@ -106,16 +102,72 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
                 for k in range(SEEDS):
                     least[some, k] = np.minimum.reduceat(tk.mix(values ^ tk.U(0x9E3779B9 * (k + 1))), cut[:-1][some]).view(np.int64)
             signs = [signature(values[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
+            rare = np.diff(np.concatenate([[0], np.cumsum(~may_hold(late.value, tk.mix(values >> tk.U(BITS - COUNTED))))])[cut])
             lists = pa.ListArray.from_arrays(np.arange(0, least.size + 1, SEEDS, dtype=np.int32), least.ravel())
-            yield pa.RecordBatch.from_arrays([pa.array([True] * len(n)), c.rows.column("doc_id"), pa.array(n), pa.array(names), lists, pa.array(signs, pa.binary())], ["is_text", "doc_id", "n", "name", "least", "signature"])
-            held.append(values)
-            size += len(values)
+            yield pa.RecordBatch.from_arrays([c.rows.column("doc_id"), pa.array(n), pa.array(rare), pa.array(names), lists, pa.array(signs, pa.binary())], ["doc_id", "n", "rare", "name", "least", "signature"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rare long, name long, least array<long>, signature binary")
+
+
+def frequent(docs: DataFrame, width: int) -> DataFrame:
+    """(shingle, n): hashes of the leading COUNTED bits of shingles that FEW texts or more hold. Copies of a text within a
+    chunk count once. Blocks send their counts packed, by ranges of shingles, which are then added up."""
+    ranges = parts(docs.sparkSession) * RANGES_PER_TASK
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def block() -> pa.RecordBatch:
+            values, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, tk.U), np.zeros(0, np.int64))
+            cut = np.concatenate([[0], np.searchsorted(values, np.array([k * 2**COUNTED // ranges for k in range(1, ranges)], tk.U)), [len(values)]]).astype(int)
+            out = [(r, tk.pack(tk.deltas(values[x:y]), n[x:y].astype(np.uint32))) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["range", "blob"])
+
+        for c in tk.chunks(batches):
+            values, cut = sets(c, width)
+            first = np.zeros(len(cut) - 1, bool)
+            first[np.unique(set_names(values, cut), return_index=True)[1]] = True
+            held.append(values[np.repeat(first, np.diff(cut))] >> tk.U(BITS - COUNTED))
+            size += len(held[-1])
             if size >= BLOCK:
-                yield report()
+                yield block()
                 held, size = [], 0
-        yield report()
+        yield block()
+
+    def total(blobs_of: list[bytes]) -> pa.RecordBatch:
+        got = [tk.unpack(x) for x in blobs_of]
+        values, place = np.unique(np.concatenate([np.cumsum(x[0]) for x in got]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([x[1] for x in got])).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(tk.mix(values[n >= FEW]).view(np.int64)), pa.array(n[n >= FEW])], ["shingle", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in by_range(batches):
+            yield total(held)
+
+    dealt = docs.select("text").mapInArrow(deal, "range long, blob binary").repartition(parts(docs.sparkSession), "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(run, "shingle long, n long")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "is_text boolean, doc_id long, n long, name long, least array<long>, signature binary")
+def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """The blobs of each range, of rows sorted by range."""
+    now, held = None, []
+    for b in batches:
+        for r, blob in zip(b.column("range").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if r != now and held:
+                yield held
+                held = []
+            now = r
+            held.append(blob)
+    if held:
+        yield held
+
+
+def common(counts: DataFrame) -> np.ndarray:
+    """A filter of fixed size for the shingles that go last."""
+    by_n = counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().orderBy("n").toPandas()  # 10,000 rows at most
+    above = by_n["count"][::-1].cumsum()[::-1]
+    few = by_n["n"][above <= COMMON]
+    return key_filter(counts.where(F.col("n") >= int(few.iloc[0]) if len(few) else F.lit(False)), "shingle")
 
 
 def checked(pairs: DataFrame, payload: DataFrame, test) -> DataFrame:
@@ -142,7 +194,7 @@ def checked(pairs: DataFrame, payload: DataFrame, test) -> DataFrame:
 
 def blobs(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     """(name, n, blob): the sorted shingles of the wanted documents (doc_id), and of some others."""
-    passing = docs.sparkSession.sparkContext.broadcast(key_filter(wanted, "doc_id"))  # of fixed size
+    passing = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc_id").alias("key")), "key"))  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -175,27 +227,25 @@ def verified(pairs: DataFrame, signs: DataFrame, first_docs: DataFrame, docs: Da
     return checked(passed, settle(blobs(docs, width, wanted)), test)
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """(name, n, prefix) of every set, once or more often."""
-    last = docs.sparkSession.sparkContext.broadcast(tk.pack(tk.deltas(np.sort(common))))  # COMMON values at most
+def prefixes(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
+    """(name, n, prefix) of every set, once or more often. prefix: sorted shingles, and each one's place in the order."""
+    late = docs.sparkSession.sparkContext.broadcast(last)  # of fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often = np.cumsum(tk.unpack(last.value)[0]) if last.value else np.zeros(0, tk.U)
         for c in tk.chunks(batches):
             values, cut = sets(c, width)
             names, n = set_names(values, cut), np.diff(cut)
             doc = np.repeat(np.arange(len(n)), n)
-            if len(often) and len(values):
-                at = np.minimum(np.searchsorted(often, values), len(often) - 1)
-                late = often[at] == values
-                order = np.argsort(doc * 2 + late, kind="stable")
-                values = values[order]
-            keep = np.arange(len(values)) - cut[:-1][doc] < (n - (percent * n + 99) // 100 + 1)[doc]
+            order = np.argsort(doc * 2 + may_hold(late.value, tk.mix(values >> tk.U(BITS - COUNTED))), kind="stable")
+            values = values[order]
+            place = np.arange(len(values)) - cut[:-1][doc]
+            keep = place < (n - (percent * n + 99) // 100 + 1)[doc]
             ends = np.concatenate([[0], np.cumsum(keep)])[cut]
-            values = values[keep]
+            order = np.lexsort((values[keep], doc[keep]))
+            values, place = values[keep][order], place[keep][order].astype(np.uint32)
             some = np.sort(np.unique(names, return_index=True)[1])  # copies among these texts go once
             some = some[n[some] > 0]
-            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(n[some]), pa.array([tk.pack(tk.deltas(np.sort(values[ends[k] : ends[k + 1]]))) for k in some], pa.binary())], ["name", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(n[some]), pa.array([tk.pack(tk.deltas(values[ends[k] : ends[k + 1]]), place[ends[k] : ends[k + 1]]) for k in some], pa.binary())], ["name", "n", "prefix"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "name long, n long, prefix binary")
 
@@ -203,7 +253,8 @@ def prefixes(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> D
 def tiles(found: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of names in different components that share a prefix shingle and whose sizes allow a link.
 
-    found: (name, n, component, prefix). Prefix shingles travel packed by ranges of their values; a range's
+    found: (name, n, component, prefix). A pair that links is made in the tile of the first shingle it shares, at
+    least, which lies early enough in both for the overlap to be reached. Prefix shingles travel packed by ranges of their values; a range's
     postings are sorted by shingle and component, and only what lies in different components pairs up."""
     spark = found.sparkSession
     ranges = parts(spark) * RANGES_PER_TASK
@@ -212,28 +263,28 @@ def tiles(found: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = [opened(x) for x in b.column("prefix").to_pylist()]
-            size = np.array([len(x) for x in lists])
-            value, row = np.concatenate(lists), np.repeat(np.arange(len(lists)), size)
+            lists = [tk.unpack(x) for x in b.column("prefix").to_pylist()]
+            size = np.array([len(x[0]) for x in lists])
+            value, place, row = np.concatenate([np.cumsum(x[0]) for x in lists]), np.concatenate([x[1] for x in lists]), np.repeat(np.arange(len(lists)), size)
             order = np.argsort(value, kind="stable")
-            value, row = value[order], row[order]
+            value, place, row = value[order], place[order], row[order]
             name, n, component = (b.column(k).to_numpy()[row] for k in ("name", "n", "component"))
             own = np.where(component == name, 0, component - name)
             edges = np.searchsorted(value, np.array([k * 2**BITS // ranges for k in range(1, ranges)], tk.U))
             cut = np.concatenate([[0], edges, [len(value)]])
-            out = [(r, tk.pack(tk.deltas(value[x:y]), name[x:y], n[x:y].astype(np.uint32), own[x:y])) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+            out = [(r, tk.pack(tk.deltas(value[x:y]), name[x:y], n[x:y].astype(np.uint32), own[x:y], place[x:y])) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["range", "blob"])
 
     def pair_up(blobs_of: list[bytes]) -> Iterator[pa.RecordBatch]:
         got = [tk.unpack(x) for x in blobs_of]
         value = np.concatenate([np.cumsum(x[0]) for x in got])
-        name, n, own = (np.concatenate([x[k] for x in got]) for k in (1, 2, 3))
+        name, n, own, place = (np.concatenate([x[k] for x in got]) for k in (1, 2, 3, 4))
         component = name + own
         order = np.lexsort((name, component, value))
-        value, name, n, component = value[order], name[order], n[order].astype(np.int64), component[order]
+        value, name, n, component, place = value[order], name[order], n[order].astype(np.int64), component[order], place[order].astype(np.int64)
         head = np.ones(len(value), bool)
         head[1:] = (value[1:] != value[:-1]) | (name[1:] != name[:-1])  # equal texts of several batches
-        value, name, n, component = value[head], name[head], n[head], component[head]
+        value, name, n, component, place = value[head], name[head], n[head], component[head], place[head]
         fresh = np.ones(len(value) + 1, bool)
         fresh[1:-1] = value[1:] != value[:-1]
         tile_end = np.append(np.flatnonzero(fresh)[1:], len(value))[np.cumsum(fresh[:-1]) - 1]
@@ -251,6 +302,8 @@ def tiles(found: DataFrame, percent: int) -> DataFrame:
             i = np.repeat(rows, many)
             j = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
             near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            # in the tile of the first shingle they share, what follows it bounds the overlap
+            near &= (100 + percent) * np.minimum(n[i] - place[i], n[j] - place[j]) >= percent * (n[i] + n[j])
             a, b = np.minimum(name[i[near]], name[j[near]]), np.maximum(name[i[near]], name[j[near]])
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
@@ -259,15 +312,7 @@ def tiles(found: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a[one]), pa.array(b[one])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for r, blob in zip(b.column("range").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                if r != now:
-                    if held:
-                        yield from pair_up(held)
-                    now, held = r, []
-                held.append(blob)
-        if held:
+        for held in by_range(batches):
             yield from pair_up(held)
 
     dealt = found.mapInArrow(deal, "range long, blob binary")
@@ -276,26 +321,25 @@ def tiles(found: DataFrame, percent: int) -> DataFrame:
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    sketched = settle(sketches(docs, width))
-    texts = sketched.where("is_text AND n > 0")
-    one = settle(texts.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("signature").alias("signature")))
+    last = common(settle(frequent(docs, width)))
+    sketched = settle(sketches(docs, width, last))
+    texts = sketched.where("n > 0")
+    one = settle(texts.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("least").alias("least"), F.first("signature").alias("signature")))
     signs, first_docs = one.select("name", "n", F.col("signature").alias("blob")), one.select("name", "doc_id")
 
-    # near copies to a centre, the smallest after scrambling so that it differs by permutation
-    spots = one.select("name", "n", F.posexplode("least").alias("seed", "spot")).withColumn("rank", F.xxhash64("name", "seed"))
+    # near copies to a centre: for even seeds the set with the fewest rare shingles, else any
+    spots = one.select("name", "rare", F.posexplode("least").alias("seed", "spot")).withColumn("rank", F.struct(F.when(F.col("seed") % 2 == 0, F.col("rare")).otherwise(0).alias("rare"), F.xxhash64("name", "seed").alias("any")))
     centre = spots.groupBy("seed", "spot").agg(F.min(F.struct("rank", "name")).alias("c"), F.count("*").alias("many")).where("many > 1").select("seed", "spot", F.col("c.name").alias("a"))
     pairs = spots.join(centre, ["seed", "spot"]).where("a <> name").select(F.least("a", "name").alias("a"), F.greatest("a", "name").alias("b")).distinct()
     near = settle(verified(pairs, signs, first_docs, docs, width, percent))
     groups = settle(components(near).withColumnRenamed("node", "name"))
 
     # every other link lies between two of these
-    shingle = sketched.where("NOT is_text").groupBy("name").agg(F.sum("n").alias("n")).where("n >= 8")
-    common = shingle.orderBy(F.desc("n"), "name").limit(COMMON).select("name").toPandas()["name"].to_numpy(np.int64).view(tk.U)
-    found = prefixes(docs, width, percent, common).join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    found = prefixes(docs, width, percent, last).join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
     more = settle(verified(settle(tiles(found, percent)), signs, first_docs, docs, width, percent))
     label = settle(components(near.unionByName(more)).withColumnRenamed("node", "name"))
 
-    rows = sketched.where("is_text").select("doc_id", "n", "name").join(label, "name", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "name")))
+    rows = sketched.select("doc_id", "n", "name").join(label, "name", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "name")))
     least = rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     rows = rows.join(least, "component", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
