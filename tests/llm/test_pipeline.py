@@ -1,0 +1,35 @@
+"""The pipeline and the registered queries over the small tables."""
+
+from oracle import expected, same
+
+import corpus_pipeline
+from profilion.llm import op08_jaccard, op09_toxicity, registry
+
+
+def test_queries_with_sql(spark, sf_dir):
+    queries = registry.queries()
+    for name, sql in registry.oracles().items():
+        same(queries[name](spark, sf_dir).toPandas(), expected(sql, sf_dir))
+
+
+def test_stages(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns = docs.columns
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scores = op09_toxicity.toxicity(docs, labels).toPandas().set_index("doc_id")["score"]
+    clean = corpus_pipeline.toxicity(spark, docs, sf_dir)
+    assert set(clean.toPandas()["doc_id"]) == set(scores.index[scores < op09_toxicity.THRESHOLD])
+    one = corpus_pipeline.near_duplicates(spark, clean, sf_dir)
+    wanted = op08_jaccard.classes(clean).toPandas()["component_id"].unique()
+    assert sorted(one.toPandas()["doc_id"]) == sorted(wanted)
+    short = corpus_pipeline.repeated_passages(spark, one, sf_dir)
+    assert (short.toPandas()["n_chars"] == short.toPandas()["text"].str.len()).all()
+    mixed = corpus_pipeline.mixing(spark, short, sf_dir)
+    assert clean.columns == one.columns == short.columns == mixed.columns == columns
+    assert mixed.toPandas().groupby("doc_id").size().max() <= 2
+    assert corpus_pipeline.encoding(spark, mixed, sf_dir).count() == mixed.count()
+
+
+def test_run(spark, sf_dir):
+    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
