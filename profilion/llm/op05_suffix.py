@@ -14,7 +14,7 @@ fetched, and all their strings of SPAN bytes are looked up by fingerprint among
 is linear in what there is: no pairs are made. A lead with over CROWD different stretches is counted in
 Spark by string instead, which gives the same.
 
-Fingerprints have 64 bits. Texts travel compressed, in rows of about 4 MB, which are written once.
+Fingerprints have 64 bits. Texts travel compressed, in rows of about 1 MB, which are written once.
 
 Cases: null counts as empty; texts under SPAN bytes lose nothing; repeats inside one text and overlapping ones
 count; copies remove each other; repeated rows are texts of their own; no match crosses texts; texts of any
@@ -74,7 +74,7 @@ def anchors(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
 
 
 def stored(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """(share, blob, rows): texts in compressed rows of about 4 MB, and the columns carried as Arrow bytes."""
+    """(share, blob, rows): texts in compressed rows of about 1 MB, and the columns carried as Arrow bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in tk.chunks(batches):

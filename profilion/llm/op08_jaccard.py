@@ -41,7 +41,7 @@ BITS, ROWS = 48, 14
 SEEDS, SALT, RANGES_PER_TASK = 6, 16, 4
 #: Shingles are counted by COUNTED bits and by blocks of BLOCK. Those that FEW sets hold, or as many more as
 #: leaves COMMON of them, go last.
-COUNTED, BLOCK, FEW, COMMON = 40, 1 << 22, 6, 2_000_000
+COUNTED, BLOCK, FEW, COMMON = 40, 1 << 21, 6, 2_000_000
 
 
 def sets(c: tk.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:

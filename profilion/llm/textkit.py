@@ -47,7 +47,7 @@ _powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i below n, modulo 2**64."""
     if len(_powers["up"]) < n:
-        size = max(n, 5 << 20)
+        size = max(n, 1 << 20)
         for key, b in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, b, U)
             steps[0] = 1
@@ -69,7 +69,7 @@ class Chunk:
         return pc.fill_null(self.rows.column(name).cast(pa.int64()), -(2**63)).to_numpy(zero_copy_only=False)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 4 << 20) -> Iterator[Chunk]:
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[Chunk]:
     """Chunks of about ``size`` bytes; a longer text is a chunk of its own. Null counts as empty."""
     for batch in batches:
         column = pc.fill_null(batch.column(text), "")
