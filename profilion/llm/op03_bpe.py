@@ -182,6 +182,11 @@ class Vocabulary:
             at = m.end()
         return b"".join([*out, *map(self.memo.__getitem__, self.pieces(text[at:]))])
 
+    def forget(self) -> None:
+        """Empties the memos, so that a worker that goes on to other work does not hold them."""
+        self.memo.clear()
+        self.fits.clear()
+
     def decode(self, ids: bytes) -> str:
         ids = np.frombuffer(ids, "<u4")
         n = self.lengths[ids]
@@ -231,6 +236,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         for b in batches:
             ids = pa.array([vocabulary.encode(t) for t in _texts(b.column(text))], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, "ids"])
+        vocabulary.forget()
 
     docs = docs.drop("ids")
     return docs.mapInArrow(run, with_columns(docs.schema, ids="binary"))
@@ -270,6 +276,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 rows.append((len(ids) // 4, sha(ids), sha(vocabulary.decode(ids).encode())))
             columns = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)] if rows else [pa.array([], t) for t in (pa.int64(), pa.string(), pa.string())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocabulary.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
