@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilion.functions import profiles as fn
-from profilion.operators import aggregates, frames, temporal
+from profilion.operators import aggregates, frames, preprocess, temporal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -387,3 +387,40 @@ def reconcile_stack(spark, sf_dir):
 SELECT event_id, CAST(sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c""")
 def interpolation_runs(spark, sf_dir):
     return frames.change_runs(events(spark, sf_dir), "user_id", ["t", "event_id"], "event_type").select("event_id", "run")
+
+
+# -- chained preprocessing
+
+#: Limits for profiles of 64 gates; label stands for the site and vec_id for the time.
+SHALLOW = preprocess.Settings(rain_beta=0.1, rain_depth=60.0, rain_gap=60.0, fog_beta=0.1, fog_above=300.0, fog_span=340.0, fog_snr=0.2, low_from=200.0, low_to=400.0, low_snr=0.1, smooth_half_rows=2, smooth_half_gates=1)
+HEIGHTS = f"""{GATES}, g AS (SELECT e.*, label AS site, gate * 10.0::DOUBLE + 5.0::DOUBLE AS r FROM e JOIN embeddings USING (vec_id))"""
+SCREENED = f"""{HEIGHTS}, h AS (SELECT *, lag(gate) OVER (PARTITION BY vec_id ORDER BY gate) AS seen FROM g WHERE r >= 100 AND v > 0.1::DOUBLE),
+stops AS (SELECT vec_id, min(gate) AS stop FROM h WHERE gate - coalesce(seen, 9) > 7 GROUP BY vec_id),
+tops AS (SELECT h.vec_id, max(r) - 100.0::DOUBLE AS depth FROM h LEFT JOIN stops USING (vec_id) WHERE stop IS NULL OR gate < stop GROUP BY h.vec_id),
+k AS (SELECT vec_id, site, max(v) FILTER (WHERE r BETWEEN 100 AND 300) AS peak, median(v / 0.05::DOUBLE) FILTER (WHERE r BETWEEN 300 AND 640) AS above, median(v / 0.05::DOUBLE) FILTER (WHERE r BETWEEN 200 AND 400) AS low FROM g GROUP BY ALL),
+f AS (SELECT k.*, coalesce(depth, 0) AS depth, coalesce(depth, 0) >= 60 AS rain FROM k LEFT JOIN tops USING (vec_id)),
+f2 AS (SELECT *, NOT rain AND peak >= 0.1::DOUBLE AND above < 0.2::DOUBLE AS fog FROM f),
+f3 AS (SELECT *, bool_or(rain) OVER w AS wet, bool_or(fog) OVER w AS dim, NOT rain AND NOT fog AND low < 0.1::DOUBLE AS faint FROM f2 WINDOW w AS (PARTITION BY site ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+q AS (SELECT vec_id, site, depth, CAST(CASE WHEN wet THEN 1 WHEN dim THEN 2 ELSE 0 END + CASE WHEN faint THEN 4 ELSE 0 END AS BIGINT) AS quality FROM f3)"""
+
+
+def _heights(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("site"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("beta"), F.lit(0).alias("quality"))
+    return rows.withColumn("r", F.transform("beta", lambda _x, i: i * F.lit(10.0) + F.lit(5.0))).withColumn("sigma", F.transform("beta", lambda _x: F.lit(0.05)))
+
+
+@query(f"WITH {SCREENED} SELECT vec_id, quality, round(depth, 3) + 0.0 AS depth FROM q")
+def screen_profiles(spark, sf_dir):
+    return preprocess.screen(_heights(spark, sf_dir), SHALLOW).select(F.col("t").alias("vec_id"), "quality", neat("rain_depth", 3).alias("depth"))
+
+
+@query(f"""WITH {SCREENED}, u AS (SELECT g.site, g.vec_id, gate, CASE WHEN quality & 39 = 0 THEN v END AS v, quality FROM g JOIN q USING (vec_id)),
+d AS (SELECT *, sum(v) OVER w AS s, count(v) OVER w AS c FROM u WINDOW w AS (PARTITION BY vec_id ORDER BY gate ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+b AS (SELECT *, sum(s) OVER w AS total, sum(c) OVER w AS n FROM d WINDOW w AS (PARTITION BY site, gate ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+m AS (SELECT vec_id, max(n) AS most FROM b GROUP BY vec_id)
+SELECT vec_id, gate, round(CASE WHEN n > 0 THEN total / n END, 6) + 0.0 AS beta_smooth, round(CASE WHEN n > 0 THEN 0.05::DOUBLE / sqrt(n) END, 6) + 0.0 AS sigma_smooth,
+CASE WHEN most < 3.75 THEN quality | 128 ELSE quality END AS quality FROM b JOIN m USING (vec_id)""")
+def screened_smooth(spark, sf_dir):
+    rows = preprocess.smooth(preprocess.screen(_heights(spark, sf_dir), SHALLOW), SHALLOW)
+    rows = rows.select(F.col("t").alias("vec_id"), "quality", F.posexplode(F.arrays_zip("beta_smooth", "sigma_smooth")).alias("gate", "x"))
+    return rows.select("vec_id", F.col("gate").cast("long").alias("gate"), neat("x.beta_smooth").alias("beta_smooth"), neat("x.sigma_smooth").alias("sigma_smooth"), "quality")
