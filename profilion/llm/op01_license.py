@@ -3,7 +3,12 @@
 A file's notices are its lines that name a licence, a copyright or a permission. Each notice and each template is a bag of lower-case words, weighted by
 count times inverse document frequency over the templates (words that no template has weigh most, so foreign
 text lowers a score). The sparse product is a join on words with the templates' weights, a fixed table of a
-few hundred rows. A file's own licence is the template of the highest cosine, if that reaches the threshold.
+few hundred rows.
+
+A file with a notice is scored in larger units, too: each run of neighbouring comment or notice lines, each paragraph and the
+whole text, against headers, titles and whole licence texts (``licences/``). There, words are weighted by their
+document frequency over all files, counted in Spark. An SPDX identifier names its licence and scores 1.
+A file's own licence is that of the highest score, if that reaches the threshold.
 
 A file without one inherits: every directory that holds files with a licence of their own declares it (that
 of the first such path), every other file looks up all its ancestor directories by an equi-join on path,
@@ -19,9 +24,15 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
+
+from profilion.llm.cluster import settle
 
 THRESHOLD = 0.6
 #: Which lines are notices.
@@ -46,6 +57,68 @@ TEMPLATES = (
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense license."),
 )
 
+GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
+GNU_REST = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU {1}General Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>."
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+#: The headers and titles of public licences, by paragraph and as a whole.
+HEADERS = (
+    *((name, text.format(*how)) for name, *how in (("AGPL-3.0", "program", "Affero ", "3"), ("GPL-2.0", "program", "", "2"), ("GPL-3.0", "program", "", "3"), ("LGPL-2.1", "library", "Lesser ", "2.1"), ("LGPL-3.0", "library", "Lesser ", "3")) for text in (GNU, GNU + GNU_REST)),
+    ("Apache-2.0", APACHE),
+    ("Apache-2.0", APACHE + ' http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("ISC", "ISC License"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("MIT", "MIT License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+)
+#: How a comment line begins, and pairs that enclose comment lines.
+COMMENT = ("#", "//", "*", "--", ";", "%", "..", "!", "'")
+ENCLOSED = (("/*", "*/"), ("<!--", "-->"), ('"""', '"""'), ("'''", "'''"), ("(*", "*)"), ("{-", "-}"))
+SPDX_ID = r"[A-Za-z0-9.]+(?:-[A-Za-z0-9.]+)*\+?"
+SPDX = rf"(?i)spdx-license-identifier:\s*(\(?{SPDX_ID}\)?(?:\s+(?:AND|OR|WITH)\s+\(?{SPDX_ID}\)?)*)"
+
+
+def full_templates() -> list[tuple[str, str]]:
+    """Headers, titles and whole licence texts."""
+    return [*HEADERS, *((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licences").glob("*.txt")))]
+
+
+def units(text: str) -> Iterator[str]:
+    """Runs of neighbouring comment or notice lines, paragraphs (between lines without words), and the whole text."""
+    run, paragraph, until = [], [], None
+    for line in text.split("\n"):
+        bare, comment = line.strip(), until is not None
+        if until is None:
+            opened = next((x for x in ENCLOSED if bare.startswith(x[0])), None)
+            comment = opened is not None or bare.startswith(COMMENT)
+            if opened and opened[1] not in bare[len(opened[0]) :]:
+                until = opened[1]
+        elif until in bare:
+            until = None
+        if comment or re.search(NOTICE, line):
+            run.append(line)
+        elif run:
+            yield "\n".join(run)
+            run = []
+        if re.search(WORD, line.lower()):
+            paragraph.append(line)
+        elif paragraph:
+            yield "\n".join(paragraph)
+            paragraph = []
+    yield from ("\n".join(x) for x in (run, paragraph) if x)
+    yield text
+
 
 def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, float, float]], float]:
     """Rows (template, name, word, idf, weight over norm), and the idf of words that no template has."""
@@ -59,6 +132,62 @@ def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, flo
     return rows, math.log(1 + len(bags)) + 1
 
 
+def unit_words(files: DataFrame) -> DataFrame:
+    """(file_id, unit, word, n): bags of the units of every file with a notice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, unit, word, many = held = [], [], [], []
+
+            def batch(ids=b.column("file_id"), held=held) -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([ids.take(pa.array(held[0], pa.int64())), pa.array(held[1], pa.int32()), pa.array(held[2], pa.string()), pa.array(held[3], pa.int64())], ["file_id", "unit", "word", "n"])
+
+            for k, text in enumerate(b.column("text")):
+                known = set()
+                for u, part in enumerate(units(text.as_py())):
+                    if part in known:  # a paragraph may be the run, or all there is
+                        continue
+                    known.add(part)
+                    bag = Counter(re.findall(WORD, part.lower()))
+                    row += [k] * len(bag)
+                    unit += [u] * len(bag)
+                    word += bag
+                    many += bag.values()
+                    if len(row) > 50_000:
+                        yield batch()
+                        for x in held:
+                            x.clear()
+            yield batch()
+
+    schema = StructType([files.schema["file_id"], *_parse_datatype_string("unit int, word string, n long").fields])
+    return files.where(F.col("text").rlike(NOTICE)).select("file_id", "text").mapInArrow(run, schema)
+
+
+def unit_scores(files: DataFrame, threshold: float) -> DataFrame:
+    """(file_id, name, score) of units that reach the threshold, weighted by document frequency over all files."""
+    spark, total = files.sparkSession, files.count()
+    spread = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("spread"))
+    idf = F.log((1.0 + total) / (1.0 + F.coalesce("spread", F.lit(0)))) + 1.0
+    bags = [(k, name, w, n) for k, (name, text) in enumerate(full_templates()) for w, n in sorted(Counter(re.findall(WORD, text.lower())).items())]
+    spread = settle(spread)
+    fixed = spark.createDataFrame(bags, "template int, name string, word string, n long").join(spread, "word", "left").withColumn("w", F.col("n") * idf)
+    sizes = fixed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    fixed = settle(fixed.join(sizes, "template").select("template", "name", "word", (F.col("w") / F.col("size")).alias("share")))
+    counts = settle(unit_words(files).groupBy("file_id", "unit", "word").agg(F.sum("n").alias("n")).join(spread, "word", "left").withColumn("w", F.col("n") * idf).select("file_id", "unit", "word", "w"))
+    norms = counts.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = counts.join(F.broadcast(fixed), "word").groupBy("file_id", "unit", "template", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
+    return dots.join(norms, ["file_id", "unit"]).select("file_id", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+
+
+def spdx_scores(lines: DataFrame) -> DataFrame:
+    """(file_id, name, score) of SPDX identifiers in notices; -only and -or-later name the same licence."""
+    names = sorted({name for name, _ in (*TEMPLATES, *full_templates())})
+    known = F.create_map(*(F.lit(x) for name in names for x in (name.lower(), name)))
+    said = lines.select("file_id", F.regexp_extract("notice", SPDX, 1).alias("said")).where("said <> ''")
+    said = said.withColumn("said", F.regexp_replace(F.regexp_replace("said", r"^\(([^()]*)\)$", "$1"), r"(?i)(?:-only|-or-later|\+)(?=[\s)]|$)", ""))
+    return said.select("file_id", F.coalesce(known[F.lower("said")], "said").alias("name"), F.lit(1.0).alias("score"))
+
+
 def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(file_id, licence, score) of files (file_id, text) that carry a notice."""
     rows, rare = template_weights(templates)
@@ -72,6 +201,7 @@ def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     norms = counts.groupBy("file_id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = counts.join(F.broadcast(weights.select("template", "name", "word", "share")), "word").groupBy("file_id", "line", "template", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
     scores = dots.join(norms, ["file_id", "line"]).select("file_id", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+    scores = scores.unionByName(unit_scores(files, threshold)).unionByName(spdx_scores(lines))
     best = scores.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("b"))
     return best.select("file_id", F.col("b.name").alias("licence"), (-F.col("b.low")).alias("score"))
 
@@ -84,7 +214,7 @@ def ancestors(path: str = "path"):
 
 def scan(files: DataFrame, **how) -> DataFrame:
     """(file_id, path, licence, score, inherited_from) for every row of files (file_id, path, text)."""
-    found = own_licences(files, **how)
+    found = settle(own_licences(files, **how))
     rows = files.select("file_id", "path").join(found, "file_id", "left")
     declared = rows.where("licence IS NOT NULL AND path IS NOT NULL").withColumn("directory", F.element_at(ancestors(), 1)).groupBy("directory").agg(F.min(F.struct("path", "licence")).alias("first"))
     declared = declared.select("directory", F.col("first.licence").alias("given"))

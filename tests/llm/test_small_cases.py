@@ -3,7 +3,9 @@ each operator against a brute-force version."""
 
 import hashlib
 import re
+import textwrap
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -252,6 +254,35 @@ def test_license(spark):
     assert got.loc[2].inherited_from == "a/b"
 
 
+def test_license_headers_files_and_spdx(spark):
+    gpl = """# Copyright (C) 2021  Jane Roe
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version {} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+import os
+"""
+    mpl = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+int main() { return 0; }
+"""
+    whole = {p.stem: p.read_text() for p in (Path(op01_license.__file__).parent / "licences").glob("*.txt")}
+    bsd = "/*\n" + "\n".join(textwrap.wrap(whole["BSD-3-Clause"].split("License", 1)[1], 60)) + "\n*/\nint x;\n"
+    wanted = {"GPL-3.0": gpl.format(3), "GPL-2.0": gpl.format(2), "MPL-2.0": mpl, "BSD-3-Clause": bsd}
+    files = [(name, text) for name, text in wanted.items()] + list(whole.items())
+    files += [("MIT", "// SPDX-License-Identifier: MIT\nx"), ("Apache-2.0", "/* SPDX-License-Identifier: apache-2.0 */"), ("GPL-3.0", "# SPDX-License-Identifier: GPL-3.0-or-later"), ("MIT OR Zlib", "# SPDX-License-Identifier: (MIT OR Zlib)"), ("BSD-3-Clause", "BSD 3-Clause License"), (None, "# copyright of nobody at all\n# " + prose(9, 60)), (None, None)]
+    table = spark.createDataFrame([(k, f"{k}/x", text) for k, (_, text) in enumerate(files)], "file_id long, path string, text string")
+    got = {r["file_id"]: r["licence"] for r in op01_license.scan(table).collect()}
+    assert got == {k: name for k, (name, _) in enumerate(files)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 300)] + [(500, k) for k in range(501, 700)]
     got = cluster.components(spark.createDataFrame(links, "a long, b long")).toPandas().set_index("node")["component"]
