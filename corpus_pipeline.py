@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilion.llm import op03_bpe, op04_mixing, op05_suffix, op08_jaccard, op09_toxicity
@@ -20,10 +20,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the document of the smallest id. Rows of one doc_id are one document."""
-    found = op08_jaccard.classes(docs)
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies, one row: that of the smallest id (null comes last), then of the least row hash.
+
+    Rows are told apart by a hash of all their columns, so ids may be null or repeated; of rows that are equal in all
+    columns one stays. Rows without shingles have nothing to compare, and all stay."""
+    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
+    found = op08_jaccard.classes(keyed.select(F.col("row_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row_key").distinct()
+    ids = keyed.select("row_key", "doc_id").distinct()
+    first = found.where("n_shingles > 0").join(ids, "row_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first"))
+    kept = first.select("first.row_key", F.lit(False).alias("alone")).unionByName(found.where("n_shingles = 0").select("row_key", F.lit(True).alias("alone")))
+    equal = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
+    return keyed.join(kept, "row_key").withColumn("equal", equal).where("alone OR equal = 1").select(*docs.columns)
 
 
 def repeated_passages(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """The pipeline and the registered queries over the small tables."""
 
+from collections import Counter
+
+import numpy as np
 from oracle import expected, same
 
 import corpus_pipeline
@@ -33,3 +36,25 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def made(spark, rows):
+    return spark.createDataFrame([(k, text, "en", "web", None if text is None else len(text)) for k, text in rows], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def told(docs):
+    return Counter((r["doc_id"], r["text"]) for r in docs.collect())
+
+
+def prose(seed, n=80):
+    return " ".join(f"w{k}" for k in np.random.default_rng(seed).integers(0, 4000, n))
+
+
+def test_repeated_rows_and_null_ids(spark, sf_dir):
+    a, b, c, d, e = (prose(k) for k in range(5))
+    docs = made(spark, [(1, a), (1, a), (2, a), (None, b), (None, b), (None, c), (7, c), (4, d), (4, e), (3, e), (5, None), (5, None), (None, "")])
+    one = corpus_pipeline.near_duplicates(spark, docs, sf_dir)
+    wanted = Counter([(1, a), (None, b), (7, c), (4, d), (3, e)])
+    assert told(one) == wanted + Counter({(5, None): 2, (None, ""): 1})
+    short = corpus_pipeline.repeated_passages(spark, one, sf_dir)
+    assert told(short.where("n_chars > 0")) == wanted
