@@ -34,9 +34,13 @@ def near_duplicates(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> Data
 
 
 def repeated_passages(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
-    """Documents without the passages that occur elsewhere as well; those with nothing left go."""
-    left = op05_suffix.remove_repeats(docs)
-    return left.withColumn("n_chars", F.length("text").cast("long")).where("n_chars > 0").select(*docs.columns)
+    """Documents without the passages that occur elsewhere as well; those that lose all their text go.
+
+    Texts that came in null or empty have lost nothing and stay as they were."""
+    left = op05_suffix.remove_repeats(docs.withColumn("bytes_before", F.octet_length("text")))
+    bare = F.coalesce("bytes_before", F.lit(0)) == 0
+    left = left.where(bare | (F.col("text") != "")).withColumn("n_chars", F.when(bare, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return left.withColumn("text", F.when(F.col("bytes_before").isNotNull(), F.col("text"))).select(*docs.columns)
 
 
 def mixing(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:

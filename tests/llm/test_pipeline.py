@@ -58,3 +58,11 @@ def test_repeated_rows_and_null_ids(spark, sf_dir):
     assert told(one) == wanted + Counter({(5, None): 2, (None, ""): 1})
     short = corpus_pipeline.repeated_passages(spark, one, sf_dir)
     assert told(short.where("n_chars > 0")) == wanted
+
+
+def test_null_and_empty_texts_stay(spark, sf_dir):
+    a, b = prose(1), prose(2)
+    docs = made(spark, [(1, a), (2, a), (3, b), (4, None), (5, ""), (6, None), (7, "short")])
+    short = corpus_pipeline.repeated_passages(spark, docs, sf_dir)
+    assert told(short) == Counter([(3, b), (4, None), (5, ""), (6, None), (7, "short")])
+    assert {r["doc_id"]: r["n_chars"] for r in short.collect()} == {3: len(b), 4: None, 5: 0, 6: None, 7: 5}
