@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from profilion.llm import cluster, op01_license, op02_chat, op03_bpe, op04_mixing, op05_suffix, op06_topk, op07_embedding, op08_jaccard, op09_toxicity, op10_lm
+from profilion.llm import textkit as tk
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, ids long, size string, target string, n long, name string"
@@ -43,13 +44,6 @@ def docs(spark, texts):
     return spark.createDataFrame([*rows, rows[6]], SCHEMA).repartition(3)
 
 
-@pytest.fixture(scope="module")
-def stored(docs, tmp_path_factory):
-    path = str(tmp_path_factory.mktemp("docs") / "docs")
-    docs.write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
-
-
 def classes_of(links, n):
     label = list(range(n))
     changed = True
@@ -156,17 +150,64 @@ def test_due_time_inverts_a_schedule(spark):
     assert np.allclose(np.interp(got["t"], t, done / done[-1]), got["g"], atol=1e-4)
 
 
-def test_lm(stored, texts):
+def plain_lm(tokens, train):
+    """Counts, weights by expectation-maximisation over single tokens, and a function for log10 probabilities."""
+    c, c2 = Counter(), Counter()
+    for t in train:
+        c.update(t)
+        c2.update(zip([0, *t[:-1]], t))
+    n, v = sum(c.values()), len(c)
+    bucket = lambda x: 1 + int(np.log2(x)) if x > 0 else 0
+    seen = {}
+    for t in train:
+        for a, w in zip([0, *t[:-1]], t):
+            k = c[a] - 1
+            seen.setdefault(bucket(k), []).append(((c2[a, w] - 1) / k if k > 0 else 0.0, (c[w] - 1) / (n - 1), 1 / (v + 1)))
+    weights = {}
+    for b, rows in seen.items():
+        p, w = np.array(rows).T, np.array([0.3, 0.6, 0.1])
+        for _ in range(60):
+            mixed = w[:, None] * p
+            w = np.maximum((mixed / mixed.sum(axis=0)).mean(axis=1), 1e-6)
+            w /= w.sum()
+        weights[b] = np.array([0, *(w[1:] / w[1:].sum())]) if b == 0 else w
+
+    def score(t, weights=weights):
+        out = 0.0
+        for a, w in zip([0, *t[:-1]], t):
+            x = weights.get(bucket(c[a]), np.array([0.3, 0.6, 0.1]) if c[a] else np.array([0, 6 / 7, 1 / 7]))
+            out += np.log10(x @ np.array([c2[a, w] / c[a] if c[a] else 0.0, c[w] / max(n, 1), 1 / (v + 1)]))
+        return out
+
+    return c, n, v, weights, score
+
+
+def test_lm(docs, texts):
     held = {i: i % 3 == 2 for i in range(len(texts))}
-    got = op10_lm.lm_scores(stored.withColumn("held_out", F.col("doc_id") % 3 == 2)).toPandas()
+    rows = docs.withColumn("held_out", F.col("doc_id") % 3 == 2)
+    got = op10_lm.lm_scores(rows).toPandas()
     tokens = [[*WORD.findall(lower(t)), 0] for t in texts]
-    c = Counter(w for i in [*range(len(texts)), 6] if not held[i] for w in tokens[i])
-    n, v = sum(c.values()), len(c)
-    assert len(got) == len(texts) + 1
+    c, n, v, weights, score = plain_lm(tokens, [tokens[i] for i in [*range(len(texts)), 6] if not held[i]])
+    _, learnt, many, distinct = op10_lm.model(rows)
+    assert (many, distinct) == (n, v) and len(got) == len(texts) + 1
+    for b, w in weights.items():
+        assert np.abs(learnt[b] - w).max() < 0.02, (b, learnt[b], w)
     for r in got.itertuples():
         t = tokens[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(t), sum(c[w] > 0 for w in t), n)
-        assert np.isclose(r.base_score, sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t)) and r.score < 0
+        assert np.isclose(r.base_score, sum(np.log10((c[w] + 1) / (n + v + 1)) for w in t))
+        assert np.isclose(r.score, score(t, dict(enumerate(learnt)))) and abs(r.score - score(t)) < 0.002 * len(t)
+
+
+def test_lm_gains_on_held_out_texts(spark, sf_dir):
+    got = op10_lm.op10_lm(spark, sf_dir).where("held_out").agg(F.sum("base_score"), F.sum("score")).first()
+    assert got[1] > got[0]
+
+
+def test_lm_counts_pass_32_bits():
+    one = lambda n: tk.pack(tk.deltas(np.array([5, 9], np.uint64)), np.array([n, 0], np.uint64))
+    sent, n, v = op10_lm.added_up([one(2**32), one(5)])
+    assert (n, v) == (2**32 + 5, 1) and tk.unpack(sent[1])[0].tolist() == [2**32 + 5, 0]
 
 
 def test_toxicity(spark, docs, texts):
@@ -289,10 +330,9 @@ def test_components_of_chains_and_stars(spark):
     assert set(got.loc[range(301)]) == {0} and got[650] == 500 and len(got) == 501
 
 
-def test_empty_tables(spark, docs, tmp_path):
+def test_empty_tables(spark, docs):
     none = docs.limit(0)
-    none.write.parquet(str(tmp_path / "none"))
     assert op05_suffix.digests(none).isEmpty() and op08_jaccard.classes(none).isEmpty()
-    assert op10_lm.lm_scores(spark.read.parquet(str(tmp_path / "none")).withColumn("held_out", F.lit(False))).isEmpty()
+    assert op10_lm.lm_scores(none.withColumn("held_out", F.lit(False))).isEmpty()
     assert op04_mixing.mix(none.withColumn("size", F.lit(1).cast("long"))).isEmpty()
     assert op01_license.scan(none.selectExpr("doc_id AS file_id", "text AS path", "text")).isEmpty()
