@@ -5,12 +5,14 @@ Features are single words, neighbouring pairs and pairs with one word between, e
 its own rate; its L1 term keeps most weights at zero, so the model is a short list of (coordinate, weight)
 that is at most 2**bits long and safe to broadcast.
 
-The classifier is fitted on a bounded sample: at most ``most`` labelled rows, those of smallest hashed
-id. Everything else covers all rows: every text is scored whole.
+The classifier is fitted on a bounded sample: at most ``most`` labelled documents, those of smallest hashed
+id, and of these, in that order, those whose whole texts fit in ``most_features`` features together. Everything else
+covers all rows: every text is scored whole.
 
 Cases: null or empty texts have no features and score as the bias alone; labels that are null or whose
-document is missing are left out; repeated label rows of a document count once (the larger label);
-without labels every score is 0.5; extra columns are carried by ``score`` (one of its own name is replaced) and never read.
+document is missing are left out; repeated label rows of a document count once (the larger label); of rows that
+share an id, the one of least packed features is learnt from, and all are scored; without labels every score is 0.5;
+extra columns are carried by ``score`` (one of the name it is to write is replaced) and never read.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 from profilion.llm import textkit as tk
 from profilion.llm.cluster import with_columns
 
-TRAINING_ROWS = 20_000
+TRAINING_ROWS, TRAINING_FEATURES = 20_000, 50_000_000
 BITS = 20
 #: predicted is 1 from here on.
 THRESHOLD = 0.3
@@ -71,8 +73,8 @@ def coordinates(words: np.ndarray, first: np.ndarray, bits: int) -> tuple[np.nda
     return np.concatenate(docs), (np.concatenate(found) >> tk.U(64 - bits)).astype(np.int64)
 
 
-def fit(labelled: DataFrame, bits: int = BITS, epochs: int = 3) -> np.ndarray:
-    """Weights (2**bits and the bias) from rows (doc_id, text, label), a bounded number of them."""
+def fit(labelled: DataFrame, bits: int = BITS, epochs: int = 3, most_features: int = TRAINING_FEATURES) -> np.ndarray:
+    """Weights (2**bits and the bias) from rows (doc_id, text, label), a bounded number of ids."""
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in tk.chunks(batches):
@@ -81,11 +83,16 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = 3) -> np.ndarray:
             cut = np.searchsorted(pairs, np.arange(len(c.lo) + 1) << np.int64(bits))
             at = (pairs & np.int64(2**bits - 1)).astype(np.int32)
             blobs = [tk.pack(at[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([c.rows.column("doc_id"), c.rows.column("label"), pa.array(blobs, pa.binary())], ["doc_id", "label", "features"])
+            yield pa.RecordBatch.from_arrays([c.rows.column("doc_id"), c.rows.column("label"), pa.array(blobs, pa.binary()), pa.array(np.diff(cut))], ["doc_id", "label", "features", "n"])
 
     def train(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Ftrl(bits)
-        rows = [(int(y), x) for f in frames for y, x in zip(f["label"], f["features"], strict=True)]
+        rows, left = [], most_features
+        for f in frames:
+            for y, x, n in zip(f["label"], f["features"], f["n"], strict=True):
+                if n <= left:
+                    rows.append((int(y), x))
+                    left -= n
         for _ in range(epochs):
             for y, x in rows:
                 model.learn(tk.unpack(x)[0], y)
@@ -94,8 +101,9 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = 3) -> np.ndarray:
         yield pd.DataFrame({"weights": [tk.pack(at.astype(np.int32), w[at])]})
 
     rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = rows.mapInArrow(features, "doc_id long, label int, features binary")
-    # one task: at most TRAINING_ROWS short rows, in an order that reruns repeat
+    rows = rows.mapInArrow(features, "doc_id long, label int, features binary, n long")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct("features", "n")).alias("x")).select("doc_id", "label", "x.features", "x.n")
+    # one task: a row for each sampled id, most_features features in all, in an order that reruns repeat
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features")
     weights = np.zeros(2**bits + 1)
     for row in ordered.mapInPandas(train, "weights binary").collect():
@@ -111,11 +119,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int = TR
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most ``most`` rows of 12 bytes
 
 
-def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """docs with a column score; one pass, no shuffle."""
+def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, out: str = "score") -> DataFrame:
+    """docs with a column of scores; one pass, no shuffle."""
     at = np.flatnonzero(weights).astype(np.int32)
     model = docs.sparkSession.sparkContext.broadcast(tk.pack(at, weights[at]))
-    docs = docs.drop("score")
+    docs = docs.drop(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, w = tk.unpack(model.value)
@@ -127,19 +135,19 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
             pairs = np.unique(doc[hit] << np.int64(bits) | at[hit])
             total = np.bincount(pairs >> np.int64(bits), dense[pairs & np.int64(2**bits - 1)], len(c.lo)) + dense[-1]
             column = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())
-            yield pa.RecordBatch.from_arrays([*c.rows.columns, column], [*c.rows.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*c.rows.columns, column], [*c.rows.schema.names, out])
 
-    return docs.mapInArrow(run, with_columns(docs.schema, score="double"))
+    return docs.mapInArrow(run, with_columns(docs.schema, **{out: "double"}))
 
 
 def held_out(column: str = "doc_id", fold: int = 2, of: int = 4):
     return F.crc32(F.col(column).cast("string")) % of == fold
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS) -> DataFrame:
-    """docs (doc_id, text, ...) with score, learnt from labels of the documents that are not held out."""
+def toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING_ROWS, out: str = "score") -> DataFrame:
+    """docs (doc_id, text, ...) with scores, learnt from labels of the documents that are not held out."""
     weights = fit(training_rows(docs, labels.where(~held_out()), label, most))
-    return score(docs, weights)
+    return score(docs, weights, out=out)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:

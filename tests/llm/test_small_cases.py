@@ -218,6 +218,46 @@ def test_toxicity(spark, docs, texts):
     assert (op09_toxicity.toxicity(docs, labels.limit(0)).toPandas()["score"] == 0.5).all()
 
 
+def test_toxicity_weights_are_those_of_a_plain_loop(spark):
+    rows = [(i, prose(i, 12) + (" vile slur" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(60)]
+    table = spark.createDataFrame([*rows, rows[5], rows[5]], "doc_id long, text string, label int").repartition(3)
+    bits, alpha, beta, l1, l2 = 20, 0.3, 1.0, 2.0, 1.0
+    order = [r["doc_id"] for r in spark.range(60).orderBy(F.xxhash64("id"), "id").select(F.col("id").alias("doc_id")).collect()]
+
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        limit = 0.0 if k == 2**bits else l1
+        return 0.0 if abs(z[k]) <= limit else -(z[k] - np.sign(z[k]) * limit) / ((beta + np.sqrt(n[k])) / alpha + l2)
+
+    def hashed(words):
+        return np.array([tk.span_hash(tk.prefix_sums(np.frombuffer(w.encode(), np.uint8), tk.FOLDED), np.array([0]), np.array([len(w)]))[0] for w in words])
+
+    for _ in range(3):
+        for i in order:
+            _, text, y = rows[i]
+            w = text.split()
+            at = [*sorted({int(x) for x in op09_toxicity.coordinates(hashed(w), np.array([0, len(w)]), bits)[1]}), 2**bits]
+            ws = {k: weight(k) for k in at}
+            g = 1 / (1 + np.exp(-sum(ws.values()))) - y
+            for k in at:
+                step = (np.sqrt(n[k] + g * g) - np.sqrt(n[k])) / alpha
+                z[k] += g - step * ws[k]
+                n[k] += g * g
+    wanted = {k: weight(k) for k in z if weight(k) != 0}
+    got = op09_toxicity.fit(table)
+    assert set(np.flatnonzero(got)) == set(wanted) and all(np.isclose(got[k], w) for k, w in wanted.items())
+    few = op09_toxicity.fit(table, most_features=1)
+    assert not few.any()
+
+
+def test_toxicity_of_empty_tables_and_clashing_columns(spark, docs):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert op09_toxicity.toxicity(docs.limit(0), labels).isEmpty()
+    own = op09_toxicity.toxicity(docs, labels, out="toxicity").select("score").distinct().collect()
+    assert [r["score"] for r in own] == ["old"]
+
+
 def test_toxicity_learns(spark):
     rows = [(i, prose(i, 40) + (" vile slur" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(600)]
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
