@@ -41,18 +41,25 @@ def _byte_values(seed: int, fold_case: bool) -> np.ndarray:
 
 #: A value for each byte: exact, and with A-Z taken as a-z.
 EXACT, FOLDED = _byte_values(11, False), _byte_values(12, True)
-_powers = {"up": np.ones(1, U), "down": np.ones(1, U)}
+#: Long texts are fingerprinted in segments of about so many bytes.
+SEGMENT = 1 << 20
+_powers: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i below n, modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
-        for key, b in (("up", BASE), ("down", INVERSE)):
-            steps = np.full(size, b, U)
-            steps[0] = 1
-            _powers[key] = np.multiply.accumulate(steps)
-    return _powers["up"][:n], _powers["down"][:n]
+    """BASE**i and BASE**-i for i below n, modulo 2**64; kept for as many as a segment needs."""
+
+    def made(size: int) -> list[np.ndarray]:
+        steps = [np.full(size, b, U) for b in (BASE, INVERSE)]
+        for s in steps:
+            s[0] = 1
+        return [np.multiply.accumulate(s) for s in steps]
+
+    if n > SEGMENT + 4096:
+        return tuple(made(n))
+    if not _powers:
+        _powers.extend(made(SEGMENT + 4096))
+    return _powers[0][:n], _powers[1][:n]
 
 
 @dataclass
@@ -69,15 +76,15 @@ class Chunk:
         return pc.fill_null(self.rows.column(name).cast(pa.int64()), -(2**63)).to_numpy(zero_copy_only=False)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = 1 << 20) -> Iterator[Chunk]:
-    """Chunks of about ``size`` bytes; a longer text is a chunk of its own. Null counts as empty."""
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = SEGMENT, rows: int = 50_000) -> Iterator[Chunk]:
+    """Chunks of about ``size`` bytes and at most so many rows; a longer text is a chunk of its own. Null counts as empty."""
     for batch in batches:
         column = pc.fill_null(batch.column(text), "")
         lengths = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) + 1
         ends, at = np.cumsum(lengths), 0
         while at < len(lengths):
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + size, "right")))
+            to = min(max(at + 1, int(np.searchsorted(ends, done + size, "right"))), at + rows)
             joined = pc.binary_join_element_wise(column.slice(at, to - at), "", "\n")
             joined = joined.combine_chunks() if isinstance(joined, pa.ChunkedArray) else joined
             width = np.int64 if pa.types.is_large_string(joined.type) else np.int32
@@ -112,7 +119,13 @@ def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """A fingerprint for each word, A-Z taken as a-z, and each document's first word (and the end)."""
     start, end, first = word_spans(chunk)
-    return span_hash(prefix_sums(chunk.data, FOLDED), start, end), first
+    out, at = np.zeros(len(start), U), 0
+    while at < len(start):  # a segment ends with a word
+        to = max(at + 1, int(np.searchsorted(end, start[at] + SEGMENT, "right")))
+        lo = start[at]
+        out[at:to] = span_hash(prefix_sums(chunk.data[lo : end[to - 1]], FOLDED), start[at:to] - lo, end[at:to] - lo)
+        at = to
+    return out, first
 
 
 def rolled(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -141,6 +141,22 @@ def test_mixing(docs):
     assert order.is_monotonic_increasing
 
 
+def test_mixing_keeps_columns_of_any_name(spark, docs, monkeypatch):
+    monkeypatch.setattr(op04_mixing, "RANGE_ROWS", 2)
+    clashing = docs.withColumn("size", op04_mixing.words()).withColumns({c: F.lit("mine") for c in ("range_start", "schedule", "mix_source", "mix_order", "mix_start", "doc", "plays", "odd.name")})
+    got = op04_mixing.mix(clashing)
+    assert got.columns == [*[c for c in clashing.columns if c not in op04_mixing.RESULTS], *op04_mixing.RESULTS]
+    assert got.where("range_start = 'mine' AND schedule = 'mine' AND mix_order = 'mine' AND doc = 'mine'").count() == docs.count()
+    wanted = op04_mixing.mix(docs.withColumn("size", op04_mixing.words())).select("target").distinct().count()
+    assert got.select("target").distinct().count() == wanted
+
+
+def test_mixing_query_is_in_order_of_position(spark, sf_dir):
+    got = op04_mixing.op4_mixing(spark, sf_dir).toPandas()
+    known = got["position"].dropna()
+    assert known.is_monotonic_increasing and got["position"].isna().sum() == (got["taken"] == 0).sum() and len(got) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
 def test_due_time_inverts_a_schedule(spark):
     pieces = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("t0", "t1", "w0", "w1"), p)]) for p in ((0.0, 0.4, 1.0, 3.0), (0.4, 1.0, 3.0, 0.0))])
     got = spark.range(11).select((F.col("id") / 10).alias("g"), op04_mixing.due_time(F.col("id") / 10, pieces).alias("t")).toPandas()
