@@ -14,11 +14,15 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 def settle(df: DataFrame) -> DataFrame:
     """Writes a frame to the cluster's shared checkpoint folder, which cuts its lineage.
 
-    The folder is the session's spark.checkpoint.dir; one is made only where none is set, as in tests.
+    The folder is the session's spark.checkpoint.dir; where none is set, one is made for a session on one machine, as in
+    tests, and on a cluster that is an error, as its executors share no local folder.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="profilion-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="profilion-"))
     return df.checkpoint(eager=True)
 
 
@@ -27,29 +31,29 @@ def parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-#: Bits of a filter that stands for a set of keys; its size is the same for any number of keys.
-FILTER_BITS = 24
+#: Least and most bits of a filter that stands for a set of keys, as powers of two: 128 KB to 32 MB.
+FILTER_BITS = (20, 28)
 
 
 def key_filter(hashes: DataFrame, column: str) -> np.ndarray:
-    """A Bloom filter of FILTER_BITS for a column of 64-bit hashes, two probes each, made in the cluster.
+    """A Bloom filter for a stored column of 64-bit hashes, two probes each, made in the cluster: eight bits or more for a
+    key up to 2**25 keys, and never above 32 MB.
 
     What it lets through that is no key costs time only, so users must not rely on it to exclude."""
-    keys, h = hashes, F.col(column)
-    mask = 2**FILTER_BITS - 1
-    at = keys.select(F.explode(F.array(h.bitwiseAND(mask), F.shiftrightunsigned(h, 64 - FILTER_BITS))).alias("at"))
+    h, bits = F.col(column), min(max(FILTER_BITS[0], (8 * hashes.count()).bit_length()), FILTER_BITS[1])
+    at = hashes.select(F.explode(F.array(h.bitwiseAND(2**bits - 1), F.shiftrightunsigned(h, 64 - bits))).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(at & 63 AS INT)))").alias("bits"))
-    got = words.toPandas()  # at most 2**FILTER_BITS / 64 rows
-    out = np.zeros(2**FILTER_BITS // 64, np.uint64)
+    out = np.zeros(2**bits // 64, np.uint64)
+    got = words.toPandas()  # at most 2**FILTER_BITS[1] / 64 rows
     out[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
-def may_hold(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether keys of these xxhash64 values may be in a filter."""
-    found = np.ones(len(hashes), bool)
-    for at in (hashes & np.uint64(2**FILTER_BITS - 1), hashes >> np.uint64(64 - FILTER_BITS)):
-        found &= (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+def may_hold(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether keys of these 64-bit hashes may be in a filter."""
+    found, bits = np.ones(len(hashes), bool), (len(filled) * 64).bit_length() - 1
+    for at in (hashes & np.uint64(2**bits - 1), hashes >> np.uint64(64 - bits)):
+        found &= (filled[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
     return found
 
 

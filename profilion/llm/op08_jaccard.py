@@ -1,11 +1,12 @@
 """N-gram Jaccard join: size-banded tiles with hashed bitmap signatures, then exact intersections.
 
-Texts are sets of word shingles (48-bit fingerprints). Equal sets are one set from the start. Two sets whose
-Jaccard similarity reaches the threshold share a shingle among the first of each in any common order (as
-many as may be missing, and one), and their sizes lie within the threshold of each other. Tiles are therefore
-made of the sets that share such a prefix shingle, and within a tile, size bounds cut who meets whom. All
-shingles are counted, and the order puts those that many sets hold last, so that common passages make no
-tiles. The counts reach the tasks as a filter of fixed size; what it mistakes changes the order alike for all
+Texts are sets of word shingles (BITS-bit fingerprints), made in one scan and written packed; all later steps read
+these. Equal sets are one set from the start. Two sets whose Jaccard similarity reaches the threshold share a shingle
+among the first of each in any common order (as many as may be missing, and one), and their sizes lie within the
+threshold of each other. A tile therefore holds the sets of one band of sizes that share such a prefix shingle, and as
+guests those of the band below; bands are as wide as the threshold, so partners lie in one band or in neighbouring ones.
+All shingles are counted, and the order puts those that many sets hold last, so that common passages make no
+tiles. The counts reach the tasks as a filter of bounded size; what it mistakes changes the order alike for all
 texts, and the order changes only the work, never the result.
 
 A pair of a tile meets the bitmap test first: each set has a parity signature of about one bit per shingle,
@@ -13,10 +14,10 @@ and as signatures differ in no more bits than sets in shingles, the count of dif
 overlap from above. Pairs that pass get an exact intersection of sorted arrays.
 
 Groups of near copies are linked to one centre each first: for a few permutations, sets of equal least
-shingle are compared with one of them, the set with the fewest shingles of its own (what all copies were made
-from has none) or another. What that links is one component, and tiles then make only
-pairs between different components, so that a group costs in proportion to its size. Pairs to compare meet by
-their centre, salted SALT ways; a task holds one centre's set at a time.
+shingle are dealt SALT ways, compared with one of their part, the set with the fewest shingles of its own (what all
+copies were made from has none) or another, and these with one of all parts. What that links is one component, and
+tiles then make only pairs between different components, so that a group costs in proportion to its size. Pairs to
+compare meet by their centre, salted SALT ways; a task holds one centre's set at a time.
 
 Cases: null and empty texts and such without words have no shingles, link with nothing and are their own component;
 with fewer words than ``width`` the whole sequence is the one shingle; ties do not matter; repeated rows link
@@ -36,25 +37,41 @@ from profilion.llm import textkit as tk
 from profilion.llm.cluster import components, key_filter, may_hold, parts, settle
 
 WIDTH, PERCENT = 5, 75
-BITS, ROWS = 48, 14
-#: Permutations for centres; parts of a centre's pairs; ranges of prefix shingles for each task.
-SEEDS, SALT, RANGES_PER_TASK = 6, 16, 4
+#: Bits of a shingle, and of a text's place in its chunk.
+BITS, ROWS = 54, 10
+#: Permutations for centres; parts of a centre's pairs; ranges of prefix shingles for each task, and chunks for a range.
+SEEDS, SALT, RANGES_PER_TASK, CHUNKS_PER_RANGE = 6, 16, 4, 8
 #: Shingles are counted by COUNTED bits and by blocks of BLOCK. Those that FEW sets hold, or as many more as
 #: leaves COMMON of them, go last.
 COUNTED, BLOCK, FEW, COMMON = 40, 1 << 21, 6, 2_000_000
+Sets = tuple[np.ndarray, np.ndarray, list, np.ndarray]
 
 
-def sets(c: tk.Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct shingles of each text, one text after the other, and where each begins (and the end)."""
-    words, first = tk.word_hashes(c)
-    n = np.diff(first)
-    values, doc = tk.rolled(words, first, width)
-    if len(n) >= 1 << 16:
-        raise ValueError("at most 65535 texts in an Arrow batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
-    key = np.sort(doc.astype(tk.U) << tk.U(BITS) | values >> tk.U(64 - BITS))
-    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
-    cut = np.searchsorted(key, np.arange(len(n) + 1).astype(tk.U) << tk.U(BITS))
-    return key & tk.U(2**BITS - 1), cut
+def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
+    """(ids, blob): the shingles of about 1 MB of text each, written; ids in order, blob: hashed ids and sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in tk.chunks(batches, rows=1 << ROWS):
+            words, first = tk.word_hashes(c)
+            values, doc = tk.rolled(words, first, width)
+            key = np.sort(doc.astype(tk.U) << tk.U(BITS) | values >> tk.U(64 - BITS))
+            key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+            ids = c.rows.column("doc_id")
+            lists = pa.ListArray.from_arrays(np.array([0, len(ids)], np.int32), ids.cast(pa.int64()))
+            yield pa.RecordBatch.from_arrays([lists, pa.array([tk.pack(c.rows.column("key").to_numpy(), tk.deltas(key))], pa.binary())], ["ids", "blob"])
+
+    return settle(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "ids array<long>, blob binary"))
+
+
+def opened_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[Sets]:
+    """For each stored chunk: sorted distinct shingles, one text after the other, where each text begins (and the end),
+    ids and hashed ids."""
+    for b in batches:
+        for ids, blob in zip(b.column("ids"), b.column("blob").to_pylist(), strict=True):
+            hashed, key = tk.unpack(blob)
+            key = np.cumsum(key)
+            cut = np.searchsorted(key, np.arange(len(hashed) + 1).astype(tk.U) << tk.U(BITS))
+            yield key & tk.U(2**BITS - 1), cut, ids.values, hashed.view(np.uint64)
 
 
 def set_names(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
@@ -88,13 +105,12 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame, width: int, last: np.ndarray) -> DataFrame:
+def sketches(stored: DataFrame, last: np.ndarray) -> DataFrame:
     """(doc_id, n, rare, name, least, signature) of every text; rare: how many of its shingles few texts hold."""
-    late = docs.sparkSession.sparkContext.broadcast(last)  # of fixed size
+    late = stored.sparkSession.sparkContext.broadcast(last)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in tk.chunks(batches):
-            values, cut = sets(c, width)
+        for values, cut, ids, _ in opened_sets(batches):
             names, n = set_names(values, cut), np.diff(cut)
             some = n > 0
             least = np.zeros((len(n), SEEDS), np.int64)
@@ -104,15 +120,14 @@ def sketches(docs: DataFrame, width: int, last: np.ndarray) -> DataFrame:
             signs = [signature(values[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
             rare = np.diff(np.concatenate([[0], np.cumsum(~may_hold(late.value, tk.mix(values >> tk.U(BITS - COUNTED))))])[cut])
             lists = pa.ListArray.from_arrays(np.arange(0, least.size + 1, SEEDS, dtype=np.int32), least.ravel())
-            yield pa.RecordBatch.from_arrays([c.rows.column("doc_id"), pa.array(n), pa.array(rare), pa.array(names), lists, pa.array(signs, pa.binary())], ["doc_id", "n", "rare", "name", "least", "signature"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(rare), pa.array(names), lists, pa.array(signs, pa.binary())], ["doc_id", "n", "rare", "name", "least", "signature"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, rare long, name long, least array<long>, signature binary")
+    return stored.mapInArrow(run, "doc_id long, n long, rare long, name long, least array<long>, signature binary")
 
 
-def frequent(docs: DataFrame, width: int) -> DataFrame:
+def frequent(stored: DataFrame, ranges: int) -> DataFrame:
     """(shingle, n): hashes of the leading COUNTED bits of shingles that FEW texts or more hold. Copies of a text within a
     chunk count once. Blocks send their counts packed, by ranges of shingles, which are then added up."""
-    ranges = parts(docs.sparkSession) * RANGES_PER_TASK
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -123,8 +138,7 @@ def frequent(docs: DataFrame, width: int) -> DataFrame:
             out = [(r, tk.pack(tk.deltas(values[x:y]), n[x:y].astype(np.uint32))) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
             return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["range", "blob"])
 
-        for c in tk.chunks(batches):
-            values, cut = sets(c, width)
+        for values, cut, _, _ in opened_sets(batches):
             first = np.zeros(len(cut) - 1, bool)
             first[np.unique(set_names(values, cut), return_index=True)[1]] = True
             held.append(values[np.repeat(first, np.diff(cut))] >> tk.U(BITS - COUNTED))
@@ -144,7 +158,7 @@ def frequent(docs: DataFrame, width: int) -> DataFrame:
         for held in by_range(batches):
             yield total(held)
 
-    dealt = docs.select("text").mapInArrow(deal, "range long, blob binary").repartition(parts(docs.sparkSession), "range").sortWithinPartitions("range")
+    dealt = stored.mapInArrow(deal, "range long, blob binary").repartition(parts(stored.sparkSession), "range").sortWithinPartitions("range")
     return dealt.mapInArrow(run, "shingle long, n long")
 
 
@@ -192,30 +206,28 @@ def checked(pairs: DataFrame, payload: DataFrame, test) -> DataFrame:
     return met.mapInArrow(run, "a long, b long")
 
 
-def blobs(docs: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(name, n, blob): the sorted shingles of the wanted documents (doc_id), and of some others."""
-    passing = docs.sparkSession.sparkContext.broadcast(key_filter(wanted.select(F.xxhash64("doc_id").alias("key")), "key"))  # of fixed size
+def blobs(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(name, n, blob): the sorted shingles of the wanted documents (key, a hashed doc_id), and of some others."""
+    passing = stored.sparkSession.sparkContext.broadcast(key_filter(wanted, "key"))  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some(b: pa.RecordBatch) -> pa.RecordBatch:
-            return b.filter(pa.array(may_hold(passing.value, b.column("key").to_numpy().view(np.uint64))))
+        for values, cut, _, hashed in opened_sets(batches):
+            some = np.flatnonzero(may_hold(passing.value, hashed) & (np.diff(cut) > 0))
+            names, n = set_names(values, cut)[some], np.diff(cut)[some]
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.array([tk.pack(tk.deltas(values[cut[k] : cut[k + 1]])) for k in some], pa.binary())], ["name", "n", "blob"])
 
-        for c in tk.chunks(map(some, batches)):
-            values, cut = sets(c, width)
-            yield pa.RecordBatch.from_arrays([pa.array(set_names(values, cut)), pa.array(np.diff(cut)), pa.array([tk.pack(tk.deltas(values[x:y])) for x, y in zip(cut, cut[1:], strict=False)], pa.binary())], ["name", "n", "blob"])
-
-    return docs.select("text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "name long, n long, blob binary").where("n > 0")
+    return stored.mapInArrow(run, "name long, n long, blob binary")
 
 
 def opened(blob: bytes) -> np.ndarray:
     return np.cumsum(tk.unpack(blob)[0])
 
 
-def verified(pairs: DataFrame, signs: DataFrame, first_docs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, signs: DataFrame, first_docs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
     """The pairs of names that are similar enough: the bitmap test, then the exact one."""
     passed = settle(checked(pairs, signs, lambda a, n, b, m: may_overlap(a, n, b, m, percent)))
     names = passed.select(F.col("a").alias("name")).unionByName(passed.select(F.col("b").alias("name"))).distinct()
-    wanted = names.join(first_docs, "name").select("doc_id")
+    wanted = settle(names.join(first_docs, "name").select(F.xxhash64("doc_id").alias("key")))
     memo: dict[bytes, np.ndarray] = {}
 
     def test(a: bytes, _n: int, b: bytes, _m: int) -> bool:
@@ -224,16 +236,15 @@ def verified(pairs: DataFrame, signs: DataFrame, first_docs: DataFrame, docs: Da
             memo[a] = opened(a)
         return similar(memo[a], opened(b), percent)
 
-    return checked(passed, settle(blobs(docs, width, wanted)), test)
+    return checked(passed, settle(blobs(stored, wanted)), test)
 
 
-def prefixes(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> DataFrame:
+def prefixes(stored: DataFrame, percent: int, last: np.ndarray) -> DataFrame:
     """(name, n, prefix) of every set, once or more often. prefix: sorted shingles, and each one's place in the order."""
-    late = docs.sparkSession.sparkContext.broadcast(last)  # of fixed size
+    late = stored.sparkSession.sparkContext.broadcast(last)  # of bounded size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in tk.chunks(batches):
-            values, cut = sets(c, width)
+        for values, cut, _, _ in opened_sets(batches):
             names, n = set_names(values, cut), np.diff(cut)
             doc = np.repeat(np.arange(len(n)), n)
             order = np.argsort(doc * 2 + may_hold(late.value, tk.mix(values >> tk.U(BITS - COUNTED))), kind="stable")
@@ -247,17 +258,22 @@ def prefixes(docs: DataFrame, width: int, percent: int, last: np.ndarray) -> Dat
             some = some[n[some] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(n[some]), pa.array([tk.pack(tk.deltas(values[ends[k] : ends[k + 1]]), place[ends[k] : ends[k + 1]]) for k in some], pa.binary())], ["name", "n", "prefix"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "name long, n long, prefix binary")
+    return stored.mapInArrow(run, "name long, n long, prefix binary")
+
+
+def band(n: np.ndarray, percent: int) -> np.ndarray:
+    """Bands of sizes, a little wider than the threshold: sizes that allow a link differ by one band at most."""
+    return np.floor(np.log(n) / (-np.log(min(percent, 99) / 100) * (1 + 1e-9))).astype(np.int64)
 
 
-def tiles(found: DataFrame, percent: int) -> DataFrame:
+def tiles(found: DataFrame, percent: int, ranges: int) -> DataFrame:
     """Pairs (a, b) of names in different components that share a prefix shingle and whose sizes allow a link.
 
-    found: (name, n, component, prefix). A pair that links is made in the tile of the first shingle it shares, at
-    least, which lies early enough in both for the overlap to be reached. Prefix shingles travel packed by ranges of their values; a range's
-    postings are sorted by shingle and component, and only what lies in different components pairs up."""
+    found: (name, n, component, prefix). A set is at home in the tiles of its shingles and its band of sizes, and a guest
+    in those of the band above. A pair that links is made in the tile of the first shingle it shares, at least, which
+    lies early enough in both for the overlap to be reached. Postings travel packed by ranges of hashed tiles; in a
+    range they are sorted by tile and component, and only what lies in different components pairs up."""
     spark = found.sparkSession
-    ranges = parts(spark) * RANGES_PER_TASK
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -266,42 +282,48 @@ def tiles(found: DataFrame, percent: int) -> DataFrame:
             lists = [tk.unpack(x) for x in b.column("prefix").to_pylist()]
             size = np.array([len(x[0]) for x in lists])
             value, place, row = np.concatenate([np.cumsum(x[0]) for x in lists]), np.concatenate([x[1] for x in lists]), np.repeat(np.arange(len(lists)), size)
-            order = np.argsort(value, kind="stable")
-            value, place, row = value[order], place[order], row[order]
+            own = band(b.column("n").to_numpy(), percent)[row]
+            tile = np.concatenate([tk.mix(value ^ tk.mix((own + up + 1).astype(tk.U))) >> tk.U(64 - BITS) for up in (0, 1)])
+            place, row, guest = np.tile(place, 2), np.tile(row, 2), np.repeat(np.array([0, 1], np.uint8), len(row))
+            order = np.argsort(tile, kind="stable")
+            tile, place, row, guest = tile[order], place[order], row[order], guest[order]
             name, n, component = (b.column(k).to_numpy()[row] for k in ("name", "n", "component"))
             own = np.where(component == name, 0, component - name)
-            edges = np.searchsorted(value, np.array([k * 2**BITS // ranges for k in range(1, ranges)], tk.U))
-            cut = np.concatenate([[0], edges, [len(value)]])
-            out = [(r, tk.pack(tk.deltas(value[x:y]), name[x:y], n[x:y].astype(np.uint32), own[x:y], place[x:y])) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+            edges = np.searchsorted(tile, np.array([k * 2**BITS // ranges for k in range(1, ranges)], tk.U))
+            cut = np.concatenate([[0], edges, [len(tile)]])
+            out = [(r, tk.pack(tk.deltas(tile[x:y]), name[x:y], n[x:y].astype(np.uint32), own[x:y], place[x:y], guest[x:y])) for r, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["range", "blob"])
 
     def pair_up(blobs_of: list[bytes]) -> Iterator[pa.RecordBatch]:
         got = [tk.unpack(x) for x in blobs_of]
-        value = np.concatenate([np.cumsum(x[0]) for x in got])
-        name, n, own, place = (np.concatenate([x[k] for x in got]) for k in (1, 2, 3, 4))
+        tile = np.concatenate([np.cumsum(x[0]) for x in got])
+        name, n, own, place, guest = (np.concatenate([x[k] for x in got]) for k in (1, 2, 3, 4, 5))
         component = name + own
-        order = np.lexsort((name, component, value))
-        value, name, n, component, place = value[order], name[order], n[order].astype(np.int64), component[order], place[order].astype(np.int64)
-        head = np.ones(len(value), bool)
-        head[1:] = (value[1:] != value[:-1]) | (name[1:] != name[:-1])  # equal texts of several batches
-        value, name, n, component, place = value[head], name[head], n[head], component[head], place[head]
-        fresh = np.ones(len(value) + 1, bool)
-        fresh[1:-1] = value[1:] != value[:-1]
-        tile_end = np.append(np.flatnonzero(fresh)[1:], len(value))[np.cumsum(fresh[:-1]) - 1]
-        fresh[1:-1] |= component[1:] != component[:-1]
-        block_end = np.append(np.flatnonzero(fresh)[1:], len(value))[np.cumsum(fresh[:-1]) - 1]
-        partners = tile_end - block_end
+        _, which, many = np.unique(tile, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(many[which] > 1)
+        tile, name, n, component, place, guest = tile[shared], name[shared], n[shared].astype(np.int64), component[shared], place[shared].astype(np.int64), guest[shared]
+        order = np.lexsort((name, component, guest, tile))
+        tile, name, n, component, place, guest = tile[order], name[order], n[order], component[order], place[order], guest[order]
+        head = np.ones(len(tile), bool)
+        head[1:] = (tile[1:] != tile[:-1]) | (name[1:] != name[:-1])  # equal texts of several batches
+        tile, name, n, component, place, guest = tile[head], name[head], n[head], component[head], place[head], guest[head]
+        fresh = np.ones(len(tile) + 1, bool)
+        fresh[1:-1] = tile[1:] != tile[:-1]
+        tile_end = np.append(np.flatnonzero(fresh)[1:], len(tile))[np.cumsum(fresh[:-1]) - 1]
+        fresh[1:-1] |= (component[1:] != component[:-1]) | (guest[1:] != guest[:-1])
+        block_end = np.append(np.flatnonzero(fresh)[1:], len(tile))[np.cumsum(fresh[:-1]) - 1]
+        partners = np.where(guest == 0, tile_end - block_end, 0)  # guests meet in the tile where one of them is at home
         at = np.flatnonzero(partners)
         steps = np.cumsum(partners[at])
-        for lo in range(0, int(steps[-1]) if len(at) else 0, 4_000_000):  # however many there are, some at a time
-            x, y = np.searchsorted(steps, [lo, lo + 4_000_000], "right")
+        for lo in range(0, int(steps[-1]) if len(at) else 0, 2_000_000):  # however many there are, some at a time
+            x, y = np.searchsorted(steps, [lo, lo + 2_000_000], "right")
             rows = at[x : y + 1]
             begin = np.maximum(block_end[rows], block_end[rows] + lo - (steps[x : y + 1] - partners[rows]))
-            stop = np.minimum(tile_end[rows], block_end[rows] + lo + 4_000_000 - (steps[x : y + 1] - partners[rows]))
+            stop = np.minimum(tile_end[rows], block_end[rows] + lo + 2_000_000 - (steps[x : y + 1] - partners[rows]))
             many = np.maximum(stop - begin, 0)
             i = np.repeat(rows, many)
             j = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
-            near = 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+            near = (component[i] != component[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
             # in the tile of the first shingle they share, what follows it bounds the overlap
             near &= (100 + percent) * np.minimum(n[i] - place[i], n[j] - place[j]) >= percent * (n[i] + n[j])
             a, b = np.minimum(name[i[near]], name[j[near]]), np.maximum(name[i[near]], name[j[near]])
@@ -319,24 +341,36 @@ def tiles(found: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition(parts(spark), "range").sortWithinPartitions("range").mapInArrow(run, "a long, b long").distinct()
 
 
+def near_centres(one: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names to try first: each set with one that shares a least shingle, for even seeds that with the
+    fewest rare shingles, else any. A group is dealt SALT ways; the centre of each part meets the centre of all."""
+    spots = one.select("name", "rare", F.pmod(F.xxhash64("name"), F.lit(SALT)).alias("salt"), F.posexplode("least").alias("seed", "spot"))
+    spots = spots.withColumn("rank", F.struct(F.when(F.col("seed") % 2 == 0, F.col("rare")).otherwise(0).alias("rare"), F.xxhash64("name", "seed").alias("any")))
+    pairs = []
+    for keys in (["seed", "spot", "salt"], ["seed", "spot"]):
+        centre = spots.groupBy(*keys).agg(F.min(F.struct("rank", "name")).alias("c"), F.count("*").alias("many"))
+        pairs.append(spots.join(centre.where("many > 1").select(*keys, F.col("c.name").alias("a")), keys).where("a <> name"))
+        spots = centre.select(*keys, "c.rank", "c.name")
+    both = pairs[0].select("a", "name").unionByName(pairs[1].select("a", "name"))
+    return both.select(F.least("a", "name").alias("a"), F.greatest("a", "name").alias("b")).distinct()
+
+
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    last = common(settle(frequent(docs, width)))
-    sketched = settle(sketches(docs, width, last))
+    stored = shingle_sets(docs, width)
+    ranges = max(parts(docs.sparkSession) * RANGES_PER_TASK, stored.count() // CHUNKS_PER_RANGE)
+    last = common(settle(frequent(stored, ranges)))
+    sketched = settle(sketches(stored, last))
     texts = sketched.where("n > 0")
     one = settle(texts.groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("least").alias("least"), F.first("signature").alias("signature")))
     signs, first_docs = one.select("name", "n", F.col("signature").alias("blob")), one.select("name", "doc_id")
 
-    # near copies to a centre: for even seeds the set with the fewest rare shingles, else any
-    spots = one.select("name", "rare", F.posexplode("least").alias("seed", "spot")).withColumn("rank", F.struct(F.when(F.col("seed") % 2 == 0, F.col("rare")).otherwise(0).alias("rare"), F.xxhash64("name", "seed").alias("any")))
-    centre = spots.groupBy("seed", "spot").agg(F.min(F.struct("rank", "name")).alias("c"), F.count("*").alias("many")).where("many > 1").select("seed", "spot", F.col("c.name").alias("a"))
-    pairs = spots.join(centre, ["seed", "spot"]).where("a <> name").select(F.least("a", "name").alias("a"), F.greatest("a", "name").alias("b")).distinct()
-    near = settle(verified(pairs, signs, first_docs, docs, width, percent))
+    near = settle(verified(near_centres(one), signs, first_docs, stored, percent))
     groups = settle(components(near).withColumnRenamed("node", "name"))
 
     # every other link lies between two of these
-    found = prefixes(docs, width, percent, last).join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
-    more = settle(verified(settle(tiles(found, percent)), signs, first_docs, docs, width, percent))
+    found = prefixes(stored, percent, last).join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    more = settle(verified(settle(tiles(found, percent, ranges)), signs, first_docs, stored, percent))
     label = settle(components(near.unionByName(more)).withColumnRenamed("node", "name"))
 
     rows = sketched.select("doc_id", "n", "name").join(label, "name", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "name")))

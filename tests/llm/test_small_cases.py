@@ -72,6 +72,33 @@ def test_jaccard(docs, texts):
         assert (r.n_shingles, r.component_id) == (len(sets[r.doc_id]), wanted[r.doc_id])
 
 
+def test_bands_hold_all_partners():
+    for percent in (50, 75, 90):
+        n = np.arange(1, 3000)
+        bands = op08_jaccard.band(n, percent)
+        least = (percent * n + 99) // 100
+        assert (bands - op08_jaccard.band(np.maximum(least, 1), percent) <= 1).all() and (np.diff(bands) >= 0).all()
+
+
+def test_jaccard_links_across_bands_and_in_large_groups(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{k}" for k in rng.integers(0, 500, 400)]
+    rows = [" ".join(words[:300]), " ".join(words[:225 + 4]), " ".join(words[:226]), " ".join(words[:400])]
+    rows += [" ".join(f"{w}x" if k == i % 300 else w for k, w in enumerate(words[:300])) + f" end{i}" for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(5)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    first = [shingles(t) for t in rows[:60]]
+    links = [(i, j) for i, a in enumerate(first) for j, b in enumerate(first[:i]) if 100 * len(a & b) >= 75 * len(a | b)]
+    wanted = classes_of(links, len(first))
+    got = op08_jaccard.classes(docs).toPandas().set_index("doc_id")
+    assert got.loc[range(60), "component_id"].tolist() == wanted and got.loc[range(60), "n_shingles"].tolist() == [len(s) for s in first]
+    assert got.loc[range(4, len(rows)), "component_id"].nunique() == 1
+
+
 def test_suffix(docs, texts):
     rows = [t.encode() for t in [*[t or "" for t in texts], texts[6]]]
     seen = Counter(r[i : i + 200] for r in rows for i in range(len(r) - 199))
