@@ -5,16 +5,20 @@ leftmost of equals, is its anchor. Equal strings have equal anchors at equal off
 at anchors alone, about one byte in 85. Consecutive strings with one anchor form its stretch, at most
 2 * SPAN - LEAD bytes long.
 
-Suffixes are dealt by their leading bytes. Each share keeps an index family: a batch of rows is sorted into a
-suffix array (in order of fingerprints of the lead and the stretch, as only equal ones matter), merge-scanned
-against the levels there are, and then becomes a level itself; levels of like size merge, so there are
-logarithmically many. A stretch found again is a repeat as a whole, and is reported at once; the family keeps
-one entry of it. In the end, suffixes that share a lead but not the stretch remain. Their stretches' bytes are
+A suffix array holds the suffixes at anchors in order of their first LEAD bytes, and of their stretch's fingerprint
+among those that share all of these. Each task keeps an index family: every batch of texts is sorted into a suffix array,
+merge-scanned against the levels there are, and then becomes a level itself; levels of like size merge, so
+there are logarithmically many. A stretch found again is a repeat as a whole, and is reported at once; the family keeps
+one entry of it. Families then send their levels, in order and packed, to the ranges of a hash of the lead, and each
+range merges them into a family in the same way. So of a passage that all texts share, a task sends one entry.
+
+In the end, suffixes that share a lead but not the stretch remain. Their stretches' bytes are
 fetched, and all their strings of SPAN bytes are looked up by fingerprint among those of the same lead. That
-is linear in what there is: no pairs are made. A lead with over CROWD different stretches is counted in
-Spark by string instead, which gives the same.
+is linear in what there is: no pairs are made. A lead with over LOCAL stretches in one task or CROWD in all is not
+brought together: its stretches are asked at once, and their strings counted in Spark, which gives the same.
 
-Fingerprints have 64 bits. Texts travel compressed, in rows of about 1 MB, which are written once.
+Stretches and strings are compared by 64-bit fingerprints. Texts travel compressed, in rows of about 1 MB, which are
+written once.
 
 Cases: null counts as empty; texts under SPAN bytes lose nothing; repeats inside one text and overlapping ones
 count; copies remove each other; repeated rows are texts of their own; no match crosses texts; texts of any
@@ -34,8 +38,10 @@ from pyspark.sql import functions as F
 from profilion.llm import textkit as tk
 from profilion.llm.cluster import parts, settle
 
-SPAN, LEAD, CROWD, SEGMENT = 200, 32, 50_000, 1 << 22
-WHOLE, ASK, STRING = 0, 1, 2
+SPAN, LEAD, SEGMENT = 200, 32, 1 << 20
+#: Stretches of one lead that are brought together from one task, and in all; entries of a task's family; texts for a range.
+LOCAL, CROWD, FAMILY, TEXTS_PER_RANGE = 1000, 50_000, 500_000, 16
+WHOLE, ASK, STRING, CROWDED, RUN, HOT = range(6)
 
 
 def anchors(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -87,24 +93,25 @@ def stored(docs: DataFrame, carried: list[str]) -> DataFrame:
     return settle(docs.mapInArrow(run, "blob binary, rows binary").withColumn("share", F.monotonically_increasing_id()))
 
 
-def suffixes(texts: DataFrame) -> DataFrame:
-    """(lead, stretch, share, where): sparse suffixes of stored texts; where packs a place and its stretch's ends."""
+#: An entry's columns: its place in suffix order (lead, stretch, and a byte that is never 0), a hash of its lead, where it
+#: lies (share, and a place and its stretch's ends, packed), and whether its stretch is known to repeat.
+COLUMNS = ("key", "lead", "share", "where", "many")
+Entries = dict[str, np.ndarray]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for share, blob in zip(b.column("share").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                lo, hi, data = tk.unpack(blob)
-                place, first, last = anchors(data, lo, hi)
-                out = [np.zeros(0, np.int64)] * 2
-                if len(place):
-                    sums = tk.prefix_sums(data, tk.EXACT)
-                    lead, stretch = tk.span_hash(sums, place, place + LEAD), tk.span_hash(sums, first, last + SPAN)
-                    shape = (place - first).astype(tk.U) << tk.U(32) | (last - first).astype(tk.U)
-                    out = [lead.view(np.int64), tk.mix(stretch + tk.mix(shape)).view(np.int64)]
-                where = place << 18 | (place - first) << 9 | (last - place + SPAN)
-                yield pa.RecordBatch.from_arrays([pa.array(out[0]), pa.array(out[1]), pa.array(np.full(len(place), share)), pa.array(where)], ["lead", "stretch", "share", "where"])
 
-    return texts.select("share", "blob").mapInArrow(run, "lead long, stretch long, share long, where long")
+def entries(data: np.ndarray, lo: np.ndarray, hi: np.ndarray, share: int) -> Entries:
+    """The suffix array of a stored row of texts."""
+    place, first, last = anchors(data, lo, hi)
+    shape = (place - first).astype(tk.U) << tk.U(32) | (last - first).astype(tk.U)
+    stretch = tk.mix(tk.span_hashes(data, tk.EXACT, first, last + SPAN) + tk.mix(shape))
+    key = np.ones((len(place), LEAD + 9), np.uint8)
+    for k in range(LEAD):
+        key[:, k] = data[place + k]
+    key[:, LEAD : LEAD + 8] = stretch.astype(">u8").view(np.uint8).reshape(-1, 8)
+    key = key.reshape(-1).view(f"S{LEAD + 9}")
+    order = np.argsort(key, kind="stable")
+    lead, where = tk.span_hashes(data, tk.EXACT, place, place + LEAD), place << 18 | (place - first) << 9 | (last - place + SPAN)
+    return {"key": key[order], "lead": lead[order].view(np.int64), "share": np.full(len(place), share), "where": where[order], "many": np.zeros(len(place), bool)}
 
 
 def ends(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,85 +120,148 @@ def ends(where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place - (where >> 9 & 511), place + (where & 511) - SPAN + 1
 
 
+def some(rows: Entries, which: np.ndarray) -> Entries:
+    return {k: v[which] for k, v in rows.items()}
+
+
 class Family:
-    """Levels of suffix arrays: columns id (of lead and stretch), lead, share, where, many."""
+    """Levels of suffix arrays, the largest first."""
 
     def __init__(self) -> None:
-        self.levels: list[dict[str, np.ndarray]] = []
+        self.levels: list[Entries] = []
 
-    def add(self, lead: np.ndarray, stretch: np.ndarray, share: np.ndarray, where: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Adds a batch; returns (share, where) of stretches that are now known to repeat."""
+    def __len__(self) -> int:
+        return sum(len(x["key"]) for x in self.levels)
+
+    def add(self, new: Entries) -> tuple[np.ndarray, np.ndarray]:
+        """Adds a suffix array; returns (share, where) of stretches that are now known to repeat and were not before."""
         told = []
-        code = tk.mix(lead.view(tk.U) ^ tk.mix(stretch.view(tk.U)))
-        order = np.argsort(code, kind="stable")
-        new = {"id": code[order], "lead": lead[order], "share": share[order], "where": where[order]}
-        fresh = np.ones(len(order), bool)
-        fresh[1:] = new["id"][1:] != new["id"][:-1]
-        head = np.flatnonzero(fresh)
-        many = np.diff(np.append(head, len(order))) > 1
-        told.append((new["share"][~fresh], new["where"][~fresh]))
-        new = {k: v[head] for k, v in new.items()} | {"many": many}
-        told.append((new["share"][many], new["where"][many]))
-        known = np.zeros(len(head), bool)
+
+        def tell(rows: Entries, which: np.ndarray) -> None:
+            told.append((rows["share"][which], rows["where"][which]))
+
+        fresh = np.ones(len(new["key"]), bool)
+        fresh[1:] = new["key"][1:] != new["key"][:-1]
+        group = np.cumsum(fresh) - 1
+        repeats = np.bincount(group, minlength=1) > 1
+        tell(new, repeats[group] & ~new["many"])
+        many = repeats | (np.bincount(group, new["many"], minlength=1) > 0)
+        new = some(new, fresh)
+        new["many"] = many[: len(new["key"])]
+        known = np.zeros(len(new["key"]), bool)
         for level in self.levels:
-            at = np.minimum(np.searchsorted(level["id"], new["id"]), len(level["id"]) - 1)
-            hit = level["id"][at] == new["id"]
-            told.append((new["share"][hit & ~many], new["where"][hit & ~many]))
+            at = np.minimum(np.searchsorted(level["key"], new["key"]), len(level["key"]) - 1)
+            hit = level["key"][at] == new["key"]
+            tell(new, hit & ~new["many"])
             old = at[hit]
-            first = old[~level["many"][old]]
-            told.append((level["share"][first], level["where"][first]))
+            tell(level, old[~level["many"][old]])
             level["many"][old] = True
             known |= hit
         if not known.all():
-            self.levels.append({k: v[~known] for k, v in new.items()})
-        while len(self.levels) > 1 and len(self.levels[-2]["id"]) <= 2 * len(self.levels[-1]["id"]):
+            self.levels.append(some(new, ~known))
+        while len(self.levels) > 1 and len(self.levels[-2]["key"]) <= 2 * len(self.levels[-1]["key"]):
             self.merge()
         return tuple(np.concatenate(x) for x in zip(*told, strict=True))
 
     def merge(self) -> None:
         a, b = self.levels.pop(), self.levels.pop()
-        both = {k: np.concatenate([b[k], a[k]]) for k in a}
-        order = np.argsort(both["id"], kind="stable")
-        self.levels.append({k: v[order] for k, v in both.items()})
+        both = {k: np.concatenate([b[k], a[k]]) for k in COLUMNS}
+        self.levels.append(some(both, np.argsort(both["key"], kind="stable")))
 
-    def company(self) -> dict[str, np.ndarray]:
-        """Entries whose lead another stretch has, too."""
+    def whole(self) -> Entries:
+        """All entries in one level."""
         while len(self.levels) > 1:
             self.merge()
-        if not self.levels:
-            return {k: np.zeros(0, np.int64) for k in ("lead", "share", "where", "many")}
-        level = self.levels[0]
-        order = np.argsort(level["lead"], kind="stable")
-        lead = level["lead"][order]
-        same = np.zeros(len(lead), bool)
-        same[1:] = lead[1:] == lead[:-1]
-        same[:-1] |= same[1:]
-        return {k: level[k][order[same]] for k in ("lead", "share", "where", "many")}
-
-
-def indexed(found: DataFrame) -> DataFrame:
-    """(kind, share, where, lead, many): stretches that repeat whole, and those whose strings are to be asked."""
+        return self.levels[0] if self.levels else {k: np.zeros(0, f"S{LEAD + 9}" if k == "key" else bool if k == "many" else np.int64) for k in COLUMNS}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def batch(kind: int, share: np.ndarray, where: np.ndarray, lead: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(share), kind)), pa.array(share), pa.array(where), pa.array(lead), pa.array(many.astype(bool))], ["kind", "share", "where", "lead", "many"])
 
+def sharing(lead: np.ndarray) -> np.ndarray:
+    """How many entries share each one's lead; equal leads are neighbours."""
+    head = np.ones(len(lead), bool)
+    head[1:] = lead[1:] != lead[:-1]
+    return np.bincount(np.cumsum(head) - 1, minlength=1)[np.cumsum(head) - 1]
+
+
+INDEXED = "kind long, dest long, where long, lead long, many boolean, blob binary"
+
+
+def told(kind: int, dest: np.ndarray, where: np.ndarray | None = None, lead: np.ndarray | None = None, many: np.ndarray | None = None, blobs: list[bytes] | None = None) -> pa.RecordBatch:
+    n = len(dest)
+    column = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+    columns = [pa.array(np.full(n, kind)), pa.array(dest, pa.int64()), column(where, pa.int64()), column(lead, pa.int64()), column(many, pa.bool_()), column(blobs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "dest", "where", "lead", "many", "blob"])
+
+
+def runs(texts: DataFrame, ranges: int) -> DataFrame:
+    """Each task's family, by ranges of leads (RUN), with what it found to repeat (WHOLE), and its crowded leads (HOT, and
+    their stretches as CROWDED)."""
+
+    def sent(family: Family) -> Iterator[pa.RecordBatch]:
+        rows = family.whole()
+        crowded = sharing(rows["lead"]) > LOCAL
+        yield told(CROWDED, rows["share"][crowded], rows["where"][crowded], rows["lead"][crowded], rows["many"][crowded])
+        hot = np.unique(rows["lead"][crowded])
+        rows = some(rows, ~crowded)
+        into = lambda lead: ((lead.view(tk.U) >> tk.U(32)) * tk.U(ranges) >> tk.U(32)).astype(np.int64)
+        yield told(HOT, into(hot), lead=hot)
+        to = into(rows["lead"])
+        order = np.argsort(to, kind="stable")  # keeps suffix order within a range
+        cut = np.flatnonzero(np.diff(to[order], prepend=-1))
+        parts_of = [some(rows, order[a:b]) for a, b in zip(cut, [*cut, len(order)][1:], strict=False)]
+        yield told(RUN, to[order][cut], blobs=[tk.pack(*(x[k] for k in COLUMNS)) for x in parts_of])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         family = Family()
         for b in batches:
-            if b.num_rows:
-                share, where = family.add(*(b.column(k).to_numpy() for k in ("lead", "stretch", "share", "where")))
-                yield batch(WHOLE, share, where, np.zeros_like(share), np.ones(len(share), bool))
-        left = family.company()
-        yield batch(ASK, left["share"], left["where"], left["lead"], left["many"])
+            for share, blob in zip(b.column("share").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                lo, hi, data = tk.unpack(blob)
+                new = entries(data, lo, hi, share)
+                if len(new["key"]):
+                    yield told(WHOLE, *family.add(new))
+                if len(family) > FAMILY:
+                    yield from sent(family)
+                    family = Family()
+        yield from sent(family)
+
+    return texts.select("share", "blob").mapInArrow(run, INDEXED)
 
-    return found.repartition(parts(found.sparkSession), "lead").mapInArrow(run, "kind long, share long, where long, lead long, many boolean")
+
+def indexed(sent: DataFrame) -> DataFrame:
+    """(kind, share, where, lead, many): stretches that repeat whole, and those whose strings are to be asked."""
+
+    def left(family: Family, hot: list[int]) -> Iterator[pa.RecordBatch]:
+        rows = family.whole()
+        many, told_hot = sharing(rows["lead"]), np.isin(rows["lead"], np.array(hot, np.int64))
+        for kind, which in ((CROWDED, told_hot | (many > CROWD)), (ASK, ~told_hot & (many > 1) & (many <= CROWD))):
+            yield told(kind, rows["share"][which], rows["where"][which], rows["lead"][which], rows["many"][which])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, family, hot = None, Family(), []
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            yield b.filter(pa.array(kind < RUN))
+            b = b.filter(pa.array(kind >= RUN))
+            for k, dest, lead, blob in zip(*(b.column(c).to_pylist() for c in ("kind", "dest", "lead", "blob")), strict=True):
+                if dest != now:
+                    yield from left(family, hot)
+                    now, family, hot = dest, Family(), []
+                if k == HOT:
+                    hot.append(lead)
+                else:
+                    yield told(WHOLE, *family.add(dict(zip(COLUMNS, tk.unpack(blob), strict=True))))
+        yield from left(family, hot)
+
+    dealt = F.when(F.col("kind") >= RUN, F.col("dest")).otherwise(F.xxhash64("dest", "where"))
+    met = sent.withColumn("deal", dealt).repartition(parts(sent.sparkSession), "deal").sortWithinPartitions("deal", "kind").drop("deal")
+    return met.mapInArrow(run, INDEXED).drop("blob").withColumnRenamed("dest", "share")
 
 
 def by_share(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
-    """Brings rows (share, a, b, many) and the stored texts of their share together, the text last."""
-    both = rows.select("share", F.lit(0).alias("last"), "a", "b", "many", F.lit(None).cast("binary").alias("blob"), F.lit(None).cast("binary").alias("rows"))
-    both = both.unionByName(texts.select("share", F.lit(1).alias("last"), F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("boolean").alias("many"), "blob", "rows"))
+    """Brings rows (share, a, b, many, crowd) and the stored texts of their share together, the text last."""
+    fields = ("a", "b", "many", "crowd")
+    both = rows.select("share", F.lit(0).alias("last"), *fields).unionByName(texts.select("share", F.lit(1).alias("last"), "blob", "rows"), allowMissingColumns=True)
     both = both.repartition(parts(texts.sparkSession), "share").sortWithinPartitions("share", "last")
+    kinds = (np.int64, np.int64, bool, bool)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
@@ -202,10 +272,10 @@ def by_share(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
                 if stop > at:
                     if share[at] != now:
                         now, held = share[at], []
-                    held.append([batch.column(k).slice(at, stop - at).to_numpy(zero_copy_only=False) for k in ("a", "b", "many")])
+                    held.append([batch.column(k).slice(at, stop - at).to_numpy(zero_copy_only=False) for k in fields])
                 if stop < batch.num_rows:
-                    mine = [np.concatenate(x) for x in zip(*held, strict=True)] if held and share[stop] == now else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]
-                    yield from run(int(share[stop]), [mine[0].astype(np.int64), mine[1].astype(np.int64), mine[2].astype(bool)], batch.column("blob")[stop].as_py(), batch.column("rows")[stop].as_py())
+                    mine = [np.concatenate(x) for x in zip(*held, strict=True)] if held and share[stop] == now else [np.zeros(0)] * 4
+                    yield from run(int(share[stop]), [x.astype(t) for x, t in zip(mine, kinds, strict=True)], batch.column("blob")[stop].as_py(), batch.column("rows")[stop].as_py())
                     held = []
                 at = stop + 1
 
@@ -216,44 +286,57 @@ def gather(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return data[np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
+def strings(data: np.ndarray, begin: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Stretch, offset and fingerprint of each of the n strings that begin one after the other at each place."""
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    start = begin[row] + at
+    return row, at, tk.span_hash(tk.prefix_sums(data, tk.EXACT), start, start + SPAN)
+
+
+ASKED = "kind long, lead long, share long, first long, many boolean, bytes binary"
+
+
 def asked(asks: DataFrame, texts: DataFrame) -> DataFrame:
-    """asks with the bytes of their stretches."""
+    """asks with the bytes of their stretches; for crowded leads, a row for each of their strings, named in lead."""
 
     def run(share: int, mine: list[np.ndarray], blob: bytes, _rows: bytes) -> Iterator[pa.RecordBatch]:
-        where, lead, many = mine
-        if len(where):
-            data = tk.unpack(blob)[2]
-            first, stop = ends(where)
-            n = stop - first + SPAN - 1
-            for a in range(0, len(n), 10_000):
-                s = slice(a, a + 10_000)
+        where, lead, many, crowd = mine
+        if not len(where):
+            return
+        data = tk.unpack(blob)[2]
+        first, stop = ends(where)
+        n = stop - first + SPAN - 1
+        for kind, which in ((ASK, np.flatnonzero(~crowd)), (STRING, np.flatnonzero(crowd))):
+            for at in range(0, len(which), 2_000):
+                s = which[at : at + 2_000]
+                found = gather(data, first[s], n[s])
                 offsets = np.concatenate([[0], np.cumsum(n[s])]).astype(np.int32)
-                binary = pa.Array.from_buffers(pa.binary(), len(n[s]), [None, pa.py_buffer(offsets), pa.py_buffer(gather(data, first[s], n[s]))])
-                yield pa.RecordBatch.from_arrays([pa.array(lead[s]), pa.array(np.full(len(n[s]), share)), pa.array(first[s]), pa.array(many[s]), binary], ["lead", "share", "first", "many", "bytes"])
+                if kind == ASK:
+                    columns = [lead[s], first[s], many[s], pa.Array.from_buffers(pa.binary(), len(s), [None, pa.py_buffer(offsets), pa.py_buffer(found)])]
+                else:
+                    row, offset, string = strings(found, offsets[:-1].astype(np.int64), n[s] - SPAN + 1)
+                    columns = [string.view(np.int64), first[s][row] + offset, many[s][row], pa.nulls(len(row), pa.binary())]
+                lead_of, first_of, many_of, held = columns
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(lead_of), kind)), pa.array(lead_of), pa.array(np.full(len(lead_of), share)), pa.array(first_of), pa.array(many_of), held], ["kind", "lead", "share", "first", "many", "bytes"])
 
-    return by_share(asks.select("share", F.col("where").alias("a"), F.col("lead").alias("b"), "many"), texts, run, "lead long, share long, first long, many boolean, bytes binary")
+    rows = asks.select("share", F.col("where").alias("a"), F.col("lead").alias("b"), "many", (F.col("kind") == CROWDED).alias("crowd"))
+    return by_share(rows, texts, run, ASKED)
 
 
 def looked_up(stretches: DataFrame) -> DataFrame:
-    """(kind, share, start, end, string, many): spans that repeat, and for crowded leads their strings."""
-
-    def strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row, start and fingerprint of each string."""
-        column = rows.column("bytes").combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
-        n = np.diff(offsets) - SPAN + 1
-        row = np.repeat(np.arange(len(n)), n)
-        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        begin = at + (offsets[:-1] - offsets[0])[row]
-        return row, at + rows.column("first").to_numpy()[row], tk.span_hash(tk.prefix_sums(data, tk.EXACT), begin, begin + SPAN)
+    """(kind, share, start, end, string, many): spans that repeat; strings of crowded leads pass, each a row."""
 
     def batch(kind, share, start, end, string, many) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(share), kind)), pa.array(share), pa.array(start), pa.array(end), pa.array(string), pa.array(many)], ["kind", "share", "start", "end", "string", "many"])
 
     def spans(rows: pa.Table) -> pa.RecordBatch:
-        row, start, string = strings(rows)
+        column = rows.column("bytes").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        row, at, string = strings(data, offsets[:-1] - offsets[0], np.diff(offsets) - SPAN + 1)
+        start = at + rows.column("first").to_numpy()[row]
         _, place, n = np.unique(string, return_inverse=True, return_counts=True)
         good = n[place] > 1
         row, start = row[good], start[good]
@@ -264,34 +347,20 @@ def looked_up(stretches: DataFrame) -> DataFrame:
         share = rows.column("share").to_numpy()[row[head]]
         return batch(WHOLE, share, start[head], start[tail] + SPAN, np.zeros_like(share), np.ones(len(share), bool))
 
-    def crowd(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        for a in range(0, len(rows), 2_000):
-            some = rows.slice(a, 2_000)
-            row, start, string = strings(some)
-            yield batch(STRING, some.column("share").to_numpy()[row], start, start + SPAN, string.view(np.int64), some.column("many").to_numpy()[row])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, crowded = None, None
+        held = None
         for b in batches:
-            rows = pa.Table.from_batches([b])
+            kind = b.column("kind").to_numpy()
+            passed = b.filter(pa.array(kind == STRING))
+            share, first, lead = (passed.column(k).to_numpy() for k in ("share", "first", "lead"))
+            yield batch(STRING, share, first, first + SPAN, lead, passed.column("many").to_numpy(zero_copy_only=False))
+            rows = pa.Table.from_batches([b.filter(pa.array(kind == ASK))])
             rows = rows if held is None else pa.concat_tables([held, rows])
             lead = rows.column("lead").to_numpy()
-            if not len(lead):
-                continue
-            begin = int(np.searchsorted(lead == lead[-1], True))  # the last lead may go on
-            if begin:
-                head = 0
-                if crowded is not None and lead[0] == crowded:
-                    head = int(np.argmax(lead != crowded))
-                    yield from crowd(rows.slice(0, head))
-                crowded = None
-                if begin > head:
-                    yield spans(rows.slice(head, begin - head))
+            begin = int(np.searchsorted(lead == lead[-1], True)) if len(lead) else 0  # the last lead may go on
+            for at, to in cut_by(lead[:begin]):
+                yield spans(rows.slice(at, to - at))
             held = rows.slice(begin)
-            if crowded == lead[-1] or len(held) > CROWD:
-                crowded = lead[-1]
-                yield from crowd(held)
-                held = None
         if held is not None and len(held):
             yield spans(held)
 
@@ -299,16 +368,28 @@ def looked_up(stretches: DataFrame) -> DataFrame:
     return met.mapInArrow(run, "kind long, share long, start long, end long, string long, many boolean")
 
 
+def cut_by(lead: np.ndarray, rows: int = 2_000) -> Iterator[tuple[int, int]]:
+    """Pieces of about so many rows that end where a lead ends."""
+    at = 0
+    while at < len(lead):
+        to = min(at + rows, len(lead))
+        while to < len(lead) and lead[to] == lead[to - 1]:
+            to += 1
+        yield at, to
+        at = to
+
+
 def repeats(texts: DataFrame) -> DataFrame:
     """(share, start, end): spans of stored texts whose every string of SPAN bytes occurs elsewhere as well."""
-    found = settle(indexed(suffixes(texts)))
+    ranges = max(parts(texts.sparkSession), texts.count() // TEXTS_PER_RANGE)
+    found = settle(indexed(runs(texts, ranges)))
     place = F.shiftright("where", 18)
     whole = found.where(F.col("kind") == WHOLE).select("share", (place - F.shiftright("where", 9).bitwiseAND(511)).alias("start"), (place + F.col("where").bitwiseAND(511)).alias("end"))
-    looked = settle(looked_up(asked(found.where(F.col("kind") == ASK), texts)))
-    some = looked.where(F.col("kind") == WHOLE).select("share", "start", "end")
+    looked = settle(looked_up(asked(found.where(F.col("kind") != WHOLE), texts)))
+    part = looked.where(F.col("kind") == WHOLE).select("share", "start", "end")
     crowd = looked.where(F.col("kind") == STRING)
     common = crowd.groupBy("string").agg((F.count("*") + F.max(F.col("many").cast("int"))).alias("n")).where("n > 1").select("string")
-    return whole.unionByName(some).unionByName(crowd.join(common, "string").select("share", "start", "end"))
+    return whole.unionByName(part).unionByName(crowd.join(common, "string", "left_semi").select("share", "start", "end"))
 
 
 def covered(size: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -332,7 +413,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         left = pa.array([data[a:b][keep[a:b]].tobytes().decode("utf-8", "ignore") for a, b in zip(lo, hi, strict=True)], pa.string())
         yield pa.RecordBatch.from_arrays([left if n == "text" else others.column(n) for n in names], names)
 
-    spans = repeats(texts).select("share", F.col("start").alias("a"), F.col("end").alias("b"), F.lit(True).alias("many"))
+    spans = repeats(texts).select("share", F.col("start").alias("a"), F.col("end").alias("b"), F.lit(True).alias("many"), F.lit(False).alias("crowd"))
     return by_share(spans, texts, run, docs.schema)
 
 
@@ -349,7 +430,7 @@ def digests(docs: DataFrame) -> DataFrame:
         kept = [hashlib.sha256(data[a:b][~gone[a:b]] if k else data[a:b]).hexdigest() for a, b, k in zip(lo, hi, removed[hi] > removed[lo], strict=True)]
         yield pa.RecordBatch.from_arrays([carried_rows(rows).column("doc_id"), pa.array(hi - lo), pa.array(removed[hi] - removed[lo]), pa.array(runs[hi] - runs[lo]), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    spans = repeats(texts).select("share", F.col("start").alias("a"), F.col("end").alias("b"), F.lit(True).alias("many"))
+    spans = repeats(texts).select("share", F.col("start").alias("a"), F.col("end").alias("b"), F.lit(True).alias("many"), F.lit(False).alias("crowd"))
     return by_share(spans, texts, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 

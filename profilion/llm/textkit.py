@@ -107,6 +107,17 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def span_hashes(data: np.ndarray, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of many spans, neither of whose ends ever goes back, segment by segment."""
+    out, at = np.zeros(len(start), U), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(end, start[at] + SEGMENT, "right")))
+        lo = start[at]
+        out[at:to] = span_hash(prefix_sums(data[lo : end[to - 1]], values), start[at:to] - lo, end[at:to] - lo)
+        at = to
+    return out
+
+
 def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of words, and for each document (and beyond the last) its first word's index."""
     inside = np.zeros(len(chunk.data) + 1, bool)
@@ -119,13 +130,7 @@ def word_spans(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def word_hashes(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """A fingerprint for each word, A-Z taken as a-z, and each document's first word (and the end)."""
     start, end, first = word_spans(chunk)
-    out, at = np.zeros(len(start), U), 0
-    while at < len(start):  # a segment ends with a word
-        to = max(at + 1, int(np.searchsorted(end, start[at] + SEGMENT, "right")))
-        lo = start[at]
-        out[at:to] = span_hash(prefix_sums(chunk.data[lo : end[to - 1]], FOLDED), start[at:to] - lo, end[at:to] - lo)
-        at = to
-    return out, first
+    return span_hashes(chunk.data, FOLDED, start, end), first
 
 
 def rolled(words: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

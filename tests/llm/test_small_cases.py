@@ -118,20 +118,30 @@ def test_suffix(docs, texts):
     assert left.columns == docs.columns and left.count() == docs.count()
 
 
-def test_suffix_with_crowded_leads(docs, texts, monkeypatch):
+@pytest.mark.parametrize("limits", [{"CROWD": 1}, {"LOCAL": 1}, {"LOCAL": 2, "FAMILY": 1}, {"FAMILY": 1}])
+def test_suffix_with_crowded_leads(docs, texts, monkeypatch, limits):
     wanted = op05_suffix.digests(docs).toPandas().sort_values(["doc_id", "n_bytes"]).reset_index(drop=True)
-    monkeypatch.setattr(op05_suffix, "CROWD", 1)
+    for name, value in limits.items():
+        monkeypatch.setattr(op05_suffix, name, value)
     got = op05_suffix.digests(docs).toPandas().sort_values(["doc_id", "n_bytes"]).reset_index(drop=True)
     assert got.equals(wanted)
 
 
-def test_family_levels_are_few():
+def test_suffix_arrays_are_in_order_and_levels_few():
     family, rng = op05_suffix.Family(), np.random.default_rng(0)
-    told = 0
-    for _ in range(64):
-        lead = rng.integers(0, 5000, 100)
-        told += len(family.add(lead, lead * 7, np.zeros(100, np.int64), np.arange(100))[0])
-    assert len(family.levels) <= 8 and told > 0
+    told, seen = [], []
+    for share in range(40):
+        data = np.frombuffer((prose(share % 25, 400) + "\n").encode(), np.uint8)
+        new = op05_suffix.entries(data, np.array([0]), np.array([len(data) - 1]), share)
+        leads = [bytes(k)[:32] for k in new["key"]]
+        assert leads == sorted(leads) and all(data[w >> 18 : (w >> 18) + 32].tobytes() == k for w, k in zip(new["where"], leads))
+        seen += [(k, share, w) for k, w in zip(new["key"].tolist(), new["where"].tolist())]
+        told += list(zip(*(x.tolist() for x in family.add(new))))
+    assert len(family.levels) <= 7 and len(told) == len(set(told))
+    times = Counter(k for k, _, _ in seen)
+    assert set(told) == {(s, w) for k, s, w in seen if times[k] > 1} and len(family) == len(times)
+    whole = family.whole()["key"]
+    assert (whole[1:] > whole[:-1]).all()
 
 
 def test_bpe(docs, texts):
