@@ -30,11 +30,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from profilion.llm import textkit as tk
 from profilion.llm.cluster import with_columns
 
 #: Fixed value: the byte-level pre-tokenization pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 200_000
+MEMO = 100_000
 NEVER = 1 << 31
 
 
@@ -239,7 +240,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         vocabulary.forget()
 
     docs = docs.drop("ids")
-    return docs.mapInArrow(run, with_columns(docs.schema, ids="binary"))
+    return docs.mapInArrow(tk.tidy(run), with_columns(docs.schema, ids="binary"))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
@@ -278,7 +279,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
         vocabulary.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(tk.tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op3_bpe(spark, sf_dir: str) -> DataFrame:

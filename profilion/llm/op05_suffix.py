@@ -40,7 +40,7 @@ from profilion.llm.cluster import parts, settle
 
 SPAN, LEAD, SEGMENT = 200, 32, 1 << 20
 #: Stretches of one lead that are brought together from one task, and in all; entries of a task's family; texts for a range.
-LOCAL, CROWD, FAMILY, TEXTS_PER_RANGE = 1000, 50_000, 500_000, 16
+LOCAL, CROWD, FAMILY, TEXTS_PER_RANGE = 1000, 50_000, 250_000, 16
 WHOLE, ASK, STRING, CROWDED, RUN, HOT = range(6)
 
 
@@ -90,7 +90,7 @@ def stored(docs: DataFrame, carried: list[str]) -> DataFrame:
                 out.write_batch(rows)
             yield pa.RecordBatch.from_arrays([pa.array([tk.pack(c.lo, c.hi, c.data)], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["blob", "rows"])
 
-    return settle(docs.mapInArrow(run, "blob binary, rows binary").withColumn("share", F.monotonically_increasing_id()))
+    return settle(docs.mapInArrow(tk.tidy(run), "blob binary, rows binary").withColumn("share", F.monotonically_increasing_id()))
 
 
 #: An entry's columns: its place in suffix order (lead, stretch, and a byte that is never 0), a hash of its lead, where it
@@ -223,7 +223,7 @@ def runs(texts: DataFrame, ranges: int) -> DataFrame:
                     family = Family()
         yield from sent(family)
 
-    return texts.select("share", "blob").mapInArrow(run, INDEXED)
+    return texts.select("share", "blob").mapInArrow(tk.tidy(run), INDEXED)
 
 
 def indexed(sent: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def indexed(sent: DataFrame) -> DataFrame:
 
     dealt = F.when(F.col("kind") >= RUN, F.col("dest")).otherwise(F.xxhash64("dest", "where"))
     met = sent.withColumn("deal", dealt).repartition(parts(sent.sparkSession), "deal").sortWithinPartitions("deal", "kind").drop("deal")
-    return met.mapInArrow(run, INDEXED).drop("blob").withColumnRenamed("dest", "share")
+    return met.mapInArrow(tk.tidy(run), INDEXED).drop("blob").withColumnRenamed("dest", "share")
 
 
 def by_share(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
@@ -279,7 +279,7 @@ def by_share(rows: DataFrame, texts: DataFrame, run, schema: str) -> DataFrame:
                     held = []
                 at = stop + 1
 
-    return both.mapInArrow(shares, schema)
+    return both.mapInArrow(tk.tidy(shares), schema)
 
 
 def gather(data: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -365,7 +365,7 @@ def looked_up(stretches: DataFrame) -> DataFrame:
             yield spans(held)
 
     met = stretches.repartition(parts(stretches.sparkSession), "lead").sortWithinPartitions("lead")
-    return met.mapInArrow(run, "kind long, share long, start long, end long, string long, many boolean")
+    return met.mapInArrow(tk.tidy(run), "kind long, share long, start long, end long, string long, many boolean")
 
 
 def cut_by(lead: np.ndarray, rows: int = 2_000) -> Iterator[tuple[int, int]]:

@@ -43,7 +43,9 @@ BITS, ROWS = 54, 10
 SEEDS, SALT, RANGES_PER_TASK, CHUNKS_PER_RANGE = 6, 16, 4, 8
 #: Shingles are counted by COUNTED bits and by blocks of BLOCK. Those that FEW sets hold, or as many more as
 #: leaves COMMON of them, go last.
-COUNTED, BLOCK, FEW, COMMON = 40, 1 << 21, 6, 2_000_000
+COUNTED, BLOCK, FEW, COMMON = 40, 1 << 20, 6, 2_000_000
+#: Sets dealt and pairs formed at a time.
+DEALT, FORMED = 2_000, 500_000
 Sets = tuple[np.ndarray, np.ndarray, list, np.ndarray]
 
 
@@ -60,7 +62,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.array([0, len(ids)], np.int32), ids.cast(pa.int64()))
             yield pa.RecordBatch.from_arrays([lists, pa.array([tk.pack(c.rows.column("key").to_numpy(), tk.deltas(key))], pa.binary())], ["ids", "blob"])
 
-    return settle(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(run, "ids array<long>, blob binary"))
+    return settle(docs.select("doc_id", "text", F.xxhash64("doc_id").alias("key")).mapInArrow(tk.tidy(run), "ids array<long>, blob binary"))
 
 
 def opened_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[Sets]:
@@ -122,7 +124,7 @@ def sketches(stored: DataFrame, last: np.ndarray) -> DataFrame:
             lists = pa.ListArray.from_arrays(np.arange(0, least.size + 1, SEEDS, dtype=np.int32), least.ravel())
             yield pa.RecordBatch.from_arrays([ids, pa.array(n), pa.array(rare), pa.array(names), lists, pa.array(signs, pa.binary())], ["doc_id", "n", "rare", "name", "least", "signature"])
 
-    return stored.mapInArrow(run, "doc_id long, n long, rare long, name long, least array<long>, signature binary")
+    return stored.mapInArrow(tk.tidy(run), "doc_id long, n long, rare long, name long, least array<long>, signature binary")
 
 
 def frequent(stored: DataFrame, ranges: int) -> DataFrame:
@@ -158,8 +160,8 @@ def frequent(stored: DataFrame, ranges: int) -> DataFrame:
         for held in by_range(batches):
             yield total(held)
 
-    dealt = stored.mapInArrow(deal, "range long, blob binary").repartition(parts(stored.sparkSession), "range").sortWithinPartitions("range")
-    return dealt.mapInArrow(run, "shingle long, n long")
+    dealt = stored.mapInArrow(tk.tidy(deal), "range long, blob binary").repartition(parts(stored.sparkSession), "range").sortWithinPartitions("range")
+    return dealt.mapInArrow(tk.tidy(run), "shingle long, n long")
 
 
 def by_range(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
@@ -203,7 +205,7 @@ def checked(pairs: DataFrame, payload: DataFrame, test) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     met = centres.unionByName(guests).repartition(parts(pairs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "guest")
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(tk.tidy(run), "a long, b long")
 
 
 def blobs(stored: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -216,7 +218,7 @@ def blobs(stored: DataFrame, wanted: DataFrame) -> DataFrame:
             names, n = set_names(values, cut)[some], np.diff(cut)[some]
             yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n), pa.array([tk.pack(tk.deltas(values[cut[k] : cut[k + 1]])) for k in some], pa.binary())], ["name", "n", "blob"])
 
-    return stored.mapInArrow(run, "name long, n long, blob binary")
+    return stored.mapInArrow(tk.tidy(run), "name long, n long, blob binary")
 
 
 def opened(blob: bytes) -> np.ndarray:
@@ -258,7 +260,7 @@ def prefixes(stored: DataFrame, percent: int, last: np.ndarray) -> DataFrame:
             some = some[n[some] > 0]
             yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(n[some]), pa.array([tk.pack(tk.deltas(values[ends[k] : ends[k + 1]]), place[ends[k] : ends[k + 1]]) for k in some], pa.binary())], ["name", "n", "prefix"])
 
-    return stored.mapInArrow(run, "name long, n long, prefix binary")
+    return stored.mapInArrow(tk.tidy(run), "name long, n long, prefix binary")
 
 
 def band(n: np.ndarray, percent: int) -> np.ndarray:
@@ -276,9 +278,7 @@ def tiles(found: DataFrame, percent: int, ranges: int) -> DataFrame:
     spark = found.sparkSession
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(at, DEALT) for whole in batches for at in range(0, whole.num_rows, DEALT)):
             lists = [tk.unpack(x) for x in b.column("prefix").to_pylist()]
             size = np.array([len(x[0]) for x in lists])
             value, place, row = np.concatenate([np.cumsum(x[0]) for x in lists]), np.concatenate([x[1] for x in lists]), np.repeat(np.arange(len(lists)), size)
@@ -315,11 +315,11 @@ def tiles(found: DataFrame, percent: int, ranges: int) -> DataFrame:
         partners = np.where(guest == 0, tile_end - block_end, 0)  # guests meet in the tile where one of them is at home
         at = np.flatnonzero(partners)
         steps = np.cumsum(partners[at])
-        for lo in range(0, int(steps[-1]) if len(at) else 0, 2_000_000):  # however many there are, some at a time
-            x, y = np.searchsorted(steps, [lo, lo + 2_000_000], "right")
+        for lo in range(0, int(steps[-1]) if len(at) else 0, FORMED):  # however many there are, some at a time
+            x, y = np.searchsorted(steps, [lo, lo + FORMED], "right")
             rows = at[x : y + 1]
             begin = np.maximum(block_end[rows], block_end[rows] + lo - (steps[x : y + 1] - partners[rows]))
-            stop = np.minimum(tile_end[rows], block_end[rows] + lo + 2_000_000 - (steps[x : y + 1] - partners[rows]))
+            stop = np.minimum(tile_end[rows], block_end[rows] + lo + FORMED - (steps[x : y + 1] - partners[rows]))
             many = np.maximum(stop - begin, 0)
             i = np.repeat(rows, many)
             j = np.repeat(begin - np.cumsum(many) + many, many) + np.arange(many.sum())
@@ -337,8 +337,8 @@ def tiles(found: DataFrame, percent: int, ranges: int) -> DataFrame:
         for held in by_range(batches):
             yield from pair_up(held)
 
-    dealt = found.mapInArrow(deal, "range long, blob binary")
-    return dealt.repartition(parts(spark), "range").sortWithinPartitions("range").mapInArrow(run, "a long, b long").distinct()
+    dealt = found.mapInArrow(tk.tidy(deal), "range long, blob binary")
+    return dealt.repartition(parts(spark), "range").sortWithinPartitions("range").mapInArrow(tk.tidy(run), "a long, b long").distinct()
 
 
 def near_centres(one: DataFrame) -> DataFrame:
@@ -368,8 +368,8 @@ def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Data
     near = settle(verified(near_centres(one), signs, first_docs, stored, percent))
     groups = settle(components(near).withColumnRenamed("node", "name"))
 
-    # every other link lies between two of these
-    found = prefixes(stored, percent, last).join(groups, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    # every other link lies between two of these; merged, as two Python tasks in a row would hold two workers
+    found = prefixes(stored, percent, last).join(groups.hint("merge"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     more = settle(verified(settle(tiles(found, percent, ranges)), signs, first_docs, stored, percent))
     label = settle(components(near.unionByName(more)).withColumnRenamed("node", "name"))
 

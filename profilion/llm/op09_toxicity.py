@@ -101,12 +101,12 @@ def fit(labelled: DataFrame, bits: int = BITS, epochs: int = 3, most_features: i
         yield pd.DataFrame({"weights": [tk.pack(at.astype(np.int32), w[at])]})
 
     rows = labelled.select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    rows = rows.mapInArrow(features, "doc_id long, label int, features binary, n long")
+    rows = rows.mapInArrow(tk.tidy(features), "doc_id long, label int, features binary, n long")
     rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct("features", "n")).alias("x")).select("doc_id", "label", "x.features", "x.n")
     # one task: a row for each sampled id, most_features features in all, in an order that reruns repeat
     ordered = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "features")
     weights = np.zeros(2**bits + 1)
-    for row in ordered.mapInPandas(train, "weights binary").collect():
+    for row in ordered.mapInPandas(tk.tidy(train), "weights binary").collect():
         at, w = tk.unpack(bytes(row["weights"]))
         weights[at] = w
     return weights
@@ -137,7 +137,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS, out: str = "sc
             column = pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))), pa.float64())
             yield pa.RecordBatch.from_arrays([*c.rows.columns, column], [*c.rows.schema.names, out])
 
-    return docs.mapInArrow(run, with_columns(docs.schema, **{out: "double"}))
+    return docs.mapInArrow(tk.tidy(run), with_columns(docs.schema, **{out: "double"}))
 
 
 def held_out(column: str = "doc_id", fold: int = 2, of: int = 4):

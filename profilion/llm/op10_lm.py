@@ -58,7 +58,7 @@ def stored(docs: DataFrame) -> DataFrame:
         if held:
             yield packed(held)
 
-    return settle(docs.mapInArrow(run, "blob binary").withColumn("group", F.monotonically_increasing_id()))
+    return settle(docs.mapInArrow(tk.tidy(run), "blob binary").withColumn("group", F.monotonically_increasing_id()))
 
 
 def read_group(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def requests(texts: DataFrame, ranges: int) -> DataFrame:
                     out = [(r, tk.pack(tk.deltas(distinct[x:y]), counts[x:y])) for r, (x, y) in enumerate(zip(at, at[1:], strict=False)) if y > x]
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([key] * len(out), pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["kind", "range", "group", "blob"])
 
-    return texts.select("group", "blob").mapInArrow(run, "kind long, range long, group long, blob binary")
+    return texts.select("group", "blob").mapInArrow(tk.tidy(run), "kind long, range long, group long, blob binary")
 
 
 def added_up(blobs: list[bytes]) -> tuple[list[bytes], int, int]:
@@ -142,7 +142,7 @@ def replies(asked: DataFrame) -> DataFrame:
             yield answer()
 
     met = asked.repartition(parts(asked.sparkSession), "kind", "range").sortWithinPartitions("kind", "range", "group")
-    return met.mapInArrow(run, "kind long, range long, group long, blob binary, n long, v long")
+    return met.mapInArrow(tk.tidy(run), "kind long, range long, group long, blob binary, n long, v long")
 
 
 def counted(texts: DataFrame, answered: DataFrame) -> DataFrame:
@@ -171,7 +171,7 @@ def counted(texts: DataFrame, answered: DataFrame) -> DataFrame:
 
     met = answered.unionByName(texts.select(F.lit(TEXTS).cast("long").alias("kind"), F.lit(0).cast("long").alias("range"), "group", "blob"), allowMissingColumns=True)
     met = met.repartition(parts(texts.sparkSession), "group").sortWithinPartitions("group", "kind", "range")
-    return met.mapInArrow(run, "blob binary, kind long, n long, v long")
+    return met.mapInArrow(tk.tidy(run), "blob binary, kind long, n long, v long")
 
 
 def opened(blob: bytes) -> dict[str, np.ndarray]:
@@ -237,7 +237,7 @@ def scored(packed: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame:
                 columns = [pa.array(x["ids"], mask=x["null"]), pa.array(x["held"]), pa.array(x["n"]), pa.array(add(x["c"] > 0).astype(np.int64)), pa.array(np.full(len(x["n"]), n)), pa.array(add(np.log10((x["c"] + 1) / (n + v + 1)))), pa.array(add(np.log10(p)))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return packed.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return packed.mapInArrow(tk.tidy(run), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def model(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int, int]:

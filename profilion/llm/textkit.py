@@ -7,6 +7,8 @@ prefix-sum array, which makes the fingerprint of any span two look-ups.
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -62,6 +64,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def tidy(run):
+    """A task function that hands back freed memory at its end, so that a worker kept for later work stays small."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 @dataclass
 class Chunk:
     """rows: the batch's slice. data: its texts, each followed by a line feed. lo, hi: where they lie."""

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 from oracle import expected, same
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from profilion.llm import op08_jaccard, op09_toxicity, registry
@@ -34,7 +35,8 @@ def test_stages(spark, sf_dir):
 
 
 def test_run(spark, sf_dir):
-    assert corpus_pipeline.run(spark, sf_dir).count() > 0
+    found = corpus_pipeline.run(spark, sf_dir)
+    assert found.count() > 0 and found.where("shard IS NULL OR place IS NULL").isEmpty()
     assert [n for n, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
 
 
@@ -66,3 +68,25 @@ def test_null_and_empty_texts_stay(spark, sf_dir):
     short = corpus_pipeline.repeated_passages(spark, docs, sf_dir)
     assert told(short) == Counter([(3, b), (4, None), (5, ""), (6, None), (7, "short")])
     assert {r["doc_id"]: r["n_chars"] for r in short.collect()} == {3: len(b), 4: None, 5: 0, 6: None, 7: 5}
+
+
+def test_own_columns_of_any_name_stay(spark, sf_dir):
+    docs = made(spark, [(k, prose(k)) for k in range(6)]).withColumns({c: F.lit(777) for c in ("score", "row_key", "alone", "equal", "bytes_before", "whole", "size", "target", "plays", "schedule")})
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, sf_dir)
+        assert left.columns == docs.columns and left.where(" AND ".join(f"{c} = 777" for c in docs.columns[5:])).count() == left.count() > 0
+    last = corpus_pipeline.encoding(spark, docs, sf_dir)
+    assert last.where("score = 777").count() == 6 and last.columns == ["doc_id", "lang", "source", "n_chars", *docs.columns[5:], "shard", "place", "n_tokens", "ids"]
+
+
+def test_empty_tables(spark, sf_dir):
+    docs = made(spark, [(1, "x")]).limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.isEmpty()
+
+
+def test_mixing_keeps_documents_without_words(spark, sf_dir):
+    docs = made(spark, [(1, prose(1)), (2, None), (3, ""), (4, prose(4, 5))])
+    got = told(corpus_pipeline.mixing(spark, docs, sf_dir))
+    assert got[2, None] == 1 and got[3, ""] == 1 and got[1, prose(1)] in (1, 2)
