@@ -1,22 +1,42 @@
-"""From raw documents to training tokens: five stages, each on all that the one before kept."""
+"""From raw documents to training tokens: five stages, each on all that the one before kept.
+
+Every stage takes documents with columns doc_id, text, lang, source, n_chars and any others; all but the last return
+just these columns. Empty tables give empty tables; ids may be null or repeated; texts of any length are taken whole;
+columns may have any names, those of the operators' own results included.
+"""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilion.llm import op03_bpe, op04_mixing, op05_suffix, op08_jaccard, op09_toxicity
-from profilion.llm.cluster import settle
+from profilion.llm.cluster import written
 
 #: SQL cannot express a trained classifier, nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that docs have not got."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def named(docs: DataFrame) -> list:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = op09_toxicity.toxicity(docs, labels)
-    return scored.where(F.col("score") < op09_toxicity.THRESHOLD).select(*docs.columns)
+    """Documents scored below the threshold.
+
+    Null and empty texts score as the model's bias alone; rows of one id are scored each on their own text; without any
+    label all score 0.5 and go."""
+    labels, out = spark.read.parquet(f"{sf_dir}/labels.parquet"), unused(docs, "score")
+    scored = op09_toxicity.toxicity(docs, labels, out=out)
+    return scored.where(F.col(out) < op09_toxicity.THRESHOLD).select(*named(docs))
 
 
 def near_duplicates(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
@@ -24,36 +44,50 @@ def near_duplicates(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> Data
 
     Rows are told apart by a hash of all their columns, so ids may be null or repeated; of rows that are equal in all
     columns one stays. Rows without shingles have nothing to compare, and all stay."""
-    keyed = docs.withColumn("row_key", F.xxhash64(*docs.columns, *(F.col(c).isNull() for c in docs.columns)))
-    found = op08_jaccard.classes(keyed.select(F.col("row_key").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row_key").distinct()
-    ids = keyed.select("row_key", "doc_id").distinct()
+    key, alone, equal = unused(docs, "row_key"), unused(docs, "alone"), unused(docs, "equal")
+    keyed = docs.withColumn(key, F.xxhash64(*named(docs), *(c.isNull() for c in named(docs))))
+    found = op08_jaccard.classes(keyed.select(F.col(key).alias("doc_id"), "text")).withColumnRenamed("doc_id", "row_key").distinct()
+    ids = keyed.select(F.col(key).alias("row_key"), "doc_id").distinct()
     first = found.where("n_shingles > 0").join(ids, "row_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first"))
-    kept = first.select("first.row_key", F.lit(False).alias("alone")).unionByName(found.where("n_shingles = 0").select("row_key", F.lit(True).alias("alone")))
-    equal = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key"))
-    return keyed.join(kept, "row_key").withColumn("equal", equal).where("alone OR equal = 1").select(*docs.columns)
+    kept = first.select(F.col("first.row_key").alias(key), F.lit(False).alias(alone)).unionByName(found.where("n_shingles = 0").select(F.col("row_key").alias(key), F.lit(True).alias(alone)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(key))
+    return keyed.join(kept, key).withColumn(equal, rank).where(F.col(alone) | (F.col(equal) == 1)).select(*named(docs))
 
 
 def repeated_passages(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
     """Documents without the passages that occur elsewhere as well; those that lose all their text go.
 
-    Texts that came in null or empty have lost nothing and stay as they were."""
-    left = op05_suffix.remove_repeats(docs.withColumn("bytes_before", F.octet_length("text")))
-    bare = F.coalesce("bytes_before", F.lit(0)) == 0
+    Texts that came in null or empty have lost nothing and stay as they were; n_chars counts what is left."""
+    size = unused(docs, "bytes_before")
+    left = op05_suffix.remove_repeats(docs.withColumn(size, F.octet_length("text")))
+    bare = F.coalesce(size, F.lit(0)) == 0
     left = left.where(bare | (F.col("text") != "")).withColumn("n_chars", F.when(bare, F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return left.withColumn("text", F.when(F.col("bytes_before").isNotNull(), F.col("text"))).select(*docs.columns)
+    return left.withColumn("text", F.when(F.col(size).isNotNull(), F.col("text"))).select(*named(docs))
 
 
 def mixing(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
-    """Documents in training order, as often as the mix plays them."""
-    sized = docs.withColumn("mix_size", op04_mixing.words())
-    mixed = op04_mixing.mix(sized, size="mix_size")
-    return op04_mixing.training_order(mixed, "mix_size").select(*docs.columns)
+    """Documents in training order, as often as the mix plays them.
+
+    Documents stay whole: a last play in part counts where it takes at least half of the document. Those without words
+    are kept once, at the end."""
+    carried = docs.select(F.struct(*named(docs)).alias("whole"), "doc_id", "source", op04_mixing.words().alias("size"))
+    return op04_mixing.training_order(op04_mixing.mix(carried)).select("whole.*")
 
 
 def encoding(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
-    """Token ids (little-endian unsigned 32-bit) of every text."""
+    """Token ids (little-endian unsigned 32-bit) of every text, with all columns but the text.
+
+    Where docs are read from files, shard and place say where the document lay: sorted by both, documents are in the
+    training order that mixing wrote; else they are null."""
+    others = [c for c in docs.columns if c not in ("text", "ids", "n_tokens", "shard", "place")]
+    try:
+        docs = docs.select(*named(docs), F.col("_metadata.file_name").alias(unused(docs, "shard")), F.col("_metadata.row_index").alias(unused(docs, "place")))
+        shard, place = docs.columns[-2:]
+    except AnalysisException:
+        shard, place = F.lit(None).cast("string"), F.lit(None).cast("long")
     encoded = op03_bpe.encode(docs, op03_bpe.tokenizer_path())
-    return encoded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
+    column = lambda c: F.col(c) if isinstance(c, str) else c
+    return encoded.select(*[f"`{c}`" for c in others], column(shard).alias("shard"), column(place).alias("place"), (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [("toxicity", toxicity), ("n-gram Jaccard join", near_duplicates), ("suffix-array dedup", repeated_passages), ("mixing sources", mixing), ("BPE encoding", encoding)]
@@ -64,5 +98,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = settle(docs) if k < len(STAGES) - 1 else docs
+        docs = written(docs) if k < len(STAGES) - 1 else docs
     return docs
