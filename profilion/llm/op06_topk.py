@@ -1,24 +1,26 @@
 """Exact top-k by no-random-access aggregation.
 
-A vector's score is a sum over components, so each component is a list sorted by value. The lists are read
-in step, from the end that a query's sign favours. After a depth, a vector's component is known if it was
-passed; else it lies between the list's worst value and the frontier. This gives every vector a lower and an
-upper bound; reading stops once no vector outside can reach the k-th lower bound, and the scores of those
-left are resolved exactly.
-
-Candidates lie in blocks of at most BLOCK rows, each with its own sorted lists, and queries in blocks as
-well. A block of queries meets every block of candidates; for all pairs of two blocks the bounds at a depth
-are a few matrix products, as a passed component is the larger of value and frontier. The k-th score so far
-carries over from block to block. Integers below 2**53 are exact in double arithmetic.
+A vector's score is a sum over components, so each component is a list sorted by value. The lists are read in
+slabs, from the end that a query's sign favours: a slab's entries add to the sums of the vectors they belong to,
+and a component of a vector that was not read yet lies between the list's frontier and its other end. This gives every
+vector a lower and an upper bound. Reading goes on for the vectors whose upper bound reaches the k-th lower bound, and
+stops for a query once these are few; what they lack is then read, which resolves their final scores.
+
+Candidates stay where they are: a task takes its rows in blocks of BLOCK, sorts a block's lists, and keeps each query's k
+best, whose last score bounds the next block. Queries come as broadcasts of at most QUERIES rows, one after the
+other, however many there are. First they meet one candidate in FIRST; the k-th score there is a floor for all
+tasks, so that what tasks send grows with the queries alone. No candidate moves, and no pair of blocks is made.
+Integers below 2**53 are exact in double arithmetic.
 
 Cases: vectors that are null or hold null or non-finite components take no part; a missing component of a
 shorter vector counts as 0; ties go to the smaller id; repeated rows are candidates each on their own (not for
-a query of the same id); fewer than k candidates give all; extra columns are ignored.
+a query of the same id); fewer than k candidates give all; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilion.llm import textkit as tk
-from profilion.llm.cluster import parts
+from profilion.llm.cluster import settle
 
-BLOCK, QUERIES = 1024, 256
+BLOCK, QUERIES, FIRST = 1024, 2048, 8
 #: Shares of each list read before the bounds are looked at.
-DEPTHS = (0.35, 0.7)
+DEPTHS = (0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 1.0)
 
 
 def clean(vectors: DataFrame, scale: float = 1024.0) -> DataFrame:
@@ -50,60 +52,98 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (vec_id, v) packed into (block, ids, dims, values)."""
+    """Rows (vec_id, v) packed into (block), ids and components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, size):
                 part = b.slice(at, size)
-                ids, m = part.column("vec_id").to_numpy(zero_copy_only=False), matrix(part.column("v"))
-                key = int(tk.mix(ids[:1].astype(tk.U))[0] >> tk.U(1))
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([tk.pack(ids)], pa.binary()), pa.array([m.shape[1]]), pa.array([tk.pack(m.ravel())], pa.binary())], ["block", "ids", "dims", "values"])
-
-    return rows.mapInArrow(run, "block long, ids binary, dims long, values binary")
-
-
-def wide(values: bytes, n: int, dims: int) -> np.ndarray:
-    m = tk.unpack(values)[0].reshape(n, -1)
-    return np.pad(m, ((0, 0), (0, dims - m.shape[1])))
+                m = matrix(part.column("v"))
+                yield pa.RecordBatch.from_arrays([pa.array([tk.pack(part.column("vec_id").to_numpy(zero_copy_only=False), np.array(m.shape), m.ravel())], pa.binary())], ["block"])
 
+    return rows.mapInArrow(run, "block binary")
 
-class Lists:
-    """The sorted lists of one block of candidates."""
 
-    def __init__(self, c: np.ndarray) -> None:
-        self.c, self.sorted = c, np.sort(c, axis=0)
+def opened(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids, shape, flat = tk.unpack(block)
+    return ids, flat.reshape(*shape)
 
-    def bounds(self, up: np.ndarray, down: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of all scores once ``depth`` entries of each list are read.
 
-        up, down: the queries' positive and negative components; a negative one reads its list from below."""
-        last = len(self.c) - 1
-        top, bottom = self.sorted[max(last - depth + 1, 0)], self.sorted[min(depth - 1, last)]
-        upper = up @ np.maximum(self.c, top).T + down @ np.minimum(self.c, bottom).T
-        lower = up @ np.where(self.c >= top, self.c, self.sorted[0]).T + down @ np.where(self.c <= bottom, self.c, self.sorted[-1]).T
-        return lower, upper
+def padded(m: np.ndarray, dims: int) -> np.ndarray:
+    return np.pad(m, ((0, 0), (0, dims - m.shape[1])))
 
 
-def nra(lists: Lists, ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, candidate's id, score) of each query's k best in a block that reach its floor."""
-    up, down = np.maximum(query, 0), np.minimum(query, 0)
+class Reading:
+    """How far the sorted lists of one block of candidates are read for some queries, and what is known of scores."""
+
+    def __init__(self, candidates: np.ndarray, queries: np.ndarray) -> None:
+        self.c, self.n = candidates, len(candidates)
+        order = np.argsort(candidates, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(candidates, order, axis=0)
+        self.place = np.empty_like(order)  # of each entry, from below
+        np.put_along_axis(self.place, order, np.arange(self.n)[:, None], axis=0)
+        self.up, self.down = np.maximum(queries, 0), np.minimum(queries, 0)
+        self.sum, self.depth = np.zeros((len(queries), self.n)), 0
+
+    def read(self, depth: int) -> None:
+        """Reads every list up to ``depth`` entries: from above for positive components, from below for negative ones."""
+        from_above = self.n - 1 - self.place
+        for q, place in ((self.up, from_above), (self.down, self.place)):
+            self.sum += q @ np.where((place >= self.depth) & (place < depth), self.c, 0.0).T
+        self.depth = depth
+
+    def bounds(self) -> tuple[np.ndarray, np.ndarray]:
+        """Least and largest score each candidate may have."""
+        if self.depth >= self.n:
+            return self.sum, self.sum
+        high, low = self.sorted[self.n - self.depth] if self.depth else self.sorted[-1], self.sorted[max(self.depth - 1, 0)]
+        unread_up = (self.place < self.n - self.depth).astype(float).T
+        unread_down = (self.place >= self.depth).astype(float).T
+        most = (self.up * high) @ unread_up + (self.down * low) @ unread_down
+        least = (self.up * self.sorted[0]) @ unread_up + (self.down * self.sorted[-1]) @ unread_down
+        return self.sum + least, self.sum + most
+
+    def keep(self, queries: np.ndarray, candidates: np.ndarray) -> None:
+        """Goes on for these queries and candidates alone; the lists stay."""
+        self.up, self.down, self.sum = self.up[queries], self.down[queries], self.sum[np.ix_(queries, candidates)]
+        self.c, self.place = self.c[candidates], self.place[candidates]
+
+    def rest(self, q: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Final scores of pairs: what was read, and their entries that were not."""
+        place = self.place[c]
+        unread = np.where(self.up[q] > 0, place < self.n - self.depth, place >= self.depth)
+        return self.sum[q, c] + np.einsum("ij,ij->i", self.up[q] + self.down[q], np.where(unread, self.c[c], 0.0))
+
+
+def nra(candidates: np.ndarray, ids: np.ndarray, query: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict[str, float]]:
+    """(query's place, candidate's id, score) of each query's k best in a block that reach its floor, and how much was read."""
+    reading, out = Reading(candidates, query), []
+    which, here, floor = np.arange(len(query)), np.arange(len(ids)), floor.copy()
     own = query_ids[:, None] == ids
-    alive = ~own
+    seen = {"pairs": float(own.size), "read": 0.0, "resolved": 0.0}
     for share in DEPTHS:
-        lower, upper = lists.bounds(up, down, max(1, int(share * len(ids))))
-        if len(ids) > k:
-            lower[own] = -np.inf
-            floor = np.maximum(floor, np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k])
-        alive = ~own & (upper >= floor[:, None])
-        if alive.sum() <= 2 * k * len(query):
+        depth = max(1, int(share * reading.n))
+        seen["read"] += (depth - reading.depth) * len(which) * query.shape[1]
+        reading.read(depth)
+        least, most = reading.bounds()
+        mine = own[np.ix_(which, here)]
+        if len(here) > k:
+            least = np.where(mine, -np.inf, least)
+            floor[which] = np.maximum(floor[which], np.partition(least, len(here) - k, axis=1)[:, len(here) - k])
+        alive = ~mine & (most >= floor[which, None])
+        done = alive.sum(axis=1) <= 2 * k
+        done |= share == DEPTHS[-1]
+        q, c = np.nonzero(alive & done[:, None])
+        if share < DEPTHS[-1]:
+            seen["resolved"] += len(q)
+        out.append((which[q], ids[here[c]], reading.rest(q, c)))
+        left = np.flatnonzero(~done)
+        if not len(left):
             break
-    some = np.flatnonzero(alive.any(axis=0))
-    score = np.where(alive[:, some], query @ lists.c[some].T, -np.inf)
-    if len(some) > k:
-        floor = np.maximum(floor, np.partition(score, len(some) - k, axis=1)[:, len(some) - k])
-    q, at = np.nonzero((score >= floor[:, None]) & np.isfinite(score))
-    return q, ids[some[at]], score[q, at]
+        go = np.flatnonzero(alive[left].any(axis=0))
+        reading.keep(left, go)
+        which, here = which[left], here[go]
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), seen
 
 
 def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
@@ -114,44 +154,48 @@ def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarra
     return order[rank < k]
 
 
-def topk(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) for queries and rows (vec_id, v), neither of which is broadcast."""
-    groups = parts(rows.sparkSession)
-    asked = blocks(queries, QUERIES).select(F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("dims").alias("q_dims"), F.col("values").alias("q_values"))
-    asked = asked.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    there = blocks(rows, BLOCK).withColumn("group", (F.col("block") % groups).cast("int"))
-    met = asked.join(there.hint("merge"), "group").repartition(groups, "group", "q_block").sortWithinPartitions("group", "q_block", "block")
+def asked(rows: DataFrame, block: bytes, floor: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score): each task's k best of its rows for one block of queries, from the floor on."""
+    sent = rows.sparkSession.sparkContext.broadcast((block, floor))  # at most QUERIES rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, {}
+        query_ids, query = opened(sent.value[0])
+        floor = sent.value[1].copy()
+        q, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        for part in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
+            m = matrix(part.column("v"))
+            dims = max(m.shape[1], query.shape[1])
+            *new, _ = nra(padded(m, dims), part.column("vec_id").to_numpy(zero_copy_only=False), padded(query, dims), query_ids, floor, k)
+            q, ids, score = (np.concatenate(x) for x in zip((q, ids, score), new, strict=True))
+            kept = best(q, ids, score, k)
+            q, ids, score = q[kept], ids[kept], score[kept]
+            full = np.flatnonzero(np.bincount(q, minlength=len(query_ids)) >= k)
+            floor[full] = np.maximum(floor[full], score[np.searchsorted(q, full, "right") - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+
+    return rows.mapInArrow(tk.tidy(run), "query_id long, vec_id long, score long")
 
-        def close() -> Iterator[pa.RecordBatch]:
-            if now is not None:
-                q, ids, score = found
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
 
-        for b in batches:
-            for r in b.to_pylist():
-                ids, query_ids_here = tk.unpack(r["ids"])[0], tk.unpack(r["q_ids"])[0]
-                dims = max(r["dims"], r["q_dims"])
-                if now != (r["group"], r["q_block"]):
-                    yield from close()
-                    now, query_ids = (r["group"], r["q_block"]), query_ids_here
-                    found, floor = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(query_ids), -np.inf)
-                if (r["block"], dims) not in held:  # a group's blocks come again with the next queries
-                    held = {} if len(held) > 16 else held
-                    held[r["block"], dims] = Lists(wide(r["values"], len(ids), dims))
-                new = nra(held[r["block"], dims], ids, wide(r["q_values"], len(query_ids), dims), query_ids, floor, k)
-                found = tuple(np.concatenate(x) for x in zip(found, new, strict=True))
-                keep = best(*found, k)
-                found = tuple(x[keep] for x in found)
-                full = np.flatnonzero(np.bincount(found[0], minlength=len(query_ids)) >= k)
-                floor[full] = found[2][np.searchsorted(found[0], full, "right") - 1]
-        yield from close()
-
-    partial = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return partial.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+def topk(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, rank, vec_id, score) for queries and rows (vec_id, v). Query ids are unique."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    wanted = -(-queries.count() // QUERIES)
+    packed = settle(blocks(queries.repartition(max(1, wanted)), QUERIES))
+    found = []
+    for row in packed.toLocalIterator():  # a block at a time
+        block = bytes(row["block"])
+        ids = opened(block)[0]
+        first = asked(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(FIRST)) == 0), block, np.full(len(ids), -np.inf), k)
+        last = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score")
+        known = {r["query_id"]: r["score"] for r in last.collect()}  # at most QUERIES rows
+        floor = np.array([known.get(i, -np.inf) for i in ids.tolist()], float)
+        found.append(asked(rows, block, floor, k))
+        if wanted > 1:
+            found[-1] = settle(found[-1])
+    if not found:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
+    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
+    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:

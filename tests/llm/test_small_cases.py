@@ -350,6 +350,38 @@ def test_topk(spark):
     assert few.count() == 2 and op06_topk.topk(found.limit(0), found, 5).isEmpty()
 
 
+def test_topk_reads_lists_in_slabs_and_stops():
+    rng = np.random.default_rng(4)
+    c = np.floor(rng.normal(size=(600, 6)) ** 3 * 1024)
+    q, ids = np.floor(rng.normal(size=(20, 6)) * 1024), np.arange(600)
+    reading = op06_topk.Reading(c, q)
+    for depth in (1, 7, 300, 599, 600):
+        reading.read(depth)
+        least, most = reading.bounds()
+        assert (least <= q @ c.T).all() and (q @ c.T <= most).all()
+        a, b = np.nonzero(np.ones((20, 600), bool))
+        assert np.array_equal(reading.rest(a, b), (q @ c.T).ravel())
+    at, found, score, seen = op06_topk.nra(c, ids, q, np.full(20, -1), np.full(20, -np.inf), 5)
+    for k in range(20):
+        wanted = sorted(((-s, i) for i, s in enumerate(q[k] @ c.T)))[:5]
+        assert sorted(zip(-score[at == k], found[at == k]))[:5] == wanted
+    assert seen["read"] < seen["pairs"] * 6 and seen["resolved"] > 0
+
+
+def test_topk_takes_queries_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(op06_topk, "QUERIES", 7)
+    monkeypatch.setattr(op06_topk, "BLOCK", 16)
+    rng = np.random.default_rng(2)
+    table = op06_topk.clean(vectors(spark, [(i, [float(x) for x in rng.normal(size=4)], 0) for i in range(200)]))
+    rows = {r["vec_id"]: np.array(r["v"]) for r in table.collect()}
+    got = op06_topk.topk(table.where("vec_id < 30"), table, 3).toPandas()
+    for q in range(30):
+        wanted = sorted((-int(rows[q] @ v), i) for i, v in rows.items() if i != q)[:3]
+        one = got[got["query_id"] == q].sort_values("rank")
+        assert list(zip(-one["score"], one["vec_id"])) == wanted
+    assert op06_topk.topk(table.where("vec_id < 3"), table.limit(0), 3).isEmpty()
+
+
 def test_embedding(spark):
     rows = some_vectors()
     m = {k: np.array(v, np.float32).astype(float) for k, (_, v, _) in enumerate(rows) if good(v) and any(v)}
@@ -364,6 +396,32 @@ def test_embedding(spark):
     assert op07_embedding.near_duplicates(vectors(spark, rows).limit(0)).isEmpty()
 
 
+def test_embedding_groups_stay_linear(spark, monkeypatch):
+    monkeypatch.setattr(op07_embedding, "HOME", 1000)
+    rng = np.random.default_rng(8)
+    centre = rng.normal(size=16)
+    m = np.concatenate([rng.normal(size=(1000, 16)), centre + rng.normal(size=(2000, 16)) * 0.02])
+    table = vectors(spark, [(i, [float(x) for x in v], 0) for i, v in enumerate(m)] + [(5000 + i, [-0.0, 1.0] + [0.0] * 14, 0) for i in range(50)])
+    one = cluster.settle(op07_embedding.classes(op07_embedding.prepared(table)))
+    made = op07_embedding.range_join(one).count()
+    assert made < 5 * 3001
+    got = op07_embedding.near_duplicates(table).toPandas().set_index("vec_id")
+    u = m.astype(np.float32).astype(float)
+    u = u / np.linalg.norm(u, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    assert got.loc[range(3000), "n_links"].tolist() == (near.sum(axis=1) - 1).tolist()
+    assert got.loc[range(1000, 3000), "component_id"].nunique() == 1 and (got.loc[range(5000, 5050), "n_links"] == 49).all()
+
+
+def test_pivots_are_more_where_vectors_have_one_close_by():
+    rng = np.random.default_rng(1)
+    r = float(np.sqrt(0.2))
+    spread_out = op07_embedding.unit(rng.normal(size=(8000, 64)))
+    close = op07_embedding.unit(np.repeat(rng.normal(size=(100, 64)), 80, axis=0)[rng.permutation(8000)] + rng.normal(size=(8000, 64)) * 0.05)
+    assert len(op07_embedding.choose(spread_out, 100_000, r)) == 13
+    assert len(op07_embedding.choose(close, 100_000_000, r)) > 100
+
+
 def test_chat_folds_events(spark):
     log = [
         (1, 1, 1, "start", "user", "Hi"), (1, 2, 2, "start", "assistant", None), (1, 3, 2, "delta", None, "bad"), (1, 4, 3, "start", "user", "later"),
