@@ -1,22 +1,25 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-A file's notices are its lines that name a licence, a copyright or a permission. Each notice and each template is a bag of lower-case words, weighted by
-count times inverse document frequency over the templates (words that no template has weigh most, so foreign
-text lowers a score). The sparse product is a join on words with the templates' weights, a fixed table of a
-few hundred rows.
-
-A file with a notice is scored in larger units, too: each run of neighbouring comment or notice lines, each paragraph and the
-whole text, against headers, titles and whole licence texts (``licences/``). There, words are weighted by their
+Every file is read whole. Each of its lines is a bag of lower-case words, held against short notices; words are weighted
+by count times inverse document frequency over these (words that no notice has weigh most, so foreign
+text lowers a score). Each run of neighbouring comment or notice lines, each paragraph and the whole text are held
+against headers, titles and whole licence texts (``licences/``); there, words are weighted by their
 document frequency over all files, counted in Spark. An SPDX identifier names its licence and scores 1.
 A file's own licence is that of the highest score, if that reaches the threshold.
 
-A file without one inherits: every directory that holds files with a licence of their own declares it (that
+By the Cauchy-Schwarz inequality a bag reaches the threshold only if a template's words that it has carry that share of the
+template's norm, and words of templates that share of its own (other words weigh their count at least). A file, line or
+unit for which this fails cannot score, and goes no further; no key words are asked for. What is left is a sparse product:
+a join on words with the templates' weights, a fixed table.
+
+A file without a licence of its own inherits: every directory that holds files with one declares it (that
 of the first such path), every other file looks up all its ancestor directories by an equi-join on path,
 and takes the deepest that declares one.
 
 Cases: null or empty texts and texts without notices have no licence of their own; ties go to the first
-template name, then the first path; a null path belongs to no directory; repeated rows get equal results, each its own
-row; very long texts are split into lines, never cut; extra columns are ignored; an empty table gives no rows.
+template name, then the first path; a null path belongs to no directory; rows are files each on their own, whatever their
+ids, which may be null or repeated; very long texts are split into lines, never cut; extra columns are ignored; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,15 +30,17 @@ from collections import Counter
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from profilion.llm import textkit as tk
 from profilion.llm.cluster import settle
 
 THRESHOLD = 0.6
-#: Which lines are notices.
+#: Lines that belong to a run as comment lines do.
 NOTICE = r"(?i)licen[cs]e|copyright|spdx-|permission is"
 WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 #: Common notices of public licences.
@@ -132,78 +137,124 @@ def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, flo
     return rows, math.log(1 + len(bags)) + 1
 
 
-def unit_words(files: DataFrame) -> DataFrame:
-    """(file_id, unit, word, n): bags of the units of every file with a notice."""
+class Bound:
+    """Which bags of words may reach a threshold: templates' weights by word, each template's of norm 1."""
+
+    def __init__(self, rows: list[tuple[int, str, float, float]], rare: float, threshold: float) -> None:
+        self.rare, self.least = rare, threshold * threshold * (1 - 1e-9)
+        self.idf, self.shares, self.place = {w: idf for _, w, idf, _ in rows}, np.zeros((1 + max(t for t, *_ in rows), len({r[1] for r in rows}))), {}
+        for t, w, _, share in rows:
+            self.shares[t, self.place.setdefault(w, len(self.place))] = share * share
+
+    def template(self, words: set[str]) -> bool:
+        """Whether some template may be reached by bags of these words."""
+        known = [self.place[w] for w in words if w in self.place]
+        return bool(known) and bool(self.shares[:, known].sum(axis=1).max() >= self.least)
+
+    def bag(self, bag: Counter) -> bool:
+        known = other = 0.0
+        for w, n in bag.items():
+            idf = self.idf.get(w)
+            if idf is None:
+                other += (n * self.rare) ** 2
+            else:
+                known += (n * idf) ** 2
+        return known >= self.least * (known + other) and self.template(set(bag))
+
+
+FILE, LINE, UNIT, NAMED = range(4)
+SCANNED = "kind int, key long, path string, unit int, word string, n long"
+
+
+def scanned(files: DataFrame, lines: Bound, larger: Bound) -> DataFrame:
+    """Written rows of four kinds: every file and its key; bags of lines, and of larger units, that may reach the threshold; and
+    SPDX identifiers (in word)."""
+    sent = files.sparkSession.sparkContext.broadcast((lines, larger))  # the words of fixed templates
+    schema = StructType([*_parse_datatype_string(SCANNED).fields, files.schema["file_id"]])
+    names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines, larger = sent.value
+        word, spdx = re.compile(WORD), re.compile(SPDX)
         for b in batches:
-            row, unit, word, many = held = [], [], [], []
-
-            def batch(ids=b.column("file_id"), held=held) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([ids.take(pa.array(held[0], pa.int64())), pa.array(held[1], pa.int32()), pa.array(held[2], pa.string()), pa.array(held[3], pa.int64())], ["file_id", "unit", "word", "n"])
-
-            for k, text in enumerate(b.column("text")):
-                known = set()
-                for u, part in enumerate(units(text.as_py())):
-                    if part in known:  # a paragraph may be the run, or all there is
-                        continue
-                    known.add(part)
-                    bag = Counter(re.findall(WORD, part.lower()))
-                    row += [k] * len(bag)
-                    unit += [u] * len(bag)
-                    word += bag
-                    many += bag.values()
-                    if len(row) > 50_000:
-                        yield batch()
-                        for x in held:
-                            x.clear()
+            n = b.num_rows
+            ids = b.column("file_id")
+            yield pa.RecordBatch.from_arrays([pa.array([FILE] * n, pa.int32()), b.column("key"), b.column("path"), *(pa.nulls(n, t) for t in (pa.int32(), pa.string(), pa.int64())), ids], names)
+            held = []
+
+            def batch(held=held, ids=ids) -> pa.RecordBatch:
+                kind, key, unit, said, many = zip(*held, strict=True) if held else ((),) * 5
+                m = len(held)
+                return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.nulls(m, pa.string()), pa.array(unit, pa.int32()), pa.array(said, pa.string()), pa.array(many, pa.int64()), pa.nulls(m, ids.type)], names)
+
+            for key, text in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
+                text = text.as_py() or ""
+                words = set(word.findall(text.lower()))
+                if lines.template(words):
+                    for at, line in enumerate(text.split("\n")):
+                        bag = Counter(word.findall(line.lower()))
+                        if bag and lines.bag(bag):
+                            held += [(LINE, key, at, w, n) for w, n in bag.items()]
+                if larger.template(words):
+                    known = set()
+                    for at, part in enumerate(units(text)):
+                        if part in known:  # a paragraph may be the run, or all there is
+                            continue
+                        known.add(part)
+                        bag = Counter(word.findall(part.lower()))
+                        if bag and larger.bag(bag):
+                            held += [(UNIT, key, at, w, n) for w, n in bag.items()]
+                if "spdx-license-identifier" in text.lower():
+                    held += [(NAMED, key, 0, m[1], 1) for m in spdx.finditer(text)]
+                if len(held) > 50_000:
+                    yield batch()
+                    held.clear()
             yield batch()
 
-    schema = StructType([files.schema["file_id"], *_parse_datatype_string("unit int, word string, n long").fields])
-    return files.where(F.col("text").rlike(NOTICE)).select("file_id", "text").mapInArrow(run, schema)
+    keyed = files.select("file_id", F.col("path").cast("string").alias("path"), "text", F.monotonically_increasing_id().alias("key"))
+    return settle(keyed.mapInArrow(tk.tidy(run), schema))
 
 
-def unit_scores(files: DataFrame, threshold: float) -> DataFrame:
-    """(file_id, name, score) of units that reach the threshold, weighted by document frequency over all files."""
-    spark, total = files.sparkSession, files.count()
-    spread = files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("spread"))
-    idf = F.log((1.0 + total) / (1.0 + F.coalesce("spread", F.lit(0)))) + 1.0
-    bags = [(k, name, w, n) for k, (name, text) in enumerate(full_templates()) for w, n in sorted(Counter(re.findall(WORD, text.lower())).items())]
-    spread = settle(spread)
-    fixed = spark.createDataFrame(bags, "template int, name string, word string, n long").join(spread, "word", "left").withColumn("w", F.col("n") * idf)
-    sizes = fixed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    fixed = settle(fixed.join(sizes, "template").select("template", "name", "word", (F.col("w") / F.col("size")).alias("share")))
-    counts = settle(unit_words(files).groupBy("file_id", "unit", "word").agg(F.sum("n").alias("n")).join(spread, "word", "left").withColumn("w", F.col("n") * idf).select("file_id", "unit", "word", "w"))
-    norms = counts.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counts.join(F.broadcast(fixed), "word").groupBy("file_id", "unit", "template", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    return dots.join(norms, ["file_id", "unit"]).select("file_id", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+def products(counts: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
+    """(key, name, score) of bags (key, unit, word, w) and templates (template, name, word, share) that reach the threshold."""
+    norms = counts.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = counts.join(F.broadcast(templates), "word").groupBy("key", "unit", "template", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))  # the words of fixed templates
+    return dots.join(norms, ["key", "unit"]).select("key", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
 
 
-def spdx_scores(lines: DataFrame) -> DataFrame:
-    """(file_id, name, score) of SPDX identifiers in notices; -only and -or-later name the same licence."""
+def spdx_scores(found: DataFrame) -> DataFrame:
+    """(key, name, score) of SPDX identifiers; -only and -or-later name the same licence."""
     names = sorted({name for name, _ in (*TEMPLATES, *full_templates())})
     known = F.create_map(*(F.lit(x) for name in names for x in (name.lower(), name)))
-    said = lines.select("file_id", F.regexp_extract("notice", SPDX, 1).alias("said")).where("said <> ''")
-    said = said.withColumn("said", F.regexp_replace(F.regexp_replace("said", r"^\(([^()]*)\)$", "$1"), r"(?i)(?:-only|-or-later|\+)(?=[\s)]|$)", ""))
-    return said.select("file_id", F.coalesce(known[F.lower("said")], "said").alias("name"), F.lit(1.0).alias("score"))
+    said = F.regexp_replace(F.regexp_replace("word", r"^\(([^()]*)\)$", "$1"), r"(?i)(?:-only|-or-later|\+)(?=[\s)]|$)", "")
+    return found.select("key", F.coalesce(known[F.lower(said)], said).alias("name"), F.lit(1.0).alias("score"))
+
+
+def spread_of(files: DataFrame) -> DataFrame:
+    """(word, spread): in how many files each word occurs."""
+    return files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("spread"))
 
 
-def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(file_id, licence, score) of files (file_id, text) that carry a notice."""
+def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """All files (key, file_id, path), and (key, licence, score) of those that carry a licence of their own."""
+    spark, total = files.sparkSession, files.count()
     rows, rare = template_weights(templates)
-    spark = files.sparkSession
-    weights = spark.createDataFrame(rows, "template int, name string, word string, idf double, share double")
-    lines = files.select("file_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x.rlike(NOTICE))).alias("line", "notice"))
-    terms = lines.select("file_id", "line", F.explode(F.regexp_extract_all(F.lower("notice"), F.lit(WORD), F.lit(0))).alias("word"))
-    counts = terms.groupBy("file_id", "line", "word").agg(F.count("*").alias("n"))
-    idfs = F.broadcast(weights.select("word", "idf").distinct())  # the words of the fixed templates
-    counts = counts.join(idfs, "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(rare)))
-    norms = counts.groupBy("file_id", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counts.join(F.broadcast(weights.select("template", "name", "word", "share")), "word").groupBy("file_id", "line", "template", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))
-    scores = dots.join(norms, ["file_id", "line"]).select("file_id", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
-    scores = scores.unionByName(unit_scores(files, threshold)).unionByName(spdx_scores(lines))
-    best = scores.groupBy("file_id").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("b"))
-    return best.select("file_id", F.col("b.name").alias("licence"), (-F.col("b.low")).alias("score"))
+    short = spark.createDataFrame(rows, "template int, name string, word string, idf double, share double")
+    spread = settle(spread_of(files))
+    idf = F.log((1.0 + total) / (1.0 + F.coalesce("spread", F.lit(0)))) + 1.0
+    bags = [(k, name, w, n) for k, (name, text) in enumerate(full_templates()) for w, n in sorted(Counter(re.findall(WORD, text.lower())).items())]
+    fixed = spark.createDataFrame(bags, "template int, name string, word string, n long").join(spread, "word", "left").withColumn("idf", idf).withColumn("w", F.col("n") * F.col("idf"))
+    sizes = fixed.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
+    fixed = settle(fixed.join(sizes, "template").select("template", "name", "word", "idf", (F.col("w") / F.col("size")).alias("share")))
+    larger = [(r["template"], r["word"], r["idf"], r["share"]) for r in fixed.collect()]  # the words of fixed templates
+    found = scanned(files, Bound([(t, w, i, x) for t, _, w, i, x in rows], rare, threshold), Bound(larger, 1.0, threshold))
+
+    lines = found.where(F.col("kind") == LINE).join(F.broadcast(short.select("word", "idf").distinct()), "word", "left")  # the same
+    lines = lines.select("key", "unit", "word", (F.col("n") * F.coalesce("idf", F.lit(rare))).alias("w"))
+    units_ = found.where(F.col("kind") == UNIT).join(spread, "word", "left").select("key", "unit", "word", (F.col("n") * idf).alias("w"))
+    scores = products(lines, short.select("template", "name", "word", "share"), threshold).unionByName(products(units_, fixed.drop("idf"), threshold)).unionByName(spdx_scores(found.where(F.col("kind") == NAMED)))
+    best = scores.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("b"))
+    return found.where(F.col("kind") == FILE).select("key", "file_id", "path"), best.select("key", F.col("b.name").alias("licence"), (-F.col("b.low")).alias("score"))
 
 
 def ancestors(path: str = "path"):
@@ -214,8 +265,8 @@ def ancestors(path: str = "path"):
 
 def scan(files: DataFrame, **how) -> DataFrame:
     """(file_id, path, licence, score, inherited_from) for every row of files (file_id, path, text)."""
-    found = settle(own_licences(files, **how))
-    rows = files.select("file_id", "path").join(found, "file_id", "left")
+    rows, found = own_licences(files, **how)
+    rows = settle(rows.join(found, "key", "left").drop("key"))
     declared = rows.where("licence IS NOT NULL AND path IS NOT NULL").withColumn("directory", F.element_at(ancestors(), 1)).groupBy("directory").agg(F.min(F.struct("path", "licence")).alias("first"))
     declared = declared.select("directory", F.col("first.licence").alias("given"))
     # paths are looked up once for each directory that holds files, however many those are
@@ -243,7 +294,7 @@ def _oracle() -> str:
 WITH weights(template, name, word, idf, share) AS (VALUES {values}),
 files AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN source WHEN doc_id % 13 = 0 THEN source || '/' || lang
   ELSE source || '/' || lang || '/' || CAST(doc_id // 640 AS VARCHAR) END AS home, text FROM documents),
-lines AS (SELECT doc_id, unnest([x for x in string_split(text, chr(10)) if regexp_matches(x, '{NOTICE}')]) AS notice FROM files),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS notice FROM files),
 numbered AS (SELECT doc_id, row_number() OVER () AS line, notice FROM lines),
 terms AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM numbered),
 counts AS (SELECT doc_id, line, word, count(*) AS n FROM terms GROUP BY ALL),

@@ -475,6 +475,25 @@ int main() { return 0; }
     assert got == {k: name for k, (name, _) in enumerate(files)}
 
 
+def test_license_of_files_with_null_or_repeated_ids(spark):
+    files = [(None, "a/x", "Released under the MIT License."), (None, "b/y", "nothing"), (1, "c/x", "a line\nBSD 3-Clause License"), (1, "d/x", "one\ntwo three"), (2, "a/z", "x"), (3, "e/f", prose(1, 30_000) + "\nGNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n"), (4, "h/g", "SPDX-License-Identifier: Apache-2.0")]
+    got = op01_license.scan(spark.createDataFrame(files, "file_id long, path string, text string").withColumns({c: F.lit(1) for c in ("key", "unit", "kind", "word", "licence", "score")}))
+    assert {r["path"]: r["licence"] for r in got.collect()} == {"a/x": "MIT", "b/y": None, "c/x": "BSD-3-Clause", "d/x": None, "a/z": "MIT", "e/f": "GPL-3.0", "h/g": "Apache-2.0"}
+
+
+def test_license_bound_holds_no_bag_back():
+    rows, rare = op01_license.template_weights()
+    bound = op01_license.Bound([(t, w, i, x) for t, _, w, i, x in rows], rare, op01_license.THRESHOLD)
+    rng, vocabulary = np.random.default_rng(0), sorted({w for _, _, w, _, _ in rows}) + ["other", "words"]
+    for _ in range(3000):
+        bag = Counter(rng.choice(vocabulary, rng.integers(1, 12)).tolist())
+        norm = np.sqrt(sum((n * bound.idf.get(w, rare)) ** 2 for w, n in bag.items()))
+        dots = Counter()
+        for t, _, w, i, x in rows:
+            dots[t] += bag[w] * i * x
+        assert bound.bag(bag) or max(dots.values()) / norm < op01_license.THRESHOLD
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(0, 300)] + [(500, k) for k in range(501, 700)]
     got = cluster.components(spark.createDataFrame(links, "a long, b long")).toPandas().set_index("node")["component"]
