@@ -4,7 +4,8 @@ Texts are sets of word shingles (BITS-bit fingerprints), made in one scan and wr
 these. Equal sets are one set from the start. Two sets whose Jaccard similarity reaches the threshold share a shingle
 among the first of each in any common order (as many as may be missing, and one), and their sizes lie within the
 threshold of each other. A tile therefore holds the sets of one band of sizes that share such a prefix shingle, and as
-guests those of the band below; bands are as wide as the threshold, so partners lie in one band or in neighbouring ones.
+guests those of the band below that are large enough for a partner in it; bands are BANDS times as wide as the
+threshold, so partners lie in one band or in neighbouring ones, and about one set in BANDS is a guest.
 All shingles are counted, and the order puts those that many sets hold last, so that common passages make no
 tiles. The counts reach the tasks as a filter of bounded size; what it mistakes changes the order alike for all
 texts, and the order changes only the work, never the result.
@@ -14,10 +15,10 @@ and as signatures differ in no more bits than sets in shingles, the count of dif
 overlap from above. Pairs that pass get an exact intersection of sorted arrays.
 
 Groups of near copies are linked to one centre each first: for a few permutations, sets of equal least
-shingle are dealt SALT ways, compared with one of their part, the set with the fewest shingles of its own (what all
-copies were made from has none) or another, and these with one of all parts. What that links is one component, and
-tiles then make only pairs between different components, so that a group costs in proportion to its size. Pairs to
-compare meet by their centre, salted SALT ways; a task holds one centre's set at a time.
+shingle are compared with one of them, the set with the fewest shingles of its own (what all copies were made
+from has none) or another. What that links is one component, and tiles then make only
+pairs between different components, so that a group costs in proportion to its size. A group finds its centre WAYS
+ways; pairs to compare meet by their centre, salted SALT ways; a task holds one centre's set at a time.
 
 Cases: null and empty texts and such without words have no shingles, link with nothing and are their own component;
 with fewer words than ``width`` the whole sequence is the one shingle; ties do not matter; repeated rows link
@@ -39,8 +40,9 @@ from profilion.llm.cluster import components, key_filter, may_hold, parts, settl
 WIDTH, PERCENT = 5, 75
 #: Bits of a shingle, and of a text's place in its chunk.
 BITS, ROWS = 54, 10
-#: Permutations for centres; parts of a centre's pairs; ranges of prefix shingles for each task, and chunks for a range.
-SEEDS, SALT, RANGES_PER_TASK, CHUNKS_PER_RANGE = 6, 16, 4, 8
+#: Permutations for centres; parts of a group, and of a centre's pairs; ranges of prefix shingles for each task, and
+#: chunks for a range; how many times the threshold a band of sizes is wide.
+SEEDS, WAYS, SALT, RANGES_PER_TASK, CHUNKS_PER_RANGE, BANDS = 6, 4, 16, 4, 8, 4
 #: Shingles are counted by COUNTED bits and by blocks of BLOCK. Those that FEW sets hold, or as many more as
 #: leaves COMMON of them, go last.
 COUNTED, BLOCK, FEW, COMMON = 40, 1 << 20, 6, 2_000_000
@@ -263,9 +265,11 @@ def prefixes(stored: DataFrame, percent: int, last: np.ndarray) -> DataFrame:
     return stored.mapInArrow(tk.tidy(run), "name long, n long, prefix binary")
 
 
-def band(n: np.ndarray, percent: int) -> np.ndarray:
-    """Bands of sizes, a little wider than the threshold: sizes that allow a link differ by one band at most."""
-    return np.floor(np.log(n) / (-np.log(min(percent, 99) / 100) * (1 + 1e-9))).astype(np.int64)
+def band(n: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each size's band, and whether it may have a partner in the band above. Bands are a little wider than they need be."""
+    at = np.log(n) / (-np.log(min(percent, 99) / 100) * BANDS)
+    own = np.floor(at)
+    return own.astype(np.int64), at - own >= 1 - (1 + 1e-6) / BANDS
 
 
 def tiles(found: DataFrame, percent: int, ranges: int) -> DataFrame:
@@ -282,9 +286,10 @@ def tiles(found: DataFrame, percent: int, ranges: int) -> DataFrame:
             lists = [tk.unpack(x) for x in b.column("prefix").to_pylist()]
             size = np.array([len(x[0]) for x in lists])
             value, place, row = np.concatenate([np.cumsum(x[0]) for x in lists]), np.concatenate([x[1] for x in lists]), np.repeat(np.arange(len(lists)), size)
-            own = band(b.column("n").to_numpy(), percent)[row]
-            tile = np.concatenate([tk.mix(value ^ tk.mix((own + up + 1).astype(tk.U))) >> tk.U(64 - BITS) for up in (0, 1)])
-            place, row, guest = np.tile(place, 2), np.tile(row, 2), np.repeat(np.array([0, 1], np.uint8), len(row))
+            own, up = (x[row] for x in band(b.column("n").to_numpy(), percent))
+            tile = np.concatenate([tk.mix(x ^ tk.mix((of + 1).astype(tk.U))) >> tk.U(64 - BITS) for x, of in ((value, own), (value[up], own[up] + 1))])
+            guest = np.repeat(np.array([0, 1], np.uint8), [len(row), up.sum()])
+            place, row = np.append(place, place[up]), np.append(row, row[up])
             order = np.argsort(tile, kind="stable")
             tile, place, row, guest = tile[order], place[order], row[order], guest[order]
             name, n, component = (b.column(k).to_numpy()[row] for k in ("name", "n", "component"))
@@ -343,16 +348,13 @@ def tiles(found: DataFrame, percent: int, ranges: int) -> DataFrame:
 
 def near_centres(one: DataFrame) -> DataFrame:
     """Pairs (a, b) of names to try first: each set with one that shares a least shingle, for even seeds that with the
-    fewest rare shingles, else any. A group is dealt SALT ways; the centre of each part meets the centre of all."""
-    spots = one.select("name", "rare", F.pmod(F.xxhash64("name"), F.lit(SALT)).alias("salt"), F.posexplode("least").alias("seed", "spot"))
+    fewest rare shingles, else any. A group meets its centre in WAYS parts."""
+    spots = one.select("name", "rare", F.posexplode("least").alias("seed", "spot"))
     spots = spots.withColumn("rank", F.struct(F.when(F.col("seed") % 2 == 0, F.col("rare")).otherwise(0).alias("rare"), F.xxhash64("name", "seed").alias("any")))
-    pairs = []
-    for keys in (["seed", "spot", "salt"], ["seed", "spot"]):
-        centre = spots.groupBy(*keys).agg(F.min(F.struct("rank", "name")).alias("c"), F.count("*").alias("many"))
-        pairs.append(spots.join(centre.where("many > 1").select(*keys, F.col("c.name").alias("a")), keys).where("a <> name"))
-        spots = centre.select(*keys, "c.rank", "c.name")
-    both = pairs[0].select("a", "name").unionByName(pairs[1].select("a", "name"))
-    return both.select(F.least("a", "name").alias("a"), F.greatest("a", "name").alias("b")).distinct()
+    centre = spots.groupBy("seed", "spot").agg(F.min(F.struct("rank", "name")).alias("c"), F.count("*").alias("many")).where("many > 1")
+    centre = centre.select("seed", "spot", F.col("c.name").alias("a"), F.explode(F.sequence(F.lit(0), F.lit(WAYS - 1))).alias("way"))
+    pairs = spots.select("name", "seed", "spot", F.pmod(F.xxhash64("name"), F.lit(WAYS)).cast("int").alias("way")).join(centre, ["seed", "spot", "way"]).where("a <> name")
+    return pairs.select(F.least("a", "name").alias("a"), F.greatest("a", "name").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
