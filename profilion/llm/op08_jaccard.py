@@ -55,7 +55,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     """(ids, blob): the shingles of about 1 MB of text each, written; ids in order, blob: hashed ids and sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in tk.chunks(batches, rows=1 << ROWS):
+        for c in tk.chunks(batches, rows=(1 << ROWS) - 1):
             words, first = tk.word_hashes(c)
             values, doc = tk.rolled(words, first, width)
             key = np.sort(doc.astype(tk.U) << tk.U(BITS) | values >> tk.U(64 - BITS))

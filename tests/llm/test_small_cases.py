@@ -101,6 +101,12 @@ def test_jaccard_links_across_bands_and_in_large_groups(spark):
     assert got.loc[range(4, len(rows)), "component_id"].nunique() == 1
 
 
+def test_jaccard_of_many_short_texts(spark):
+    docs = spark.createDataFrame([(i, f"t{i % 2500}") for i in range(5000)], "doc_id long, text string").coalesce(1)
+    got = op08_jaccard.classes(docs).toPandas()
+    assert (got["component_id"] == got["doc_id"] % 2500).all() and (got["n_shingles"] == 1).all()
+
+
 def test_suffix(docs, texts):
     rows = [t.encode() for t in [*[t or "" for t in texts], texts[6]]]
     seen = Counter(r[i : i + 200] for r in rows for i in range(len(r) - 199))
