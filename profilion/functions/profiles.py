@@ -88,3 +88,51 @@ def crc16(text: Column | str) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(8)), crc.bitwiseXOR(c), bit)
 
     return F.aggregate(codes, F.lit(0xFFFF), byte).bitwiseXOR(F.lit(0xFFFF))
+
+
+def array_sum(values: Column | str) -> Column:
+    """Sum of the values that are there."""
+    return F.aggregate(F.filter(column(values), lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x)
+
+
+def let(value: Column, use) -> Column:
+    """use(value), with value worked out once for each row, however often it is used and inside whatever lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def array_mean(values: Column | str) -> Column:
+    """Mean of the values that are there, NULL if there is none."""
+    there = F.filter(column(values), lambda x: x.isNotNull())
+    return let(there, lambda v: F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda s, x: s + x) / F.size(v)))
+
+
+def array_median(values: Column | str) -> Column:
+    """Median of the values that are there, NULL if there is none."""
+    middle = lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2.0
+    return let(F.array_sort(F.filter(column(values), lambda x: x.isNotNull())), lambda s: F.when(F.size(s) > 0, middle(s)))
+
+
+def running_sum(values: Column | str) -> Column:
+    """The sums of the values up to each place; a missing value adds nothing."""
+    grown = lambda s, x: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)) + F.coalesce(x, F.lit(0.0))))
+    return F.aggregate(column(values), F.array().cast("array<double>"), grown)
+
+
+def smoothstep(x: Column) -> Column:
+    """0 below 0, 1 above 1, a cubic with level ends between."""
+    x = F.greatest(F.least(x, F.lit(1.0)), F.lit(0.0))
+    return x * x * (3.0 - 2.0 * x)
+
+
+def slab(r: Column, bottom: Column | None, top: Column | None, soft_bottom: Column | float = 60.0, soft_top: Column | float = 100.0) -> Column:
+    """1 between two heights and 0 outside, with edges that soften over a distance; NULL or None: no edge there."""
+    soft = lambda d: F.greatest((F.lit(d) if isinstance(d, float) else d) * 0.5, F.lit(1.0))
+    low = F.lit(1.0) if bottom is None else F.coalesce((F.tanh((r - bottom) / soft(soft_bottom)) + 1.0) * 0.5, F.lit(1.0))
+    high = F.lit(1.0) if top is None else F.coalesce((1.0 - F.tanh((r - top) / soft(soft_top))) * 0.5, F.lit(1.0))
+    return low * high
+
+
+def requantise(code: Column | str, vmin: float, vmax: float, lo: float, hi: float, colours: int = 256) -> Column:
+    """The colour, 1 to colours - 1, of a byte of the scale vmin..vmax on the scale lo..hi; 0 stays missing."""
+    c, at = column(code), (decode(code, vmin, vmax) - F.lit(float(lo))) / F.lit(max(float(hi) - float(lo), 1e-9))
+    return F.when(c > 0, F.rint(F.greatest(F.least(at, F.lit(1.0)), F.lit(0.0)) * (colours - 2)) + 1).otherwise(0).cast("int")

@@ -1,4 +1,4 @@
-"""Neighbourhood operators on long tables (key, place, value): all frames count rows, not time.
+"""Neighbourhood operators on long tables (key, place, value): frames count rows, not time, but for running_min_range.
 
 Three ways of treating an edge are kept apart: a window that must be whole (Haar), one that is cut short and
 averages what it has (boxcar), and one that repeats the edge value (running mean and median)."""
@@ -59,23 +59,68 @@ def prefix_sum(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return rows.withColumn("total", F.sum(value).over(w)).withColumn("n", F.count(value).over(w))
 
 
-def boxcar(rows: DataFrame, time: str, place: str, value: str, half_time: int, half_place: int) -> DataFrame:
-    """Mean over a box of rows in both directions, of the values that are there; n is how many."""
-    down, along = _over(time, place, -half_place, half_place), _over(place, time, -half_time, half_time)
-    rows = rows.withColumn("s", F.sum(value).over(down)).withColumn("c", F.count(value).over(down))
-    rows = rows.withColumn("total", F.sum("s").over(along)).withColumn("n", F.sum("c").over(along))
-    return rows.withColumn("mean", F.when(F.col("n") > 0, F.col("total") / F.col("n"))).drop("s", "c", "total")
-
-
-def running_mean(rows: DataFrame, key: str, order: list[str], value: str, half: int) -> DataFrame:
-    """Mean of 2*half+1 rows; beyond an edge its value is repeated."""
-    w = Window.partitionBy(key).orderBy(*order)
-    near = w.rowsBetween(-half, half)
-    all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rank, n = F.row_number().over(w), F.count("*").over(Window.partitionBy(key))
-    left, right = F.greatest(F.lit(half) + 1 - rank, F.lit(0)), F.greatest(rank + half - n, F.lit(0))
-    total = F.sum(value).over(near) + left * F.first(value).over(all_rows) + right * F.last(value).over(all_rows)
-    return rows.withColumn("mean", total / float(2 * half + 1))
+#: Rows of a block, and microseconds of the buckets that rows are first counted by.
+BLOCK, WIDTH = 8192, 6 * 3_600_000_000
+
+
+def numbered(rows: DataFrame, keys: list[str], at: str, ties: list[str] = [], width: int = WIDTH) -> DataFrame:  # noqa: B006
+    """Adds i, each row's place along its keys from 0, and n, how many rows they have. Rows are counted by buckets of ``at``,
+    so no task holds more than a bucket of a key. Rows without ``at`` go."""
+    rows = rows.withColumn("_bucket", F.floor(F.col(at) / width))
+    counts = rows.where(F.col("_bucket").isNotNull()).groupBy(*keys, "_bucket").agg(F.count("*").alias("_many"))
+    before = F.sum("_many").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_many")
+    counts = counts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_bucket").alias("_b"), before.alias("_before"), F.sum("_many").over(Window.partitionBy(*keys)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(at, *ties))
+    same = F.col("_bucket") == F.col("_b")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.withColumn("_rank", rank).join(counts, same).withColumn("i", F.col("_before") + F.col("_rank") - 1).drop("_bucket", "_b", "_before", "_rank", *[f"_{k}" for k in keys])
+
+
+def haloed(rows: DataFrame, half: int, size: int = BLOCK) -> DataFrame:
+    """Numbered rows by blocks (column _block) of ``size``; those within half of a neighbouring block go there as well (_home is
+    false), so that a frame of half rows never leaves a block."""
+    home, at, most = F.floor(F.col("i") / size), F.col("i") % size, max(size, half)
+    size_fits = most == size
+    near = F.array(F.when(at < half, home - 1), home, F.when(at >= size - half, home + 1)) if size_fits else F.array(F.lit(0).cast("long"))
+    rows = rows.withColumn("_block", F.explode(F.filter(near, lambda b: b.isNotNull() & (b >= 0))))
+    return rows.withColumn("_home", F.col("_block") == home if size_fits else F.lit(True))
+
+
+def boxcar(rows: DataFrame, time: str, place: str, value: str, half_time: int, half_place: int, keys: list[str] = [], size: int = BLOCK, width: int = WIDTH) -> DataFrame:  # noqa: B006
+    """Mean over a box of rows in both directions, of the values that are there; n is how many. Rows of a time are numbered along
+    keys and dealt by blocks of times."""
+    times = numbered(rows.select(*keys, time).distinct(), keys, time, width=width).drop("n")
+    same = [*keys, time]
+    near = haloed(rows.join(times, same), half_time, size)
+    down = Window.partitionBy(*same, "_block").orderBy(place).rowsBetween(-half_place, half_place)
+    along = Window.partitionBy(*keys, place, "_block").orderBy("i").rowsBetween(-half_time, half_time)
+    near = near.withColumn("_s", F.sum(value).over(down)).withColumn("_c", F.count(value).over(down))
+    near = near.withColumn("_total", F.sum("_s").over(along)).withColumn("n", F.sum("_c").over(along)).where("_home")
+    return near.withColumn("mean", F.when(F.col("n") > 0, F.col("_total") / F.col("n"))).drop("_s", "_c", "_total", "_block", "_home", "i")
+
+
+def running_mean(rows: DataFrame, key: str, order: list[str], value: str, half: int, size: int = BLOCK, width: int = WIDTH) -> DataFrame:
+    """Mean of 2*half+1 rows, or of as many as the key has; beyond an edge its value is repeated. Missing values, at the
+    edges too, are left out of both sum and count; without any the mean is NULL."""
+    wide = 2 * half + 1
+    rows = numbered(rows, [key], order[0], order[1:], width)
+    near = haloed(rows.where(F.col("n") >= wide), half, size)
+    w = Window.partitionBy(key, "_block").orderBy("i")
+    frame, block = w.rowsBetween(-half, half), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total, count = F.coalesce(F.sum(value).over(frame), F.lit(0.0)), F.count(value).over(frame)
+    # a row this near to an edge has the key's first or last row in its block
+    for beyond, edge in ((F.lit(half) - F.col("i"), F.first(value).over(block)), (F.col("i") + half + 1 - F.col("n"), F.last(value).over(block))):
+        times = F.when(edge.isNotNull(), F.greatest(beyond, F.lit(0))).otherwise(0)
+        total, count = total + times * F.coalesce(edge, F.lit(0.0)), count + times
+    large = near.withColumn("mean", total).withColumn("_count", count).where("_home").withColumn("mean", F.when(F.col("_count") > 0, F.col("mean") / F.col("_count"))).drop("_block", "_home", "_count")
+    # keys of fewer rows than the frame has
+    few = rows.where(F.col("n") < wide)
+    values = F.collect_list(F.struct(F.col(value).alias("v"))).over(Window.partitionBy(key).orderBy("i").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    first = F.col("i") - F.floor(F.col("n") / 2)
+    seen = F.filter(F.transform(F.sequence(first, first + F.col("n") - 1), lambda k: F.get("_values", F.greatest(F.least(k, F.col("n") - 1), F.lit(0)).cast("int"))["v"]), lambda v: v.isNotNull())
+    mean = F.aggregate(seen, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.size(seen), F.lit(0))
+    return large.unionByName(few.withColumn("_values", values).withColumn("mean", mean).drop("_values")).drop("i", "n")
 
 
 def running_median(rows: DataFrame, key: str, order: list[str], value: str, half: int) -> DataFrame:
@@ -84,11 +129,35 @@ def running_median(rows: DataFrame, key: str, order: list[str], value: str, half
     return rows.withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
 
 
-def running_min(rows: DataFrame, key: str, at: str, value: str, reach: int) -> DataFrame:
+def running_min(rows: DataFrame, key: str, order: list[str], value: str, half: int, size: int = BLOCK, width: int = WIDTH) -> DataFrame:
+    """Least value of the rows within half of each."""
+    near = haloed(numbered(rows, [key], order[0], order[1:], width), half, size)
+    least = F.min(value).over(Window.partitionBy(key, "_block").orderBy("i").rowsBetween(-half, half))
+    return near.withColumn("least", least).where("_home").drop("_block", "_home", "i", "n")
+
+
+def running_min_range(rows: DataFrame, key: str, at: str, value: str, reach: int) -> DataFrame:
     """Least value within reach of ``at`` (a frame over values of at, such as microseconds)."""
     return rows.withColumn("least", F.min(value).over(Window.partitionBy(key).orderBy(at).rangeBetween(-reach, reach)))
 
 
+def half_width(scale: float, spacing: float) -> int:
+    """Gates in each half of a window of ``scale`` metres."""
+    return max(round(scale / (2.0 * spacing)), 1)
+
+
+def padded_median(rows: DataFrame, keys: list[str], order: list[str], value: str, half: int, out: str) -> DataFrame:
+    """Median of the rows within half of each; beyond an edge its value is repeated, and missing values are left out."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    all_rows = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    held = F.struct(F.col(value).alias("v"))
+    near = [F.coalesce(F.lag(held, k).over(w), F.first(held).over(all_rows)) for k in range(half, 0, -1)] + [held] + [F.coalesce(F.lead(held, k).over(w), F.last(held).over(all_rows)) for k in range(1, half + 1)]
+    rows = rows.withColumn("_near", F.array(*near))
+    sorted_ = F.array_sort(F.filter(F.transform("_near", lambda x: x["v"]), lambda v: v.isNotNull()))
+    n = F.size(sorted_)
+    return rows.withColumn(out, F.when(n > 0, (F.get(sorted_, F.floor((n - 1) / 2).cast("int")) + F.get(sorted_, F.floor(n / 2).cast("int"))) / 2.0)).drop("_near")
+
+
 def dilate(rows: DataFrame, key: str, order: list[str], flag: str, by: int = 1) -> DataFrame:
     return rows.withColumn("dilated", F.bool_or(flag).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-by, by)))
 

@@ -1,18 +1,20 @@
 """From raw to screened and smoothed profiles: rows (site, t, beta, r, quality), gates in arrays.
 
-What concerns one profile is an expression on its row. What runs along time is a window over narrow rows of a site,
-or of a site's gate. Frames count rows, whatever the time between them.
+What concerns one profile is an expression on its row. What runs along time works on narrow rows of a site, dealt by
+blocks with a halo, and is joined back by (site, t), which is unique; all these joins share one partitioning. Frames count
+rows, whatever the time between them. Sites are not null.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilion.functions import profiles as fn
-from profilion.operators import frames
+from profilion.operators import aggregates, frames, temporal
+from profilion.session import settle
 
 SITE, TIME = "site", "t"
 
@@ -37,15 +39,47 @@ class Settings:
     low_from: float = 200.0
     low_to: float = 1500.0
     low_snr: float = 1.5
-    smooth_half_rows: int = 5
-    smooth_half_gates: int = 2
+    smooth_time: float = 300.0
+    smooth_height: float = 40.0
+    overlap_start: float = 30.0
+    overlap_full: float = 200.0
+    overlap_shape: float = 2.0
+    overlap_error: float = 0.5
+    #: Half widths of the box in rows and gates; None: as many as smooth_time and smooth_height hold.
+    smooth_half_rows: int | None = None
+    smooth_half_gates: int | None = None
 
 
-def array_median(values: Column) -> Column:
-    """Median of an array's values, NULL if there is none."""
-    s = F.array_sort(F.filter(values, lambda x: x.isNotNull()))
-    n = F.size(s)
-    return F.when(n > 0, (F.get(s, F.floor((n - 1) / 2).cast("int")) + F.get(s, F.floor(n / 2).cast("int"))) / 2.0)
+def spacing(r: Column | str) -> Column:
+    """Median distance of neighbouring gates."""
+    r = fn.column(r)
+    return array_median(F.transform(F.sequence(F.lit(1), F.greatest(F.size(r) - 1, F.lit(1))), lambda k: F.get(r, k) - F.get(r, k - 1)))
+
+
+def cadence(profiles: DataFrame) -> float | None:
+    """Median time between neighbouring profiles of a site, in seconds."""
+    steps = temporal.stepped(profiles.select(SITE, TIME), [SITE], TIME, "step").select("step", F.lit(0).alias("one"))
+    row = aggregates.exact_percentiles(steps, ["one"], "step", {"m": 0.5}).first()
+    return None if row is None else row["m"] / 1e6
+
+
+def fitted(profiles: DataFrame, s: Settings) -> Settings:
+    """Settings with the box in rows and gates, from the table's cadence and its first grid's spacing. Sites of different
+    cadences or grids are processed apart."""
+    if s.smooth_half_rows is not None and s.smooth_half_gates is not None:
+        return s
+    step, first = cadence(profiles), profiles.select(spacing("r").alias("dz")).first()
+    rows = max(round(s.smooth_time / step), 1) // 2 if step else 0
+    gates = max(round(s.smooth_height / first["dz"]), 1) // 2 if first is not None and first["dz"] else 0
+    return replace(s, smooth_half_rows=rows if s.smooth_half_rows is None else s.smooth_half_rows, smooth_half_gates=gates if s.smooth_half_gates is None else s.smooth_half_gates)
+
+
+def lowest_usable_height(s: Settings = Settings()) -> float:
+    """Height of the overlap at which gates are used from."""
+    return s.overlap_start + (s.overlap_full - s.overlap_start) * s.usable ** (1.0 / s.overlap_shape)
+
+
+array_median = fn.array_median
 
 
 def within(values: str, lo: float, hi: float) -> Column:
@@ -53,6 +87,18 @@ def within(values: str, lo: float, hi: float) -> Column:
     return F.filter(values, lambda _x, i: F.get("r", i).between(lo, hi))
 
 
+def median_within(values: str, lo: float, hi: float) -> Column:
+    """Their median: 0 if none of the gates has a value, NULL if there is no gate."""
+    return F.coalesce(array_median(within(values, lo, hi)), F.when(F.exists("r", lambda h: h.between(lo, hi)), F.lit(0.0)))
+
+
+def quantile_of(r: str, share: float) -> Column:
+    """A quantile of sorted values, with linear interpolation."""
+    at = (F.size(r) - 1) * F.lit(share)
+    low = F.get(r, F.floor(at).cast("int"))
+    return low + (F.coalesce(F.get(r, F.floor(at).cast("int") + 1), low) - low) * (at - F.floor(at))
+
+
 def zipped(values: str, f) -> Column:
     """f(value, range) of each gate."""
     return F.zip_with(values, "r", f)
@@ -60,18 +106,17 @@ def zipped(values: str, f) -> Column:
 
 def prefix_depth(first: float, least: float, gap: float) -> Column:
     """Height above ``first`` of the last gate over ``least``, scanned upward, until misses span more than ``gap``."""
-    spacing = F.get("r", F.lit(1)) - F.get("r", F.lit(0))
-    most = F.rint(F.lit(gap) / spacing)
+    most = F.greatest(F.rint(F.lit(gap) / spacing("r")), F.lit(1.0))
     gates = F.filter(F.arrays_zip(F.col("beta").alias("b"), F.col("r").alias("h")), lambda g: g["h"] >= first)
     start = F.struct(F.lit(0).alias("missed"), F.lit(None).cast("double").alias("top"), F.lit(False).alias("over"))
 
-    def step(state, g):
+    def step(state, g, most):
         hit = F.coalesce(g["b"] > least, F.lit(False))
         missed = F.when(hit, 0).otherwise(state["missed"] + 1)
         top = F.when(hit & ~state["over"], g["h"]).otherwise(state["top"])
         return F.struct(missed.alias("missed"), top.alias("top"), (state["over"] | (missed > most)).alias("over"))
 
-    return F.coalesce(F.aggregate(gates, start, step)["top"] - first, F.lit(0.0))
+    return fn.let(most, lambda most: F.coalesce(F.aggregate(gates, start, lambda state, g: step(state, g, most))["top"] - first, F.lit(0.0)))
 
 
 def screen(profiles: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -80,24 +125,27 @@ def screen(profiles: DataFrame, s: Settings = Settings()) -> DataFrame:
     snr = F.zip_with("beta", "sigma", lambda b, e: F.when(e > 0, b / e))
     rows = profiles.withColumn("snr", snr).withColumn("rain_depth", prefix_depth(s.rain_from, s.rain_beta, s.rain_gap))
     rows = rows.withColumn("peak", F.array_max(within("beta", s.rain_from, s.fog_to)))
-    rows = rows.withColumn("snr_above", array_median(within("snr", s.fog_above, s.fog_above + s.fog_span))).withColumn("snr_low", array_median(within("snr", s.low_from, s.low_to)))
+    rows = rows.withColumn("snr_above", median_within("snr", s.fog_above, s.fog_above + s.fog_span)).withColumn("snr_low", median_within("snr", s.low_from, s.low_to))
     rain = F.col("rain_depth") >= s.rain_depth
     fog = ~rain & F.coalesce((F.col("peak") >= s.fog_beta) & (F.col("snr_above") < s.fog_snr), F.lit(False))
     rows = rows.withColumn("rain", rain).withColumn("fog", fog).withColumn("low", ~rain & ~fog & F.coalesce(F.col("snr_low") < s.low_snr, F.lit(False)))
-    near = Window.partitionBy(SITE).orderBy(TIME).rowsBetween(-1, 1)
-    rows = rows.withColumn("wet", F.bool_or("rain").over(near)).withColumn("dim", F.bool_or("fog").over(near) & ~F.col("wet"))
+    near = frames.haloed(frames.numbered(rows.select(SITE, TIME, "rain", "fog"), [SITE], TIME), 1)
+    around = Window.partitionBy(SITE, "_block").orderBy("i").rowsBetween(-1, 1)
+    near = near.withColumn("wet", F.bool_or("rain").over(around)).withColumn("dim", F.bool_or("fog").over(around) & ~F.col("wet")).where("_home")
+    rows = rows.join(settle(near.select(SITE, TIME, "wet", "dim")), [SITE, TIME])
     flags = F.when(F.col("wet"), 1).otherwise(0) + F.when(F.col("dim"), 2).otherwise(0) + F.when(F.col("low"), 4).otherwise(0)
     return rows.withColumn("quality", F.coalesce("quality", F.lit(0)).cast("long").bitwiseOR(flags.cast("long"))).drop("snr", "rain", "fog", "low", "wet", "dim")
 
 
 def smooth(profiles: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Adds beta_smooth, the mean of the unscreened values in a box of rows and gates, and its sigma_smooth."""
+    s = fitted(profiles, s)
     gates = profiles.select(SITE, TIME, F.posexplode(F.arrays_zip(F.col("beta").alias("b"), F.col("sigma").alias("e"))).alias("gate", "g"), fn.screened("quality").alias("out"))
-    gates = gates.select(F.struct(SITE, TIME).alias("row"), F.struct(SITE, "gate").alias("spot"), F.when(~F.col("out"), F.col("g.b")).alias("v"), F.col("g.e").alias("e"))
-    boxed = frames.boxcar(gates, "row", "spot", "v", s.smooth_half_rows, s.smooth_half_gates)
+    gates = gates.select(SITE, TIME, "gate", F.when(~F.col("out"), F.col("g.b")).alias("v"), F.col("g.e").alias("e"))
+    boxed = frames.boxcar(gates, TIME, "gate", "v", s.smooth_half_rows, s.smooth_half_gates, [SITE], size=512)
     boxed = boxed.withColumn("e", F.when(F.col("mean").isNotNull(), F.col("e") / F.sqrt(F.greatest("n", F.lit(1)))))
-    again = boxed.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(F.col("spot.gate").alias("gate"), F.col("mean").alias("m"), F.col("e")))).alias("g"), F.max("n").alias("n_most"))
-    again = again.select("row.*", F.transform("g", lambda x: x["m"]).alias("beta_smooth"), F.transform("g", lambda x: x["e"]).alias("sigma_smooth"), "n_most")
+    again = boxed.groupBy(SITE, TIME).agg(F.array_sort(F.collect_list(F.struct("gate", F.col("mean").alias("m"), F.col("e")))).alias("g"), F.max("n").alias("n_most"))  # a profile's gates
+    again = again.select(SITE, TIME, F.transform("g", lambda x: x["m"]).alias("beta_smooth"), F.transform("g", lambda x: x["e"]).alias("sigma_smooth"), "n_most")
     rows = profiles.join(again, [SITE, TIME], "left")
     box = (2 * s.smooth_half_rows + 1) * (2 * s.smooth_half_gates + 1)
     thin = F.coalesce(F.col("n_most"), F.lit(0)) < max(0.25 * box, 1.0)
@@ -105,18 +153,25 @@ def smooth(profiles: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def preprocess(profiles: DataFrame, s: Settings = Settings(), range_corrected: bool = False) -> DataFrame:
-    """Range, background and overlap corrected, with noise, screened and smoothed. (site, t) is unique."""
-    rows = profiles.withColumn("beta", F.col("beta") if range_corrected else zipped("beta", lambda b, r: b * r * r))
+    """Range, background and overlap corrected, with noise, screened and smoothed. A column range_corrected, if there is one,
+    says so for each profile."""
+    known = F.col("range_corrected") if "range_corrected" in profiles.columns else F.lit(range_corrected)
+    rows = profiles.withColumn("beta", zipped("beta", lambda b, r: F.when(known, b).otherwise(b * r * r)))
     rows = rows.withColumn("far", F.filter(zipped("beta", lambda b, r: F.when(r >= s.far_from, b / (r * r))), lambda x: x.isNotNull()))
-    rows = rows.withColumn("offset", F.when(F.size("far") >= 10, array_median(F.col("far"))))
-    rows = frames.running_mean(rows, SITE, [TIME], "offset", s.noise_half).withColumn("offset", F.coalesce("mean", F.lit(0.0))).drop("mean")
-    seen = lambda x, r: F.when(fn.overlap(r) >= s.usable, x / F.when(fn.overlap(r) > 0, fn.overlap(r)))
+    enough = F.size(F.filter("r", lambda h: h >= s.far_from)) >= 10
+    rows = rows.withColumn("offset", F.when(enough, array_median(F.col("far"))))
+    offset = frames.running_mean(settle(rows.select(SITE, TIME, "offset")), SITE, [TIME], "offset", s.noise_half).select(SITE, TIME, F.coalesce("mean", F.lit(0.0)).alias("offset"))
+    rows = rows.drop("offset").join(settle(offset), [SITE, TIME])
+    open_ = lambda r: fn.overlap(r, s.overlap_start, s.overlap_full, s.overlap_shape)
+    seen = lambda x, r: F.when(open_(r) >= s.usable, x / F.when(open_(r) > 0, open_(r)))
     rows = rows.withColumn("beta", zipped("beta", lambda b, r: seen(b - F.col("offset") * r * r, r)))
-    far = F.filter(zipped("beta", lambda b, r: F.when(r >= F.least(F.lit(s.far_from), F.get("r", F.floor((F.size("r") - 10)).cast("int"))), b / (r * r))), lambda x: x.isNotNull())
-    rows = rows.withColumn("far", far).withColumn("middle", array_median(F.col("far")))
-    rows = rows.withColumn("noise", F.lit(1.4826) * array_median(F.transform("far", lambda x: F.abs(x - F.col("middle")))))
-    rows = frames.running_mean(rows, SITE, [TIME], "noise", s.noise_half).withColumn("noise", F.col("mean"))
-    usual = F.percentile("noise", F.lit(0.5)).over(Window.partitionBy(SITE))
-    rows = rows.withColumn("noise", F.coalesce(F.when(F.col("noise") > 0, F.col("noise")), F.greatest(usual, F.lit(1e-30)), F.lit(1e-30)))
+    least = F.when(enough, F.lit(s.far_from)).otherwise(quantile_of("r", 0.9))
+    far = fn.let(least, lambda h: F.filter(zipped("beta", lambda b, r: F.when(r >= h, b / (r * r))), lambda x: x.isNotNull()))
+    spread = fn.let(far, lambda v: fn.let(array_median(v), lambda m: array_median(F.transform(v, lambda x: F.abs(x - m)))))
+    noise = rows.select(SITE, TIME, (F.lit(1.4826) * spread).alias("noise"))
+    noise = settle(frames.running_mean(settle(noise), SITE, [TIME], "noise", s.noise_half).select(SITE, TIME, F.col("mean").alias("noise")))
+    usual = aggregates.exact_percentiles(noise, [SITE], "noise", {"usual": 0.5})
+    noise = noise.join(usual, SITE, "left").select(SITE, TIME, F.coalesce(F.when(F.col("noise") > 0, F.col("noise")), F.when(F.col("usual") > 0, F.col("usual")), F.lit(1e-30)).alias("noise"))
+    rows = rows.drop("far").join(noise, [SITE, TIME])
     rows = rows.withColumn("sigma", zipped("beta", lambda b, r: F.hypot(seen(F.col("noise") * r * r, r), F.lit(s.speckle) * F.coalesce(F.abs(b), F.lit(0.0)))))
-    return smooth(screen(rows.drop("far", "middle", "mean"), s), s)
+    return smooth(settle(screen(rows, s)), s)

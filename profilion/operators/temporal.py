@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from profilion.operators import frames
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a timestamp without zone, whatever the session's zone is."""
@@ -39,6 +41,13 @@ def within(left: DataFrame, right: DataFrame, key: str, at: str, other_at: str,
     return bucketed(left, at, reach, False).join(bucketed(right, other_at, reach, True), [key, "bucket"]).where(F.abs(F.col(at) - F.col(other_at)) <= reach).drop("bucket")
 
 
+def stepped(rows: DataFrame, keys: list[str], at: str, out: str) -> DataFrame:
+    """Rows with what lies between each and the one before it along keys (NULL for the first), by blocks of rows."""
+    near = frames.haloed(frames.numbered(rows, keys, at), 1)
+    step = F.col(at) - F.lag(at).over(Window.partitionBy(*keys, "_block").orderBy("i"))
+    return near.withColumn(out, step).where("_home").drop("_block", "_home", "n")
+
+
 def sessions(rows: DataFrame, key: str, at: str, tie: str, gap: int) -> DataFrame:
     """Numbers the sessions of each key from 0; one ends before a gap of more than ``gap``."""
     w = Window.partitionBy(key).orderBy(at, tie)

@@ -203,7 +203,7 @@ def robust_mad(spark, sf_dir):
 round(quantile_cont(log10(value), 0.99), 6) + 0.0 AS p99 FROM ev WHERE value > 0 GROUP BY event_type""")
 def percentiles(spark, sf_dir):
     rows = events(spark, sf_dir).where("value > 0").withColumn("decade", F.log10("value"))
-    found = aggregates.percentiles(rows, "event_type", "decade", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
+    found = aggregates.exact_percentiles(rows, ["event_type"], "decade", {"p01": 0.01, "p50": 0.5, "p99": 0.99})
     return found.select("event_type", *[neat(p).alias(p) for p in ("p01", "p50", "p99")])
 
 
@@ -222,7 +222,7 @@ SELECT event_type, round(quantile_cont(d, 0.5), 6) + 0.0 AS cadence FROM d WHERE
 def cadence_median(spark, sf_dir):
     step = (F.lead("t").over(Window.partitionBy("event_type").orderBy("t", "event_id")) - F.col("t")) / 1e6
     rows = events(spark, sf_dir).withColumn("step", step).where("step IS NOT NULL")
-    return aggregates.percentiles(rows, "event_type", "step", {"cadence": 0.5}).select("event_type", neat("cadence").alias("cadence"))
+    return aggregates.exact_percentiles(rows, ["event_type"], "step", {"cadence": 0.5}).select("event_type", neat("cadence").alias("cadence"))
 
 
 @query("""WITH j AS (SELECT n_chars > 2000 AS flag, quality = 1 AS truth FROM labels JOIN documents USING (doc_id)),
@@ -265,17 +265,31 @@ def running_median(spark, sf_dir):
     return frames.running_median(events(spark, sf_dir), "user_id", ["t", "event_id"], "value", 2).select("event_id", neat("median").alias("median"))
 
 
-@query(f"""WITH {EVENTS}, r AS (SELECT event_id, sum(value) OVER n AS s, first_value(value) OVER a AS f, last_value(value) OVER a AS l,
-row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM ev
-WINDOW n AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), a AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-SELECT event_id, round((s + greatest(4 - k, 0) * f + greatest(k + 3 - c, 0) * l) / 7.0::DOUBLE, 6) + 0.0 AS mean FROM r""")
+def _running_mean_sql(value: str) -> str:
+    return f"""WITH {EVENTS}, r AS (SELECT event_id, user_id, {value} AS v, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS c FROM ev),
+p AS (SELECT event_id, user_id, unnest([least(greatest(x, 1), c) for x in range(k - least(7, c) // 2, k - least(7, c) // 2 + least(7, c))]) AS k FROM r)
+SELECT p.event_id, round(avg(v), 6) + 0.0 AS mean FROM p JOIN r USING (user_id, k) GROUP BY p.event_id"""
+
+
+@query(_running_mean_sql("value"))
 def running_mean_edge_replicate(spark, sf_dir):
-    return frames.running_mean(events(spark, sf_dir), "user_id", ["t", "event_id"], "value", 3).select("event_id", neat("mean").alias("mean"))
+    return frames.running_mean(events(spark, sf_dir), "user_id", ["t", "event_id"], "value", 3, size=16).select("event_id", neat("mean").alias("mean"))
+
+
+@query(_running_mean_sql("CASE WHEN event_id % 5 > 1 AND t // 3600000000 % 3 > 0 THEN value END"))
+def running_mean_nulls(spark, sf_dir):
+    holes = F.when((F.col("event_id") % 5 > 1) & (F.floor(F.col("t") / HOUR) % 3 > 0), F.col("value"))
+    return frames.running_mean(events(spark, sf_dir).withColumn("value", holes), "user_id", ["t", "event_id"], "value", 3).select("event_id", neat("mean").alias("mean"))
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, round(min(value) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING), 6) + 0.0 AS least FROM ev""")
+def running_min_rows(spark, sf_dir):
+    return frames.running_min(events(spark, sf_dir), "event_type", ["t", "event_id"], "value", 4, size=1024).select("event_id", neat("least").alias("least"))
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, round(min(value) OVER (PARTITION BY user_id ORDER BY t RANGE BETWEEN {6 * HOUR} PRECEDING AND {6 * HOUR} FOLLOWING), 6) + 0.0 AS least FROM ev""")
 def running_min_time_range(spark, sf_dir):
-    return frames.running_min(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR).select("event_id", neat("least").alias("least"))
+    return frames.running_min_range(events(spark, sf_dir), "user_id", "t", "value", 6 * HOUR).select("event_id", neat("least").alias("least"))
 
 
 @query(f"""WITH {EVENTS} SELECT event_id, bool_or(event_type = 'error') OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS dilated FROM ev""")

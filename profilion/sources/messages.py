@@ -1,7 +1,7 @@
-"""Logged instrument messages as profiles, with built-in expressions only.
+"""Logged instrument messages as profiles, with built-in expressions only; and profiles as messages.
 
-A file is one row until its messages are taken apart (a day's log is about 12 MB), so files should be logs of
-a day or less; messages spread over the cluster from there on. A message without a profile line is left out.
+A log is read record by record, cut at the character that opens a message, so its size does not matter; only the time stamp
+before a message is carried over to it, along the records of its file. A message without a profile line is left out.
 """
 
 from __future__ import annotations
@@ -14,20 +14,36 @@ from profilion.functions import profiles as fn
 #: Control characters that open and close a message, and the shortest profile line.
 OPENS, CLOSES, SHORTEST = "\x01", "\x03", 100
 FULL_SCALE = 524287
-STAMP = r"(?m)^-(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
+STAMP = r"^-?(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2})"
 FIELDS = ("scale", "resolution", "n_gates", "laser_energy", "laser_temperature", "receiver", "window", "mode", "background", "total")
 
 
-def split_messages(files: DataFrame) -> DataFrame:
-    """(path, text) to one row for each message: path, message (its number), stamp (text or NULL), lines.
+def records(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
+    """(path, place, modified, value): what lies between two opening characters of a log, and its order within the file."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("lineSep", OPENS)
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    meta = F.col("_metadata")
+    place = F.struct(meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("row"))
+    return reader.text(paths).select(meta["file_path"].alias("path"), place.alias("place"), meta["file_modification_time"].alias("modified"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
 
-    A time stamp counts for the message right after it.
-    """
-    parts = F.split(F.regexp_replace("text", "\r\n?", "\n"), OPENS)
-    rows = files.select("path", parts.alias("parts")).select("path", "parts", F.explode(F.sequence(F.lit(1), F.greatest(F.size("parts") - 1, F.lit(1)))).alias("message"))
-    rows = rows.where(F.size("parts") > F.col("message"))
-    stamps = F.regexp_extract_all(F.get("parts", F.col("message") - 1), F.lit(STAMP), F.lit(1))
-    return rows.select("path", "message", F.try_element_at(stamps, F.lit(-1)).alias("stamp"), F.split(F.get("parts", F.col("message")), "\n").alias("lines"))
+
+def split_messages(found: DataFrame) -> DataFrame:
+    """One row for each message of records: path, message (its number), stamp (text or NULL), modified, lines.
+
+    A message ends with its closing line, or at a time stamp after three lines, or where the next one opens. What follows
+    may hold the stamp of the next message; the last one there counts, and for that message alone."""
+    lines = F.split("value", "\n")
+    is_stamp = lambda x: F.trim(x).rlike(STAMP)
+    closing = F.array_position(F.transform(lines, lambda x: x.startswith(CLOSES)), True)
+    stamp = F.array_position(F.transform(lines, lambda x, i: is_stamp(x) & (i >= 4)), True) - 1
+    end = F.when(closing > 0, F.when(stamp > 0, F.least(closing, stamp)).otherwise(closing)).when(stamp > 0, stamp).otherwise(F.size(lines))
+    w = Window.partitionBy("path").orderBy("place")
+    rows = found.withColumn("lines", lines).withColumn("n", F.row_number().over(w))
+    rows = rows.withColumn("end", F.when(F.col("n") > 1, end).otherwise(0).cast("int"))
+    rest = F.filter(F.slice("lines", F.col("end") + 1, F.greatest(F.size("lines"), F.lit(1))), is_stamp)
+    told = F.regexp_extract(F.trim(F.try_element_at(rest, F.lit(-1))), STAMP, 1)
+    rows = rows.withColumn("stamp", F.lag(told).over(w))
+    return rows.where("n > 1").select("path", (F.col("n") - 1).alias("message"), F.nullif("stamp", F.lit("")).alias("stamp"), "modified", F.slice("lines", F.lit(1), F.col("end")).alias("lines"))
 
 
 def _number(tokens: str, k: int) -> Column:
@@ -67,32 +83,59 @@ def parse(messages: DataFrame, unit: float = 1e-9, strict: bool = False) -> Data
     return rows.select(
         "path",
         "message",
-        F.unix_micros(F.try_to_timestamp("stamp", F.lit("yyyy-MM-dd HH:mm:ss"))).alias("t"),
+        F.unix_micros(F.try_to_timestamp(F.regexp_replace("stamp", "T", " "), F.lit("yyyy-MM-dd HH:mm:ss"))).alias("t"),
+        "modified",
         F.transform("counts", lambda c: c * F.lit(unit) * (F.lit(100.0) / F.col("scale"))).alias("beta"),
         F.transform(F.sequence(F.lit(0), F.col("n_gates") - 1), lambda i: (i + 0.5) * F.col("resolution")).alias("r"),
         quality.cast("long").alias("quality"),
         bases.alias("cloud_base_reported"),
         F.when(digit.isin("4", "5"), F.get("s", F.lit(0)).try_cast("double")).alias("vertical_visibility"),
+        F.when(digit.isin("4", "5"), F.get("s", F.lit(1)).try_cast("double")).alias("highest_signal"),
+        F.when(F.try_element_at("s", F.lit(-1)).rlike("^[0-9A-Fa-f]{8}$"), F.try_element_at("s", F.lit(-1))).alias("alarm"),
         "crc_ok",
+        F.lit(True).alias("range_corrected"),
+        F.lit(True).alias("background_subtracted"),
         *[n for n in FIELDS if n not in ("scale", "n_gates", "resolution")],
     )
 
 
-def fill_times(rows: DataFrame, interval: float = 30.0, start: int = 0) -> DataFrame:
-    """Messages without a time count on from the nearest message of their file that has one, at the file's median
-    cadence; in a file without any time they count from ``start`` (microseconds)."""
+def fill_times(rows: DataFrame, interval: float = 30.0, start: int | None = None) -> DataFrame:
+    """Messages without a time count on from the nearest message of their file that has one (the earlier of two), at the
+    file's median cadence. In a file without any time they count from ``start`` (microseconds), or end when the file was
+    last written."""
     w, file = Window.partitionBy("path").orderBy("message"), Window.partitionBy("path")
     known = F.when(F.col("t").isNotNull(), F.struct("message", "t"))
     rows = rows.withColumn("b", F.last(known, ignorenulls=True).over(w)).withColumn("a", F.first(known, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
-    rows = rows.withColumn("d", (F.col("t") - F.lag("b.t").over(w)) / (F.col("message") - F.lag("b.message").over(w)))
+    before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("p", before).withColumn("d", (F.col("t") - F.col("p.t")) / (F.col("message") - F.col("p.message")))
     rows = rows.withColumn("step", F.coalesce(F.percentile("d", F.lit(0.5)).over(file), F.lit(interval * 1e6)))
     after = F.col("b").isNull() | (F.col("a.message") - F.col("message") < F.col("message") - F.col("b.message"))
-    near = F.coalesce(F.when(after, F.col("a")), F.col("b"), F.struct(F.lit(1).alias("message"), F.lit(start).cast("long").alias("t")))
-    rows = rows.withColumn("n", near)
-    return rows.withColumn("t", F.coalesce("t", (F.col("n.t") + (F.col("message") - F.col("n.message")) * F.col("step")).cast("long"))).drop("a", "b", "d", "n", "step")
-
-
-def read(spark: SparkSession, paths: str | list[str], unit: float = 1e-9, interval: float = 30.0, start: int = 0, strict: bool = False) -> DataFrame:
-    files = spark.read.option("recursiveFileLookup", "true").text(paths, wholetext=True)
-    files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return fill_times(parse(split_messages(files), unit, strict), interval, start)
+    opened = F.lit(start).cast("long") if start is not None else F.unix_micros("modified") - ((F.count("*").over(file) - 1) * interval * 1e6).cast("long")
+    first = F.struct(F.min("message").over(file).alias("message"), opened.alias("t"))
+    rows = rows.withColumn("n", F.coalesce(F.when(after, F.col("a")), F.col("b"), first))
+    return rows.withColumn("t", F.coalesce("t", (F.col("n.t") + (F.col("message") - F.col("n.message")) * F.col("step")).cast("long"))).drop("a", "b", "p", "d", "n", "step", "modified")
+
+
+def read(spark: SparkSession, paths: str | list[str], unit: float = 1e-9, interval: float = 30.0, start: int | None = None, strict: bool = False, glob: str | None = None) -> DataFrame:
+    """Profiles of logs. unit: what a count stands for; interval and start: of messages without time stamps; strict: a
+    message whose checksum fails is of low signal."""
+    return fill_times(parse(split_messages(records(spark, paths, glob)), unit, strict), interval, start)
+
+
+def write(profiles: DataFrame, path: str, unit: float = 1e-9, name: str = "CL010112") -> None:
+    """Logs of messages, one file for each partition of time, from (t, beta, r) and, where they are given, digit, bases
+    (heights), laser_temperature and background."""
+    has = lambda c, other: F.coalesce(c, F.lit(other)) if c in profiles.columns else F.lit(other)
+    count = lambda b: F.coalesce(F.rint(F.greatest(F.least(b / F.lit(unit), F.lit(float(FULL_SCALE))), F.lit(-float(FULL_SCALE) - 1))), F.lit(0.0)).cast("long")
+    digits = F.array_join(F.transform("beta", lambda b: fn.hex_encode(count(b))), "")
+    bases = F.coalesce("bases", F.array().cast("array<double>")) if "bases" in profiles.columns else F.array().cast("array<double>")
+    digit = F.coalesce("digit", F.size(bases).cast("string")) if "digit" in profiles.columns else F.size(bases).cast("string")
+    heights = F.array_join(F.transform(bases, lambda b: F.lpad(F.rint(b).cast("long").cast("string"), 5, "0")), " ")
+    status = F.concat(digit, F.lit("0 "), heights, F.when(F.size(bases) > 0, " ").otherwise(""), F.lit("00000000"))
+    apart = F.get("r", F.lit(1)) - F.get("r", F.lit(0))
+    total = fn.array_sum("beta") * apart * 1e4
+    params = F.format_string("00100 %02d %04d 099 %+03d 099 0000 L0112HN15 %03d %03d", F.rint(apart).cast("int"), F.size("beta"), has("laser_temperature", 25.0).cast("int"), has("background", 30.0).cast("int"), F.greatest(F.least(F.floor(total), F.lit(999)), F.lit(0)).cast("int"))
+    body = F.concat(F.concat_ws("\r\n", F.lit(name), status, params, digits), F.lit("\r\n" + CLOSES))
+    stamp = F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd HH:mm:ss")
+    text = F.concat(F.lit("-"), stamp, F.lit("\r\n" + OPENS), body, F.lower(F.lpad(F.hex(fn.crc16(body)), 4, "0")), F.lit("\r\n\r"))
+    profiles.select("t", text.alias("value")).repartitionByRange("t").sortWithinPartitions("t").select("value").write.text(path)

@@ -1,85 +1,240 @@
-"""Profiles kept in Parquet by epoch-aligned buckets of time, for as long as the retention says.
+"""Profiles, layers and facts kept in Parquet by epoch-aligned buckets of time, for as long as the retention says.
 
-A write replaces exactly the span of time it brings and keeps the rest of every bucket it touches, so buckets may
-arrive in pieces and in any order. Only the touched buckets are rewritten (dynamic partition overwrite).
+A write replaces exactly the span of time that it brings, of the sites that it brings, and keeps all else in the buckets it
+touches; so buckets may arrive in pieces, in any order and again. Every bucket inside the span is rewritten, also one that
+is left empty. Rows that are kept are read from a checkpoint, so that a lost executor never finds a bucket half replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import json
+import time
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from profilion.functions import profiles as fn
+from profilion.session import settle
+
 HOUR = 3_600_000_000
 
 
-class Store:
-    """A folder of rows with a column t (microseconds)."""
+class Table:
+    """A folder of rows with a column t (microseconds). keys: columns that are unique together, t among them; None: no row
+    replaces another of one write. A span is replaced for each ``of`` (such as site) alone."""
 
-    def __init__(self, spark: SparkSession, path: str, bucket_hours: int = 6, retention_hours: int = 72) -> None:
-        self.spark, self.path = spark, path
-        self.width, self.keep = bucket_hours * HOUR, retention_hours * HOUR
+    def __init__(self, spark: SparkSession, path: str, width: int, keys: list[str] | None = None, of: list[str] | None = None) -> None:
+        self.spark, self.path, self.width, self.keys, self.of = spark, path, width, keys, of or []
+
+    def folder(self, below: str = ""):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + below)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def rows(self) -> DataFrame | None:
-        """All that is stored; None before the first write."""
-        folder, files = self._folder()
-        if not files.exists(folder):
+        """All that is stored, with its bucket; None before the first write and after all is purged."""
+        folder, files = self.folder()
+        if not files.exists(folder) or not any(x.getPath().getName().startswith("bucket=") for x in files.listStatus(folder)):
             return None
         return self.spark.read.parquet(self.path)
 
-    def _folder(self, below: str = ""):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + below)
-        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+    def spans(self, new: DataFrame) -> DataFrame:
+        return new.groupBy(*self.of).agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
 
-    def write(self, new: DataFrame) -> None:
-        """Replaces what is stored between the first and the last time of ``new`` (of equal times one row stays)."""
-        new = new.dropDuplicates(["t"]).withColumn("bucket", F.floor(F.col("t") / self.width) * self.width)
-        span = new.agg(F.min("t").alias("lo"), F.max("t").alias("hi")).first()
+    def write(self, new: DataFrame, order: list[Column] | None = None, spans: DataFrame | None = None) -> None:
+        """Replaces what is stored between the first and the last time of ``new``. Of rows with equal keys the first in
+        ``order`` stays (by default, of all other columns). spans: what to replace instead, (of..., _lo, _hi)."""
+        if self.keys:
+            by = order or [F.col(c) for c in new.columns if c not in self.keys and not new.schema[c].dataType.typeName() == "map"]
+            new = new.withColumn("_rank", F.row_number().over(Window.partitionBy(*self.keys).orderBy(*(by or [F.lit(0)])))).where("_rank = 1").drop("_rank")
+        new = settle(new.withColumn("bucket", F.floor(F.col("t") / self.width) * self.width))
+        spans = settle(self.spans(new) if spans is None else spans)
+        span = spans.agg(F.min("_lo").alias("lo"), F.max("_hi").alias("hi")).first()
         if span.lo is None:
             return
-        stored = self.rows()
-        if stored is not None:
-            touched = F.col("bucket").between(span.lo // self.width * self.width, span.hi // self.width * self.width)
-            new = stored.where(touched & ~F.col("t").between(span.lo, span.hi)).unionByName(new, allowMissingColumns=True)
-        out = new.repartition("bucket").sortWithinPartitions("bucket", "t")
-        # buckets that are read are rewritten from a checkpoint: a lost executor must not find them half replaced
+        stored, emptied = self.rows(), []
         if stored is not None:
-            if self.spark.sparkContext.getCheckpointDir() is None:
-                self.spark.sparkContext.setCheckpointDir(self.path + ".checkpoint")
-            out = out.checkpoint()
+            touched = stored.where(F.col("bucket").between(span.lo // self.width * self.width, span.hi // self.width * self.width))
+            inside = F.col("t").between(F.col("_lo"), F.col("_hi"))
+            for k in self.of:
+                inside = inside & touched[k].eqNullSafe(spans[k])
+            new = settle(touched.join(spans, inside, "left_anti").unionByName(new, allowMissingColumns=True))
+            old, left = ({r["bucket"] for r in x.select("bucket").distinct().collect()} for x in (touched, new))  # a few for each day
+            emptied = sorted(old - left)
+        out = new.withColumn("_deal", F.pmod(F.xxhash64("t"), F.lit(16))).repartition("bucket", "_deal").sortWithinPartitions("bucket", "t").drop("_deal")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        self.drop(emptied)
+
+    def drop(self, buckets: list[int]) -> None:
+        for bucket in buckets:
+            folder, files = self.folder(f"/bucket={bucket}")
+            files.delete(folder, True)
 
-    def window(self, lo: int | None = None, hi: int | None = None, hours: float | None = None) -> DataFrame:
-        """Rows from lo to hi, or of the last hours up to the latest row. Whole buckets are pruned."""
+    def window(self, lo: int | None = None, hi: int | None = None) -> DataFrame:
+        """Rows from lo to hi, both included. Whole buckets are pruned."""
         rows = self.rows()
         if rows is None:
             raise ValueError(f"nothing stored in {self.path}")
-        if hours is not None:
-            hi = self.latest()
-            lo = hi - int(hours * HOUR)
         if lo is not None:
             rows = rows.where((F.col("bucket") >= lo // self.width * self.width) & (F.col("t") >= lo))
         if hi is not None:
             rows = rows.where((F.col("bucket") <= hi) & (F.col("t") <= hi))
         return rows.drop("bucket")
 
+    def purge(self, cutoff: int) -> int:
+        """Deletes rows before cutoff; returns how many buckets went as a whole."""
+        rows = self.rows()
+        if rows is None:
+            return 0
+        spans = rows.groupBy("bucket").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where(F.col("lo") < cutoff).collect()  # a few for each day
+        self.drop([r.bucket for r in spans if r.hi < cutoff])
+        parts = [r.bucket for r in spans if r.hi >= cutoff]
+        if parts:
+            kept = settle(rows.where(F.col("bucket").isin(parts) & (F.col("t") >= cutoff)))
+            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        return len(spans) - len(parts)
+
+
+class Store:
+    """Profiles (site, t, ...), layers (site, t, type, base, top, confidence, track, interpolated, ...) and facts."""
+
+    def __init__(self, spark: SparkSession, path: str, bucket_hours: float = 6, retention_hours: float = 72, keys: list[str] | None = None) -> None:
+        """keys: what is unique among profiles, with t; by default (site, t), or t where profiles have no site."""
+        self.spark, self.path, self.keys = spark, path, keys
+        self.width, self.keep = max(int(bucket_hours * HOUR), HOUR // 60), int(retention_hours * HOUR)
+        self.layer_table = Table(spark, f"{path}/layers", self.width, None, ["site"])
+
+    def table(self, columns: list[str]) -> Table:
+        keys = self.keys or [c for c in ("site", "t") if c in columns]
+        return Table(self.spark, f"{self.path}/profiles", self.width, keys, [k for k in keys if k != "t"])
+
+    @property
+    def profiles(self) -> Table:
+        return self.table(["t"])
+
+    def rows(self) -> DataFrame | None:
+        return self.profiles.rows()
+
+    def write(self, profiles: DataFrame, layers: DataFrame | None = None, order: list[Column] | None = None, **facts) -> dict:
+        """Stores profiles, the layers of the same span and facts, then purges what is older than the retention."""
+        table = self.table(profiles.columns)
+        profiles = settle(profiles)
+        spans = table.spans(profiles)
+        count = profiles.count()
+        if not count:
+            return {"profiles": 0, "layers": 0, "purged": 0}
+        table.write(profiles, order)
+        many = 0
+        if layers is not None:
+            layers = settle(layers)
+            many = layers.count()
+            self.layer_table.write(layers, spans=spans)
+        self.set_facts(**facts, last_write=time.time())
+        return {"profiles": count, "layers": many, "purged": self.purge()}
+
+    # -- facts
+
+    def facts(self) -> dict:
+        """Key and value of all that was set; values are JSON."""
+        folder, files = self.profiles.folder()
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/facts.json")
+        if not files.exists(place):
+            return {}
+        stream = files.open(place)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def set_facts(self, **values) -> None:
+        """Adds to the facts or replaces them; None removes one. Numpy scalars become plain numbers."""
+        plain = {k: v.item() if hasattr(v, "item") else v for k, v in values.items()}
+        facts = {k: v for k, v in (self.facts() | plain).items() if v is not None}
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(self.path + "/facts.json")
+        stream = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(place, True)
+        stream.write(bytearray(json.dumps(facts).encode()))
+        stream.close()
+
+    # -- reading
+
     def latest(self) -> int | None:
         rows = self.rows()
         return None if rows is None else rows.agg(F.max("t")).first()[0]
 
+    def span(self) -> tuple[int | None, int | None]:
+        rows = self.rows()
+        return (None, None) if rows is None else tuple(rows.agg(F.min("t"), F.max("t")).first())
+
+    def _bounds(self, lo: int | None, hi: int | None, hours: float | None) -> tuple[int | None, int | None]:
+        if hours is not None:
+            hi = self.latest() if hi is None else hi
+            lo = None if hi is None else hi - int(hours * HOUR)
+        return lo, hi
+
+    def window(self, lo: int | None = None, hi: int | None = None, hours: float | None = None, max_height: float | None = None) -> DataFrame:
+        """Profiles from lo to hi, or of the last hours up to hi or the latest row; arrays of gates up to a height."""
+        rows = self.profiles.window(*self._bounds(lo, hi, hours))
+        if max_height is not None:
+            gates = F.size(F.filter("r", lambda h: h <= max_height))
+            arrays = [f.name for f in rows.schema.fields if f.dataType.typeName() == "array" and f.name not in ("cloud_base_reported", "r")]
+            rows = rows.withColumns({c: F.slice(c, F.lit(1), gates) for c in [*arrays, "r"]})
+        return rows
+
+    def layers(self, lo: int | None = None, hi: int | None = None, hours: float | None = None, types: list[str] | None = None, least: float = 0.0, interpolated: bool = True) -> DataFrame:
+        """Layers in order of time and base."""
+        rows = self.layer_table.window(*self._bounds(lo, hi, hours)).where(F.col("confidence") >= least)
+        rows = rows.where(F.col("type").isin(types)) if types else rows
+        return (rows if interpolated else rows.where(~F.col("interpolated"))).orderBy("t", "base", "type")
+
+    def latest_profile(self) -> dict | None:
+        """The latest profile at full resolution, with its flags and the layers half a second around it."""
+        t = self.latest()
+        if t is None:
+            return None
+        row = self.window(t, t).withColumn("flags", fn.flag_names("quality")).withColumn("screened", fn.screened("quality")).first().asDict(recursive=True)
+        near = [] if self.layer_table.rows() is None else [r.asDict(recursive=True) for r in self.layers(t - 500_000, t + 500_000).collect()]  # one profile's layers
+        return row | {"layers": [x for x in near if x.get("site") == row.get("site")]}
+
     def catalogue(self) -> DataFrame:
         """First and last time and rows of every bucket."""
         return self.rows().groupBy("bucket").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
 
+    def grids(self) -> DataFrame:
+        """The grids of profiles there are: gates, lowest and highest, first and last time."""
+        return self.rows().groupBy(F.size("r").alias("gates"), F.get("r", F.lit(0)).alias("lowest"), F.array_max("r").alias("highest")).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
+
+    def status(self) -> dict:
+        """Span, hours, files and bytes stored, retention, and the facts."""
+        lo, hi = self.span()
+        folder, files = self.profiles.folder()
+        size = files.getContentSummary(folder) if files.exists(folder) else None
+        return self.facts() | {"first_t": lo, "last_t": hi, "hours": (hi - lo) / HOUR if lo is not None else 0.0, "files": size.getFileCount() if size else 0, "bytes": size.getLength() if size else 0, "retention_hours": self.keep / HOUR}
+
     def retained(self) -> DataFrame:
         """Rows within the retention, counted back from the latest row, by which readers see no older ones."""
         return self.window(hours=self.keep / HOUR)
 
     def purge(self) -> int:
-        """Deletes the buckets that end before the retention begins; readers of ``retained`` see none of their rows
-        either way. Returns how many went. Buckets are a few for each day, whatever their rows."""
-        cutoff = self.latest() - self.keep
-        old = [row.bucket for row in self.catalogue().where(F.col("last_t") < cutoff).collect()]
-        for bucket in old:
-            folder, files = self._folder(f"/bucket={bucket}")
-            files.delete(folder, True)
-        return len(old)
+        """Deletes what is older than the retention; returns how many buckets of profiles went."""
+        latest = self.latest()
+        if latest is None:
+            return 0
+        self.layer_table.purge(latest - self.keep)
+        return self.profiles.purge(latest - self.keep)
+
+    def delete(self, buckets: list[int]) -> None:
+        """Drops buckets of profiles and layers."""
+        for table in (self.profiles, self.layer_table):
+            table.drop(buckets)
+
+
+def compatible(profiles: DataFrame) -> DataFrame:
+    """Profiles on the grid of the first one; those of another grid cannot be stacked on it and are left out."""
+    first = profiles.agg(F.min_by("r", "t").alias("_r"))
+    near = F.forall(F.arrays_zip(F.col("r").alias("a"), F.col("_r").alias("b")), lambda x: F.coalesce(F.abs(x["a"] - x["b"]) <= F.abs(x["b"]) * 1e-5 + 1e-8, F.lit(False)))
+    return profiles.join(F.broadcast(first), (F.size("r") == F.size("_r")) & near).drop("_r")  # one row
+
+
+def union(blocks: list[DataFrame]) -> DataFrame:
+    """All rows of several blocks, in no order; columns that one has not got are NULL there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), blocks)

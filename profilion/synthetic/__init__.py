@@ -1,0 +1 @@
+"""Synthetic days with known layers."""
