@@ -17,7 +17,7 @@ fetched, and all their strings of SPAN bytes are looked up by fingerprint among
 is linear in what there is: no pairs are made. A lead with over LOCAL stretches in one task or CROWD in all is not
 brought together: its stretches are asked at once, and their strings counted in Spark, which gives the same.
 
-Stretches and strings are compared by 64-bit fingerprints. Texts travel compressed, in rows of about 1 MB, which are
+Stretches and strings are compared by 64-bit fingerprints. Texts travel compressed, in rows of about 256 KB, which are
 written once.
 
 Cases: null counts as empty; texts under SPAN bytes lose nothing; repeats inside one text and overlapping ones
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from profilion.llm import textkit as tk
 from profilion.llm.cluster import parts, settle
 
-SPAN, LEAD, SEGMENT = 200, 32, 1 << 20
+SPAN, LEAD, SEGMENT = 200, 32, 1 << 18
 #: Stretches of one lead that are brought together from one task, and in all; entries of a task's family; texts for a range.
-LOCAL, CROWD, FAMILY, TEXTS_PER_RANGE = 1000, 50_000, 250_000, 16
+LOCAL, CROWD, FAMILY, TEXTS_PER_RANGE = 1000, 50_000, 200_000, 64
 WHOLE, ASK, STRING, CROWDED, RUN, HOT = range(6)
 
 
@@ -80,7 +80,7 @@ def anchors(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarra
 
 
 def stored(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """(share, blob, rows): texts in compressed rows of about 1 MB, and the columns carried as Arrow bytes."""
+    """(share, blob, rows): texts in compressed rows of about 256 KB, and the columns carried as Arrow bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in tk.chunks(batches):

@@ -44,7 +44,7 @@ def _byte_values(seed: int, fold_case: bool) -> np.ndarray:
 #: A value for each byte: exact, and with A-Z taken as a-z.
 EXACT, FOLDED = _byte_values(11, False), _byte_values(12, True)
 #: Long texts are fingerprinted in segments of about so many bytes.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _powers: list[np.ndarray] = []
 
 
