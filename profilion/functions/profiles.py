@@ -136,3 +136,14 @@ def requantise(code: Column | str, vmin: float, vmax: float, lo: float, hi: floa
     """The colour, 1 to colours - 1, of a byte of the scale vmin..vmax on the scale lo..hi; 0 stays missing."""
     c, at = column(code), (decode(code, vmin, vmax) - F.lit(float(lo))) / F.lit(max(float(hi) - float(lo), 1e-9))
     return F.when(c > 0, F.rint(F.greatest(F.least(at, F.lit(1.0)), F.lit(0.0)) * (colours - 2)) + 1).otherwise(0).cast("int")
+
+
+def cumulative_depth(extinction: Column | str, spacing: float) -> Column:
+    """Optical depth up to each gate."""
+    return running_sum(F.transform(column(extinction), lambda a: a * spacing))
+
+
+def clear_of_cloud(values: Column | str, r: Column | str, ceiling: Column | str, margin: float = 50.0) -> Column:
+    """Values below a ceiling less a margin; those above are NULL. Without a ceiling all stay."""
+    top = F.coalesce(column(ceiling), F.lit(float("inf"))) - margin
+    return F.zip_with(column(values), column(r), lambda v, h: F.when(h < top, v))

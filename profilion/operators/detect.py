@@ -107,8 +107,7 @@ def found_edges(r: np.ndarray, ceiling: np.ndarray, fields: dict[str, np.ndarray
 def candidates(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Settings = preprocess.Settings()) -> DataFrame:
     """Adds candidates, one for each extremum at each scale below the ceiling (NULL: none). Needs r, ceiling, beta_smooth and
     sigma_smooth; gates near a cloud and above it are left out."""
-    clear = F.coalesce("ceiling", F.lit(float("inf"))) - F.lit(s.cloud_margin)
-    inside = lambda c: F.zip_with(c, "r", lambda v, h: F.when(h < clear, v))
+    inside = lambda c: fn.clear_of_cloud(c, "r", "ceiling", s.cloud_margin)
     rows = profiles.withColumn("_b", inside("beta_smooth")).withColumn("_e", inside("sigma_smooth"))
     rows = rows.withColumn("_log", F.zip_with("_b", "_e", lambda b, e: fn.log_value(b, e))).withColumn("_log_e", F.zip_with("_b", "_e", lambda b, e: fn.log_error(b, e)))
     bias = F.transform("r", lambda h: (F.lit(1.0) - fn.overlap(h, p.overlap_start, p.overlap_full, p.overlap_shape)) * F.lit(p.overlap_error))

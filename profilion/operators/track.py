@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from profilion.operators import frames, temporal
+from profilion.operators import frames, layers, temporal
 from profilion.operators.preprocess import SITE, TIME
 
 SECOND = 1_000_000
@@ -76,10 +76,10 @@ def assign(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
     return sorted(p for p in pairs if allowed[p])
 
 
-def assigned(layers: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Adds track to layers: unique with site and type, and in itself."""
+def assigned(found: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Adds track to layers found: unique with site and type, and in itself."""
     at = F.struct(SITE, "type")
-    rows = temporal.sessions(layers.withColumn("_key", at), "_key", TIME, "base", int(s.gap * SECOND)).withColumn("_height", tracking_height())
+    rows = temporal.sessions(found.withColumn("_key", at), "_key", TIME, "base", int(s.gap * SECOND)).withColumn("_height", tracking_height())
     first = F.min(TIME).over(Window.partitionBy("_key", "session"))
     rows = rows.withColumn("_from", first).repartition("_key", "session").sortWithinPartitions("_key", "session", TIME, "base", "_height")
     schema = StructType([*rows.schema.fields, StructField("_track", LongType())])
@@ -161,24 +161,21 @@ def filled(smooth: DataFrame, times: DataFrame, s: Settings = Settings()) -> Dat
     return rows.drop("i").unionByName(made.select(*[c for c in rows.columns if c != "i"]))
 
 
-def deduplicated(layers: DataFrame) -> DataFrame:
+def deduplicated(found: DataFrame) -> DataFrame:
     """At most one mixing and one residual layer in a profile: measured before interpolated, then the surer, then the lower."""
     once = F.col("type").isin("mixing_layer", "residual_layer")
     order = [F.col("interpolated"), F.desc("confidence"), "base", "track"]
-    kept = temporal.first_of(layers.where(once), [SITE, TIME, "type"], order)
-    return kept.unionByName(layers.where(~once))
+    kept = temporal.first_of(found.where(once), [SITE, TIME, "type"], order)
+    return kept.unionByName(found.where(~once))
 
 
-def reconciled(layers: DataFrame) -> DataFrame:
+def reconciled(found: DataFrame) -> DataFrame:
     """The residual layer rests on the mixing layer of its profile."""
-    under = F.max(F.when(F.col("type") == "mixing_layer", F.col("top"))).over(Window.partitionBy(SITE, TIME))
-    rows = layers.withColumn("_under", F.when(F.col("type") == "residual_layer", under))
-    rows = rows.withColumn("base", F.coalesce("_under", "base"))
-    return rows.withColumn("top", F.when(F.col("_under").isNotNull() & (F.col("top") < F.col("base")), F.col("base")).otherwise(F.col("top"))).drop("_under")
+    return layers.stacked(found, [SITE, TIME])
 
 
-def track(layers: DataFrame, times: DataFrame, s: Settings = Settings()) -> DataFrame:
+def track(found: DataFrame, times: DataFrame, s: Settings = Settings()) -> DataFrame:
     """All of the above: (site, t, type, base, top, confidence, meta, track, interpolated)."""
-    rows = smoothed(assigned(layers, s), s)
+    rows = smoothed(assigned(found, s), s)
     rows = filled(rows, times, s) if s.fill else rows.withColumn("interpolated", F.lit(False))
     return reconciled(deduplicated(rows))

@@ -407,17 +407,24 @@ def interpolation_runs(spark, sf_dir):
 
 #: Limits for profiles of 64 gates; label stands for the site and vec_id for the time.
 SHALLOW = preprocess.Settings(rain_beta=0.1, rain_depth=60.0, rain_gap=60.0, fog_beta=0.1, fog_above=300.0, fog_span=340.0, fog_snr=0.2, low_from=200.0, low_to=400.0, low_snr=0.1, smooth_half_rows=2, smooth_half_gates=1)
-HEIGHTS = f"""{GATES}, g AS (SELECT e.*, label AS site, gate * 10.0::DOUBLE + 5.0::DOUBLE AS r FROM e JOIN embeddings USING (vec_id))"""
-SCREENED = f"""{HEIGHTS}, h AS (SELECT *, lag(gate) OVER (PARTITION BY vec_id ORDER BY gate) AS seen FROM g WHERE r >= 100 AND v > 0.1::DOUBLE),
+HEIGHTS = f"""{GATES}, g AS (SELECT e.*, label AS site, gate * 10.0::DOUBLE + 5.0::DOUBLE AS r, 0.05::DOUBLE AS s FROM e JOIN embeddings USING (vec_id))"""
+
+
+def screened_sql(heights: str, sigma: str) -> str:
+    """CTEs up to q (vec_id, site, depth, quality), from g (vec_id, site, gate, r, v, s). A missing median counts as 0."""
+    return f"""{heights}, h AS (SELECT *, lag(gate) OVER (PARTITION BY vec_id ORDER BY gate) AS seen FROM g WHERE r >= 100 AND v > 0.1::DOUBLE),
 stops AS (SELECT vec_id, min(gate) AS stop FROM h WHERE gate - coalesce(seen, 9) > 7 GROUP BY vec_id),
 tops AS (SELECT h.vec_id, max(r) - 100.0::DOUBLE AS depth FROM h LEFT JOIN stops USING (vec_id) WHERE stop IS NULL OR gate < stop GROUP BY h.vec_id),
-k AS (SELECT vec_id, site, max(v) FILTER (WHERE r BETWEEN 100 AND 300) AS peak, median(v / 0.05::DOUBLE) FILTER (WHERE r BETWEEN 300 AND 640) AS above, median(v / 0.05::DOUBLE) FILTER (WHERE r BETWEEN 200 AND 400) AS low FROM g GROUP BY ALL),
+k AS (SELECT vec_id, site, max(v) FILTER (WHERE r BETWEEN 100 AND 300) AS peak, coalesce(median(v / {sigma}) FILTER (WHERE r BETWEEN 300 AND 640), 0) AS above, coalesce(median(v / {sigma}) FILTER (WHERE r BETWEEN 200 AND 400), 0) AS low FROM g GROUP BY ALL),
 f AS (SELECT k.*, coalesce(depth, 0) AS depth, coalesce(depth, 0) >= 60 AS rain FROM k LEFT JOIN tops USING (vec_id)),
-f2 AS (SELECT *, NOT rain AND peak >= 0.1::DOUBLE AND above < 0.2::DOUBLE AS fog FROM f),
+f2 AS (SELECT *, NOT rain AND coalesce(peak, 0) >= 0.1::DOUBLE AND above < 0.2::DOUBLE AS fog FROM f),
 f3 AS (SELECT *, bool_or(rain) OVER w AS wet, bool_or(fog) OVER w AS dim, NOT rain AND NOT fog AND low < 0.1::DOUBLE AS faint FROM f2 WINDOW w AS (PARTITION BY site ORDER BY vec_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
 q AS (SELECT vec_id, site, depth, CAST(CASE WHEN wet THEN 1 WHEN dim THEN 2 ELSE 0 END + CASE WHEN faint THEN 4 ELSE 0 END AS BIGINT) AS quality FROM f3)"""
 
 
+SCREENED = screened_sql(HEIGHTS, "s")
+
+
 def _heights(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("site"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("beta"), F.lit(0).alias("quality"))
     return rows.withColumn("r", F.transform("beta", lambda _x, i: i * F.lit(10.0) + F.lit(5.0))).withColumn("sigma", F.transform("beta", lambda _x: F.lit(0.05)))
