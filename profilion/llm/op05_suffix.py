@@ -40,7 +40,7 @@ from profilion.llm.cluster import parts, settle
 
 SPAN, LEAD, SEGMENT = 200, 32, 1 << 18
 #: Stretches of one lead that are brought together from one task, and in all; entries of a task's family; texts for a range.
-LOCAL, CROWD, FAMILY, TEXTS_PER_RANGE = 1000, 50_000, 200_000, 64
+LOCAL, CROWD, FAMILY, TEXTS_PER_RANGE = 1000, 20_000, 200_000, 64
 WHOLE, ASK, STRING, CROWDED, RUN, HOT = range(6)
 
 
@@ -330,15 +330,25 @@ def looked_up(stretches: DataFrame) -> DataFrame:
     def batch(kind, share, start, end, string, many) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(share), kind)), pa.array(share), pa.array(start), pa.array(end), pa.array(string), pa.array(many)], ["kind", "share", "start", "end", "string", "many"])
 
-    def spans(rows: pa.Table) -> pa.RecordBatch:
+    def asked_in(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, start and fingerprint of each string of some stretches."""
         column = rows.column("bytes").combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
         data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
         row, at, string = strings(data, offsets[:-1] - offsets[0], np.diff(offsets) - SPAN + 1)
-        start = at + rows.column("first").to_numpy()[row]
-        _, place, n = np.unique(string, return_inverse=True, return_counts=True)
-        good = n[place] > 1
+        return row.astype(np.int32), at + rows.column("first").to_numpy()[row], string
+
+    def spans(rows: pa.Table) -> pa.RecordBatch:
+        """A lead's stretches, or those of a few; their strings are made some at a time."""
+        found = [(row + np.int32(at), start, string) for at in range(0, len(rows), 1_000) for row, start, string in [asked_in(rows.slice(at, 1_000))]]
+        row, start, string = (np.concatenate(x) for x in zip(*found, strict=True))
+        del found
+        order = np.argsort(string)
+        same = string[order[1:]] == string[order[:-1]]
+        good = np.zeros(len(row), bool)
+        good[order[1:][same]] = True
+        good[order[:-1][same]] = True
         row, start = row[good], start[good]
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)
