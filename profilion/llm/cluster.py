@@ -1,40 +1,16 @@
-"""Session helpers: the shared folder, partition counts, connected components."""
+"""Session helpers: partition counts, filters, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
+from profilion.session import settle, written
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where none is set, one is made for a session on one machine, as in tests, and
-    on a cluster that is an error, as its executors share no local folder."""
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="profilion-"))
-    return sc.getCheckpointDir()
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Writes a frame to the cluster's shared folder as a checkpoint, which cuts its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Writes a frame to the cluster's shared folder as a Parquet table, and reads it."""
-    folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+__all__ = ["components", "key_filter", "may_hold", "parts", "settle", "with_columns", "written"]
 
 
 def parts(spark: SparkSession) -> int:
