@@ -202,7 +202,8 @@ def runs(texts: DataFrame, ranges: int) -> DataFrame:
         yield told(CROWDED, rows["share"][crowded], rows["where"][crowded], rows["lead"][crowded], rows["many"][crowded])
         hot = np.unique(rows["lead"][crowded])
         rows = some(rows, ~crowded)
-        into = lambda lead: ((lead.view(tk.U) >> tk.U(32)) * tk.U(ranges) >> tk.U(32)).astype(np.int64)
+        # mixed, as leads are places of least fingerprints, which lie close to 0
+        into = lambda lead: ((tk.mix(lead.view(tk.U) + tk.U(1)) >> tk.U(32)) * tk.U(ranges) >> tk.U(32)).astype(np.int64)
         yield told(HOT, into(hot), lead=hot)
         to = into(rows["lead"])
         order = np.argsort(to, kind="stable")  # keeps suffix order within a range

@@ -152,6 +152,15 @@ def test_suffix_arrays_are_in_order_and_levels_few():
     assert (whole[1:] > whole[:-1]).all()
 
 
+def test_suffixes_are_dealt_evenly(spark):
+    docs = spark.createDataFrame([(i, prose(100 + i, 2000)) for i in range(40)], "doc_id long, text string").repartition(2)
+    sent = op05_suffix.runs(op05_suffix.stored(docs, ["doc_id"]), 8).where(F.col("kind") == op05_suffix.RUN)
+    many = Counter()
+    for r in sent.select("dest", "blob").collect():
+        many[r["dest"]] += len(tk.unpack(bytes(r["blob"]))[0])
+    assert len(many) == 8 and max(many.values()) < 1.5 * min(many.values())
+
+
 def test_bpe(docs, texts):
     import public_tokenizers
     from tokenizers import Tokenizer
