@@ -456,6 +456,36 @@ def test_chat_folds_events(spark):
     assert back.loc[1.0].loss_chars == len("good </turn> ### \\")
 
 
+def test_chat_of_nulls_ties_long_texts_and_other_columns(spark):
+    long = "word " * 200_000
+    rows = [(1, 0, "user", None, 7, 7), (1, 1, "assistant", long, 7, 7), (1, 1, "assistant", "b", 7, 7), (1, 1, "assistant", "b", 7, 7), (None, 0, None, "x", 7, 7), (2, 0, "assistant", "", 7, 7)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, message long, seq long")
+    got = {r["conv_id"]: r for r in op02_chat.read_back(op02_chat.render(op02_chat.log_of(table))).collect()}
+    turns = "user\n\n" + "assistant\nb\n" * 2 + f"assistant\n{long}\n"
+    assert got[1].n_turns == 4 and got[1].turns_sha256 == hashlib.sha256(turns.encode()).hexdigest()
+    assert got[1].loss_chars == len(long) + 2 and got[1].loss_sha256 == hashlib.sha256(("bb" + long).encode()).hexdigest()
+    assert got[None].n_turns == 1 and got[2].loss_chars == 0
+    assert op02_chat.read_back(op02_chat.render(op02_chat.log_of(table.limit(0)))).isEmpty()
+
+
+def test_bpe_digests(docs, texts):
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(op03_bpe.tokenizer_path())
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    for r in op03_bpe.digests(docs, op03_bpe.tokenizer_path()).collect():
+        ids = model.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(np.array(ids, "<u4").tobytes()), sha(model.decode(ids, skip_special_tokens=False).encode()))
+    assert op03_bpe.digests(docs.limit(0), op03_bpe.tokenizer_path()).isEmpty() and op03_bpe.encode(docs.limit(0), op03_bpe.tokenizer_path()).isEmpty()
+
+
+def test_vectors_with_clashing_columns(spark):
+    rows = vectors(spark, some_vectors()).withColumns({c: F.lit(1) for c in ("x", "v", "n", "many", "salt", "h1", "block", "score", "rank", "query_id", "component")})
+    assert op07_embedding.near_duplicates(rows).columns == ["vec_id", "n_links", "component_id", "kept"]
+    found = op06_topk.clean(rows)
+    assert op06_topk.topk(found.where("vec_id = 0"), found, 3).count() == 3
+
+
 def test_license(spark):
     files = [(1, "a/b/x", "text\nReleased under the MIT License."), (2, "a/b/c/y", None), (3, "a/z", ""), (4, None, "Licensed under CC BY-NC 4.0."), (5, "a/b/c/y", "no notice"), (6, "w", "copyright of nobody at all in this line")]
     got = op01_license.scan(spark.createDataFrame(files, "file_id long, path string, text string")).toPandas().set_index("file_id")
