@@ -11,6 +11,7 @@ from profilion.operators import aggregates, detect, frames, layers, preprocess,
 from profilion.plans import window as windows
 from profilion.plans.catalog import BIT_SQL, EVENTS, GATES, HOUR, bit, events, gates, neat, query, screened_sql, table
 from profilion.session import shared_folder
+from profilion.sources import messages
 from profilion.sources.store import Store, Table
 
 SIX = 6 * HOUR
@@ -335,3 +336,22 @@ def cadence_by_blocks(spark, sf_dir):
     found = aggregates.exact_percentiles(steps, ["event_type"], "step", {"m": 0.5}).withColumn("cadence", neat(F.col("m") / 1e6))
     return found.join(steps.groupBy("event_type").agg(F.count("step").alias("n")), "event_type").select("event_type", "cadence", "n")
 
+
+
+@query(f"""WITH {GATES}, c AS (SELECT vec_id, gate, CAST(round_even(v * 100000, 0) AS BIGINT) AS c FROM e), s AS (SELECT vec_id, count(*) AS gates, sum(c) AS total, max(abs(c)) AS most FROM c GROUP BY vec_id)
+SELECT vec_id, gates, round(total * 1e-3::DOUBLE, 6) + 0.0 AS total, CAST(CASE WHEN vec_id % 4 = 0 THEN 16 ELSE 0 END | CASE WHEN vec_id % 3 = 2 THEN 2 ELSE 0 END | CASE WHEN most >= 524287 THEN 8 ELSE 0 END AS BIGINT) AS quality,
+CASE WHEN vec_id % 3 = 1 THEN vec_id % 1000 * 10.0::DOUBLE END AS base, CASE WHEN vec_id % 3 = 2 THEN 90.0::DOUBLE END AS visibility, true AS crc_ok FROM s""")
+def message_parse(spark, sf_dir):
+    """Vectors written as messages, line by line, and read back."""
+    v = F.col("vec_id")
+    counts = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.rint(x * 100_000).cast("long"))
+    digits = F.array_join(F.transform(counts, fn.hex_encode), "")
+    kind = v % 3
+    status = F.concat(kind.cast("string"), F.when(v % 4 == 0, "W ").otherwise("0 "), F.when(kind == 1, F.lpad((v % 1000 * 10).cast("string"), 5, "0")).when(kind == 2, "00090").otherwise(""), F.lit(" 00000000"))
+    status = F.when(kind == 2, F.concat(F.lit("4"), F.substring(status, 2, 100))).otherwise(status)
+    head = F.array(F.lit("CL010112"), status, F.format_string("00100 10 %04d 099 +25 099 0000 L0112HN15 030 000", F.size("embedding")), digits)
+    body = F.concat(F.array_join(head, "\r\n"), F.lit("\r\n" + messages.CLOSES))
+    closing = F.concat(F.lit(messages.CLOSES), F.lower(F.lpad(F.hex(fn.crc16(body)), 4, "0")))
+    rows = table(spark, sf_dir, "embeddings").select(v.cast("string").alias("path"), F.lit(1).alias("message"), F.lit("2026-01-01 00:00:00").alias("stamp"), F.lit(None).cast("timestamp").alias("modified"), F.concat(head, F.array(closing)).alias("lines"))
+    found = messages.parse(rows, unit=1e-3)
+    return found.select(F.col("path").cast("long").alias("vec_id"), F.size("beta").cast("long").alias("gates"), neat(fn.array_sum("beta")).alias("total"), "quality", F.get("cloud_base_reported", F.lit(0)).alias("base"), F.col("vertical_visibility").alias("visibility"), "crc_ok")
