@@ -28,6 +28,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +42,7 @@ from profilion.llm.cluster import settle
 
 THRESHOLD = 0.6
 #: Lines that belong to a run as comment lines do.
-NOTICE = r"(?i)licen[cs]e|copyright|spdx-|permission is"
+NOTICE = re.compile("(?i)licen[cs]e|copyright|spdx-|permission is")
 WORD = r"[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 #: Common notices of public licences.
 TEMPLATES = (
@@ -99,10 +100,10 @@ def full_templates() -> list[tuple[str, str]]:
     return [*HEADERS, *((p.stem, p.read_text()) for p in sorted((Path(__file__).parent / "licences").glob("*.txt")))]
 
 
-def units(text: str) -> Iterator[str]:
-    """Runs of neighbouring comment or notice lines, paragraphs (between lines without words), and the whole text."""
+def units(lines: list[str], words: list[list[str]]) -> Iterator[list[int]]:
+    """Lines of each run of neighbouring comment or notice lines, of each paragraph (between lines without words), and all."""
     run, paragraph, until = [], [], None
-    for line in text.split("\n"):
+    for at, line in enumerate(lines):
         bare, comment = line.strip(), until is not None
         if until is None:
             opened = next((x for x in ENCLOSED if bare.startswith(x[0])), None)
@@ -111,18 +112,18 @@ def units(text: str) -> Iterator[str]:
                 until = opened[1]
         elif until in bare:
             until = None
-        if comment or re.search(NOTICE, line):
-            run.append(line)
+        if comment or NOTICE.search(line):
+            run.append(at)
         elif run:
-            yield "\n".join(run)
+            yield run
             run = []
-        if re.search(WORD, line.lower()):
-            paragraph.append(line)
+        if words[at]:
+            paragraph.append(at)
         elif paragraph:
-            yield "\n".join(paragraph)
+            yield paragraph
             paragraph = []
-    yield from ("\n".join(x) for x in (run, paragraph) if x)
-    yield text
+    yield from (x for x in (run, paragraph) if x)
+    yield list(range(len(lines)))
 
 
 def template_weights(templates=TEMPLATES) -> tuple[list[tuple[int, str, str, float, float]], float]:
@@ -189,22 +190,26 @@ def scanned(files: DataFrame, lines: Bound, larger: Bound) -> DataFrame:
 
             for key, text in zip(b.column("key").to_pylist(), b.column("text"), strict=True):
                 text = text.as_py() or ""
-                words = set(word.findall(text.lower()))
-                if lines.template(words):
-                    for at, line in enumerate(text.split("\n")):
-                        bag = Counter(word.findall(line.lower()))
+                lowered = text.lower()
+                seen = set(word.findall(lowered))
+                short, long = lines.template(seen), larger.template(seen)
+                if short or long:  # no word goes over a line feed
+                    each = [word.findall(x) for x in lowered.split("\n")]
+                if short:
+                    for at, said in enumerate(each):
+                        bag = Counter(said)
                         if bag and lines.bag(bag):
                             held += [(LINE, key, at, w, n) for w, n in bag.items()]
-                if larger.template(words):
+                if long:
                     known = set()
-                    for at, part in enumerate(units(text)):
-                        if part in known:  # a paragraph may be the run, or all there is
+                    for at, of in enumerate(units(text.split("\n"), each)):
+                        if (of[0], of[-1], len(of)) in known:  # a paragraph may be the run, or all there is
                             continue
-                        known.add(part)
-                        bag = Counter(word.findall(part.lower()))
+                        known.add((of[0], of[-1], len(of)))
+                        bag = Counter(chain.from_iterable(each[k] for k in of))
                         if bag and larger.bag(bag):
                             held += [(UNIT, key, at, w, n) for w, n in bag.items()]
-                if "spdx-license-identifier" in text.lower():
+                if "spdx-license-identifier" in lowered:
                     held += [(NAMED, key, 0, m[1], 1) for m in spdx.finditer(text)]
                 if len(held) > 50_000:
                     yield batch()
@@ -231,8 +236,23 @@ def spdx_scores(found: DataFrame) -> DataFrame:
 
 
 def spread_of(files: DataFrame) -> DataFrame:
-    """(word, spread): in how many files each word occurs."""
-    return files.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word")).groupBy("word").agg(F.count("*").alias("spread"))
+    """(word, spread): in how many files each word occurs. Tasks add up their files first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, spread = re.compile(WORD), Counter()
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(spread), pa.string()), pa.array(list(spread.values()), pa.int64())], ["word", "spread"])
+
+        for b in batches:
+            for text in b.column("text"):
+                spread.update(set(word.findall((text.as_py() or "").lower())))
+                if len(spread) > 200_000:
+                    yield told()
+                    spread.clear()
+        yield told()
+
+    return files.select("text").mapInArrow(tk.tidy(run), "word string, spread long").groupBy("word").agg(F.sum("spread").alias("spread"))
 
 
 def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
