@@ -35,7 +35,7 @@ from profilion.llm.cluster import with_columns
 
 #: Fixed value: the byte-level pre-tokenization pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 100_000
+MEMO = 200_000
 NEVER = 1 << 31
 
 
