@@ -17,12 +17,13 @@ from profilion.session import settle
 BLOCK, PARTITION_BITS = 8192, 33
 
 
-def placed(rows: DataFrame, keys: list[str], order: list, ties: list = [], size: int = BLOCK) -> DataFrame:  # noqa: B006
+def placed(rows: DataFrame, keys: list[str], order: list, ties: list = [], size: int = BLOCK, keep: list[str] | None = None) -> DataFrame:  # noqa: B006
     """Rows sorted by keys, order and ties, with _row, which grows in that order over the whole table, and _block, the stretch of
     at most ``size`` rows that a row lies in. Ties count within a partition only: rows that differ in nothing else are not taken
-    apart. The table is settled, so that places do not change when a task is run again."""
+    apart. The table (of columns ``keep``, if given) is settled, so that places do not change when a task is run again."""
     keyed = [F.col(k) for k in keys]
     found = rows.repartitionByRange(*keyed, *order).sortWithinPartitions(*keyed, *order, *ties).withColumn("_row", F.monotonically_increasing_id())
+    found = found.select(*keep, "_row") if keep else found
     part = F.shiftright("_row", PARTITION_BITS)
     within = F.col("_row") - F.shiftleft(part, PARTITION_BITS)
     return settle(found.withColumn("_block", F.shiftleft(part, PARTITION_BITS) + F.floor(within / size)))
@@ -78,6 +79,20 @@ def scanned(rows: DataFrame, keys: list[str], **scans: Scan) -> DataFrame:
     return joined.drop("_at", *[f"_key_{k}" for k in keys], *[held(n) for n in scans])
 
 
+def told(rows: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """Placed rows with the further columns of their key's row in a table of one row a key at most, NULLs where there is none. The
+    table meets the key's blocks first, and these their rows, so the rows of a large key are not brought together."""
+    more = [c for c in table.columns if c not in keys]
+    pairs = rows.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_block").alias("_at")).distinct()
+    wanted = table.select(*[F.col(k).alias(f"_fact_{k}") for k in keys], *more)
+    same, here = F.lit(True), F.col("_block") == F.col("_at")
+    for k in keys:
+        same = same & F.col(f"_key_{k}").eqNullSafe(F.col(f"_fact_{k}"))
+        here = here & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    pairs = pairs.join(wanted, same).drop(*[f"_fact_{k}" for k in keys])
+    return rows.join(pairs, here, "left").drop("_at", *[f"_key_{k}" for k in keys])
+
+
 def previous(value: Column) -> Scan:
     """The row before, as a struct with the one field v; NULL at a key's first row, whatever the value is."""
     return Scan("last", F.struct(value.alias("v")), before=True)
