@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from profilion.llm import op01_license, op02_chat, op06_topk, op12_repair
+from profilion.llm import op01_license, op02_chat, op06_topk, op12_repair, op13_trie
 from profilion.llm.op01_license import op1_license
 from profilion.llm.op02_chat import op2_chat
 from profilion.llm.op03_bpe import op3_bpe
@@ -21,12 +21,12 @@ from profilion.llm.op10_lm import op10_lm
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_license, op2_chat, op3_bpe, op4_mixing, op5_suffix, op6_topk, op7_embedding, op8_jaccard, op9_toxicity, op10_lm, op12_repair.op12_repair)
+    each = (op1_license, op2_chat, op3_bpe, op4_mixing, op5_suffix, op6_topk, op7_embedding, op8_jaccard, op9_toxicity, op10_lm, op12_repair.op12_repair, op13_trie.op13_trie)
     return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
 
 
 def oracles() -> dict[str, str]:
-    found = {"op1_license": op01_license.ORACLE, "op2_chat": op02_chat.ORACLE, "op6_topk": op06_topk.ORACLE, "op12_repair": op12_repair.ORACLE}
+    found = {"op1_license": op01_license.ORACLE, "op2_chat": op02_chat.ORACLE, "op6_topk": op06_topk.ORACLE, "op12_repair": op12_repair.ORACLE, "op13_trie": op13_trie.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         found["pipeline"] = corpus_pipeline.ORACLE_SQL
     return found
