@@ -18,10 +18,11 @@ from profilion.llm.op07_embedding import op7_embedding
 from profilion.llm.op08_jaccard import op8_jaccard
 from profilion.llm.op09_toxicity import op9_toxicity
 from profilion.llm.op10_lm import op10_lm
+from profilion.llm.op11_quality import op11_quality
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    each = (op1_license, op2_chat, op3_bpe, op4_mixing, op5_suffix, op6_topk, op7_embedding, op8_jaccard, op9_toxicity, op10_lm, op12_repair.op12_repair, op13_trie.op13_trie)
+    each = (op1_license, op2_chat, op3_bpe, op4_mixing, op5_suffix, op6_topk, op7_embedding, op8_jaccard, op9_toxicity, op10_lm, op11_quality, op12_repair.op12_repair, op13_trie.op13_trie)
     return {f.__name__: f for f in each} | {"pipeline": corpus_pipeline.run}
 
 
