@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from profilion.operators import scans
+
 
 def unroll(profiles: DataFrame, key: str, values: str, place: str = "gate", value: str = "v") -> DataFrame:
     """One row for each element of an array column."""
@@ -162,18 +164,18 @@ def dilate(rows: DataFrame, key: str, order: list[str], flag: str, by: int = 1)
     return rows.withColumn("dilated", F.bool_or(flag).over(Window.partitionBy(key).orderBy(*order).rowsBetween(-by, by)))
 
 
-def row_buckets(rows: DataFrame, key: str, order: list[str], factor: int) -> DataFrame:
+def row_buckets(rows: DataFrame, key: str, order: list[str], factor: int, size: int = scans.BLOCK) -> DataFrame:
     """Numbers of ``factor`` consecutive rows each, from the key's first row."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
-    return rows.withColumn("bucket", F.floor((rank - 1) / factor))
+    placed = scans.placed(rows, [key], [F.col(c) for c in order], size=size)
+    return scans.unplaced(scans.scanned(placed, [key], _n=scans.Scan("sum", F.lit(1))).withColumn("bucket", F.floor((F.col("_n") - 1) / factor)).drop("_n"))
 
 
-def change_runs(rows: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
-    """Numbers the runs of equal state along each key, from 1."""
-    w = Window.partitionBy(key).orderBy(*order)
-    changed = F.when(F.lag(state).over(w).eqNullSafe(F.col(state)), 0).otherwise(1)
-    rows = rows.withColumn("changed", changed)
-    return rows.withColumn("run", F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("changed")
+def change_runs(rows: DataFrame, key: str, order: list[str], state: str, size: int = scans.BLOCK) -> DataFrame:
+    """Numbers the runs of equal state along each key, from 1: changes are found and counted in two levels."""
+    placed = scans.placed(rows, [key], [F.col(c) for c in order], size=size)
+    changed = scans.scanned(placed, [key], _p=scans.previous(F.col(state)))
+    same = F.col("_p").isNotNull() & F.col("_p.v").eqNullSafe(F.col(state))
+    return scans.unplaced(scans.scanned(changed.withColumn("_changed", F.when(same, 0).otherwise(1)).drop("_p"), [key], run=scans.Scan("sum", F.col("_changed"))).drop("_changed"))
 
 
 def fill_depth(rows: DataFrame, key: str, order: str, hit, tolerance: int) -> DataFrame:

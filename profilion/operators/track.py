@@ -76,58 +76,72 @@ def assign(cost: np.ndarray, allowed: np.ndarray) -> list[tuple[int, int]]:
     return sorted(p for p in pairs if allowed[p])
 
 
+@dataclass
+class Active:
+    """The tracks of one site and type that may go on: [number, last time, last height] each, when their session began, its last time,
+    and how many tracks it has had."""
+
+    tracks: list[list]
+    began: int | None = None
+    last: int | None = None
+    made: int = 0
+
+    def take(self, t: int, heights: np.ndarray, s: Settings) -> np.ndarray:
+        """The tracks of the detections of one time, later than all before: by optimal assignment to the tracks within reach, or new
+        ones. A gap longer than the limit ends all tracks and opens a session."""
+        if self.last is None or t - self.last > s.gap * SECOND:
+            self.tracks, self.began, self.made = [], t, 0
+        self.last = t
+        self.tracks = [a for a in self.tracks if t - a[1] <= s.gap * SECOND]
+        found = np.full(len(heights), -1)
+        if self.tracks:
+            reach = s.jump + s.jump_per_minute * np.array([(t - a[1]) / SECOND / 60 for a in self.tracks])
+            apart = np.abs(heights[:, None] - np.array([a[2] for a in self.tracks]))
+            for d, k in assign(apart, apart <= reach):
+                self.tracks[k][1:] = [t, heights[d]]
+                found[d] = self.tracks[k][0]
+        for d in np.flatnonzero(found < 0):
+            self.tracks.append([self.made, t, heights[d]])
+            found[d], self.made = self.made, self.made + 1
+        return found
+
+
+def track_name(site: Column, type_: Column, began: Column, number: Column) -> Column:
+    """Unique with site and type, and in itself."""
+    return F.concat_ws(":", site.cast("string"), type_, began.cast("string"), number.cast("string"))
+
+
 def assigned(found: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Adds track to layers found: unique with site and type, and in itself."""
+    """Adds track to layers found."""
     at = F.struct(SITE, "type")
-    rows = temporal.sessions(found.withColumn("_key", at), "_key", TIME, "base", int(s.gap * SECOND)).withColumn("_height", tracking_height())
-    first = F.min(TIME).over(Window.partitionBy("_key", "session"))
-    rows = rows.withColumn("_from", first).repartition("_key", "session").sortWithinPartitions("_key", "session", TIME, "base", "_height")
-    schema = StructType([*rows.schema.fields, StructField("_track", LongType())])
+    rows = temporal.sessions(found.withColumn("_key", F.to_json(at)), "_key", TIME, "base", int(s.gap * SECOND)).withColumn("_height", tracking_height())
+    rows = rows.repartition("_key", "session").sortWithinPartitions("_key", "session", TIME, "base", "_height")
+    schema = StructType([*rows.schema.fields, StructField("_began", LongType()), StructField("_track", LongType())])
 
     def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, held, active, made = None, None, [], 0
-
-        def step(part: pd.DataFrame) -> None:
-            """Assigns the detections of one time; active: [track, last time, last height]."""
-            nonlocal active, made
-            t, heights = part[TIME].iloc[0], part["_height"].to_numpy(float)
-            active = [a for a in active if t - a[1] <= s.gap * SECOND]
-            tracks = np.full(len(part), -1)
-            if active:
-                last = np.array([a[2] for a in active])
-                reach = s.jump + s.jump_per_minute * np.array([(t - a[1]) / SECOND / 60 for a in active])
-                apart = np.abs(heights[:, None] - last)
-                for d, k in assign(apart, apart <= reach):
-                    active[k][1:] = [t, heights[d]]
-                    tracks[d] = active[k][0]
-            for d in np.flatnonzero(tracks < 0):
-                active.append([made, t, heights[d]])
-                tracks[d], made = made, made + 1
-            out.append(part.assign(_track=tracks))
+        now, held, active = None, None, Active([])
+
+        def step(part: pd.DataFrame) -> pd.DataFrame:
+            nonlocal now, active
+            key = (part["_key"].iloc[0], part["session"].iloc[0])
+            if key != now:
+                now, active = key, Active([])
+            tracks = active.take(int(part[TIME].iloc[0]), part["_height"].to_numpy(float), s)
+            return part.assign(_began=active.began, _track=tracks)
 
         for table in tables:
             table = table if held is None else pd.concat([held, table], ignore_index=True)
             if not len(table):
                 continue
-            key = list(zip(*[table[c].map(str) if c == "_key" else table[c] for c in ("_key", "session", TIME)], strict=True))
+            key = list(zip(table["_key"], table["session"], table[TIME], strict=True))
             starts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1])]
-            held, out = table.iloc[starts[-1] :], []  # the last time may go on
-            for a, b in zip(starts, starts[1:], strict=False):
-                if key[a][:2] != now:
-                    now, active, made = key[a][:2], [], 0
-                step(table.iloc[a:b])
-            yield from out
+            held = table.iloc[starts[-1] :]  # the last time may go on
+            yield from (step(table.iloc[a:b]) for a, b in zip(starts, starts[1:], strict=False))
         if held is not None and len(held):
-            out, k = [], (str(held["_key"].iloc[0]), held["session"].iloc[0])
-            if k != now:
-                active, made = [], 0
-            step(held)
-            yield from out
-
-    rows = rows.withColumn("_key", F.to_json("_key"))
-    schema = StructType([*rows.schema.fields, StructField("_track", LongType())])
-    named = F.concat_ws(":", F.col(SITE).cast("string"), "type", F.col("_from").cast("string"), F.col("_track").cast("string"))
-    return rows.mapInPandas(run, schema).withColumn("track", named).drop("_key", "session", "_height", "_from", "_track")
+            yield step(held)
+
+    named = track_name(F.col(SITE), F.col("type"), F.col("_began"), F.col("_track"))
+    return rows.mapInPandas(run, schema).withColumn("track", named).drop("_key", "session", "_height", "_began", "_track")
 
 
 def smoothed(tracked: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilion.functions import profiles as fn
+from profilion.operators import scans
 
 #: Control characters that open and close a message, and the shortest profile line.
 OPENS, CLOSES, SHORTEST = "\x01", "\x03", 100
@@ -27,7 +28,7 @@ def records(spark: SparkSession, paths: str | list[str], glob: str | None = None
     return reader.text(paths).select(meta["file_path"].alias("path"), place.alias("place"), meta["file_modification_time"].alias("modified"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
 
 
-def split_messages(found: DataFrame) -> DataFrame:
+def split_messages(found: DataFrame, size: int = scans.BLOCK) -> DataFrame:
     """One row for each message of records: path, message (its number), stamp (text or NULL), modified, lines.
 
     A message ends with its closing line, or at a time stamp after three lines, or where the next one opens. What follows
@@ -37,12 +38,13 @@ def split_messages(found: DataFrame) -> DataFrame:
     closing = F.array_position(F.transform(lines, lambda x: x.startswith(CLOSES)), True)
     stamp = F.array_position(F.transform(lines, lambda x, i: is_stamp(x) & (i >= 4)), True) - 1
     end = F.when(closing > 0, F.when(stamp > 0, F.least(closing, stamp)).otherwise(closing)).when(stamp > 0, stamp).otherwise(F.size(lines))
-    w = Window.partitionBy("path").orderBy("place")
-    rows = found.withColumn("lines", lines).withColumn("n", F.row_number().over(w))
+    # records of a file are numbered, and the stamp after one carried to the next, in two levels: a log of any size is many tasks
+    placed = scans.placed(found, ["path"], [F.col("place")], size=size)
+    rows = scans.scanned(placed, ["path"], n=scans.Scan("sum", F.lit(1))).withColumn("lines", lines)
     rows = rows.withColumn("end", F.when(F.col("n") > 1, end).otherwise(0).cast("int"))
     rest = F.filter(F.slice("lines", F.col("end") + 1, F.greatest(F.size("lines"), F.lit(1))), is_stamp)
     told = F.regexp_extract(F.trim(F.try_element_at(rest, F.lit(-1))), STAMP, 1)
-    rows = rows.withColumn("stamp", F.lag(told).over(w))
+    rows = scans.scanned(rows.withColumn("_told", told), ["path"], _p=scans.previous(F.col("_told"))).withColumn("stamp", F.col("_p.v"))
     return rows.where("n > 1").select("path", (F.col("n") - 1).alias("message"), F.nullif("stamp", F.lit("")).alias("stamp"), "modified", F.slice("lines", F.lit(1), F.col("end")).alias("lines"))
 
 

@@ -18,6 +18,8 @@ from profilion.functions import profiles as fn
 from profilion.session import settle
 
 HOUR = 3_600_000_000
+#: Rows of a file: some hundred MB of profiles.
+FILE_ROWS = 50_000
 
 
 class Table:
@@ -61,10 +63,31 @@ class Table:
             new = settle(touched.join(spans, inside, "left_anti").unionByName(new, allowMissingColumns=True))
             old, left = ({r["bucket"] for r in x.select("bucket").distinct().collect()} for x in (touched, new))  # a few for each day
             emptied = sorted(old - left)
-        out = new.withColumn("_deal", F.pmod(F.xxhash64("t"), F.lit(16))).repartition("bucket", "_deal").sortWithinPartitions("bucket", "t").drop("_deal")
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        self.replace(new)
         self.drop(emptied)
 
+    def replace(self, rows: DataFrame) -> None:
+        """Overwrites the buckets of settled rows, each in as many files as its rows fill."""
+        sizes = rows.groupBy("bucket").agg(F.ceil(F.count("*") / FILE_ROWS).alias("_files"))  # a row for each bucket, a few for each day
+        total = sizes.agg(F.sum("_files")).first()[0] or 1
+        dealt = rows.join(F.broadcast(sizes), "bucket").withColumn("_deal", F.pmod(F.xxhash64("t"), F.col("_files"))).drop("_files")
+        out = dealt.repartition(int(total), "bucket", "_deal").sortWithinPartitions("bucket", "t").drop("_deal")
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def merge(self, new: DataFrame, order: list[Column] | None = None) -> None:
+        """Adds rows to their buckets; of rows with equal keys, stored or new, the first in ``order`` stays (by default, of all other
+        columns). So rows may come in any order, in any pieces, and again: what is stored in the end is the same."""
+        by = order or [F.col(c) for c in new.columns if c not in self.keys and new.schema[c].dataType.typeName() != "map"]
+        new = settle(new.withColumn("bucket", F.floor(F.col("t") / self.width) * self.width))
+        stored = self.rows()
+        if stored is not None:
+            touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # a few for each day
+            new = new.unionByName(stored.where(F.col("bucket").isin(touched)), allowMissingColumns=True)
+        rank = F.row_number().over(Window.partitionBy(*self.keys).orderBy(*(by or [F.lit(0)])))
+        new = settle(new.withColumn("_rank", rank).where("_rank = 1").drop("_rank"))
+        if not new.isEmpty():
+            self.replace(new)
+
     def drop(self, buckets: list[int]) -> None:
         for bucket in buckets:
             folder, files = self.folder(f"/bucket={bucket}")

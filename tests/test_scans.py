@@ -49,3 +49,27 @@ def test_previous_and_seen(rows, placed):
 def test_no_rows(rows):
     empty = scans.placed(rows.limit(0), ["k"], ["at"])
     assert scans.scanned(empty, ["k"], n=scans.Scan("sum", F.lit(1))).count() == 0
+
+
+def test_overlapping(spark):
+    """Each pair of intervals of any length once, also those of a single point, against all pairs."""
+    import random
+
+    from profilion.operators import temporal
+
+    r = random.Random(2)
+
+    def made(n, names):
+        rows = []
+        for i in range(n):
+            lo = r.randrange(-500, 500)
+            rows.append((i, r.choice(["a", "b", None]), None if r.random() < 0.05 else lo, lo + r.choice([-1, 0, 0, 1, 3, 15, 16, 40, 700])))
+        return rows, spark.createDataFrame(rows, names)
+
+    left, a = made(120, "i long, k string, lo long, hi long")
+    right, b = made(150, "j long, k string, lo2 int, hi2 int")
+    wanted = sorted((x[0], y[0]) for x in left for y in right if x[1] == y[1] is not None and None not in (x[2], y[2]) and x[2] <= x[3] and y[2] <= y[3] and x[2] <= y[3] and y[2] <= x[3])
+    found = temporal.overlapping(a, b, ["k"], "lo", "hi", "lo2", "hi2")
+    assert sorted((p.i, p.j) for p in found.collect()) == wanted
+    assert found.columns.count("k") == 1
+    assert temporal.overlapping(a.limit(0), b, ["k"], "lo", "hi", "lo2", "hi2").count() == 0
