@@ -16,7 +16,7 @@ these are fewer there is no verdict and the text stays.
 
 Defined cases: a null text has no words; null language and source are values of their own; texts without words fail the base rules;
 those that do are no part of any estimate; each row is judged by itself, so repeated ids and rows stay; an empty table gives no rows;
-other columns are not read.
+other columns stay as they are, but for those that are named like a column made here (``MADE``), which it replaces.
 """
 
 from __future__ import annotations
@@ -30,15 +30,16 @@ from profilion.session import written
 #: White space, symbols, the base rules.
 BLANKS, BLANK_RUN, SYMBOLS = " \t\n\x0b\x0c\r", "[\\x20\\x09-\\x0D]+", "#*$%&|<>"
 FEWEST_WORDS, MOST_REPEATED = 50, 50
-#: The rates, how many steps an octave has, and how far each may spread in octaves whatever its texts are like.
+#: The rates, how many steps an octave has, how many of them the quartiles of a start are read to, and how far each may spread in octaves whatever its texts are like.
 RATES = ("letters", "symbols", "lines", "windows")
-STEPS, SPREAD = 1024, {"letters": 0.25, "symbols": 0.5, "lines": 0.5, "windows": 0.5}
+STEPS, COARSE, SPREAD = 1024, 16, {"letters": 0.25, "symbols": 0.5, "lines": 0.5, "windows": 0.5}
 #: Share of the texts in the subset, and what makes their covariance that of all (chi-square with 4 and 6 degrees of freedom, at
 #: the quantile of the share); the same for the re-estimate, with the distance up to which texts take part.
 SHARE, WIDEN, NEAR, WIDEN_NEAR = 0.75, 1.486, 11.143, 1.064
 #: The 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUT = 23.51
 LEAST, CONCENTRATIONS = 100, 4
+MADE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "x", "own", "pool", "wanted", "estimates", "e", "distance", "kept")
 PAIRS = [(i, j) for i in range(len(RATES)) for j in range(i + 1)]
 
 
@@ -64,7 +65,7 @@ def repeated_words(words: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """Rows with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed."""
-    text = F.coalesce("text", F.lit(""))
+    docs, text = docs.drop(*MADE), F.coalesce("text", F.lit(""))
     words = F.filter(F.split(text, BLANK_RUN), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0)
     of_words = _held(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("repeated")))
@@ -105,7 +106,8 @@ def _cumulated(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def _started(usable: DataFrame) -> DataFrame:
     """For each pool its size, and for both starts a mean and the covariance's lower half, in octaves."""
-    values = _cumulated(usable.select("pool", F.posexplode("x").alias("k", "v")).groupBy("pool", "k", "v").agg(F.count("*").alias("n")), ["pool", "k"], "v")
+    coarse = F.transform("x", lambda v: F.floor(v / COARSE) * COARSE)
+    values = _cumulated(usable.select("pool", F.posexplode(coarse).alias("k", "v")).groupBy("pool", "k", "v").agg(F.count("*").alias("n")), ["pool", "k"], "v")
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("v"))) / STEPS
     middle = values.groupBy("pool", "k").agg(at(0.5).alias("median"), ((at(0.75) - at(0.25)) / 1.349).alias("wide"))
     middle = middle.groupBy("pool").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "median", "wide"))), lambda r: F.struct(r["median"].alias("m"), r["wide"].alias("s"))).alias("r"))
