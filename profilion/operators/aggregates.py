@@ -105,3 +105,13 @@ def parallel_arrays(rows: DataFrame, keys: list[str], order: list[str], fields:
         return F.transform("all", lambda x: F.round(x[name], digits) if digits else x[name]).alias(name)
 
     return one.select(*keys, *[field(name, digits) for name, digits in fields.items()])
+
+
+def any_bits(rows: DataFrame, keys: list[str], bits: str) -> DataFrame:
+    """(keys, bits): all bits that any row of a group has."""
+    return rows.groupBy(*keys).agg(F.bit_or(bits).alias(bits))
+
+
+def spans(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """(keys, n, first, last) of each group: how many rows, and the least and largest ``at``, as first_<at> and last_<at>."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(at).alias(f"first_{at}"), F.max(at).alias(f"last_{at}"))

@@ -13,11 +13,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilion.functions import profiles as fn
-from profilion.operators import frames, preprocess
+from profilion.operators import blocks, frames, preprocess
 from profilion.operators.preprocess import SITE, TIME
 
 TINY = 1e-30
@@ -104,13 +105,22 @@ def found_edges(r: np.ndarray, ceiling: np.ndarray, fields: dict[str, np.ndarray
     return out
 
 
-def candidates(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Settings = preprocess.Settings()) -> DataFrame:
-    """Adds candidates, one for each extremum at each scale below the ceiling (NULL: none). Needs r, ceiling, beta_smooth and
-    sigma_smooth; gates near a cloud and above it are left out."""
+def edge_inputs(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Settings = preprocess.Settings()) -> DataFrame:
+    """Adds what edges are found in, as arrays of gates: _linear and _linear_error (left out near a cloud and above it), _log and
+    _log_error, and _bias, the overlap's error. Needs r, ceiling (NULL: none), beta_smooth and sigma_smooth."""
     inside = lambda c: fn.clear_of_cloud(c, "r", "ceiling", s.cloud_margin)
-    rows = profiles.withColumn("_b", inside("beta_smooth")).withColumn("_e", inside("sigma_smooth"))
-    rows = rows.withColumn("_log", F.zip_with("_b", "_e", lambda b, e: fn.log_value(b, e))).withColumn("_log_e", F.zip_with("_b", "_e", lambda b, e: fn.log_error(b, e)))
-    bias = F.transform("r", lambda h: (F.lit(1.0) - fn.overlap(h, p.overlap_start, p.overlap_full, p.overlap_shape)) * F.lit(p.overlap_error))
+    rows = profiles.withColumn("_linear", inside("beta_smooth")).withColumn("_linear_error", inside("sigma_smooth"))
+    rows = rows.withColumn("_log", F.zip_with("_linear", "_linear_error", lambda b, e: fn.log_value(b, e))).withColumn("_log_error", F.zip_with("_linear", "_linear_error", lambda b, e: fn.log_error(b, e)))
+    return rows.withColumn("_bias", F.transform("r", lambda h: (F.lit(1.0) - fn.overlap(h, p.overlap_start, p.overlap_full, p.overlap_shape)) * F.lit(p.overlap_error)))
+
+
+#: The arrays that ``found_edges`` takes.
+INPUTS = ("log", "log_error", "linear", "linear_error", "bias")
+
+
+def candidates(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Settings = preprocess.Settings()) -> DataFrame:
+    """Adds candidates, one for each extremum at each scale below the ceiling."""
+    rows = edge_inputs(profiles, s, p)
 
     @F.pandas_udf(CANDIDATES)
     def edges(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
@@ -119,13 +129,44 @@ def candidates(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Sett
             grids = r.map(lambda x: np.asarray(x, float).tobytes())
             for _, at in grids.groupby(grids).indices.items():
                 m = [np.array([np.asarray(v.iloc[k], float) for k in at]) for v in values]
-                got = found_edges(np.asarray(r.iloc[at[0]], float), ceiling.iloc[at].to_numpy(float), dict(zip(("log", "log_error", "linear", "linear_error", "bias"), m, strict=True)), s)
+                got = found_edges(np.asarray(r.iloc[at[0]], float), ceiling.iloc[at].to_numpy(float), dict(zip(INPUTS, m, strict=True)), s)
                 for k, x in zip(at, got, strict=True):
                     out[k] = x
             yield pd.Series(out)
 
-    found = edges("r", F.coalesce("ceiling", F.lit(float("inf"))), "_log", "_log_e", "_b", "_e", bias)
-    return rows.withColumn("candidates", found).drop("_b", "_e", "_log", "_log_e")
+    found = edges("r", F.coalesce("ceiling", F.lit(float("inf"))), *[f"_{c}" for c in INPUTS])
+    return rows.withColumn("candidates", found).drop(*[f"_{c}" for c in INPUTS])
+
+
+EDGE = "site string, t long, strength double, sign int, height double, amplitude double, scale double, refined double"
+
+
+def register_edges(spark: SparkSession, s: Settings = Settings(), name: str = "profile_edges") -> None:
+    """Makes edges a table function of SQL, over a table of ``edge_inputs``::
+
+        SELECT e.* FROM profile_edges(TABLE(profiles)) e
+
+    Batches of profiles go through it as Arrow tables, wherever they lie: nothing is shuffled. (Spark lets no Arrow table function stand
+    behind LATERAL, so it takes the table itself.)"""
+
+    @F.arrow_udtf(returnType=EDGE)
+    class Edges:
+        def eval(self, profiles: pa.RecordBatch) -> Iterator[pa.Table]:
+            column = lambda c: profiles.column(profiles.schema.names.index(c))
+            names = [f.split()[0] for f in EDGE.split(", ")]
+            kinds = {"site": pa.string(), "t": pa.int64(), "sign": pa.int32()}
+            grids: dict[bytes, list[int]] = {}
+            r = [np.array(x.as_py() or [], float) for x in column("r")]
+            for k, heights in enumerate(r):
+                grids.setdefault(heights.tobytes(), []).append(k)
+            for at in grids.values():  # profiles of one grid together
+                fields = {c: np.array([np.array(column(f"_{c}")[k].as_py() or [], float) for k in at]) for c in INPUTS}
+                ceiling = np.array([np.inf if (h := column("ceiling")[k].as_py()) is None else h for k in at])
+                named = [{"site": column("site")[k].as_py(), "t": column("t")[k].as_py()} for k in at]
+                found = [who | e for who, edges in zip(named, found_edges(r[at[0]], ceiling, fields, s), strict=True) for e in edges]
+                yield pa.table({c: pa.array([e[c] for e in found], kinds.get(c, pa.float64())) for c in names})
+
+    spark.udtf.register(name, Edges)
 
 
 def clustered(found: Column | str, s: Settings = Settings()) -> Column:
@@ -219,11 +260,11 @@ def clouds(profiles: DataFrame, s: Settings = Settings()) -> DataFrame:
     return profiles.withColumn("clouds", F.when(fn.screened("quality", wide=True), F.array().cast(CLOUDS)).otherwise(made))
 
 
-def ceilings(profiles: DataFrame, half: int) -> DataFrame:
-    """Adds ceiling, the lowest cloud base of the profiles within half rows: as far as smoothing smears a cloud."""
+def ceilings(profiles: DataFrame) -> DataFrame:
+    """Adds ceiling, the lowest cloud base of the profiles within box_rows rows: as far as smoothing smears a cloud at that site."""
     base = F.array_min(F.transform("clouds", lambda c: c["base"]))
-    least = frames.running_min(profiles.select(SITE, TIME, base.alias("base")), SITE, [TIME], "base", half)
-    return profiles.join(least.select(SITE, TIME, F.col("least").alias("ceiling")), [SITE, TIME])
+    least = blocks.ranging(profiles.select(SITE, TIME, "box_rows", base.alias("base")), [SITE], [TIME], "base", "box_rows")
+    return profiles.drop("box_rows", "box_gates").join(least.select(SITE, TIME, F.col("least").alias("ceiling")), [SITE, TIME])
 
 
 # -- classes
@@ -304,8 +345,7 @@ def classified(s: Settings = Settings(), overlap_full: float = 200.0) -> Column:
 
 def detect(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Settings = preprocess.Settings()) -> DataFrame:
     """Adds clouds, ceiling, edges and layers to preprocessed profiles."""
-    half = preprocess.fitted(profiles, p).smooth_half_rows
-    rows = candidates(ceilings(clouds(profiles, s), half), s, p)
+    rows = candidates(ceilings(clouds(preprocess.boxes(profiles, p), s)), s, p)
     rows = rows.withColumn("edges", clustered("candidates", s))
     return rows.withColumn("layers", classified(s, p.overlap_full)).drop("candidates")
 

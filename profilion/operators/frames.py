@@ -1,7 +1,7 @@
 """Neighbourhood operators on long tables (key, place, value): frames count rows, not time, but for running_min_range.
 
 Three ways of treating an edge are kept apart: a window that must be whole (Haar), one that is cut short and
-averages what it has (boxcar), and one that repeats the edge value (running mean and median)."""
+averages what it has (``blocks``), and one that repeats the edge value (running mean)."""
 
 from __future__ import annotations
 
@@ -89,19 +89,6 @@ def haloed(rows: DataFrame, half: int, size: int = BLOCK) -> DataFrame:
     return rows.withColumn("_home", F.col("_block") == home if size_fits else F.lit(True))
 
 
-def boxcar(rows: DataFrame, time: str, place: str, value: str, half_time: int, half_place: int, keys: list[str] = [], size: int = BLOCK, width: int = WIDTH) -> DataFrame:  # noqa: B006
-    """Mean over a box of rows in both directions, of the values that are there; n is how many. Rows of a time are numbered along
-    keys and dealt by blocks of times."""
-    times = numbered(rows.select(*keys, time).distinct(), keys, time, width=width).drop("n")
-    same = [*keys, time]
-    near = haloed(rows.join(times, same), half_time, size)
-    down = Window.partitionBy(*same, "_block").orderBy(place).rowsBetween(-half_place, half_place)
-    along = Window.partitionBy(*keys, place, "_block").orderBy("i").rowsBetween(-half_time, half_time)
-    near = near.withColumn("_s", F.sum(value).over(down)).withColumn("_c", F.count(value).over(down))
-    near = near.withColumn("_total", F.sum("_s").over(along)).withColumn("n", F.sum("_c").over(along)).where("_home")
-    return near.withColumn("mean", F.when(F.col("n") > 0, F.col("_total") / F.col("n"))).drop("_s", "_c", "_total", "_block", "_home", "i")
-
-
 def running_mean(rows: DataFrame, key: str, order: list[str], value: str, half: int, size: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """Mean of 2*half+1 rows, or of as many as the key has; beyond an edge its value is repeated. Missing values, at the
     edges too, are left out of both sum and count; without any the mean is NULL."""
@@ -125,12 +112,6 @@ def running_mean(rows: DataFrame, key: str, order: list[str], value: str, half:
     return large.unionByName(few.withColumn("_values", values).withColumn("mean", mean).drop("_values")).drop("i", "n")
 
 
-def running_median(rows: DataFrame, key: str, order: list[str], value: str, half: int) -> DataFrame:
-    """Median of the rows there are within half of each."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-half, half)
-    return rows.withColumn("median", F.percentile(value, F.lit(0.5)).over(w))
-
-
 def running_min(rows: DataFrame, key: str, order: list[str], value: str, half: int, size: int = BLOCK, width: int = WIDTH) -> DataFrame:
     """Least value of the rows within half of each."""
     near = haloed(numbered(rows, [key], order[0], order[1:], width), half, size)

@@ -64,3 +64,21 @@ def stacked(layers: DataFrame, keys: list[str], under: str = "mixing_layer", ove
     top = F.max(F.when(F.col("type") == under, F.col("top"))).over(Window.partitionBy(*keys))
     rows = layers.withColumn("_under", F.when(F.col("type") == over, top)).withColumn("base", F.coalesce("_under", "base"))
     return rows.withColumn("top", F.when(F.col("_under").isNotNull() & (F.col("top") < F.col("base")), F.col("base")).otherwise(F.col("top"))).drop("_under")
+
+
+# -- meta as a value whose shape may differ by layer type
+
+
+def typed(layers: DataFrame, column: str = "meta") -> DataFrame:
+    """Layers with their meta parsed to a VARIANT, once, when they are made or read; what is no JSON becomes NULL."""
+    return layers.withColumn(column, F.try_parse_json(column))
+
+
+def meta_value(path: str, kind: str, column: str = "meta") -> Column:
+    """What a layer's VARIANT meta has at a path such as $.contrast; NULL where its type has no such thing, or another kind of it."""
+    return F.try_variant_get(column, path, kind)
+
+
+def meta_shapes(layers: DataFrame, column: str = "meta") -> DataFrame:
+    """(type, shape): the schema that the metas of each layer type have together."""
+    return layers.groupBy("type").agg(F.schema_of_variant_agg(column).alias("shape"))

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilion.functions import profiles as fn
-from profilion.operators import aggregates, frames, temporal
+from profilion.operators import aggregates, blocks, facts, frames, temporal
 from profilion.session import settle
 
 SITE, TIME = "site", "t"
@@ -63,15 +63,20 @@ def cadence(profiles: DataFrame) -> float | None:
     return None if row is None else row["m"] / 1e6
 
 
-def fitted(profiles: DataFrame, s: Settings) -> Settings:
-    """Settings with the box in rows and gates, from the table's cadence and its first grid's spacing. Sites of different
-    cadences or grids are processed apart."""
-    if s.smooth_half_rows is not None and s.smooth_half_gates is not None:
-        return s
-    step, first = cadence(profiles), profiles.select(spacing("r").alias("dz")).first()
-    rows = max(round(s.smooth_time / step), 1) // 2 if step else 0
-    gates = max(round(s.smooth_height / first["dz"]), 1) // 2 if first is not None and first["dz"] else 0
-    return replace(s, smooth_half_rows=rows if s.smooth_half_rows is None else s.smooth_half_rows, smooth_half_gates=gates if s.smooth_half_gates is None else s.smooth_half_gates)
+def boxes(profiles: DataFrame, s: Settings) -> DataFrame:
+    """Profiles with box_rows and box_gates, the half widths of the box that they are smoothed by: those of the settings, or of each site
+    as many as smooth_time and smooth_height hold at its cadence and its first grid's spacing. So sites of any cadences and
+    grids go through one call."""
+    fixed = {c: F.lit(v) for c, v in (("box_rows", s.smooth_half_rows), ("box_gates", s.smooth_half_gates)) if v is not None}
+    if len(fixed) == 2:
+        return profiles.withColumns(fixed)
+    steps = aggregates.exact_percentiles(temporal.stepped(profiles.select(SITE, TIME), [SITE], TIME, "step"), [SITE], "step", {"m": 0.5})
+    grids = profiles.groupBy(SITE).agg(F.min_by(spacing("r"), TIME).alias("dz"), F.count("*").alias("wanted"))
+    half = lambda span, step: F.when(step > 0, F.floor(F.greatest(F.rint(span / step), F.lit(1.0)) / 2)).otherwise(0).cast("int")
+    found = grids.join(steps, F.coalesce(steps[SITE] == grids[SITE], F.lit(False)), "left").drop(steps[SITE])
+    found = settle(found.select(SITE, "wanted", half(F.lit(s.smooth_time * 1e6), F.col("m")).alias("box_rows"), half(F.lit(s.smooth_height), F.col("dz")).alias("box_gates")))
+    found = facts.joined(profiles, found, [SITE], "wanted", found.agg(F.sum("wanted")).first()[0] or 0)
+    return found.withColumns({"box_rows": F.coalesce("box_rows", F.lit(0)), "box_gates": F.coalesce("box_gates", F.lit(0))} | fixed)
 
 
 def lowest_usable_height(s: Settings = Settings()) -> float:
@@ -139,17 +144,13 @@ def screen(profiles: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def smooth(profiles: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Adds beta_smooth, the mean of the unscreened values in a box of rows and gates, and its sigma_smooth."""
-    s = fitted(profiles, s)
-    gates = profiles.select(SITE, TIME, F.posexplode(F.arrays_zip(F.col("beta").alias("b"), F.col("sigma").alias("e"))).alias("gate", "g"), fn.screened("quality").alias("out"))
-    gates = gates.select(SITE, TIME, "gate", F.when(~F.col("out"), F.col("g.b")).alias("v"), F.col("g.e").alias("e"))
-    boxed = frames.boxcar(gates, TIME, "gate", "v", s.smooth_half_rows, s.smooth_half_gates, [SITE], size=512)
-    boxed = boxed.withColumn("e", F.when(F.col("mean").isNotNull(), F.col("e") / F.sqrt(F.greatest("n", F.lit(1)))))
-    again = boxed.groupBy(SITE, TIME).agg(F.array_sort(F.collect_list(F.struct("gate", F.col("mean").alias("m"), F.col("e")))).alias("g"), F.max("n").alias("n_most"))  # a profile's gates
-    again = again.select(SITE, TIME, F.transform("g", lambda x: x["m"]).alias("beta_smooth"), F.transform("g", lambda x: x["e"]).alias("sigma_smooth"), "n_most")
-    rows = profiles.join(again, [SITE, TIME], "left")
-    box = (2 * s.smooth_half_rows + 1) * (2 * s.smooth_half_gates + 1)
-    thin = F.coalesce(F.col("n_most"), F.lit(0)) < max(0.25 * box, 1.0)
-    return rows.withColumn("quality", F.when(thin, F.col("quality").bitwiseOR(F.lit(128).cast("long"))).otherwise(F.col("quality"))).drop("n_most")
+    rows = boxes(profiles, s).withColumn("_v", F.when(fn.screened("quality"), F.transform("beta", lambda _b: F.lit(None).cast("double"))).otherwise(F.col("beta")))
+    rows = blocks.boxed(rows, [SITE], TIME, "_v", "box_rows", "box_gates", "beta_smooth", "_n")
+    spread = F.transform(F.arrays_zip(F.col("sigma").alias("e"), F.col("beta_smooth").alias("m"), F.col("_n").alias("n")), lambda x: F.when(x["m"].isNotNull(), x["e"] / F.sqrt(F.greatest(x["n"], F.lit(1)))))
+    box = (2 * F.col("box_rows") + 1) * (2 * F.col("box_gates") + 1)
+    thin = F.coalesce(F.array_max("_n"), F.lit(0)) < F.greatest(0.25 * box, F.lit(1.0))
+    rows = rows.withColumn("sigma_smooth", spread).withColumn("quality", F.when(thin, F.col("quality").bitwiseOR(F.lit(128).cast("long"))).otherwise(F.col("quality")))
+    return rows.drop("_v", "_n", "box_rows", "box_gates")
 
 
 def preprocess(profiles: DataFrame, s: Settings = Settings(), range_corrected: bool = False) -> DataFrame:

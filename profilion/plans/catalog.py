@@ -8,11 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilion.functions import profiles as fn
-from profilion.operators import aggregates, frames, preprocess, temporal
+from profilion.operators import aggregates, blocks, frames, layers, preprocess, temporal
+from profilion.streaming import windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -109,7 +110,9 @@ def prefix_sum(spark, sf_dir):
 b AS (SELECT vec_id, gate, sum(s) OVER w AS s, sum(c) OVER w AS c FROM d WINDOW w AS (PARTITION BY gate ORDER BY vec_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
 SELECT vec_id, gate, round(s / c, 6) + 0.0 AS mean, CAST(c AS BIGINT) AS n FROM b""")
 def boxcar_2d(spark, sf_dir):
-    return frames.boxcar(gates(spark, sf_dir), "vec_id", "gate", "v", 2, 1).select("vec_id", F.col("gate").cast("long").alias("gate"), neat("mean").alias("mean"), "n")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    found = blocks.boxed(rows, [], "vec_id", "v", 2, 1, width=4096).select("vec_id", F.posexplode(F.arrays_zip("mean", "n_values")).alias("gate", "x"))
+    return found.select("vec_id", F.col("gate").cast("long").alias("gate"), neat("x.mean").alias("mean"), F.col("x.n_values").alias("n"))
 
 
 @query(f"WITH {GATES} SELECT vec_id, round(avg(v), 6) + 0.0 AS mean, round(max(v), 6) + 0.0 AS most FROM e WHERE gate >= 8 AND gate < 24 GROUP BY vec_id")
@@ -187,7 +190,7 @@ def message_parse_regex(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM ev")
 def json_meta(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+    return layers.typed(events(spark, sf_dir), "props").select("event_id", layers.meta_value("$.k", "long", "props").alias("k"))
 
 
 # -- aggregations
@@ -209,20 +212,19 @@ def percentiles(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT user_id, bit_or({BIT_SQL}) AS quality FROM ev GROUP BY user_id")
 def quality_bit_or(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("user_id").agg(F.bit_or(bit()).alias("quality"))
+    return aggregates.any_bits(events(spark, sf_dir).withColumn("quality", bit()), ["user_id"], "quality")
 
 
 @query(f"WITH {EVENTS} SELECT event_type, count(*) AS n, min(t) AS first_t, max(t) AS last_t FROM ev GROUP BY event_type")
 def count_by_type_span(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
+    return aggregates.spans(events(spark, sf_dir), ["event_type"], "t")
 
 
 @query(f"""WITH {EVENTS}, d AS (SELECT event_type, (lead(t) OVER (PARTITION BY event_type ORDER BY t, event_id) - t) / 1e6::DOUBLE AS d FROM ev)
 SELECT event_type, round(quantile_cont(d, 0.5), 6) + 0.0 AS cadence FROM d WHERE d IS NOT NULL GROUP BY event_type""")
 def cadence_median(spark, sf_dir):
-    step = (F.lead("t").over(Window.partitionBy("event_type").orderBy("t", "event_id")) - F.col("t")) / 1e6
-    rows = events(spark, sf_dir).withColumn("step", step).where("step IS NOT NULL")
-    return aggregates.exact_percentiles(rows, ["event_type"], "step", {"cadence": 0.5}).select("event_type", neat("cadence").alias("cadence"))
+    steps = temporal.stepped(events(spark, sf_dir), ["event_type"], "t", "step").withColumn("step", F.col("step") / 1e6)
+    return aggregates.exact_percentiles(steps.where("step IS NOT NULL"), ["event_type"], "step", {"cadence": 0.5}).select("event_type", neat("cadence").alias("cadence"))
 
 
 @query("""WITH j AS (SELECT n_chars > 2000 AS flag, quality = 1 AS truth FROM labels JOIN documents USING (doc_id)),
@@ -262,7 +264,21 @@ def downsample_row_bucket(spark, sf_dir):
 
 @query(f"""WITH {EVENTS} SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS median FROM ev""")
 def running_median(spark, sf_dir):
-    return frames.running_median(events(spark, sf_dir), "user_id", ["t", "event_id"], "value", 2).select("event_id", neat("median").alias("median"))
+    return blocks.running_median(events(spark, sf_dir), "user_id", ["t", "event_id"], "value", 2).select("event_id", neat("median").alias("median"))
+
+
+@query(f"""WITH {EVENTS} SELECT event_id, round(quantile_cont(value, 0.5) OVER (PARTITION BY event_type ORDER BY t, event_id ROWS BETWEEN 200 PRECEDING AND 200 FOLLOWING), 6) + 0.0 AS median FROM ev""")
+def running_median_wide(spark, sf_dir):
+    """401 rows wide: a sorted window slides in haloed blocks."""
+    return blocks.running_median(events(spark, sf_dir), "event_type", ["t", "event_id"], "value", 200, size=1024).select("event_id", neat("median").alias("median"))
+
+
+@query(f"""WITH {EVENTS}, h AS (SELECT *, CASE WHEN user_id % 2 = 0 THEN 3 ELSE 11 END AS h FROM ev)
+SELECT event_id, round(avg(value) OVER w, 6) + 0.0 AS mean, round(min(value) OVER w, 6) + 0.0 AS least FROM h WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN h PRECEDING AND h FOLLOWING)""")
+def frames_of_two_widths(spark, sf_dir):
+    """Users with frames of 7 and of 23 rows in one call."""
+    rows = events(spark, sf_dir).withColumn("half", F.when(F.col("user_id") % 2 == 0, 3).otherwise(11))
+    return blocks.ranging(rows, ["user_id"], ["t", "event_id"], "value", "half", size=64).select("event_id", neat("mean").alias("mean"), neat("least").alias("least"))
 
 
 def _running_mean_sql(value: str) -> str:
@@ -300,7 +316,8 @@ def dilate_flag(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT t // {6 * HOUR} AS bucket, count(*) AS n, round(sum(value), 4) + 0.0 AS total FROM ev GROUP BY ALL")
 def tumbling_buckets(spark, sf_dir):
-    return events(spark, sf_dir).groupBy(F.floor(F.col("t") / (6 * HOUR)).alias("bucket")).agg(F.count("*").alias("n"), neat(F.sum("value"), 4).alias("total"))
+    found = windows.tumbling(events(spark, sf_dir), [], "t", "6 hours", "0 seconds", F.count("*").alias("n"), F.sum("value").alias("total"))
+    return found.select(F.floor(F.col("from") / (6 * HOUR)).alias("bucket"), "n", neat("total", 4).alias("total"))
 
 
 SESSIONS = f"""{EVENTS}, o AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > {24 * HOUR} AS o FROM ev),
@@ -361,8 +378,8 @@ def dedup_top1(spark, sf_dir):
 
 @query(f"WITH {EVENTS} SELECT user_id, arg_min(event_id, (-value, event_id)) AS event_id, round(max(value), 6) + 0.0 AS value FROM ev GROUP BY user_id")
 def best_layer(spark, sf_dir):
-    best = events(spark, sf_dir).groupBy("user_id").agg(F.max(F.struct("value", (-F.col("event_id")).alias("id"))).alias("b"))
-    return best.select("user_id", (-F.col("b.id")).alias("event_id"), neat("b.value").alias("value"))
+    rows = events(spark, sf_dir).select("user_id", "event_id", F.col("value").alias("confidence"))
+    return layers.surest(rows, ["user_id"], ["event_id"]).select("user_id", "event_id", neat("confidence").alias("value"))
 
 
 @query(f"WITH {EVENTS} SELECT count(*) AS n, min(t) AS first_t FROM ev WHERE t >= (SELECT max(t) FROM ev) - {72 * HOUR}")
@@ -384,17 +401,16 @@ def range_replace(spark, sf_dir):
 def layers_filter(spark, sf_dir):
     ev = events(spark, sf_dir)
     first = ev.agg(F.min("t").alias("t")).first()["t"] or 0
-    rows = ev.where(F.col("t").between(first + 24 * HOUR, first + 72 * HOUR) & F.col("event_type").isin("purchase", "click") & (F.col("value") >= 50))
-    return rows.orderBy("t", "event_id").select("event_id", "t", "event_type", neat("value").alias("value"))
+    rows = ev.select("event_id", "t", F.col("event_type").alias("type"), F.col("value").alias("confidence"), F.col("event_id").alias("base"), F.lit(False).alias("interpolated"))
+    found = layers.selected(rows, F.lit(first + 24 * HOUR), F.lit(first + 72 * HOUR), ["purchase", "click"], 50.0)
+    return found.select("event_id", "t", F.col("type").alias("event_type"), neat("confidence").alias("value"))
 
 
 @query(f"""WITH {EVENTS}, x AS (SELECT *, t // {HOUR} AS h FROM ev), m AS (SELECT *, max(CASE WHEN event_type = 'view' THEN value END) OVER (PARTITION BY h) AS top FROM x)
 SELECT event_id, round(CASE WHEN event_type = 'click' AND top IS NOT NULL THEN top ELSE 0 END, 6) + 0.0 AS base, round(CASE WHEN event_type = 'click' AND top IS NOT NULL THEN greatest(value, top) ELSE value END, 6) + 0.0 AS top FROM m""")
 def reconcile_stack(spark, sf_dir):
-    top = F.max(F.when(F.col("event_type") == "view", F.col("value"))).over(Window.partitionBy(F.floor(F.col("t") / HOUR)))
-    rows = events(spark, sf_dir).withColumn("under", top)
-    on_top = (F.col("event_type") == "click") & F.col("under").isNotNull()
-    return rows.select("event_id", neat(F.when(on_top, F.col("under")).otherwise(0.0)).alias("base"), neat(F.when(on_top, F.greatest("value", "under")).otherwise(F.col("value"))).alias("top"))
+    rows = events(spark, sf_dir).select("event_id", F.floor(F.col("t") / HOUR).alias("h"), F.col("event_type").alias("type"), F.lit(0.0).alias("base"), F.col("value").alias("top"))
+    return layers.stacked(rows, ["h"], "view", "click").select("event_id", neat("base").alias("base"), neat("top").alias("top"))
 
 
 @query(f"""WITH {EVENTS}, c AS (SELECT *, lag(event_type) OVER w IS NOT DISTINCT FROM event_type AND row_number() OVER w > 1 AS same FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id))

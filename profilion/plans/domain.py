@@ -118,7 +118,7 @@ def clear_of_cloud(spark, sf_dir):
 EDGES = detect.Settings(scales=(40.0, 80.0), lowest=90.0, highest=550.0, least_step=0.03)
 
 
-def _edges_sql() -> str:
+def edges_sql() -> str:
     w = lambda lo, hi: f"(PARTITION BY vec_id ORDER BY gate ROWS BETWEEN {lo} AND {hi})"
 
     def step(v: str, n: int) -> str:
@@ -136,16 +136,16 @@ x AS (SELECT *, 1 AS sign FROM m WHERE w > b AND w >= a AND w / s > 0.3 UNION AL
 SELECT vec_id, scale, CAST(sign AS INTEGER) AS sign, r AS height, round(sign * w / s, 5) + 0.0 AS strength, round(abs(w), 6) + 0.0 AS amplitude FROM x WHERE r BETWEEN 90 AND 550 AND abs(w) >= 0.1 * most AND abs(w) >= 0.03"""
 
 
-def _flat(spark, sf_dir):
+def flat(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("site"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("beta"), F.lit(0).cast("long").alias("quality"))
     rows = rows.withColumn("r", F.transform("beta", lambda _x, i: i * F.lit(10.0) + F.lit(5.0))).withColumn("sigma", F.transform("beta", lambda _x: F.lit(0.05)))
     return rows.withColumn("beta_smooth", F.col("beta")).withColumn("sigma_smooth", F.col("sigma")).withColumn("ceiling", F.lit(None).cast("double"))
 
 
-@query(_edges_sql())
+@query(edges_sql())
 def edge_candidates(spark, sf_dir):
     s = detect.Settings(scales=EDGES.scales, lowest=90.0, highest=550.0, least_step=0.03, significance=0.3)
-    rows = _flat(spark, sf_dir).withColumn("beta_smooth", F.transform("beta", lambda v, i: F.abs(v) + 0.06 + i * 0.0001))  # no ties
+    rows = flat(spark, sf_dir).withColumn("beta_smooth", F.transform("beta", lambda v, i: F.abs(v) + 0.06 + i * 0.0001))  # no ties
     found = detect.candidates(rows, s).select(F.col("t").alias("vec_id"), F.explode("candidates").alias("x"))
     return found.select("vec_id", "x.scale", "x.sign", "x.height", neat("x.strength", 5).alias("strength"), neat("x.amplitude").alias("amplitude"))
 
@@ -157,7 +157,7 @@ SELECT vec_id, low AS crossing, round(peak, 6) + 0.0 AS peak_beta, peak_r AS pea
 WHERE peak >= 0.5::DOUBLE * greatest(coalesce(below, 0), 0.15::DOUBLE)""")
 def cloud_runs(spark, sf_dir):
     s = detect.Settings(cloud=0.1, cloud_sharp=0.5)
-    rows = detect.clouds(_flat(spark, sf_dir).withColumn("kept", F.col("beta")), s).select(F.col("t").alias("vec_id"), "beta", "r", F.explode("clouds").alias("x"))
+    rows = detect.clouds(flat(spark, sf_dir).withColumn("kept", F.col("beta")), s).select(F.col("t").alias("vec_id"), "beta", "r", F.explode("clouds").alias("x"))
     # the gate where the run of the peak begins
     at = F.array_position("r", F.col("x.peak_height")).cast("int")
     low = F.filter(F.sequence(F.lit(1), at), lambda k: ((F.get("beta", k - 1) > s.cloud) & (F.get("r", k - 1) >= s.lowest)) & ~((k > 1) & F.coalesce((F.get("beta", k - 2) > s.cloud) & (F.get("r", k - 2) >= s.lowest), F.lit(False))))
@@ -207,7 +207,7 @@ def tracks_single(spark, sf_dir):
     return found.select(F.col("site").alias("user_id"), "t", neat("base").alias("base"), F.split("track", ":")[2].cast("long").alias("track_from"))
 
 
-def _layers(spark, sf_dir):
+def layers_of(spark, sf_dir):
     kinds = F.when(F.col("event_type") == "view", "mixing_layer").when(F.col("event_type") == "click", "residual_layer").otherwise("haze")
     return events(spark, sf_dir).select(F.col("user_id").cast("string").alias("site"), F.floor(F.col("t") / HOUR).alias("t"), kinds.alias("type"), F.col("event_id").cast("double").alias("base"), F.col("value").alias("top"), (F.col("event_id") % 100 / 100.0).alias("confidence"), F.concat(F.lit("x"), F.col("event_id") % 50).alias("track"), (F.col("event_id") % 4 == 0).alias("interpolated"), F.lit("{}").alias("meta"))
 
@@ -218,47 +218,47 @@ CAST(event_id AS DOUBLE) AS base, value AS top, event_id % 100 / 100.0::DOUBLE A
 
 @query(f"""WITH {LAYERS} SELECT site, t, type, base FROM (SELECT *, row_number() OVER (PARTITION BY site, t, type ORDER BY interpolated, confidence DESC, base, track) AS k FROM l) WHERE k = 1 OR type = 'haze'""")
 def layers_deduplicated(spark, sf_dir):
-    return track.deduplicated(_layers(spark, sf_dir)).select("site", "t", "type", "base")
+    return track.deduplicated(layers_of(spark, sf_dir)).select("site", "t", "type", "base")
 
 
 @query(f"""WITH {LAYERS}, m AS (SELECT *, CASE WHEN type = 'residual_layer' THEN max(CASE WHEN type = 'mixing_layer' THEN top END) OVER (PARTITION BY site, t) END AS u FROM l)
 SELECT site, t, type, track, round(coalesce(u, base), 6) + 0.0 AS base, round(CASE WHEN u IS NOT NULL THEN greatest(top, u) ELSE top END, 6) + 0.0 AS top FROM m""")
 def layers_stacked(spark, sf_dir):
-    return layers.stacked(_layers(spark, sf_dir), ["site", "t"]).select("site", "t", "type", "track", neat("base").alias("base"), neat("top").alias("top"))
+    return layers.stacked(layers_of(spark, sf_dir), ["site", "t"]).select("site", "t", "type", "track", neat("base").alias("base"), neat("top").alias("top"))
 
 
 @query(f"""WITH {LAYERS} SELECT site, arg_min(base, (-confidence, base)) AS surest, arg_min(base, (base, track)) AS lowest FROM l GROUP BY site""")
 def surest_and_lowest(spark, sf_dir):
-    rows = _layers(spark, sf_dir)
+    rows = layers_of(spark, sf_dir)
     return layers.surest(rows, ["site"], ["base"]).select("site", F.col("base").alias("surest")).join(layers.lowest(rows, ["site"], ["track"]).select("site", F.col("base").alias("lowest")), "site")
 
 
 @query(f"WITH {LAYERS} SELECT site, t, type, base, round(top, 6) + 0.0 AS top, track, interpolated FROM l WHERE t BETWEEN (SELECT min(t) + 24 FROM l) AND (SELECT min(t) + 72 FROM l) AND confidence >= 0.5 AND type IN ('haze', 'mixing_layer') AND NOT interpolated")
 def layers_selected(spark, sf_dir):
-    rows = _layers(spark, sf_dir)
+    rows = layers_of(spark, sf_dir)
     first = rows.agg(F.min("t")).first()[0] or 0
     return layers.selected(rows, F.lit(first + 24), F.lit(first + 72), ["haze", "mixing_layer"], 0.5, False).select("site", "t", "type", "base", neat("top").alias("top"), "track", "interpolated")
 
 
 @query(f"WITH {LAYERS} SELECT site, t, type, base, round(top, 6) + 0.0 AS top, round(confidence, 6) + 0.0 AS confidence, track, interpolated FROM l")
 def layers_json_round_trip(spark, sf_dir):
-    back = layers.from_json(layers.to_json(_layers(spark, sf_dir)))
+    back = layers.from_json(layers.to_json(layers_of(spark, sf_dir)))
     return back.select("site", "t", "type", "base", neat("top").alias("top"), neat("confidence").alias("confidence"), "track", "interpolated")
 
 
 @query(f"WITH {LAYERS} SELECT site FROM l GROUP BY site HAVING count(DISTINCT type) = 3")
 def sites_with_all_types(spark, sf_dir):
-    return layers.holds_types(_layers(spark, sf_dir), ["site"], ["mixing_layer", "residual_layer", "haze"])
+    return layers.holds_types(layers_of(spark, sf_dir), ["site"], ["mixing_layer", "residual_layer", "haze"])
 
 
 @query(f"WITH {LAYERS} SELECT type, count(*) AS n, count(base) AS bases, count(top) AS tops, count(*) FILTER (interpolated) AS interpolated FROM l GROUP BY type")
 def legend_counts(spark, sf_dir):
-    return windows.legend(_layers(spark, sf_dir))
+    return windows.legend(layers_of(spark, sf_dir))
 
 
 @query(f"""WITH {LAYERS} SELECT type, CASE WHEN track = 'x7' THEN CAST(t AS VARCHAR) || ':' || CAST(base AS VARCHAR) || ':' || type ELSE track END AS track, count(*) AS n, min(t) AS first_t, round(sum(base), 3) + 0.0 AS total FROM l GROUP BY ALL""")
 def points_by_track(spark, sf_dir):
-    rows = _layers(spark, sf_dir).withColumn("track", F.when(F.col("track") != "x7", F.col("track")))
+    rows = layers_of(spark, sf_dir).withColumn("track", F.when(F.col("track") != "x7", F.col("track")))
     return windows.by_track(rows).select("type", "track", F.size("points").cast("long").alias("n"), F.get("points", F.lit(0))["t"].alias("first_t"), neat(F.aggregate("points", F.lit(0.0), lambda s, p: s + p["base"]), 3).alias("total"))
 
 
@@ -273,7 +273,7 @@ r AS (SELECT w.*, found, visible AS seen, CASE WHEN visible THEN found - wanted
 @query(f"""WITH {TRUTH} SELECT 'mixing_top' AS feature, count(*) FILTER (seen) AS observable, count(e) AS matched, round(avg(e), 4) + 0.0 AS bias, round(avg(abs(e)), 4) + 0.0 AS mae, round(sqrt(avg(e * e)), 4) + 0.0 AS rmse,
 round(quantile_cont(abs(e), 0.95), 4) + 0.0 AS p95, round(avg((abs(e) <= 150)::INT), 6) + 0.0 AS within, round(count(e) / count(*) FILTER (seen)::DOUBLE, 6) + 0.0 AS detection_rate FROM r""")
 def layer_scores(spark, sf_dir):
-    rows = _layers(spark, sf_dir)
+    rows = layers_of(spark, sf_dir)
     truth = rows.select("site", "t").distinct().withColumn("screened", F.col("t") % 11 == 0).withColumn("mixing_top", F.col("t") % 100 * 10.0).withColumn("mixing_visible", F.col("t") % 3 > 0)
     for c in ("residual_top", "haze_base", "haze_top", "cloud_base"):
         truth = truth.withColumn(c, F.lit(None).cast("double"))
@@ -287,7 +287,7 @@ def layer_scores(spark, sf_dir):
 SELECT screen, count(*) FILTER (wanted) AS true_n, count(*) FILTER (flagged) AS flagged_n, count(*) FILTER (wanted AND flagged) AS hits, round(coalesce(count(*) FILTER (wanted AND flagged) / nullif(count(*) FILTER (wanted), 0)::DOUBLE, 1), 6) + 0.0 AS recall,
 round(coalesce(count(*) FILTER (wanted AND flagged) / nullif(count(*) FILTER (flagged), 0)::DOUBLE, 1), 6) + 0.0 AS precision FROM x GROUP BY screen""")
 def screen_scores(spark, sf_dir):
-    rows = _layers(spark, sf_dir).select("site", "t").distinct().withColumn("fog", F.col("t") % 5 == 0).withColumn("rain", F.col("t") % 7 == 0).withColumn("quality", F.col("t") % 4)
+    rows = layers_of(spark, sf_dir).select("site", "t").distinct().withColumn("fog", F.col("t") % 5 == 0).withColumn("rain", F.col("t") % 7 == 0).withColumn("quality", F.col("t") % 4)
     return score.screen_scores(rows, rows, ["site", "t"]).select("screen", "true_n", "flagged_n", "hits", neat("recall").alias("recall"), neat("precision").alias("precision"))
 
 

@@ -31,3 +31,9 @@ def written(df: DataFrame) -> DataFrame:
     folder = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(folder)
     return df.sparkSession.read.parquet(folder)
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared file system that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from profilion.functions import profiles as fn
+from profilion.operators import aggregates, facts
 from profilion.session import settle
 
 HOUR = 3_600_000_000
@@ -22,6 +23,20 @@ HOUR = 3_600_000_000
 FILE_ROWS = 50_000
 
 
+#: What columns hold, written with every file: units, a name and, where one is needed, a caveat.
+ATTRIBUTES = {
+    "t": {"units": "microseconds since 1970-01-01 UTC", "long_name": "time of the profile"},
+    "r": {"units": "m", "long_name": "distance of gate centres from the instrument", "comment": "along the beam: a height above ground only where it points to the zenith"},
+    "beta": {"units": "m-1 sr-1", "long_name": "attenuated backscatter"},
+    "beta_smooth": {"units": "m-1 sr-1", "long_name": "attenuated backscatter, box mean of unscreened gates"},
+    "sigma_smooth": {"units": "m-1 sr-1", "long_name": "standard error of the box mean"},
+    "quality": {"units": "1", "long_name": "quality bits"},
+    "base": {"units": "m", "long_name": "lower edge of the layer", "comment": "above the instrument, not above sea level"},
+    "top": {"units": "m", "long_name": "upper edge of the layer", "comment": "above the instrument, not above sea level"},
+    "confidence": {"units": "1", "long_name": "how sure the layer is, 0 to 1"},
+}
+
+
 class Table:
     """A folder of rows with a column t (microseconds). keys: columns that are unique together, t among them; None: no row
     replaces another of one write. A span is replaced for each ``of`` (such as site) alone."""
@@ -72,6 +87,8 @@ class Table:
         total = sizes.agg(F.sum("_files")).first()[0] or 1
         dealt = rows.join(F.broadcast(sizes), "bucket").withColumn("_deal", F.pmod(F.xxhash64("t"), F.col("_files"))).drop("_files")
         out = dealt.repartition(int(total), "bucket", "_deal").sortWithinPartitions("bucket", "t").drop("_deal")
+        for name, told in self.described(rows).items():
+            out = out.withMetadata(name, told)
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
     def merge(self, new: DataFrame, order: list[Column] | None = None) -> None:
@@ -88,6 +105,18 @@ class Table:
         if not new.isEmpty():
             self.replace(new)
 
+    def described(self, rows: DataFrame) -> dict[str, dict]:
+        """Attributes of columns: what rows say of theirs, else what is stored, else ATTRIBUTES."""
+        stored = self.rows()
+        before = {} if stored is None else {f.name: f.metadata for f in stored.schema.fields}
+        told = {f.name: f.metadata or before.get(f.name) or ATTRIBUTES.get(f.name) for f in rows.schema.fields}
+        return {name: {str(k): v for k, v in m.items()} for name, m in told.items() if m}
+
+    def attributes(self) -> dict[str, dict]:
+        """Attributes of the stored columns, as the files tell them."""
+        rows = self.rows()
+        return {} if rows is None else {f.name: dict(f.metadata) for f in rows.schema.fields if f.metadata}
+
     def drop(self, buckets: list[int]) -> None:
         for bucket in buckets:
             folder, files = self.folder(f"/bucket={bucket}")
@@ -113,8 +142,7 @@ class Table:
         self.drop([r.bucket for r in spans if r.hi < cutoff])
         parts = [r.bucket for r in spans if r.hi >= cutoff]
         if parts:
-            kept = settle(rows.where(F.col("bucket").isin(parts) & (F.col("t") >= cutoff)))
-            kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+            self.replace(settle(rows.where(F.col("bucket").isin(parts) & (F.col("t") >= cutoff))))
         return len(spans) - len(parts)
 
 
@@ -180,47 +208,61 @@ class Store:
 
     # -- reading
 
-    def latest(self) -> int | None:
+    def of_site(self, rows: DataFrame, site) -> DataFrame:
+        """Rows of a site; of all, if none is asked for."""
+        return rows if site is None else rows.where(F.col("site") == F.lit(site))
+
+    def latest(self, site=None) -> int | None:
+        """The latest time stored, of a site or of all. Footers of the last buckets tell it."""
+        rows = self.rows()
+        return None if rows is None else self.of_site(rows, site).agg(F.max("t")).first()[0]
+
+    def sites(self) -> list:
+        """The sites that profiles are stored of, in order: a few for a store."""
         rows = self.rows()
-        return None if rows is None else rows.agg(F.max("t")).first()[0]
+        return [] if rows is None or "site" not in rows.columns else [r["site"] for r in rows.select("site").distinct().orderBy("site").collect()]
 
     def span(self) -> tuple[int | None, int | None]:
         rows = self.rows()
         return (None, None) if rows is None else tuple(rows.agg(F.min("t"), F.max("t")).first())
 
-    def _bounds(self, lo: int | None, hi: int | None, hours: float | None) -> tuple[int | None, int | None]:
+    def _bounds(self, lo: int | None, hi: int | None, hours: float | None, site=None) -> tuple[int | None, int | None]:
         if hours is not None:
-            hi = self.latest() if hi is None else hi
+            hi = self.latest(site) if hi is None else hi
             lo = None if hi is None else hi - int(hours * HOUR)
         return lo, hi
 
-    def window(self, lo: int | None = None, hi: int | None = None, hours: float | None = None, max_height: float | None = None) -> DataFrame:
-        """Profiles from lo to hi, or of the last hours up to hi or the latest row; arrays of gates up to a height."""
-        rows = self.profiles.window(*self._bounds(lo, hi, hours))
+    def window(self, lo: int | None = None, hi: int | None = None, hours: float | None = None, max_height: float | None = None, site=None) -> DataFrame:
+        """Profiles of a site or of all from lo to hi, or of the last hours up to hi or its latest row; arrays of gates up to a height."""
+        rows = self.of_site(self.profiles.window(*self._bounds(lo, hi, hours, site)), site)
         if max_height is not None:
             gates = F.size(F.filter("r", lambda h: h <= max_height))
             arrays = [f.name for f in rows.schema.fields if f.dataType.typeName() == "array" and f.name not in ("cloud_base_reported", "r")]
             rows = rows.withColumns({c: F.slice(c, F.lit(1), gates) for c in [*arrays, "r"]})
         return rows
 
-    def layers(self, lo: int | None = None, hi: int | None = None, hours: float | None = None, types: list[str] | None = None, least: float = 0.0, interpolated: bool = True) -> DataFrame:
-        """Layers in order of time and base."""
-        rows = self.layer_table.window(*self._bounds(lo, hi, hours)).where(F.col("confidence") >= least)
+    def layers(self, lo: int | None = None, hi: int | None = None, hours: float | None = None, types: list[str] | None = None, least: float = 0.0, interpolated: bool = True, site=None) -> DataFrame:
+        """Layers of a site or of all, in order of time and base. least: leaves out those less sure, and if it is above 0 those of no
+        known confidence."""
+        rows = self.of_site(self.layer_table.window(*self._bounds(lo, hi, hours, site)), site)
+        rows = rows.where(F.col("confidence") >= least) if least > 0 else rows
         rows = rows.where(F.col("type").isin(types)) if types else rows
         return (rows if interpolated else rows.where(~F.col("interpolated"))).orderBy("t", "base", "type")
 
-    def latest_profile(self) -> dict | None:
-        """The latest profile at full resolution, with its flags and the layers half a second around it."""
-        t = self.latest()
+    def latest_profile(self, site=None) -> dict | None:
+        """A site's latest profile at full resolution, with its flags and the layers half a second around it; without a site, that of the
+        first site in order among those of the latest time."""
+        t = self.latest(site)
         if t is None:
             return None
-        row = self.window(t, t).withColumn("flags", fn.flag_names("quality")).withColumn("screened", fn.screened("quality")).first().asDict(recursive=True)
-        near = [] if self.layer_table.rows() is None else [r.asDict(recursive=True) for r in self.layers(t - 500_000, t + 500_000).collect()]  # one profile's layers
+        rows = self.window(t, t, site=site).withColumn("flags", fn.flag_names("quality")).withColumn("screened", fn.screened("quality"))
+        row = (rows.orderBy("site") if "site" in rows.columns else rows).first().asDict(recursive=True)
+        near = [] if self.layer_table.rows() is None else [r.asDict(recursive=True) for r in self.layers(t - 500_000, t + 500_000, site=row.get("site")).collect()]  # one profile's layers
         return row | {"layers": [x for x in near if x.get("site") == row.get("site")]}
 
     def catalogue(self) -> DataFrame:
         """First and last time and rows of every bucket."""
-        return self.rows().groupBy("bucket").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("n"))
+        return aggregates.spans(self.rows(), ["bucket"], "t")
 
     def grids(self) -> DataFrame:
         """The grids of profiles there are: gates, lowest and highest, first and last time."""
@@ -251,11 +293,19 @@ class Store:
             table.drop(buckets)
 
 
-def compatible(profiles: DataFrame) -> DataFrame:
-    """Profiles on the grid of the first one; those of another grid cannot be stacked on it and are left out."""
+def compatible(profiles: DataFrame, keys: list[str] = []) -> DataFrame:  # noqa: B006
+    """Profiles on the grid of the first one, or of the first of their keys, such as the site; those of another grid cannot be stacked on
+    it and are left out."""
+    if keys:
+        grids = profiles.groupBy(*keys).agg(F.min_by("r", "t").alias("_r"), F.count("*").alias("_many"))
+        stacked = facts.joined(profiles, settle(grids), keys, "_many", profiles.count())
+        return stacked.where((F.size("r") == F.size("_r")) & _near("_r")).drop("_r")
     first = profiles.agg(F.min_by("r", "t").alias("_r"))
-    near = F.forall(F.arrays_zip(F.col("r").alias("a"), F.col("_r").alias("b")), lambda x: F.coalesce(F.abs(x["a"] - x["b"]) <= F.abs(x["b"]) * 1e-5 + 1e-8, F.lit(False)))
-    return profiles.join(F.broadcast(first), (F.size("r") == F.size("_r")) & near).drop("_r")  # one row
+    return profiles.join(F.broadcast(first), (F.size("r") == F.size("_r")) & _near("_r")).drop("_r")  # one row
+
+
+def _near(grid: str) -> Column:
+    return F.forall(F.arrays_zip(F.col("r").alias("a"), F.col(grid).alias("b")), lambda x: F.coalesce(F.abs(x["a"] - x["b"]) <= F.abs(x["b"]) * 1e-5 + 1e-8, F.lit(False)))
 
 
 def union(blocks: list[DataFrame]) -> DataFrame:
