@@ -327,7 +327,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repaired(rows: DataFrame, size: int = BLOCK) -> DataFrame:
     """(conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) for each conv_id of rows with conv_id, turn,
     role, text, and dropped (true: only the conv_id counts). Letters in roles and texts must not be null."""
-    ends = F.right(F.expr(f"rtrim('{BLANKS.encode('unicode_escape').decode()}', text)"), F.lit(1))
+    ends = F.right(F.rtrim("text", F.lit(BLANKS)), F.lit(1))
     rows = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text", "dropped", F.substring("role", 1, 1).alias("initial"), ends.alias("tail"), F.lit(False).alias("again"))
     order = [F.col("turn").asc_nulls_first(), F.col("role"), F.substring("text", 1, 64)]
     rows = scans.placed(rows, ["conv_id"], order, ["text"], size)
