@@ -2,12 +2,12 @@
 
 Each text gives rates: letters a word, symbols, repeated lines and words of repeated windows for each word, on logarithmic scales in
 steps of 1/1024, so that all sums are of integers and a rerun gives the same. Of each language and source the
-minimum-covariance-determinant estimate is taken: the mean and covariance of the three quarters of its texts that lie together
-most closely. Two starts (median with quartiles, and all texts) go through concentration steps: distances under the present
-estimate, the nearest three quarters, their mean and covariance. The start of the smaller determinant is kept, and re-estimated from
+minimum-covariance-determinant estimate is taken: the mean and covariance of the half of its texts that lie together most
+closely, so up to half of a source may be junk. Two starts (median with quartiles, and all texts) go through concentration steps: distances under the present
+estimate, the nearest half, their mean and covariance. The start of the smaller determinant is kept, and re-estimated from
 all texts that are no outliers of it. A text is rejected where its squared Mahalanobis distance exceeds ``CUT``.
 
-A step is one aggregation: moments are summed by bins of distance, so the nearest three quarters are found and summed at once (whole
+A step is one aggregation: moments are summed by bins of distance, so the nearest half is found and summed at once (whole
 bins, 1/16 of an octave wide). Most texts have no symbols or repeats at all, and a covariance of theirs is singular; so each
 rate has a tolerance (``SPREAD``), whose square is added to its variance.
 
@@ -35,7 +35,7 @@ RATES = ("letters", "symbols", "lines", "windows")
 STEPS, COARSE, SPREAD = 1024, 16, {"letters": 0.25, "symbols": 0.5, "lines": 0.5, "windows": 0.5}
 #: Share of the texts in the subset, and what makes their covariance that of all (chi-square with 4 and 6 degrees of freedom, at
 #: the quantile of the share); the same for the re-estimate, with the distance up to which texts take part.
-SHARE, WIDEN, NEAR, WIDEN_NEAR = 0.75, 1.486, 11.143, 1.064
+SHARE, WIDEN, NEAR, WIDEN_NEAR = 0.5, 2.109, 11.143, 1.064
 #: The 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUT = 23.51
 LEAST, CONCENTRATIONS = 100, 4
