@@ -7,14 +7,14 @@ vector a lower and an upper bound. Reading goes on for the vectors whose upper b
 stops for a query once these are few; what they lack is then read, which resolves their final scores.
 
 Candidates stay where they are: a task takes its rows in blocks of BLOCK, sorts a block's lists, and keeps each query's k
-best, whose last score bounds the next block. Queries come as broadcasts of at most QUERIES rows, one after the
-other, however many there are. First they meet one candidate in FIRST; the k-th score there is a floor for all
+best, whose last score bounds the next block. Queries come in blocks of at most QUERIES rows, SCANNED blocks to one broadcast and
+one scan of the candidates, however many there are. First they meet one candidate in FIRST; the k-th score there is a floor for all
 tasks, so that what tasks send grows with the queries alone. No candidate moves, and no pair of blocks is made.
 Integers below 2**53 are exact in double arithmetic.
 
 Cases: vectors that are null or hold null or non-finite components take no part; a missing component of a
 shorter vector counts as 0; ties go to the smaller id; repeated rows are candidates each on their own (not for
-a query of the same id); fewer than k candidates give all; extra columns are ignored; empty tables give no rows.
+a query of the same id) and queries each on their own, with k answers each; fewer than k candidates give all; extra columns are ignored; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from profilion.llm import textkit as tk
 from profilion.llm.cluster import settle
 
-BLOCK, QUERIES, FIRST = 1024, 2048, 8
+BLOCK, QUERIES, FIRST, SCANNED = 1024, 2048, 8, 16
 #: Shares of each list read before the bounds are looked at.
 DEPTHS = (0.5, 0.625, 0.75, 0.8125, 0.875, 0.9375, 1.0)
 
@@ -154,48 +154,58 @@ def best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarra
     return order[rank < k]
 
 
-def asked(rows: DataFrame, block: bytes, floor: np.ndarray, k: int) -> DataFrame:
-    """(query_id, vec_id, score): each task's k best of its rows for one block of queries, from the floor on."""
-    sent = rows.sparkSession.sparkContext.broadcast((block, floor))  # at most QUERIES rows
+def asked(rows: DataFrame, packed: list[tuple[bytes, np.ndarray]], k: int) -> DataFrame:
+    """(query, query_id, vec_id, score): each task's k best of its rows for some blocks of queries, each from its floor on. query is a
+    query's place among all of these blocks."""
+    sent = rows.sparkSession.sparkContext.broadcast(packed)  # at most SCANNED blocks of QUERIES rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query = opened(sent.value[0])
-        floor = sent.value[1].copy()
-        q, ids, score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        asking = [(*opened(block), floor.copy()) for block, floor in sent.value]
+        known = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))] * len(asking)
         for part in (b.slice(at, BLOCK) for b in batches for at in range(0, b.num_rows, BLOCK)):
-            m = matrix(part.column("v"))
-            dims = max(m.shape[1], query.shape[1])
-            *new, _ = nra(padded(m, dims), part.column("vec_id").to_numpy(zero_copy_only=False), padded(query, dims), query_ids, floor, k)
-            q, ids, score = (np.concatenate(x) for x in zip((q, ids, score), new, strict=True))
-            kept = best(q, ids, score, k)
-            q, ids, score = q[kept], ids[kept], score[kept]
-            full = np.flatnonzero(np.bincount(q, minlength=len(query_ids)) >= k)
-            floor[full] = np.maximum(floor[full], score[np.searchsorted(q, full, "right") - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids), pa.array(score.astype(np.int64))], ["query_id", "vec_id", "score"])
+            m, ids = matrix(part.column("v")), part.column("vec_id").to_numpy(zero_copy_only=False)
+            for n, (query_ids, query, floor) in enumerate(asking):
+                dims = max(m.shape[1], query.shape[1])
+                *new, _ = nra(padded(m, dims), ids, padded(query, dims), query_ids, floor, k)
+                q, found, score = (np.concatenate(x) for x in zip(known[n], new, strict=True))
+                kept = best(q, found, score, k)
+                known[n] = q, found, score = q[kept], found[kept], score[kept]
+                full = np.flatnonzero(np.bincount(q, minlength=len(query_ids)) >= k)
+                floor[full] = np.maximum(floor[full], score[np.searchsorted(q, full, "right") - 1])
+        for n, (q, found, score) in enumerate(known):
+            yield pa.RecordBatch.from_arrays([pa.array(q + n * QUERIES), pa.array(asking[n][0][q]), pa.array(found), pa.array(score.astype(np.int64))], ["query", "query_id", "vec_id", "score"])
 
-    return rows.mapInArrow(tk.tidy(run), "query_id long, vec_id long, score long")
+    return rows.mapInArrow(tk.tidy(run), "query long, query_id long, vec_id long, score long")
 
 
 def topk(queries: DataFrame, rows: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, rank, vec_id, score) for queries and rows (vec_id, v). Query ids are unique."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    """(query_id, rank, vec_id, score) for queries and rows (vec_id, v). A query that is repeated gets its answers as often."""
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     wanted = -(-queries.count() // QUERIES)
     packed = settle(blocks(queries.repartition(max(1, wanted)), QUERIES))
-    found = []
+    found, held = [], []
+
+    def scan() -> DataFrame:
+        sizes = [len(opened(b)[0]) for b in held]
+        first = asked(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(FIRST)) == 0), [(b, np.full(n, -np.inf)) for b, n in zip(held, sizes, strict=True)], k)
+        last = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query", "score")
+        floor = np.full(len(held) * QUERIES, -np.inf)
+        for r in last.collect():  # at most SCANNED * QUERIES rows
+            floor[r["query"]] = r["score"]
+        best_of = asked(rows, [(b, floor[j * QUERIES : j * QUERIES + n]) for j, (b, n) in enumerate(zip(held, sizes, strict=True))], k)
+        ranked = best_of.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
     for row in packed.toLocalIterator():  # a block at a time
-        block = bytes(row["block"])
-        ids = opened(block)[0]
-        first = asked(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(FIRST)) == 0), block, np.full(len(ids), -np.inf), k)
-        last = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score")
-        known = {r["query_id"]: r["score"] for r in last.collect()}  # at most QUERIES rows
-        floor = np.array([known.get(i, -np.inf) for i in ids.tolist()], float)
-        found.append(asked(rows, block, floor, k))
-        if wanted > 1:
-            found[-1] = settle(found[-1])
+        held.append(bytes(row["block"]))
+        if len(held) == SCANNED:
+            found.append(settle(scan()))
+            held = []
+    if held:
+        found.append(scan())
     if not found:
         return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).limit(0)
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return reduce(DataFrame.unionByName, found)
 
 
 def op6_topk(spark, sf_dir: str) -> DataFrame:
