@@ -18,7 +18,8 @@ up to HOME vectors of a group, and beyond that grow with the number of parts.
 
 Cases: vectors that are null, zero or hold null or non-finite components link with nothing and are their own
 component; shorter vectors are filled with 0; equal vectors are joined once and counted by their number;
-repeated rows are rows of their own with one id; extra columns are ignored; an empty table gives none.
+rows of one id are rows of their own, whether their vectors are equal or not, and each has the links of its vector; extra
+columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from profilion.llm import textkit as tk
 from profilion.llm.cluster import components, parts, settle
 from profilion.llm.op06_topk import matrix
+from profilion.operators import facts
 
 PIVOTS, HOME, BLOCK, EDGE = 4096, 8192, 1024, 1e-4
 #: Rows to choose the number of pivots on; pairs that cost as much as a vector sent; parts of the rows of equal vectors.
@@ -117,7 +119,8 @@ class Part:
 
 
 def range_join(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
-    """(a, b, n): for b null, n is how many vectors a links with; else a link a, b, of a forest of all."""
+    """(a, b, n) of rows (vec_id, many, x) with an id each: for b null, n is how many vectors a links with; else a link a, b, of a forest
+    of all."""
     spark, r = rows.sparkSession, float(np.sqrt(2 - 2 * cosine))
     few = rows.agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims")).first()
     dims, n = few["dims"] or 1, few["n"]
@@ -197,11 +200,15 @@ def range_join(rows: DataFrame, cosine: float = 0.9) -> DataFrame:
 def near_duplicates(vectors: DataFrame, cosine: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding)."""
     rows = prepared(vectors)
-    one = settle(classes(rows))
-    found = settle(range_join(one, cosine))
-    counted = found.where("b IS NULL").groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n"))
-    linked = components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "vec_id")
-    known = one.select("vec_id", "many", *name()).join(counted, "vec_id", "left").join(linked, "vec_id", "left")
+    # each different vector has a number, as ids may be shared: read from a settled table it is the same each time
+    one = settle(classes(rows)).withColumn("number", F.monotonically_increasing_id())
+    found = settle(range_join(one.select(F.col("number").alias("vec_id"), "many", "x"), cosine))
+    counted = found.where("b IS NULL").groupBy(F.col("a").alias("number")).agg(F.sum("n").alias("n"))
+    linked = settle(components(found.where("b IS NOT NULL").select("a", "b")))
+    # a component's name is its smallest id
+    least = linked.join(one.select(F.col("number").alias("node"), "vec_id"), "node").groupBy("component").agg(F.min("vec_id").alias("least"), F.count("*").alias("wanted"))
+    linked = facts.joined(linked, settle(least), ["component"], "wanted", linked.count()).select(F.col("node").alias("number"), F.col("least").alias("component"))
+    known = one.select("number", "vec_id", "many", *name()).join(counted, "number", "left").join(linked, "number", "left")
     # rows of equal vectors are dealt SALT ways; a vector that occurs once knows which way its row goes
     salt = F.pmod(F.xxhash64("vec_id"), F.lit(SALT)).cast("int")
     ways = F.when(F.col("many") > 1, F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(salt))
