@@ -52,16 +52,28 @@ TEMPLATES = (
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms are permitted under the BSD 3-Clause License."),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 Universal license."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense license."),
 )
+#: Words that tell licences of one family apart. A line has a template's licence only if it has the same ones of these, and
+#: the template's version.
+MARKS = ("affero", "lesser", "by-nc", "by-nd", "by-sa", "by-nc-nd", "by-nc-sa", "attribution-sharealike", "attribution-noncommercial", "noncommercial", "sharealike", "noderivatives")
+VERSION = r"[0-9]+(?:\.[0-9]+)*"
 
 GNU = "This {0} is free software; you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation; either version {2} of the License, or (at your option) any later version."
 GNU_REST = " This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1}General Public License for more details. You should have received a copy of the GNU {1}General Public License along with this {0}. If not, see <https://www.gnu.org/licenses/>."
@@ -220,11 +232,18 @@ def scanned(files: DataFrame, lines: Bound, larger: Bound) -> DataFrame:
     return settle(keyed.mapInArrow(tk.tidy(run), schema))
 
 
-def products(counts: DataFrame, templates: DataFrame, threshold: float) -> DataFrame:
-    """(key, name, score) of bags (key, unit, word, w) and templates (template, name, word, share) that reach the threshold."""
-    norms = counts.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = counts.join(F.broadcast(templates), "word").groupBy("key", "unit", "template", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"))  # the words of fixed templates
-    return dots.join(norms, ["key", "unit"]).select("key", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
+def products(counts: DataFrame, templates: DataFrame, threshold: float, told_apart: bool = False) -> DataFrame:
+    """(key, name, score) of bags (key, unit, word, w) and templates (template, name, word, share) that reach the threshold. told_apart:
+    only where a bag has the template's versions, and the same marks of its family as the template."""
+    mark = F.col("word").isin(*MARKS).cast("int")
+    version = F.col("word").rlike(f"^{VERSION}$").cast("int")
+    wants = templates.groupBy("template").agg(F.sum(version).alias("versions"), F.sum(mark).alias("wanted"))
+    norms = counts.groupBy("key", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum(mark).alias("marks"))
+    dots = counts.join(F.broadcast(templates), "word").groupBy("key", "unit", "template", "name").agg(F.sum(F.col("w") * F.col("share")).alias("dot"), F.sum(version).alias("has"), F.sum(mark).alias("common"))  # the words of fixed templates
+    found = dots.join(norms, ["key", "unit"])
+    if told_apart:
+        found = found.join(F.broadcast(wants), "template").where((F.col("has") == F.col("versions")) & (F.col("common") == F.col("wanted")) & (F.col("common") == F.col("marks")))  # a row for each template
+    return found.select("key", "name", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).where(F.col("score") >= threshold)
 
 
 def spdx_scores(found: DataFrame) -> DataFrame:
@@ -272,7 +291,7 @@ def own_licences(files: DataFrame, templates=TEMPLATES, threshold: float = THRES
     lines = found.where(F.col("kind") == LINE).join(F.broadcast(short.select("word", "idf").distinct()), "word", "left")  # the same
     lines = lines.select("key", "unit", "word", (F.col("n") * F.coalesce("idf", F.lit(rare))).alias("w"))
     units_ = found.where(F.col("kind") == UNIT).join(spread, "word", "left").select("key", "unit", "word", (F.col("n") * idf).alias("w"))
-    scores = products(lines, short.select("template", "name", "word", "share"), threshold).unionByName(products(units_, fixed.drop("idf"), threshold)).unionByName(spdx_scores(found.where(F.col("kind") == NAMED)))
+    scores = products(lines, short.select("template", "name", "word", "share"), threshold, True).unionByName(products(units_, fixed.drop("idf"), threshold)).unionByName(spdx_scores(found.where(F.col("kind") == NAMED)))
     best = scores.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("low"), "name")).alias("b"))
     return found.where(F.col("kind") == FILE).select("key", "file_id", "path"), best.select("key", F.col("b.name").alias("licence"), (-F.col("b.low")).alias("score"))
 
@@ -310,6 +329,7 @@ def op1_license(spark, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     rows, rare = template_weights()
     values = ", ".join(f"({k}, '{name}', '{word}', {idf!r}::DOUBLE, {share!r}::DOUBLE)" for k, name, word, idf, share in rows)
+    mark, version = f"word IN {MARKS}", f"regexp_full_match(word, '{VERSION}')"
     return rf"""
 WITH weights(template, name, word, idf, share) AS (VALUES {values}),
 files AS (SELECT doc_id, CASE WHEN doc_id % 97 = 0 THEN source WHEN doc_id % 13 = 0 THEN source || '/' || lang
@@ -319,9 +339,10 @@ numbered AS (SELECT doc_id, row_number() OVER () AS line, notice FROM lines),
 terms AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(notice), '{WORD}')) AS word FROM numbered),
 counts AS (SELECT doc_id, line, word, count(*) AS n FROM terms GROUP BY ALL),
 weighed AS (SELECT c.*, n * coalesce(idf, {rare!r}::DOUBLE) AS w FROM counts c LEFT JOIN (SELECT DISTINCT word, idf FROM weights) USING (word)),
-norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
-dots AS (SELECT doc_id, line, template, name, sum(w * share) AS dot FROM weighed JOIN weights USING (word) GROUP BY ALL),
-scores AS (SELECT doc_id, name, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, line)),
+wants AS (SELECT template, count(*) FILTER ({version}) AS versions, count(*) FILTER ({mark}) AS wanted FROM weights GROUP BY ALL),
+norms AS (SELECT doc_id, line, sqrt(sum(w * w)) AS norm, count(*) FILTER ({mark}) AS marks FROM weighed GROUP BY ALL),
+dots AS (SELECT doc_id, line, template, name, sum(w * share) AS dot, count(*) FILTER ({version}) AS has, count(*) FILTER ({mark}) AS common FROM weighed JOIN weights USING (word) GROUP BY ALL),
+scores AS (SELECT doc_id, name, round(dot / norm, 6) AS score FROM dots JOIN norms USING (doc_id, line) JOIN wants USING (template) WHERE has = versions AND common = wanted AND common = marks),
 own AS (SELECT doc_id, arg_min(name, (-score, name)) AS own, max(score) AS score FROM scores WHERE score >= {THRESHOLD} GROUP BY doc_id),
 all_files AS (SELECT f.doc_id, f.home, f.home || '/' || CAST(f.doc_id AS VARCHAR) AS path, own, score FROM files f LEFT JOIN own USING (doc_id)),
 declared AS (SELECT home AS directory, arg_min(own, path) AS given FROM all_files WHERE own IS NOT NULL GROUP BY home),

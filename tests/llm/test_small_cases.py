@@ -493,6 +493,26 @@ def test_license(spark):
     assert got.loc[2].inherited_from == "a/b"
 
 
+def test_short_notices_of_all_families(spark):
+    """The right licence, or none, for short notices whose one word tells a licence from another."""
+    by, gnu = "Licensed under CC {} 4.0", "This work is licensed under the GNU {}General Public License, version {}"
+    notices = {f"# {by.format(k)}": f"CC-{k}-4.0" for k in ("BY-NC", "BY-SA", "BY-ND", "BY-NC-SA", "BY-NC-ND")}
+    notices |= {by.format("BY"): "CC-BY-4.0", "# " + by.format("BY"): "CC-BY-4.0", "// " + by.format("BY") + ".": "CC-BY-4.0", "licensed under cc by 4.0": "CC-BY-4.0"}
+    notices |= {gnu.format("", v): f"GPL-{v}.0" for v in "23"} | {gnu.format("Affero ", "3"): "AGPL-3.0", gnu.format("Lesser ", "3"): "LGPL-3.0", gnu.format("Lesser ", "2.1"): "LGPL-2.1"}
+    notices |= {f"/* {gnu.format('', v)} */": f"GPL-{v}.0" for v in "23"} | {"This program is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0"}
+    notices |= {"This library is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 3": "LGPL-3.0"}
+    notices |= {"Licensed under the Apache License, Version 2.0": "Apache-2.0", "# Licensed under the Apache License, Version 2.0 (the License)": "Apache-2.0", "Licensed under the Apache License, Version 1.1": None}
+    notices |= {"Released under the MIT License": "MIT", "// Released under the MIT license.": "MIT", "* Released under the MIT License": "MIT", "MIT License": "MIT", "The MIT License (MIT)": "MIT"}
+    notices |= {"Use of this source code is governed by a BSD-style license": "BSD-3-Clause", "BSD 3-Clause License": "BSD-3-Clause", "BSD 2-Clause License": "BSD-2-Clause", "ISC License": "ISC"}
+    notices |= {"This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "MPL-2.0", "Mozilla Public License Version 2.0": "MPL-2.0"}
+    notices |= {"This work is licensed under the Creative Commons Attribution 4.0 International License.": "CC-BY-4.0", "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License": "CC-BY-NC-4.0"}
+    notices |= {"Dedicated to the public domain under the CC0 1.0 Universal license.": "CC0-1.0", "This is free and unencumbered software released into the public domain under the Unlicense license.": "Unlicense", "Licensed under CC BY 3.0": None, "This work is licensed under the GNU General Public License, version 1": None}
+    assert len(notices) >= 40
+    table = spark.createDataFrame([(k, f"{k}/x", f"some text here\n\n{text}\n\nand more") for k, text in enumerate(notices)], "file_id long, path string, text string")
+    got = {r["file_id"]: r["licence"] for r in op01_license.scan(table).collect()}
+    assert {text: got[k] for k, text in enumerate(notices)} == notices
+
+
 def test_license_headers_files_and_spdx(spark):
     gpl = """# Copyright (C) 2021  Jane Roe
 #
@@ -547,6 +567,28 @@ def test_components_of_chains_and_stars(spark):
     assert set(got.loc[range(301)]) == {0} and got[650] == 500 and len(got) == 501
 
 
+def test_topk_of_repeated_queries_and_embedding_of_shared_ids(spark):
+    """Every row is one of its own: a repeated query has its answers as often; vectors that share an id have the links of each."""
+    rows = [(0, [1.0, 0.5]), (0, [1.0, 0.5]), (100, [0.2, 1.0]), *[(k, [k / 7 % 1, k / 3 % 1]) for k in range(1, 9)], (3, [0.9, 0.1])]
+    table = op06_topk.clean(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3))
+    got = Counter(map(tuple, op06_topk.topk(table.where("vec_id % 100 = 0"), table, 5).collect()))
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    wanted = Counter()
+    for i, q in whole:
+        if i % 100 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)
+            wanted.update((i, rank + 1, j, -s) for rank, (s, j) in enumerate(scored[:5]))
+    assert got == wanted
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (6, [1.0, 0.01]), (7, [1.0, 0.02]), (8, [0.01, 1.0]), (9, [1.0, 0.0]), (9, [0.7, 0.71]), (9, None), (3, [0.0, 2.0]), (3, [-1.0, 0.0])]
+    found = op07_embedding.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4))
+    units_ = [np.array(v) / np.linalg.norm(v) if v else np.zeros(2) for _, v in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and units_[i] @ units_[j] >= 0.9]
+    label = classes_of(links, len(rows))
+    least = {c: min(rows[i][0] for i in range(len(rows)) if label[i] == c) for c in label}
+    expected = Counter((rows[i][0], sum(a == i for a, _ in links), least[label[i]], rows[i][0] == least[label[i]]) for i in range(len(rows)))
+    assert Counter(map(tuple, found.select("vec_id", "n_links", "component_id", "kept").collect())) == expected
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert op05_suffix.digests(none).isEmpty() and op08_jaccard.classes(none).isEmpty()
