@@ -7,12 +7,16 @@ columns may have any names, those of the operators' own results included.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, VariantType
 
 from profilion.llm import op03_bpe, op04_mixing, op05_suffix, op08_jaccard, op09_toxicity
 from profilion.llm.cluster import written
+from profilion.session import removed, shared_folder
 
 #: SQL cannot express a trained classifier, nor the tokenizer; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -39,13 +43,34 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col(out) < op09_toxicity.THRESHOLD).select(*named(docs))
 
 
+def hashable(docs: DataFrame) -> list:
+    """All columns, and whether they are null; those that hold maps or variants, which have no hash, as JSON."""
+
+    def plain(kind) -> bool:
+        parts = [f.dataType for f in kind.fields] if isinstance(kind, StructType) else [kind.elementType] if isinstance(kind, ArrayType) else []
+        return not isinstance(kind, MapType | VariantType) and all(map(plain, parts))
+
+    columns = [F.col(f"`{f.name}`") if plain(f.dataType) else F.to_json(F.struct(F.col(f"`{f.name}`"))) for f in docs.schema.fields]
+    return [*columns, *(F.col(f"`{c}`").isNull() for c in docs.columns)]
+
+
+def row_keys(docs: DataFrame, key: str) -> DataFrame:
+    """Rows with a 64-bit key that equal rows share and different rows do not: where a second hash tells rows of one key apart, they
+    get keys made of both, until no key is shared."""
+    check = unused(docs, "row_check")
+    keyed = docs.withColumn(key, F.xxhash64(*hashable(docs))).withColumn(check, F.xxhash64(F.lit("again"), *hashable(docs)))
+    while not (shared := keyed.groupBy(key).agg(F.min(check).alias("lo"), F.max(check).alias("hi")).where("lo <> hi").select(key, F.lit(True).alias("shared_key"))).isEmpty():
+        keyed = keyed.join(written(shared), key, "left").withColumn(key, F.when(F.col("shared_key"), F.xxhash64(key, check)).otherwise(F.col(key))).drop("shared_key")
+    return keyed.drop(check)
+
+
 def near_duplicates(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
     """Of each group of near copies, one row: that of the smallest id (null comes last), then of the least row hash.
 
-    Rows are told apart by a hash of all their columns, so ids may be null or repeated; of rows that are equal in all
+    Rows are told apart by all their columns (``row_keys``), so ids may be null or repeated; of rows that are equal in all
     columns one stays. Rows without shingles have nothing to compare, and all stay."""
     key, alone, equal = unused(docs, "row_key"), unused(docs, "alone"), unused(docs, "equal")
-    keyed = docs.withColumn(key, F.xxhash64(*named(docs), *(c.isNull() for c in named(docs))))
+    keyed = row_keys(docs, key)
     found = op08_jaccard.classes(keyed.select(F.col(key).alias("doc_id"), "text")).withColumnRenamed("doc_id", "row_key").distinct()
     ids = keyed.select(F.col(key).alias("row_key"), "doc_id").distinct()
     first = found.where("n_shingles > 0").join(ids, "row_key").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")).alias("first"))
@@ -94,9 +119,16 @@ STAGES = [("toxicity", toxicity), ("n-gram Jaccard join", near_duplicates), ("su
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of a folder; what each kept is written to the shared folder."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of a folder; what each kept is written to the shared folder, and taken away once the next one has
+    been written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
-        docs = written(docs) if k < len(STAGES) - 1 else docs
+        if k < len(STAGES) - 1:
+            folder = f"{shared_folder(spark)}/{uuid.uuid4()}"
+            docs.write.parquet(folder)
+            docs = spark.read.parquet(folder)
+            if before:
+                removed(spark, before)
+            before = folder
     return docs
