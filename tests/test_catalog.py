@@ -4,7 +4,7 @@ import __spark_entry__
 import pytest
 from oracle import expected, same
 
-from profilion.plans import catalog, domain  # noqa: F401
+from profilion.plans import catalog, cores, domain, streams  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

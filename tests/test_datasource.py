@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from profilion.sources import datasource, gridded, messages
+from profilion.sources import datasource, formats, gridded, messages
 
 START = 1_767_225_600_000_000
 
@@ -79,3 +79,18 @@ def test_errors(spark, tmp_path):
     for name, path in (("profilion_grid", str(tmp_path)), ("profilion_messages", str(tmp_path / "nowhere"))):
         with pytest.raises(Exception, match="no header|no such file"):
             spark.read.format(name).load(path).collect()
+
+
+def test_large_files_are_looked_at_by_their_heads(spark, log, tmp_path):
+    """A sparse log of three gigabytes: more than one value of Spark could hold."""
+    folder = tmp_path / "large"
+    folder.mkdir()
+    head = next(p for p in sorted(Path(log).iterdir()) if p.suffix == ".txt").read_bytes()
+    with (folder / "large.dat").open("wb") as file:
+        file.write(head)
+        file.truncate(3 << 30)
+    (folder / "grid.csv").write_text("# note\ntime,1,2\n1,2,3\n")
+    found = {r.path.rsplit("/", 1)[-1]: (r.length, r.form) for r in formats.looked_at(spark, [str(folder)]).collect()}
+    assert found == {"large.dat": (3 << 30, "messages"), "grid.csv": ((folder / "grid.csv").stat().st_size, "gridded")}
+    assert formats.by_format(spark, [str(folder)]) == {"gridded": [f"file:{folder}/grid.csv"], "messages": [f"file:{folder}/large.dat"]}
+    assert formats.by_format(spark, [log]) == {"messages": [log]}

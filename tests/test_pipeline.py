@@ -3,6 +3,7 @@
 import json
 import struct
 
+import days
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -12,19 +13,19 @@ from profilion.operators import aggregates, frames, score
 from profilion.plans import window
 from profilion.sources import messages
 from profilion.sources.store import HOUR, Store
-from profilion.synthetic import atmosphere
 
 START = 1_756_080_000_000_000
 
 
 @pytest.fixture(scope="module")
 def made(spark):
-    return atmosphere.generate(spark, START + 9 * HOUR, atmosphere.Scenario(hours=0.5), "synthetic", 4).cache()
+    return days.made(spark, START + 9 * HOUR, 0.5).cache()
 
 
 def test_ingest_of_logs_scores_well(spark, made, tmp_path):
-    messages.write(atmosphere.as_messages(made), str(tmp_path / "log"))
-    s = settings.Settings(site="synthetic", storage=settings.Storage(str(tmp_path / "store")))
+    bases = F.when(F.col("cloud_base").isNotNull(), F.array("cloud_base")).otherwise(F.array().cast("array<double>"))
+    messages.write(made.select("t", "beta", "r", bases.alias("bases")), str(tmp_path / "log"))
+    s = settings.Settings(site="made", storage=settings.Storage(str(tmp_path / "store")))
     told = pipeline.ingest(spark, str(tmp_path / "log"), s, known_only=True)
     again = pipeline.ingest(spark, str(tmp_path / "log"), s, known_only=True)
     assert told["profiles"] == 60 and again["types"] == told["types"] and {"cloud", "mixing_layer"} <= set(told["types"])
@@ -32,7 +33,7 @@ def test_ingest_of_logs_scores_well(spark, made, tmp_path):
     assert store.layers().count() == told["layers"] and store.status()["gates"] == 770 and store.status()["settings"]["detect"]["significance"] == 3.0
     found = score.feature_scores(store.layers(), made, ["site", "t"]).toPandas().set_index("feature")
     assert found.loc["cloud_base"].detection_rate >= 0.9 and abs(found.loc["cloud_base"].bias) < 75
-    assert found.loc["mixing_top"].detection_rate >= 0.85 and found.loc["mixing_top"].within >= 0.7  # the layers merge at this hour
+    assert found.loc["mixing_top"].detection_rate >= 0.85 and found.loc["mixing_top"].within >= 0.85
     text = score.report(score.feature_scores(store.layers(), made, ["site", "t"]), score.screen_scores(store.window(), made, ["site", "t"]))
     assert "cloud_base" in text and "fog" in text
 
@@ -76,22 +77,24 @@ def test_gates_of_the_score():
     assert len(score.failures(Table(bad, good | {"feature": "haze_base", "observable": 0}), screens)) == 6
 
 
-def test_truth_round_trip_and_states(spark, made, tmp_path):
-    atmosphere.write_truth(made, str(tmp_path / "truth"))
-    back = atmosphere.read_truth(spark, str(tmp_path / "truth"))
-    assert back.exceptAll(made.select(*atmosphere.TRUTH)).isEmpty() and back.count() == 60
-    day = atmosphere.states(spark, START, atmosphere.Scenario(interval=600.0)).toPandas()
-    assert day["fog"].sum() == 9 and day["rain"].sum() == 6 and not day.loc[day["fog"], "mixing_visible"].any()
-    assert 240 < day["mixing"].min() < 270 and day["mixing"].max() == 1700.0
-    assert (day.loc[day["cloud_kind"] == "stratus", "haze_visible"] == False).all()  # noqa: E712
-    night = day["mixing"].to_numpy()
-    assert np.abs(np.diff(np.append(night, night[0]))).max() < 250
-
-
-def test_the_slow_process_is_normal_and_remembers(spark):
-    sc = atmosphere.Scenario()
-    x = spark.range(6000).select(atmosphere.correlated(F.col("id"), sc).alias("x")).toPandas()["x"].to_numpy()
-    assert abs(x.std() - 1) < 0.25 and abs(np.corrcoef(x[:-1], x[1:])[0, 1] - np.exp(-30 / 420)) < 0.02
+def test_known_hours_meet_the_gates(spark):
+    """Hours with fog, a residual layer and haze: every gate on detection, bias, tolerance, false alarms and screens is met."""
+    truth = days.made(spark, START + int(3.5 * HOUR), 2.0, grid=days.Grid(every=60.0)).cache()
+    done = pipeline.process(truth.select("site", "t", "r", "beta", "quality", "range_corrected"))
+    scores, screens = score.feature_scores(done.layers, truth, ["site", "t"]), score.screen_scores(done.profiles, truth, ["site", "t"])
+    assert score.failures(scores, screens) == ["cloud_base: nothing to see"]
+
+
+def test_two_sites_of_other_cadence_and_grid_in_one_call(spark):
+    """Each site's layers are those that it gives alone."""
+    one = days.made(spark, START + 5 * HOUR, 0.5, site="a")
+    two = days.made(spark, START + 5 * HOUR, 0.5, site="b", grid=days.Grid(gates=400, apart=15.0, every=60.0))
+    columns = ["site", "t", "r", "beta", "quality", "range_corrected"]
+    both = pipeline.process(one.unionByName(two).select(columns)).layers
+    for site, rows in (("a", one), ("b", two)):
+        alone = pipeline.process(rows.select(columns)).layers
+        told = lambda df: sorted((r.t, r.type, round(r.base, 3), None if r.top is None else round(r.top, 3)) for r in df.collect())  # noqa: B023, E731
+        assert told(both.where(F.col("site") == site)) == told(alone) != []
 
 
 def test_settings(tmp_path):

@@ -3,6 +3,7 @@
 import math
 import os
 
+import days
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,7 +11,6 @@ from profilion.functions import profiles as fn
 from profilion.operators import preprocess
 from profilion.sources import formats, gridded, messages
 from profilion.sources.store import HOUR, Store, compatible
-from profilion.synthetic import atmosphere
 
 COUNTS = [k - 10 for k in range(25)]
 
@@ -127,7 +127,7 @@ def test_formats(spark, tmp_path):
     found = formats.by_format(spark, [str(tmp_path / "in")])
     assert {k: [p.rsplit("/", 1)[-1] for p in v] for k, v in found.items()} == {"messages": ["a.dat", "odd.name"], "gridded": ["g.csv"]}
     rows = formats.read(spark, [str(tmp_path / "in" / "a.dat"), str(tmp_path / "in" / "g.csv")])
-    assert rows.count() == 2 and set(formats.available()) == {"messages", "gridded"}
+    assert rows.count() == 2 and set(formats.FORMATS) == {"messages", "gridded"}
     with pytest.raises(formats.FormatError, match="several grids"):
         formats.same_grid(rows)
     (tmp_path / "in" / "z.bin").write_bytes(b"nothing of the kind")
@@ -135,9 +135,9 @@ def test_formats(spark, tmp_path):
         formats.read(spark, str(tmp_path / "in"))
     assert set(formats.by_format(spark, [str(tmp_path / "in")], known_only=True)) == {"messages", "gridded"}
     with pytest.raises(formats.FormatError):
-        formats.get("none")
-    with pytest.raises(ValueError, match="registered already"):
-        formats.register(formats.Format("gridded", "", (), bool, formats.gridded.read))
+        formats.named("none")
+    with pytest.raises(ValueError, match="there is a format"):
+        formats.add(formats.Format("gridded", "", "", bool, formats.gridded.read))
     (tmp_path / "bad.csv").write_text("time,a,b\n1,2,3\n")
     with pytest.raises(formats.FormatError, match="bad.csv"):
         formats.read(spark, str(tmp_path / "bad.csv"))
@@ -160,9 +160,8 @@ def test_a_stamp_counts_once_and_ends_an_open_message(spark, tmp_path):
 
 
 def test_messages_round_trip_to_half_a_count(spark, tmp_path):
-    sc = atmosphere.Scenario(hours=0.05, gates=60)
-    made = atmosphere.generate(spark, 1_756_080_000_000_000, sc)
-    messages.write(atmosphere.as_messages(made), str(tmp_path / "log"))
+    made = days.made(spark, 1_756_080_000_000_000, 0.05, grid=days.Grid(gates=60))
+    messages.write(made.select("t", "beta", "r"), str(tmp_path / "log"))
     back = {r.t: r for r in messages.read(spark, str(tmp_path / "log")).collect()}
     rows = made.collect()
     assert set(back) == {r.t for r in rows} and all(r.crc_ok for r in back.values())
@@ -220,6 +219,8 @@ def test_an_empty_profile_is_of_low_signal_and_spoils_no_other(spark):
 
 def test_box_follows_cadence_and_spacing(spark):
     rows = profile(spark, lambda r: F.lit(2e-6))
-    s = preprocess.fitted(rows, preprocess.Settings())
-    assert (s.smooth_half_rows, s.smooth_half_gates) == (5, 2)
-    assert preprocess.fitted(rows.withColumn("t", F.col("t") * 4), preprocess.Settings()).smooth_half_rows == 1
+    other = rows.withColumn("t", F.col("t") * 4).withColumn("site", F.lit("other"))
+    found = preprocess.boxes(rows.unionByName(other), preprocess.Settings()).select("site", "box_rows", "box_gates").distinct().collect()
+    assert sorted(map(tuple, found)) == [("other", 1, 2), ("s", 5, 2)]
+    told = preprocess.boxes(rows, preprocess.Settings(smooth_half_rows=4)).select("box_rows", "box_gates").distinct().collect()
+    assert told == [(4, 2)]
