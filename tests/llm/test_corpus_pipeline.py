@@ -183,3 +183,14 @@ def test_run_equals_plain_python(spark, tmp_path):
     model, text = Tokenizer.from_file(op03_bpe.tokenizer_path()), {r[0]: r[1] for r in short}
     for r in last:
         assert np.frombuffer(r["ids"], "<u4").tolist() == model.encode(text[r["doc_id"]] or "", add_special_tokens=False).ids
+
+
+def test_rows_with_maps_are_told_apart(spark):
+    """Map columns, nested ones too, have no hash of their own; equal rows share a key, all others have keys of their own."""
+    rows = [(1, "a", {"x": 1}, [{"y": None}]), (1, "a", {"x": 1}, [{"y": None}]), (1, "a", {"x": 2}, [{"y": None}]), (1, "a", None, None), (None, "a", {}, []), (None, None, None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, m map<string,long>, n array<map<string,long>>")
+    keyed = corpus_pipeline.row_keys(table, "key")
+    assert keyed.columns == ["doc_id", "text", "m", "n", "key"]
+    assert sorted(r["count"] for r in keyed.groupBy("key").count().collect()) == [1, 1, 1, 1, 2]
+    docs = table.selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars", "m", "n")
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 2
