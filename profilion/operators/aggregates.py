@@ -11,6 +11,8 @@ from profilion.session import settle
 
 #: Values that one task may sort for a key, and bins that a range is cut into.
 SORTED, BINS = 100_000, 4096
+#: Ranks of large groups that may be broadcast.
+BROADCAST = 100_000
 
 
 def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
@@ -53,8 +55,10 @@ def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict
 
 
 def _inside(rows: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
-    """The values of each rank's range."""
+    """The values of each rank's range. Only groups of more than SORTED values have ranks here, so there are few, and where a count
+    says so they are broadcast: a group's values stay where they are."""
     other = ranks.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in ranks.columns if c not in keys])
+    other = F.broadcast(other) if ranks.count() <= BROADCAST else other
     same = (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))

@@ -66,6 +66,22 @@ def smooth_sites(spark, sf_dir):
     return found.select("vec_id", F.col("gate").cast("long").alias("gate"), neat("mean", 5).alias("mean"))
 
 
+@query(f"""WITH {GATES}, g AS (SELECT *, gate * 10.0::DOUBLE + 5.0::DOUBLE AS r, count(*) OVER (PARTITION BY vec_id) AS gates FROM e),
+f AS (SELECT *, CASE WHEN gate >= 2 AND gate + 2 <= gates THEN (sum(v) OVER (PARTITION BY vec_id ORDER BY gate ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) - sum(v) OVER (PARTITION BY vec_id ORDER BY gate ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING)) / 4 END AS w FROM g),
+h AS (SELECT *, gate - row_number() OVER (PARTITION BY vec_id ORDER BY gate) AS island FROM g WHERE v > 0.1::DOUBLE AND r >= 90),
+c AS (SELECT vec_id, min(r) AS low, max(v) AS peak, arg_min(gate, (-v, gate)) AS at FROM h GROUP BY vec_id, island HAVING count(*) >= 2),
+b AS (SELECT c.*, (SELECT median(g.v) FROM g WHERE g.vec_id = c.vec_id AND g.r >= low - 300 AND g.r < low) AS below,
+  (SELECT arg_min(f.r, (f.w, f.gate)) FROM f WHERE f.vec_id = c.vec_id AND f.w IS NOT NULL AND f.r >= low - 40 AND f.r < low + 40) AS steep,
+  (SELECT min(g.r) FROM g WHERE g.vec_id = c.vec_id AND g.gate >= c.at AND NOT g.v > 0.1::DOUBLE) AS top FROM c),
+o AS (SELECT b.*, (SELECT median(g.v / 0.05::DOUBLE) FROM g WHERE g.vec_id = b.vec_id AND g.r >= top + 50 AND g.r < top + 150) AS above FROM b WHERE peak >= 0.5::DOUBLE * greatest(coalesce(below, 0), 0.15::DOUBLE))
+SELECT vec_id, coalesce(steep, low) AS base, CASE WHEN above >= 0 THEN top END AS top, coalesce(above < 0, true) AS opaque, round(peak, 6) + 0.0 AS peak FROM o""")
+def cloud_bases(spark, sf_dir):
+    """Bases at the steepest rise near where a cloud begins, tops where light comes through, opaque clouds without one."""
+    s = detect.Settings(cloud=0.1, cloud_sharp=0.5, scales=(40.0, 80.0), opaque_depth=100.0, opaque_snr=0.0)
+    found = detect.clouds(domain.flat(spark, sf_dir), s).select(F.col("t").alias("vec_id"), F.explode("clouds").alias("x"))
+    return found.select("vec_id", "x.base", "x.top", "x.opaque", neat("x.peak_beta").alias("peak"))
+
+
 # -- tracks
 
 
