@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from profilion.functions import profiles as fn
 from profilion.operators import aggregates, detect, frames, layers, preprocess, score, temporal, track
 from profilion.plans import window as windows
-from profilion.plans.catalog import BIT_SQL, EVENTS, GATES, HOUR, bit, events, gates, neat, query, screened_sql, table
+from profilion.plans.catalog import BIT_SQL, EVENTS, GATES, HOUR, ORACLES, bit, events, gates, neat, query, screened_sql, table
 from profilion.session import shared_folder
 from profilion.sources import messages
 from profilion.sources.store import Store, Table
@@ -85,9 +85,22 @@ m AS (SELECT vec_id, max(n) AS most FROM b GROUP BY vec_id)
 SELECT vec_id, gate, round(beta, 4) + 0.0 AS beta, round(s, 4) + 0.0 AS sigma, round(CASE WHEN n > 0 THEN total / n END, 4) + 0.0 AS beta_smooth,
 CASE WHEN most < 3.75 THEN quality | 128 ELSE quality END AS quality FROM b JOIN m USING (vec_id)""")
 def preprocess_chain(spark, sf_dir):
+    return chained(spark, sf_dir, True)
+
+
+@query(ORACLES["preprocess_chain"])
+def preprocess_uncorrected(spark, sf_dir):
+    """The same signals before they are multiplied by the square of their range: what comes out is the same."""
+    return chained(spark, sf_dir, False)
+
+
+def chained(spark, sf_dir, corrected: bool):
+    """Vectors as signals, corrected for range or not, through all of preprocessing."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("site"), F.col("vec_id").alias("t"), F.col("embedding").cast("array<double>").alias("beta"), F.lit(0).alias("quality"))
     rows = rows.withColumn("r", F.transform("beta", lambda _x, i: i * F.lit(10.0) + F.lit(5.0)))
-    found = preprocess.preprocess(rows, CHAINED, range_corrected=True)
+    if not corrected:
+        rows = rows.withColumn("beta", F.zip_with("beta", "r", lambda b, r: b / (r * r)))
+    found = preprocess.preprocess(rows, CHAINED, range_corrected=corrected)
     found = found.select(F.col("t").alias("vec_id"), "quality", F.posexplode(F.arrays_zip("beta", "sigma", "beta_smooth")).alias("gate", "x"))
     return found.select("vec_id", F.col("gate").cast("long").alias("gate"), neat("x.beta", 4).alias("beta"), neat("x.sigma", 4).alias("sigma"), neat("x.beta_smooth", 4).alias("beta_smooth"), "quality")
 
@@ -305,10 +318,11 @@ def window_cells(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), i AS (SELECT vec_id, label, (row_number() OVER (ORDER BY vec_id) - 1) // greatest(1, CAST(ceil(n / 16.0) AS BIGINT)) AS "row" FROM embeddings, n)
-SELECT "row", round(avg(vec_id * 30.0::DOUBLE), 3) + 0.0 AS seconds, CAST(bit_or(CASE WHEN label % 2 = 0 THEN 4 ELSE 16 END) AS BIGINT) AS quality, CAST(16 AS BIGINT) AS gates FROM i GROUP BY "row" """)
+SELECT "row", round(avg(vec_id * 30.0::DOUBLE), 3) + 0.0 AS seconds, CAST(bit_or(CASE WHEN label % 2 = 0 THEN 4 ELSE 16 END) AS BIGINT) AS quality, max(gates) AS gates
+FROM i, (SELECT CAST(ceil(g / ceil(g / 16.0)) AS BIGINT) AS gates FROM (SELECT max(len(embedding)) AS g FROM embeddings)) GROUP BY "row" """)
 def window_payload(spark, sf_dir):
     """A window of a store, at most 16 by 16 cells."""
-    rows = table(spark, sf_dir, "embeddings").select(F.lit("a").alias("site"), (F.col("vec_id") * 30_000_000).alias("t"), F.slice(F.col("embedding").cast("array<double>"), 1, 64).alias("beta"), F.when(F.col("label") % 2 == 0, 4).otherwise(16).cast("long").alias("quality"))
+    rows = table(spark, sf_dir, "embeddings").select(F.lit("a").alias("site"), (F.col("vec_id") * 30_000_000).alias("t"), F.col("embedding").cast("array<double>").alias("beta"), F.when(F.col("label") % 2 == 0, 4).otherwise(16).cast("long").alias("quality"))
     rows = rows.withColumn("r", F.transform("beta", lambda _x, i: i * F.lit(10.0) + F.lit(5.0)))
     store = Store(spark, _folder(spark), bucket_hours=2000, retention_hours=1_000_000)
     store.write(rows)

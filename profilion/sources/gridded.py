@@ -38,7 +38,7 @@ def read(spark: SparkSession, paths: str | list[str], scale: float = 1.0, glob:
     told = F.array_sort(F.collect_list(F.when(is_note & F.col("line").rlike(pattern), note)))  # a file's few notes
     grid = lines.groupBy("path").agg(told.alias("notes"), F.min(F.when(~is_note, F.struct("place", "line"))).alias("h"), F.count_if(~is_note).alias("n"))
     latest = F.aggregate("notes", F.create_map().cast("map<string,string>"), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _v: k != x["k"]), F.create_map(x["k"], x["v"])))
-    ranges = F.transform(F.slice(F.split("h.line", ","), 2, 1 << 20), lambda x: F.trim(x).try_cast("double"))
+    ranges = F.transform(F.filter(F.split("h.line", ","), lambda _x, i: i > 0), lambda x: F.trim(x).try_cast("double"))
     grid = grid.select("path", "h.place", "n", ranges.alias("r"), latest.alias("meta"))
     wrong = grid.where((F.col("n") < 2) | F.exists("r", lambda x: x.isNull()) | (F.size("r") == 0)).select("path").first()
     if wrong is not None:

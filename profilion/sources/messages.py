@@ -67,7 +67,7 @@ def parse(messages: DataFrame, unit: float = 1e-9, strict: bool = False) -> Data
     rows = rows.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(100.0))
     rows = rows.withColumn("counts", fn.hex_profile("hex", F.col("n_gates")))
     body = F.concat(F.array_join(F.slice("lines", 1, F.col("at")), "\r\n"), F.lit("\r\n" + CLOSES))
-    closing = F.get(F.filter(F.slice("lines", F.col("at") + 1, 8), lambda x: x.startswith(CLOSES)), F.lit(0))
+    closing = F.get(F.filter(F.slice("lines", F.col("at") + 1, F.size("lines")), lambda x: x.startswith(CLOSES)), F.lit(0))
     given = F.substring(closing, 2, 4)
     good = F.when(closing.isNotNull(), given.rlike("^[0-9A-Fa-f]{4}$") & (F.lower(given) == F.lower(F.lpad(F.hex(fn.crc16(body)), 4, "0"))))
     rows = rows.withColumn("crc_ok", good)

@@ -12,7 +12,7 @@ from profilion.sources.store import Table
 def ingest(rows: DataFrame, table: Table, checkpoint: str, delay: str = "1 hour", keep: int | None = None, order: list[Column] | None = None, continuous: str | None = None) -> StreamingQuery:
     """Starts a query that merges a stream of rows (t in microseconds) into the table's buckets.
 
-    A row that has come before, within ``delay`` of the latest row, is dropped before it is merged; a row later than that is dropped
+    Streams begin at a watermark of 1970, so no row may be that old. A row that has come before, within ``delay`` of the latest row, is dropped before it is merged; a row later than that is dropped
     as well. Of different rows with equal keys the first in ``order`` stays, whichever came first. keep: retention in microseconds,
     counted back from the latest row stored; older buckets go after each batch. A batch that is run again after a failure changes
     nothing. continuous: the trigger's interval; without it, all that there is is taken and the query ends."""
