@@ -64,7 +64,7 @@ def write(profiles: DataFrame, path: str, ranges: list[float], range_corrected:
         first = True
         for batch in batches:
             if first and batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], ["value"])
+                yield pa.RecordBatch.from_arrays([pa.array(head, batch.schema.field(0).type)], schema=batch.schema)
                 first = False
             yield batch
 
