@@ -68,7 +68,7 @@ def test_screened_profiles_have_no_layers(spark):
 def test_ceiling_reaches_as_far_as_smoothing(spark):
     air = 2e-7 + slab(900, 4e-6)
     rows = profile(spark, *[np.where((R >= 1200) & (R < 1300), 1e-3, air) if k == 10 else air for k in range(21)])
-    got = detect.ceilings(detect.clouds(rows), 5).orderBy("t").collect()
+    got = detect.ceilings(detect.clouds(rows.withColumns({"box_rows": F.lit(5), "box_gates": F.lit(2)}))).orderBy("t").collect()
     assert [r["ceiling"] is not None for r in got] == [5 <= k <= 15 for k in range(21)]
 
 
