@@ -46,7 +46,7 @@ class Tracker(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # nothing up to here can still come
         held = [dict(zip(self.schema.names, x, strict=True)) for x in self.waiting.get()] if self.waiting.exists() else []
         due = sorted((x for x in held if x[TIME] <= now * MILLI), key=lambda x: (x[TIME], *((v is not None, v or 0.0) for v in (x["base"], x["_height"]))))
         active = self.restored()
