@@ -7,6 +7,7 @@ are windows over tracks and profiles.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -86,13 +87,33 @@ class Active:
     last: int | None = None
     made: int = 0
 
-    def take(self, t: int, heights: np.ndarray, s: Settings) -> np.ndarray:
-        """The tracks of the detections of one time, later than all before: by optimal assignment to the tracks within reach, or new
-        ones. A gap longer than the limit ends all tracks and opens a session."""
+    def go_on(self, t: int, s: Settings) -> None:
         if self.last is None or t - self.last > s.gap * SECOND:
             self.tracks, self.began, self.made = [], t, 0
         self.last = t
         self.tracks = [a for a in self.tracks if t - a[1] <= s.gap * SECOND]
+
+    def take_one(self, t: int, height: float, s: Settings) -> int:
+        """The track of the only detection of a time: the nearest within reach, the first of those equally near, as ``take`` has it."""
+        self.go_on(t, s)
+        nearest, least = None, math.inf
+        for a in self.tracks:
+            apart = abs(height - a[2])
+            if apart < least and apart <= s.jump + s.jump_per_minute * ((t - a[1]) / SECOND / 60):
+                nearest, least = a, apart
+        if nearest is None:
+            nearest = [self.made, t, height]
+            self.tracks.append(nearest)
+            self.made += 1
+        nearest[1:] = [t, height]
+        return nearest[0]
+
+    def take(self, t: int, heights: np.ndarray, s: Settings) -> np.ndarray:
+        """The tracks of the detections of one time, later than all before: by optimal assignment to the tracks within reach, or new
+        ones. A gap longer than the limit ends all tracks and opens a session."""
+        if len(heights) == 1:
+            return np.array([self.take_one(t, float(heights[0]), s)])
+        self.go_on(t, s)
         found = np.full(len(heights), -1)
         if self.tracks:
             reach = s.jump + s.jump_per_minute * np.array([(t - a[1]) / SECOND / 60 for a in self.tracks])
@@ -121,24 +142,30 @@ def assigned(found: DataFrame, s: Settings = Settings()) -> DataFrame:
     def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held, active = None, None, Active([])
 
-        def step(part: pd.DataFrame) -> pd.DataFrame:
+        def taken(part: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+            """A frame of whole times with its tracks. It is given out as one: a frame for each time would cost more than all else."""
             nonlocal now, active
-            key = (part["_key"].iloc[0], part["session"].iloc[0])
-            if key != now:
-                now, active = key, Active([])
-            tracks = active.take(int(part[TIME].iloc[0]), part["_height"].to_numpy(float), s)
-            return part.assign(_began=active.began, _track=tracks)
+            keys, sessions, times, heights = part["_key"].to_numpy(), part["session"].to_numpy(), part[TIME].tolist(), part["_height"].to_numpy(float)
+            began, tracks = np.empty(len(part), np.int64), np.empty(len(part), np.int64)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+                key = (keys[a], sessions[a])
+                if key != now:
+                    now, active = key, Active([])
+                tracks[a:b] = active.take_one(int(times[a]), float(heights[a]), s) if b - a == 1 else active.take(int(times[a]), heights[a:b], s)
+                began[a:b] = active.began
+            return part.assign(_began=began, _track=tracks)
 
         for table in tables:
             table = table if held is None else pd.concat([held, table], ignore_index=True)
             if not len(table):
                 continue
-            key = list(zip(table["_key"], table["session"], table[TIME], strict=True))
-            starts = [0, *(k for k in range(1, len(key)) if key[k] != key[k - 1])]
+            at = [table[c].to_numpy() for c in ("_key", "session", TIME)]
+            starts = np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in at])]))
             held = table.iloc[starts[-1] :]  # the last time may go on
-            yield from (step(table.iloc[a:b]) for a, b in zip(starts, starts[1:], strict=False))
+            if starts[-1]:
+                yield taken(table.iloc[: starts[-1]], starts[:-1])
         if held is not None and len(held):
-            yield step(held)
+            yield taken(held, np.array([0]))
 
     named = track_name(F.col(SITE), F.col("type"), F.col("_began"), F.col("_track"))
     return rows.mapInPandas(run, schema).withColumn("track", named).drop("_key", "session", "_height", "_began", "_track")

@@ -36,3 +36,19 @@ def test_means_of_times_are_exact(spark, sf_dir, tmp_path):
     values = ", ".join(f"({k}, {t})" for k, t in enumerate(BORDER))
     folder = replaced(tmp_path, sf_dir, "events", f"SELECT k::BIGINT AS event_id, make_timestamp(t::BIGINT) AS ts, 1::BIGINT AS user_id, 'view' AS event_type, 1.5::DOUBLE AS value, '' AS props FROM (VALUES {values}) v(k, t)")
     same(catalog.QUERIES["downsample_row_bucket"](spark, folder).toPandas(), expected(catalog.ORACLES["downsample_row_bucket"], folder))
+
+
+def test_one_detection_at_a_time_costs_little(spark):
+    """A session of 40,000 times is one task; a frame of its own for each of them took minutes."""
+    rows = spark.range(40_000).select(F.lit("a").alias("site"), (F.col("id") * MINUTE).alias("t"), F.lit("haze").alias("type"), (F.col("id") % 100 * 1.0).alias("base"), F.lit(None).cast("double").alias("top"))
+    began = time.monotonic()
+    found = track.assigned(rows, track.Settings(jump=1e9)).agg(F.count("*").alias("n"), F.min("track").alias("lo"), F.max("track").alias("hi")).first()
+    assert time.monotonic() - began < 40 and tuple(found) == (40_000, "a:haze:0:0", "a:haze:0:0")
+
+
+@pytest.mark.parametrize("height", [50.0, 450.0])
+def test_a_single_detection_is_assigned_as_one_of_many(height):
+    s = track.Settings(jump=100.0, jump_per_minute=0.0)
+    active = [track.Active([[0, 0, 0.0], [1, 0, 100.0], [2, 0, 300.0]], 0, 0, 3) for _ in range(2)]
+    wanted = active[0].take(MINUTE, track.np.array([height, 5000.0]), s)[0]
+    assert active[1].take_one(MINUTE, height, s) == wanted == (0 if height == 50.0 else 3)
