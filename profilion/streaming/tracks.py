@@ -1,25 +1,29 @@
 """The tracker on a stream of layers: what ``track.assigned`` gives on a whole table, as rows come in.
 
 State is kept for each site and type: the tracks that may go on, and the detections that the watermark has not passed. Those wait, as
-assignment needs their order; an event-time timer at each one's time takes them up once nothing earlier can come. Another timer, one gap
-after the last detection, ends the tracks and frees the state. Rows behind the watermark are dropped.
+assignment needs their order, in stretches of time one gap long, each written in parts as rows come in; an event-time timer at the earliest
+time of a stretch takes up what is due of it, so one stretch is in memory, and timers and calls to the state go by stretches, not rows.
+Another timer, one gap after the last detection, ends the tracks and frees the state. Rows behind the watermark are dropped.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from profilion.operators.preprocess import SITE, TIME
 from profilion.operators.track import SECOND, Active, Settings, track_name, tracking_height
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 MILLI = 1000
+#: Rows of one site and type that a task gathers before it writes them to the state.
+HELD = 10_000
 
 
 class Tracker(StatefulProcessor):
@@ -28,27 +32,57 @@ class Tracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.stretch = max(int(self.s.gap * 1000), 1)
+        self.parts = handle.getMapState("parts", "stretch long", "n long")
+        self.waiting = handle.getMapState("waiting", "stretch long, part long", StructType([StructField("rows", ArrayType(self.schema))]))
         self.tracks = handle.getListState("tracks", "number long, t long, height double")
         self.session = handle.getValueState("session", "began long, last long, made long")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
-        times = set()
+        watermark, come, many, earliest = timerValues.getCurrentWatermarkInMs(), defaultdict(list), 0, {}
         for row in rows:
             if row[TIME] is None or row["type"] is None:
                 continue  # tells the time only
             at = -(-row[TIME] // MILLI)
-            if at > timerValues.getCurrentWatermarkInMs():
-                self.waiting.appendValue(tuple(row[f] for f in self.schema.names))
-                times.add(at)
-        for at in times:
+            if at > watermark:
+                stretch = at // self.stretch
+                come[stretch].append(tuple(row[f] for f in self.schema.names))
+                earliest[stretch] = min(at, earliest.get(stretch, at))
+                many += 1
+                if many == HELD:
+                    self.put_by(come)
+                    come, many = defaultdict(list), 0
+        self.put_by(come)
+        for at in earliest.values():
             self.handle.registerTimer(at)
         return iter([])
 
+    def put_by(self, come: dict[int, list[tuple]]) -> None:
+        """Adds a part to each stretch; what it has is not read."""
+        for stretch, rows in come.items():
+            n = self.parts.getValue((stretch,))[0] if self.parts.containsKey((stretch,)) else 0
+            self.waiting.updateValue((stretch, n), (rows,))
+            self.parts.updateValue((stretch,), (n + 1,))
+
+    def taken_out(self, stretch: int) -> list[dict]:
+        """The rows of a stretch, which then holds none."""
+        if not self.parts.containsKey((stretch,)):
+            return []
+        places = [(stretch, k) for k in range(self.parts.getValue((stretch,))[0])]
+        rows = [dict(zip(self.schema.names, x, strict=True)) for place in places for x in self.waiting.getValue(place)[0]]
+        for place in places:
+            self.waiting.removeKey(place)
+        self.parts.removeKey((stretch,))
+        return rows
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
-        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())  # nothing up to here can still come
-        held = [dict(zip(self.schema.names, x, strict=True)) for x in self.waiting.get()] if self.waiting.exists() else []
+        """Timers go off in order of time, so earlier stretches have been taken up. One of a stretch that is empty by now does nothing."""
+        expiry = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiry, timerValues.getCurrentWatermarkInMs())  # nothing up to here can still come
+        stretch = expiry // self.stretch
+        held = self.taken_out(stretch)
         due = sorted((x for x in held if x[TIME] <= now * MILLI), key=lambda x: (x[TIME], *((v is not None, v or 0.0) for v in (x["base"], x["_height"]))))
+        later = [x for x in held if x[TIME] > now * MILLI]
         active = self.restored()
         out, k = [], 0
         while k < len(due):
@@ -57,9 +91,12 @@ class Tracker(StatefulProcessor):
             for x, number in zip(due[k:n], active.take(due[k][TIME], heights, self.s), strict=True):
                 out.append(Row(**{f: x[f] for f in self.fields}, _began=active.began, _number=int(number)))
             k = n
+        if later:
+            self.put_by({stretch: [tuple(x[f] for f in self.schema.names) for x in later]})
+            self.handle.registerTimer(min(-(-x[TIME] // MILLI) for x in later))
         if due:
-            self.keep(active, [x for x in held if x[TIME] > now * MILLI])
-        elif active.last is not None and not held and active.last + self.s.gap * SECOND < now * MILLI:
+            self.keep(active)
+        elif active.last is not None and active.last + self.s.gap * SECOND < expiry * MILLI:  # what waits is later than this
             self.tracks.clear()
             self.session.clear()
         return iter(out)
@@ -70,13 +107,9 @@ class Tracker(StatefulProcessor):
         began, last, made = self.session.get()
         return Active([list(x) for x in self.tracks.get()] if self.tracks.exists() else [], began, last, made)
 
-    def keep(self, active: Active, held: list[dict]) -> None:
+    def keep(self, active: Active) -> None:
         self.session.update((active.began, active.last, active.made))
         self.tracks.put([(int(n), int(t), float(h)) for n, t, h in active.tracks])
-        if held:
-            self.waiting.put([tuple(x[f] for f in self.schema.names) for x in held])
-        else:
-            self.waiting.clear()
         self.handle.registerTimer(int((active.last + self.s.gap * SECOND) // MILLI) + 1)
 
     def close(self) -> None:

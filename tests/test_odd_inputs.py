@@ -6,10 +6,14 @@ import time
 import duckdb
 import pytest
 from oracle import TABLES, expected, same
+from pyspark.sql import Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from profilion.operators import aggregates, track
 from profilion.plans import catalog, cores, domain, streams  # noqa: F401
+from profilion.streaming import tracks
 
 MINUTE = 60_000_000
 
@@ -52,3 +56,44 @@ def test_a_single_detection_is_assigned_as_one_of_many(height):
     active = [track.Active([[0, 0, 0.0], [1, 0, 100.0], [2, 0, 300.0]], 0, 0, 3) for _ in range(2)]
     wanted = active[0].take(MINUTE, track.np.array([height, 5000.0]), s)[0]
     assert active[1].take_one(MINUTE, height, s) == wanted == (0 if height == 50.0 else 3)
+
+
+class Handle:
+    """What the tracker asks of its state, in memory, and how many timers it sets."""
+
+    def __init__(self):
+        self.timers, self.set = set(), 0
+
+    def getMapState(self, *_):  # noqa: N802
+        kept = {}
+        return type("Map", (), {"containsKey": lambda _, k: k in kept, "getValue": lambda _, k: kept.get(k), "updateValue": lambda _, k, v: kept.__setitem__(k, v), "removeKey": lambda _, k: kept.pop(k)})()
+
+    def getListState(self, *_):  # noqa: N802
+        kept = []
+        return type("List", (), {"exists": lambda _: bool(kept), "get": lambda _: list(kept), "put": lambda _, v: kept.__setitem__(slice(None), v), "appendValue": lambda _, v: kept.append(v), "clear": lambda _: kept.clear()})()
+
+    def getValueState(self, *_):  # noqa: N802
+        kept = []
+        return type("Value", (), {"exists": lambda _: bool(kept), "get": lambda _: kept[0], "update": lambda _, v: kept.__setitem__(slice(None), [v]), "clear": lambda _: kept.clear()})()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.set += 1
+        self.timers.add(at)
+
+
+def test_timers_of_a_stream_go_by_stretches_not_rows():
+    """2,880 rows, out of order, in stretches of six hours: a timer for each row called for the state as often."""
+    schema = StructType([StructField(c, LongType()) for c in ("site", "t")] + [StructField("type", StringType())] + [StructField(c, DoubleType()) for c in ("base", "top", "_height")])
+    tracker, handle = tracks.Tracker(["site", "t", "type", "base", "top"], schema, track.Settings(gap=6 * 3600.0)), Handle()
+    tracker.init(handle)
+    rows = [Row(site=1, t=(k * 7 % 2880 + 1) * MINUTE, type="haze", base=5.0, top=None, _height=5.0) for k in range(2880)]
+    for part in (rows[:1000], rows[1000:]):
+        list(tracker.handleInputRows((1, "haze"), iter(part), TimerValues(0, 0)))
+    found = []
+    for end in (1000 * 60_000, 10_000 * 60_000):  # the watermark stops within a stretch once
+        while due := sorted(x for x in handle.timers if x <= end):
+            found += tracker.handleExpiredTimer((1, "haze"), TimerValues(0, end), ExpiredTimerInfo(due[0]))
+            handle.timers.discard(due[0])
+        assert len(found) == min(end // 60_000, 2880)
+    assert [r.t for r in found] == [(k + 1) * MINUTE for k in range(2880)] and {(r._began, r._number) for r in found} == {(MINUTE, 0)}
+    assert handle.set <= 40 and not tracker.session.exists()
