@@ -97,3 +97,9 @@ def test_timers_of_a_stream_go_by_stretches_not_rows():
         assert len(found) == min(end // 60_000, 2880)
     assert [r.t for r in found] == [(k + 1) * MINUTE for k in range(2880)] and {(r._began, r._number) for r in found} == {(MINUTE, 0)}
     assert handle.set <= 40 and not tracker.session.exists()
+
+
+def test_a_window_of_all_that_is_stored(spark, sf_dir, tmp_path):
+    """Profiles over 4,000 hours, more than a client's longest window."""
+    folder = replaced(tmp_path, sf_dir, "embeddings", "SELECT * REPLACE (vec_id * 1000 AS vec_id) FROM '{table}'")
+    same(catalog.QUERIES["window_payload"](spark, folder).toPandas(), expected(catalog.ORACLES["window_payload"], folder))
