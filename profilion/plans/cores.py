@@ -43,7 +43,7 @@ d AS (SELECT *, sum(v) OVER w AS t, count(v) OVER w AS c FROM u WINDOW w AS (PAR
 b AS (SELECT *, sum(t) OVER w AS total, sum(c) OVER w AS n FROM d WINDOW w AS (PARTITION BY site, gate ORDER BY vec_id {_BOX.format(3)})),
 m AS (SELECT vec_id, max(n) AS most FROM b GROUP BY vec_id)
 SELECT vec_id, gate, round(CASE WHEN n > 0 THEN total / n END, 5) + 0.0 AS mean, round(CASE WHEN n > 0 THEN 0.05::DOUBLE / sqrt(n) END, 6) + 0.0 AS error, most < 8.75 AS thin FROM b JOIN m USING (vec_id)""")
-def screened_smooth(spark, sf_dir):
+def smooth_flagged(spark, sf_dir):
     """The box mean of unscreened profiles on arrays, by site."""
     rows = domain.flat(spark, sf_dir).drop("beta_smooth", "sigma_smooth").withColumn("quality", F.when(F.col("t") % 11 == 0, 1).otherwise(0).cast("long"))
     found = preprocess.smooth(rows, preprocess.Settings(smooth_half_rows=3, smooth_half_gates=2))

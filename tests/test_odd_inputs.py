@@ -103,3 +103,13 @@ def test_a_window_of_all_that_is_stored(spark, sf_dir, tmp_path):
     """Profiles over 4,000 hours, more than a client's longest window."""
     folder = replaced(tmp_path, sf_dir, "embeddings", "SELECT * REPLACE (vec_id * 1000 AS vec_id) FROM '{table}'")
     same(catalog.QUERIES["window_payload"](spark, folder).toPandas(), expected(catalog.ORACLES["window_payload"], folder))
+
+
+def test_no_query_hides_another_of_its_name(spark, sf_dir):
+    """A second screened_smooth, on flags that it was given, stood in the place of the one that screens."""
+    with pytest.raises(ValueError, match="screened_smooth"):
+        catalog.query()(catalog.screened_smooth)
+    for name, columns in (("screened_smooth", {"vec_id", "gate", "beta_smooth", "sigma_smooth", "quality"}), ("smooth_flagged", {"vec_id", "gate", "mean", "error", "thin"})):
+        found = catalog.QUERIES[name](spark, sf_dir).toPandas()
+        assert set(found.columns) == columns
+        same(found, expected(catalog.ORACLES[name], sf_dir))
