@@ -116,6 +116,14 @@ def edge_inputs(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Set
 
 #: The arrays that ``found_edges`` takes.
 INPUTS = ("log", "log_error", "linear", "linear_error", "bias")
+#: Profiles whose transforms and edges a task holds at a time; Arrow batches have up to 10,000.
+PROFILES = 256
+
+
+def gates_of(column: pa.Array) -> list[np.ndarray]:
+    """The lists of a column as arrays, which lie in its buffer where no gate is NULL (NaN); none for a NULL list."""
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    return np.split(column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False), ends[:-1])
 
 
 def candidates(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Settings = preprocess.Settings()) -> DataFrame:
@@ -124,15 +132,17 @@ def candidates(profiles: DataFrame, s: Settings = Settings(), p: preprocess.Sett
 
     @F.pandas_udf(CANDIDATES)
     def edges(columns: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for r, ceiling, *values in columns:
-            out: list[list[dict]] = [[]] * len(r)
-            grids = r.map(lambda x: np.asarray(x, float).tobytes())
-            for _, at in grids.groupby(grids).indices.items():
-                m = [np.array([np.asarray(v.iloc[k], float) for k in at]) for v in values]
-                got = found_edges(np.asarray(r.iloc[at[0]], float), ceiling.iloc[at].to_numpy(float), dict(zip(INPUTS, m, strict=True)), s)
-                for k, x in zip(at, got, strict=True):
-                    out[k] = x
-            yield pd.Series(out)
+        for batch in columns:
+            for first in range(0, len(batch[0]), PROFILES):
+                r, ceiling, *values = (c.iloc[first : first + PROFILES] for c in batch)
+                out: list[list[dict]] = [[]] * len(r)
+                grids = pd.Series([np.asarray(x, float).tobytes() for x in r])
+                for _, at in grids.groupby(grids).indices.items():
+                    m = [np.array([np.asarray(v.iloc[k], float) for k in at]) for v in values]
+                    got = found_edges(np.asarray(r.iloc[at[0]], float), ceiling.iloc[at].to_numpy(float), dict(zip(INPUTS, m, strict=True)), s)
+                    for k, x in zip(at, got, strict=True):
+                        out[k] = x
+                yield pd.Series(out)
 
     found = edges("r", F.coalesce("ceiling", F.lit(float("inf"))), *[f"_{c}" for c in INPUTS])
     return rows.withColumn("candidates", found).drop(*[f"_{c}" for c in INPUTS])
@@ -152,19 +162,22 @@ def register_edges(spark: SparkSession, s: Settings = Settings(), name: str = "p
     @F.arrow_udtf(returnType=EDGE)
     class Edges:
         def eval(self, profiles: pa.RecordBatch) -> Iterator[pa.Table]:
-            column = lambda c: profiles.column(profiles.schema.names.index(c))
             names = [f.split()[0] for f in EDGE.split(", ")]
             kinds = {"site": pa.string(), "t": pa.int64(), "sign": pa.int32()}
-            grids: dict[bytes, list[int]] = {}
-            r = [np.array(x.as_py() or [], float) for x in column("r")]
-            for k, heights in enumerate(r):
-                grids.setdefault(heights.tobytes(), []).append(k)
-            for at in grids.values():  # profiles of one grid together
-                fields = {c: np.array([np.array(column(f"_{c}")[k].as_py() or [], float) for k in at]) for c in INPUTS}
-                ceiling = np.array([np.inf if (h := column("ceiling")[k].as_py()) is None else h for k in at])
-                named = [{"site": column("site")[k].as_py(), "t": column("t")[k].as_py()} for k in at]
-                found = [who | e for who, edges in zip(named, found_edges(r[at[0]], ceiling, fields, s), strict=True) for e in edges]
-                yield pa.table({c: pa.array([e[c] for e in found], kinds.get(c, pa.float64())) for c in names})
+            for first in range(0, profiles.num_rows, PROFILES):
+                some = profiles.slice(first, PROFILES)
+                column = lambda c, some=some: some.column(some.schema.names.index(c))
+                grids: dict[bytes, list[int]] = {}
+                r = gates_of(column("r"))
+                for k, heights in enumerate(r):
+                    grids.setdefault(heights.tobytes(), []).append(k)
+                values = {c: gates_of(column(f"_{c}")) for c in INPUTS}
+                for at in grids.values():  # profiles of one grid together
+                    fields = {c: np.array([values[c][k] for k in at]) for c in INPUTS}
+                    ceiling = np.array([np.inf if (h := column("ceiling")[k].as_py()) is None else h for k in at])
+                    named = [{"site": column("site")[k].as_py(), "t": column("t")[k].as_py()} for k in at]
+                    found = [who | e for who, edges in zip(named, found_edges(r[at[0]], ceiling, fields, s), strict=True) for e in edges]
+                    yield pa.table({c: pa.array([e[c] for e in found], kinds.get(c, pa.float64())) for c in names})
 
     spark.udtf.register(name, Edges)
 

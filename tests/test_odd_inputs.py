@@ -4,6 +4,7 @@ import os
 import time
 
 import duckdb
+import pyarrow as pa
 import pytest
 from oracle import TABLES, expected, same
 from pyspark.sql import Row
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from profilion.operators import aggregates, track
+from profilion.operators import aggregates, detect, track
 from profilion.plans import catalog, cores, domain, streams  # noqa: F401
 from profilion.streaming import tracks
 
@@ -113,3 +114,13 @@ def test_no_query_hides_another_of_its_name(spark, sf_dir):
         found = catalog.QUERIES[name](spark, sf_dir).toPandas()
         assert set(found.columns) == columns
         same(found, expected(catalog.ORACLES[name], sf_dir))
+
+
+def test_edges_are_found_in_small_parts(spark, sf_dir):
+    """A batch of 2,500 profiles, several parts long: edges are those that each profile has in a batch of its own vectors."""
+    holes = detect.gates_of(pa.array([[1.0, None], None, [], [3.0, 4.0]], pa.list_(pa.float64())).slice(0, 4))
+    assert [str(x) for x in holes] == ["[ 1. nan]", "[]", "[]", "[3. 4.]"] and detect.PROFILES < 1000
+    rows = domain.flat(spark, sf_dir).withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(4)))).withColumn("t", F.col("t") + F.col("_k") * 1_000_000).drop("_k").coalesce(1)
+    s = detect.Settings(scales=(40.0, 80.0), lowest=90.0, highest=550.0, significance=0.3)
+    found = detect.candidates(rows, s).select((F.col("t") % 1_000_000).alias("t"), F.to_json("candidates").alias("x"))
+    assert found.groupBy("t").agg(F.countDistinct("x").alias("n"), F.count("x").alias("m")).where("n <> 1 OR m <> 5").isEmpty()
